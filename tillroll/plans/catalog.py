@@ -25,7 +25,7 @@ LOADED_AT = dt.datetime(2026, 1, 1, 0, 0, 0)
 #: "now" for freshness and future-date checks
 NOW = dt.datetime(2026, 1, 1, 18, 0, 0)
 #: expected invoice-date window of the test data and the fact row-count window
-DATE_WINDOW = (dt.date(1992, 1, 1), dt.date(1998, 12, 31))
+DATE_WINDOW = (dt.date(1995, 1, 1), dt.date(2001, 12, 31))
 ROW_WINDOW_PER_SF = (4_000_000, 6_000_000)  # clean fact rows per unit of scale factor
 
 
