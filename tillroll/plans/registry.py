@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tillroll.plans import analytics, checks, gold, ingest  # noqa: F401  (registration)
+from tillroll.plans import analytics, checks, events, gold, ingest  # noqa: F401  (registration)
 from tillroll.plans.catalog import REGISTRY, QueryFn
 
 
