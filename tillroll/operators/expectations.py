@@ -65,8 +65,9 @@ def _outcome(i: int, e: Expectation, success: Column, observed: Column) -> Colum
     )
 
 
-def evaluate_suite(df: DataFrame, suite: list[Expectation] | None = None) -> DataFrame:
-    """Outcome rows for every expectation, from one aggregation pass over ``df``."""
+def suite_plan(df: DataFrame, suite: list[Expectation] | None = None) -> tuple[list[Column], list[Column]]:
+    """The aggregates the suite needs and one outcome struct per expectation computed from
+    them, so callers can fuse the suite with other one-pass checks."""
     suite = suite or build_suite()
     cols = set(df.columns)
     aggs: list[Column] = [F.count(F.lit(1)).alias("_rows")]
@@ -89,7 +90,6 @@ def evaluate_suite(df: DataFrame, suite: list[Expectation] | None = None) -> Dat
         elif e.kind == "expect_column_unique_value_count_to_be_between":
             aggs.append(F.countDistinct(c).alias(f"_a{i}"))
         plans.append((i, e, c))
-    m = df.agg(*aggs)
 
     rows = []
     n = F.col("_rows")
@@ -131,7 +131,13 @@ def evaluate_suite(df: DataFrame, suite: list[Expectation] | None = None) -> Dat
             rows.append(_outcome(i, e, ok, k))
         else:
             raise ValueError(f"unsupported expectation {e.kind}")
-    return m.select(F.explode(F.array(*rows)).alias("o")).select("o.*")
+    return aggs, rows
+
+
+def evaluate_suite(df: DataFrame, suite: list[Expectation] | None = None) -> DataFrame:
+    """Outcome rows for every expectation, from one aggregation pass over ``df``."""
+    aggs, rows = suite_plan(df, suite)
+    return df.agg(*aggs).select(F.explode(F.array(*rows)).alias("o")).select("o.*")
 
 
 class DataValidationError(RuntimeError):

@@ -57,6 +57,8 @@ def build_session(
         "spark.sql.ansi.enabled": "true",
         "spark.ui.enabled": os.environ.get("SPARK_UI", "false"),
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # arg-min aggregates over text (deterministic dedupe / mode) plan as SortAggregate
+        "spark.sql.codegen.aggregate.sortAggregate.enabled": "true",
     }
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)

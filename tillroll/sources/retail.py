@@ -7,8 +7,8 @@ and exact re-delivered duplicates.
 
 Join order is chosen for scale: ``orders`` is enriched with customer and nation first (an
 orders-sized shuffle; ``nation`` has 25 rows at every scale, so broadcasting it is bounded),
-then joined to ``lineitem`` once. ``part`` is left to the planner (AQE broadcasts it only when
-its runtime size is under the threshold). Duplicates are produced with an ``explode`` in the
+then joined to ``lineitem`` once with a sort-merge join. ``customer`` and ``part`` are left to
+the planner (broadcast only when their measured size is under the threshold). Duplicates are produced with an ``explode`` in the
 same pass instead of a second scan + union.
 """
 
@@ -52,7 +52,11 @@ def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(F.broadcast(nation), customer.c_nationkey == nation.n_nationkey)
         .select("o_orderkey", "o_custkey", "o_orderdate", "n_name")
     )
-    return lineitem.join(orders_enriched, lineitem.l_orderkey == orders_enriched.o_orderkey).join(
+    # fact-to-fact join: always a shuffle (sort-merge) join on the order key. A file-size
+    # estimate can make a compressed lineitem look small enough to broadcast, which would
+    # build the fact table into one hash relation and run the rest of the plan in as many
+    # tasks as the scan has splits.
+    return lineitem.join(orders_enriched.hint("merge"), lineitem.l_orderkey == orders_enriched.o_orderkey).join(
         part, lineitem.l_partkey == part.p_partkey
     )
 
