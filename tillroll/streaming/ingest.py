@@ -87,6 +87,11 @@ def flat_event_columns(e: str | None = "e") -> list[Column]:
 
 
 # --- strict-schema validation of JSON lines ------------------------------------------------
+def _prefixer(obj: str):
+    # a one-argument lambda: ``transform`` passes (element, index) to two-argument lambdas
+    return lambda k: F.concat(F.lit(f"{obj}."), k)
+
+
 def undeclared_keys(value: Column) -> Column:
     """V5: keys of the raw JSON line not declared by the event schema, top level and inside
     each declared object (Spark's JSON reader would otherwise silently drop them)."""
@@ -97,7 +102,7 @@ def undeclared_keys(value: Column) -> Column:
             continue
         nested = F.get_json_object(value, f"$.{obj}")
         extra = F.array_except(F.coalesce(F.json_object_keys(nested), F.array()), F.array(*[F.lit(k) for k in keys]))
-        parts.append(F.transform(extra, lambda k, o=obj: F.concat(F.lit(f"{o}."), k)))
+        parts.append(F.transform(extra, _prefixer(obj)))
     return F.flatten(F.array(*parts))
 
 
