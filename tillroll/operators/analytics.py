@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions import elapsed_days
-from tillroll.operators.rank import N, RN, exact_quantiles, global_rank
+from tillroll.operators.rank import METRIC, N, PAYLOAD, RN, exact_quantiles, multi_rank, quantile_edges
 
 # --- fixed values: notebook RFM segments and thresholds -----------------------------------
 RFM_SEGMENT_ORDER = ["Champions", "Loyal Customers", "Potential Loyalists", "At Risk", "Lost"]
@@ -130,23 +130,33 @@ def rfm_quartiles(tx: DataFrame, num_partitions: int | None = None) -> DataFrame
         .crossJoin(F.broadcast(snapshot))
         .select("customer_id", elapsed_days(F.col("_snap"), F.col("_last")).alias("Recency"), "Frequency", "Monetary")
     )
-    r_edges = exact_quantiles(per, "Recency", QUARTILES, prefix="r", num_partitions=num_partitions)
-    m_edges = exact_quantiles(per, "Monetary", QUARTILES, prefix="m", num_partitions=num_partitions)
-    ranked = global_rank(per, [F.col("Frequency").asc(), F.col("customer_id").asc()], num_partitions=num_partitions)
+    # one ranking pass for all three metrics; the row's other columns ride on the Recency rows
+    ranked = multi_rank(
+        per,
+        "customer_id",
+        [("Recency", F.col("Recency"), True), ("Monetary", F.col("Monetary"), True), ("Frequency", F.col("Frequency"), True)],
+        num_partitions=num_partitions,
+        carry_payload=True,
+    )
+    edges = quantile_edges(ranked.filter(F.col(METRIC) != "Frequency"), QUARTILES, prefix="e").agg(
+        *[F.max(F.when(F.col(METRIC) == m, F.col(f"e{i}"))).alias(f"{p}{i}") for m, p in (("Recency", "r"), ("Monetary", "m")) for i in range(3)]
+    )
     # rank-first quartile: rn <= 1 + (n-1)q  <=>  4(rn-1) <= k(n-1), exact in integers
     f_bin = F.lit(4)
     for k in (3, 2, 1):
         f_bin = F.when(F.lit(4) * (F.col(RN) - 1) <= F.lit(k) * (F.col(N) - 1), F.lit(k)).otherwise(f_bin)
+    f_bins = ranked.filter(F.col(METRIC) == "Frequency").select("customer_id", f_bin.cast("int").alias("F"))
+    base = ranked.filter(F.col(METRIC) == "Recency").select("customer_id", f"{PAYLOAD}.*")
     scored = (
-        ranked.crossJoin(F.broadcast(r_edges))
-        .crossJoin(F.broadcast(m_edges))
+        base.join(f_bins, "customer_id")
+        .crossJoin(F.broadcast(edges))
         .select(
             "customer_id",
             "Recency",
             "Frequency",
             "Monetary",
             (F.lit(5) - _bin(F.col("Recency"), [F.col("r0"), F.col("r1"), F.col("r2")])).cast("int").alias("R"),
-            f_bin.cast("int").alias("F"),
+            "F",
             _bin(F.col("Monetary"), [F.col("m0"), F.col("m1"), F.col("m2")]).alias("M"),
         )
     )
@@ -177,33 +187,37 @@ def rfm_segment_summary(rfm: DataFrame) -> DataFrame:
     )
 
 
-def describe(df: DataFrame, columns: list[str], num_partitions: int | None = None) -> DataFrame:
+def describe(df: DataFrame, columns: list[str], key: str = "customer_id", num_partitions: int | None = None) -> DataFrame:
     """Count, mean, sample std, min, quartiles (linear interpolation), max per column;
-    long format, values as doubles rounded to 4 places."""
-    out = None
-    for c in columns:
-        x = F.col(c).cast("double")
-        moments = df.agg(
-            F.count(x).alias("count"),
-            F.round(F.avg(x), 4).alias("mean"),
-            F.round(F.stddev_samp(x), 4).alias("std"),
-            F.round(F.min(x), 4).alias("min"),
-            F.round(F.max(x), 4).alias("max"),
-        )
-        q = exact_quantiles(df, c, QUARTILES, prefix="q", as_double=True, num_partitions=num_partitions)
-        row = moments.crossJoin(q).select(
-            F.lit(c).alias("column_name"),
-            F.col("count").cast("long").alias("count"),
-            "mean",
-            "std",
-            "min",
-            F.round("q0", 4).alias("q25"),
-            F.round("q1", 4).alias("q50"),
-            F.round("q2", 4).alias("q75"),
-            "max",
-        )
-        out = row if out is None else out.unionByName(row)
-    return out
+    long format, doubles rounded to 4 places. Moments: one aggregation; quartiles: one
+    ranking pass for all columns (``key`` must be unique)."""
+    moments = df.agg(
+        *[
+            F.struct(
+                F.lit(c).alias(METRIC),
+                F.count(F.col(c)).cast("long").alias("count"),
+                F.round(F.avg(F.col(c).cast("double")), 4).alias("mean"),
+                F.round(F.stddev_samp(F.col(c).cast("double")), 4).alias("std"),
+                F.round(F.min(F.col(c)).cast("double"), 4).alias("min"),
+                F.round(F.max(F.col(c)).cast("double"), 4).alias("max"),
+            ).alias(f"_s{i}")
+            for i, c in enumerate(columns)
+        ]
+    ).select(F.explode(F.array(*[F.col(f"_s{i}") for i in range(len(columns))])).alias("s")).select("s.*")
+    ranked = multi_rank(df, key, [(c, F.col(c), True) for c in columns], num_partitions=num_partitions)
+    q = quantile_edges(ranked, QUARTILES, prefix="q", as_double=True)
+    # both sides hold one row per described column
+    return F.broadcast(moments).join(F.broadcast(q), METRIC).select(
+        F.col(METRIC).alias("column_name"),
+        "count",
+        "mean",
+        "std",
+        "min",
+        F.round("q0", 4).alias("q25"),
+        F.round("q1", 4).alias("q50"),
+        F.round("q2", 4).alias("q75"),
+        "max",
+    )
 
 
 def order_value_stats(tx: DataFrame, num_partitions: int | None = None) -> DataFrame:

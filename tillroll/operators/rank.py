@@ -46,8 +46,13 @@ def global_rank(
     *,
     group_by: list[str] | None = None,
     num_partitions: int | None = None,
+    bounded_groups: bool = False,
 ) -> DataFrame:
-    """Add ``_rn`` (1-based position in ``order`` within the group) and ``_n`` (group size)."""
+    """Add ``_rn`` (1-based position in ``order`` within the group) and ``_n`` (group size).
+
+    ``bounded_groups``: the caller guarantees a fixed, small number of groups (e.g. one per
+    ranked metric), so the per-(partition, group) offsets table may be broadcast.
+    """
     group_by = list(group_by or [])
     checkpoint_dir(df.sparkSession)
     keys = [F.col(g).asc_nulls_first() for g in group_by] + list(order)
@@ -66,7 +71,10 @@ def global_rank(
     slices = slices.withColumn("_off", F.coalesce(F.sum("_cnt").over(running), F.lit(0))).withColumn(
         N, F.sum("_cnt").over(whole)
     )
-    if group_by:
+    if group_by and bounded_groups:
+        # at most P x (number of groups) rows, both bounded: safe to broadcast
+        joined = staged.join(F.broadcast(slices), ["_pid", *group_by])
+    elif group_by:
         # one row per (partition, group): grows with the number of groups, so no hint here;
         # AQE broadcasts it only when its runtime size is under the threshold.
         cond = [staged["_pid"] == slices["_pid"]] + [staged[g].eqNullSafe(slices[g]) for g in group_by]
@@ -200,3 +208,104 @@ def grouped_quantile(
     frac = F.col("_fn").cast("double") / F.lit(float(den))
     edge = F.col("_lo") + (F.coalesce(F.col("_hi"), F.col("_lo")) - F.col("_lo")) * frac
     return picked.select(*group_by, edge.alias(out))
+
+
+# --- several rankings in one pass ----------------------------------------------------------
+METRIC = "_m"
+VALUE = "_v"
+PAYLOAD = "_p"
+RANK_VALUE_TYPE = "decimal(38,6)"
+
+
+def multi_rank(
+    df: DataFrame,
+    key: str,
+    metrics: list[tuple[str, Column, bool]],
+    *,
+    num_partitions: int | None = None,
+    carry_payload: bool = False,
+) -> DataFrame:
+    """Rank several metrics of the same rows in ONE range-partitioned, checkpointed pass.
+
+    Each row is exploded into one ``(key, _m, _v)`` row per metric, the value normalised to
+    an exact decimal (negated for descending order), and all metrics are ranked together,
+    grouped by metric, with ``key`` as the tie-breaker. Returns ``(key, _m, _v, _rn, _n)``
+    (+ ``_p``: the other columns of the row, on the first metric's rows only, when
+    ``carry_payload``; so the input is never recomputed to be joined back). The shuffle
+    volume equals ranking each metric separately; the number of jobs does not grow with
+    the number of metrics. Metric values must be non-null numbers.
+    """
+    payload = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != key]) if carry_payload else None
+    structs = []
+    for i, (name, value, ascending) in enumerate(metrics):
+        fields = [F.lit(name).alias("m"), (value if ascending else -value).cast(RANK_VALUE_TYPE).alias("v")]
+        if payload is not None:
+            # a typed null on all but the first metric's row
+            fields.append((payload if i == 0 else F.when(F.lit(False), payload)).alias("p"))
+        structs.append(F.struct(*fields))
+    out = [key, F.col("_x.m").alias(METRIC), F.col("_x.v").alias(VALUE)]
+    if payload is not None:
+        out.append(F.col("_x.p").alias(PAYLOAD))
+    long = df.select(F.col(key), F.explode(F.array(*structs)).alias("_x")).select(*out)
+    return global_rank(
+        long,
+        [F.col(VALUE).asc(), F.col(key).asc()],
+        group_by=[METRIC],
+        num_partitions=num_partitions,
+        bounded_groups=True,
+    )
+
+
+def multi_ntile(
+    df: DataFrame,
+    key: str,
+    k: int,
+    metrics: list[tuple[str, Column, bool]],
+    *,
+    num_partitions: int | None = None,
+) -> DataFrame:
+    """``ntile(k) OVER (ORDER BY metric, key)`` for several metrics at once, added to the
+    rows of ``df`` as columns named after the metrics."""
+    ranked = multi_rank(df, key, metrics, num_partitions=num_partitions, carry_payload=True).withColumn(
+        "_t", tile_of(RN, N, k)
+    )
+    first, rest = metrics[0][0], [m[0] for m in metrics[1:]]
+    base = ranked.filter(F.col(METRIC) == first).select(key, f"{PAYLOAD}.*", F.col("_t").alias(first))
+    if not rest:
+        return base
+    others = (
+        ranked.filter(F.col(METRIC) != first)
+        .groupBy(key)
+        .agg(*[F.max(F.when(F.col(METRIC) == name, F.col("_t"))).alias(name) for name in rest])
+    )
+    return base.join(others, key)
+
+
+def quantile_edges(ranked: DataFrame, qs: list[Fraction], *, prefix: str, as_double: bool = False) -> DataFrame:
+    """Per metric of a ``multi_rank`` result: linear-interpolation quantiles, one row per
+    metric ``(_m, {prefix}0, {prefix}1, ...)``; only the bracketing rows are aggregated."""
+    cond = F.lit(False)
+    aggs = []
+    for i, q in enumerate(qs):
+        num, den = q.numerator, q.denominator
+        lo = F.expr(f"(({N} - 1) * {num}) div {den} + 1")
+        frac_num = F.expr(f"(({N} - 1) * {num}) % {den}")
+        cond = cond | (F.col(RN) == lo) | (F.col(RN) == lo + 1)
+        aggs += [
+            F.max(F.when(F.col(RN) == lo, F.col(VALUE))).alias(f"_lo{i}"),
+            F.max(F.when(F.col(RN) == lo + 1, F.col(VALUE))).alias(f"_hi{i}"),
+            F.max(frac_num).alias(f"_fn{i}"),
+        ]
+    picked = ranked.filter(cond).groupBy(METRIC).agg(*aggs)
+    cols = []
+    for i, q in enumerate(qs):
+        lo_v = F.col(f"_lo{i}")
+        hi_v = F.coalesce(F.col(f"_hi{i}"), lo_v)
+        if as_double:
+            frac = F.col(f"_fn{i}").cast("double") / F.lit(float(q.denominator))
+            edge = lo_v.cast("double") + (hi_v.cast("double") - lo_v.cast("double")) * frac
+        else:
+            frac = (F.col(f"_fn{i}").cast("decimal(20,0)") / F.lit(q.denominator)).cast("decimal(20,10)")
+            edge = lo_v + (hi_v - lo_v) * frac
+        cols.append(edge.alias(f"{prefix}{i}"))
+    return picked.select(METRIC, *cols)
