@@ -189,8 +189,8 @@ def stage_screen(raw_df: DataFrame, log: EventLog, *, contract: SchemaContract |
         "expectations_failed": len(expectations.failures),
     }
     log.emit("screen", "failure" if failed else "success", duration_ms=round(duration * 1000, 2), metrics=summary)
-    log.flush()
-    if enforce:
+    if enforce and failed:
+        log.flush()  # the rejected batch's findings are on record before the error is raised
         if drift.has_breaking_drift:
             raise SchemaDriftError(drift)
         if not expectations.success:
@@ -245,23 +245,25 @@ def run_pipeline(raw_df: DataFrame, workdir: str, log: EventLog, *, quality_wind
 
     spark = raw_df.sparkSession
     summary: dict[str, Any] = {"run_id": log.run_id}
-    with observed_stage(log, "extract") as m:
-        x = stage_extract(raw_df, f"{workdir}/raw")
-        m.update({"rows_written": x["rows"]})
-    summary["extract"] = x
-    raw_df = declared_read(spark, x["raw_path"])
-    summary["screen"] = stage_screen(raw_df, log, enforce=True)
-    with observed_stage(log, "transform") as m:
-        t = stage_transform(raw_df, f"{workdir}/interim")
-        m.update({k: t[k] for k in ("rows_in", "rows_out", "rows_dropped", "pct_dropped")})
-    summary["transform"] = t
-    with observed_stage(log, "load") as m:
-        ld = stage_load(spark, t["interim_path"], f"{workdir}/star")
-        m.update({"rows_written": ld["transactions"]})
-    summary["load"] = ld
-    with observed_stage(log, "validate") as m:
-        v = stage_validate(spark, ld["star_root"], **(quality_window or {}))
-        m.update({"rows": ld["transactions"]})
-    summary["validate"] = v
-    log.flush()
+    try:
+        with observed_stage(log, "extract") as m:
+            x = stage_extract(raw_df, f"{workdir}/raw")
+            m.update({"rows_written": x["rows"]})
+        summary["extract"] = x
+        raw_df = declared_read(spark, x["raw_path"])
+        summary["screen"] = stage_screen(raw_df, log, enforce=True)
+        with observed_stage(log, "transform") as m:
+            t = stage_transform(raw_df, f"{workdir}/interim")
+            m.update({k: t[k] for k in ("rows_in", "rows_out", "rows_dropped", "pct_dropped")})
+        summary["transform"] = t
+        with observed_stage(log, "load") as m:
+            ld = stage_load(spark, t["interim_path"], f"{workdir}/star")
+            m.update({"rows_written": ld["transactions"]})
+        summary["load"] = ld
+        with observed_stage(log, "validate") as m:
+            v = stage_validate(spark, ld["star_root"], **(quality_window or {}))
+            m.update({"rows": ld["transactions"]})
+        summary["validate"] = v
+    finally:
+        log.flush()  # one append per run; also on failure
     return summary
