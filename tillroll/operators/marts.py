@@ -130,3 +130,41 @@ def star_join_revenue(fct: DataFrame, d_date: DataFrame, d_customer: DataFrame,
         F.sum("quantity").alias("units_sold"),
         F.sum("line_revenue").alias("revenue"),
     )
+
+
+MART_TABLES = ("fct_sales", "dim_customer", "dim_product", "dim_date")
+
+
+def build_warehouse(stg: DataFrame, root: str, *, num_partitions: int | None = None) -> dict[str, str]:
+    """K6: materialise the marts as tables (staging stays a view-like function).
+
+    Staging feeds all four marts, so it is persisted for the duration of the build (its
+    recomputation after an executor loss is deterministic), populated once, and released
+    afterwards; the four independent writes are then submitted concurrently.
+    Returns ``{mart: path}``.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    from tillroll.storage_level import DISK_AND_MEMORY
+
+    stg = stg.persist(DISK_AND_MEMORY)
+    try:
+        # populate the cache once before fanning out; concurrent first readers of a cold
+        # cache would each compute the lineage themselves
+        stg.count()
+        builders = {
+            "fct_sales": lambda: fct_sales(stg),
+            "dim_customer": lambda: dim_customer(stg, num_partitions=num_partitions),
+            "dim_product": lambda: dim_product(stg),
+            "dim_date": lambda: dim_date(stg),
+        }
+
+        def write(name: str) -> tuple[str, str]:
+            path = f"{root}/{name}"
+            builders[name]().write.mode("overwrite").parquet(path)
+            return name, path
+
+        with ThreadPoolExecutor(max_workers=len(builders)) as pool:
+            return dict(pool.map(write, MART_TABLES))
+    finally:
+        stg.unpersist()

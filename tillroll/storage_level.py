@@ -1,0 +1,6 @@
+"""Storage levels used when a frame feeding several consumers is persisted."""
+
+from pyspark import StorageLevel
+
+#: serialized in memory, spilling to local disk; recomputed from lineage if an executor is lost
+DISK_AND_MEMORY = StorageLevel.MEMORY_AND_DISK
