@@ -111,3 +111,8 @@ class TestExpectations:
         neg = batch.withColumn("UnitPrice", -F.col("UnitPrice") - F.lit(1))
         out = E.validate_batch(neg, enforce=False)
         assert ("expect_column_values_to_be_between", "UnitPrice") in {(f["expectation"], f["column"]) for f in out.failures}
+
+
+def test_approx_distinct_option(batch):
+    out = E.validate_batch(batch, suite=E.build_suite(approx_distinct=True))
+    assert out.success and out.results[-1]["observed"] == 2.0

@@ -130,3 +130,20 @@ def test_source_freshness(landing):
     assert source_freshness(landing, datetime(2026, 1, 1, 6)).first()["status"] == "pass"
     assert source_freshness(landing, datetime(2026, 1, 1, 13)).first()["status"] == "warn"
     assert source_freshness(landing, datetime(2026, 1, 3)).first()["status"] == "error"
+
+
+def test_landing_truncate_or_append(spark, tmp_path):
+    from tillroll.operators.clean import clean_data
+    from tillroll.operators.star import load_star, load_to_landing
+    from tillroll.sources.retail import retail_raw
+
+    clean = clean_data(retail_raw(spark, "/root/testdata/sf0.001"))
+    path = str(tmp_path / "landing")
+    first = load_to_landing(clean, path, truncate=True)
+    again = load_to_landing(clean, path, truncate=False)
+    assert again["rows_in_table"] == 2 * first["rows_written"] == 2 * first["rows_in_table"]
+    assert load_to_landing(clean, path, truncate=True)["rows_in_table"] == first["rows_written"]
+    root = str(tmp_path / "star")
+    counts = load_star(clean, root)
+    load_star(clean, root, mode="append")
+    assert spark.read.parquet(f"{root}/transactions").count() == 2 * counts["transactions"]

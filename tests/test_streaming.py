@@ -72,3 +72,8 @@ def test_event_records_from_events_table(spark):
     row = rec.filter(F.col("stage") == "error").first()
     assert row["outcome"] == "failure" and row["@timestamp"].endswith("+00:00")
     assert rec.count() == ev.count()
+
+
+def test_shipping_lag(spark):
+    df = spark.createDataFrame([(datetime(2024, 1, 1, 10, 0, 0), datetime(2024, 1, 1, 10, 0, 2, 500000))], "event_ts timestamp, ingested_at timestamp")
+    assert df.select(I.shipping_lag_seconds(df).alias("lag")).first()["lag"] == 2.5

@@ -109,14 +109,31 @@ def _bin(x: Column, edges: list[Column]) -> Column:
     return out.cast("int")
 
 
-def rfm_quartiles(tx: DataFrame, num_partitions: int | None = None) -> DataFrame:
+class DuplicateBinEdgesError(ValueError):
+    """Raised in strict mode when quartile edges coincide (pandas ``qcut`` raises too)."""
+
+
+def _check_unique_edges(ranked: DataFrame, metrics: list[str]) -> None:
+    """Strict ``qcut``: min, quartiles and max of each metric must be strictly increasing.
+    Collects one row per metric (bounded)."""
+    full = quantile_edges(
+        ranked.filter(F.col(METRIC).isin(metrics)), [Fraction(0), *QUARTILES, Fraction(1)], prefix="e"
+    ).collect()
+    for row in full:
+        edges = [row[f"e{i}"] for i in range(5)]
+        if any(a >= b for a, b in zip(edges, edges[1:])):
+            raise DuplicateBinEdgesError(f"Bin edges must be unique for {row[METRIC]}: {edges}")
+
+
+def rfm_quartiles(tx: DataFrame, num_partitions: int | None = None, *, strict_edges: bool = False) -> DataFrame:
     """D4 + W4 + W5 + F6: notebook RFM on identified customers.
 
     Recency = whole days from (last invoice overall + 1 day) to the customer's last invoice
     (floor of the exact difference); Frequency = distinct invoices; Monetary = revenue.
     R = quartile of Recency with labels reversed; F = quartile of the first-occurrence rank of
     Frequency (ties by customer id); M = quartile of Monetary. Quartile edges are exact
-    linear-interpolation quantiles.
+    linear-interpolation quantiles. Equal edges merge (first matching bin) unless
+    ``strict_edges``, which raises like pandas does.
     """
     known = tx.filter(F.col("customer_id").isNotNull())
     snapshot = known.agg((F.max("invoice_date") + F.expr("interval 1 day")).alias("_snap"))
@@ -138,6 +155,8 @@ def rfm_quartiles(tx: DataFrame, num_partitions: int | None = None) -> DataFrame
         num_partitions=num_partitions,
         carry_payload=True,
     )
+    if strict_edges:
+        _check_unique_edges(ranked, ["Recency", "Monetary"])
     edges = quantile_edges(ranked.filter(F.col(METRIC) != "Frequency"), QUARTILES, prefix="e").agg(
         *[F.max(F.when(F.col(METRIC) == m, F.col(f"e{i}"))).alias(f"{p}{i}") for m, p in (("Recency", "r"), ("Monetary", "m")) for i in range(3)]
     )

@@ -33,9 +33,12 @@ class Expectation:
     max_value: float | None = None
     mostly: float | None = None
     column_set: tuple[str, ...] = ()
+    approx: bool = False  # distinct counts: HyperLogLog++ instead of an exact count
 
 
-def build_suite() -> list[Expectation]:
+def build_suite(*, approx_distinct: bool = False) -> list[Expectation]:
+    """E1-E13. ``approx_distinct`` evaluates the cardinality bound with HyperLogLog++ (a fixed
+    few-KB sketch per partition) instead of an exact distinct count."""
     suite = [
         Expectation("expect_table_columns_to_match_set", column_set=tuple(RAW_COLUMNS)),
         Expectation("expect_table_row_count_to_be_between", min_value=1),
@@ -46,7 +49,9 @@ def build_suite() -> list[Expectation]:
         Expectation("expect_column_values_to_be_between", "Quantity", *QUANTITY_RANGE),
         Expectation("expect_column_values_to_be_between", "UnitPrice", *PRICE_RANGE),
         Expectation("expect_column_values_to_be_between", "UnitPrice", min_value=0, mostly=NON_NEGATIVE_PRICE_MOSTLY),
-        Expectation("expect_column_unique_value_count_to_be_between", "Country", *COUNTRY_CARDINALITY),
+        Expectation(
+            "expect_column_unique_value_count_to_be_between", "Country", *COUNTRY_CARDINALITY, approx=approx_distinct
+        ),
     ]
     return suite
 
@@ -88,7 +93,7 @@ def suite_plan(df: DataFrame, suite: list[Expectation] | None = None) -> tuple[l
             aggs.append(F.count_if(c.isNotNull() & ~cond).alias(f"_a{i}"))
             aggs.append(F.count_if(c.isNotNull()).alias(f"_b{i}"))
         elif e.kind == "expect_column_unique_value_count_to_be_between":
-            aggs.append(F.countDistinct(c).alias(f"_a{i}"))
+            aggs.append((F.approx_count_distinct(c) if e.approx else F.countDistinct(c)).alias(f"_a{i}"))
         plans.append((i, e, c))
 
     rows = []
