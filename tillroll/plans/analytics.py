@@ -26,7 +26,9 @@ def star_sql(*extra: str) -> str:
 
 
 def _star(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    cleaned = C.clean_data(raw(spark, sf_dir, time_of_day=True))
+    from tillroll.plans.ingest import clean_table
+
+    cleaned = clean_table(spark, sf_dir, time_of_day=True)
     return S.fact_transactions(cleaned), S.star_dim_products(cleaned)
 
 

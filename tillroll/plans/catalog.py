@@ -54,6 +54,21 @@ def raw(spark: SparkSession, sf_dir: str, *, time_of_day: bool = False) -> DataF
     return retail_raw(spark, sf_dir, time_of_day=time_of_day)
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate layer once to shared storage and read it back.
+
+    Used where one derived layer feeds several branches of a query: branches prune different
+    columns, so their subtrees differ and Spark cannot reuse the shuffle; without this the
+    whole derivation (scans, joins, dedupe) would run once per branch. Reading the written
+    table back lets every branch prune columns at the scan instead.
+    """
+    from tillroll.session import scratch_path
+
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def ts_lit(value: dt.datetime) -> F.Column:
     return F.lit(value.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")
 

@@ -17,7 +17,7 @@ from tillroll.operators import star as S
 from tillroll.plans import oracle as O
 from tillroll.plans.catalog import DATE_WINDOW, NOW, query, raw, sql_ts
 from tillroll.plans.gold import DIM_DATE_CTE, _customer_facts_sql, _product_sql
-from tillroll.plans.ingest import landing, staging
+from tillroll.plans.ingest import clean_table, landing, staging
 from tillroll.session import scratch_path
 from tillroll.sources.raw import read_star_tables
 
@@ -131,7 +131,7 @@ RAW_TX = """tx AS (SELECT InvoiceNo AS invoice_no, StockCode AS stock_code, Cust
 def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Load the star from the cleaned batch, read it back, run all eight checks (passing)."""
     root = scratch_path(spark, "star")
-    S.load_star(C.clean_data(raw(spark, sf_dir)), root)
+    S.load_star(clean_table(spark, sf_dir), root)
     tx, cust, prod = read_star_tables(spark, root)
     return Q.run_all_checks(tx, cust, prod, **WINDOW)
 
@@ -140,7 +140,9 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_report_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same suite over the uncleaned batch against the clean star's dimensions: Q3 and
     the product foreign key fail, and every failure is reported in one run."""
-    r = raw(spark, sf_dir)
+    from tillroll.plans.catalog import materialize
+
+    r = materialize(raw(spark, sf_dir), "raw")
     cleaned = C.clean_data(r)
     return Q.run_all_checks(_raw_fact(r), S.star_dim_customers(cleaned), S.star_dim_products(cleaned), **WINDOW)
 

@@ -10,7 +10,7 @@ from tillroll.operators import layers as L
 from tillroll.operators import marts as M
 from tillroll.operators import star as S
 from tillroll.plans import oracle as O
-from tillroll.plans.catalog import LOADED_AT, query, raw, ts_lit
+from tillroll.plans.catalog import LOADED_AT, materialize, query, raw, ts_lit
 from tillroll.session import BRONZE, scratch_path
 from tillroll.sources.raw import align_raw_types, declared_read, read_layer
 from tillroll.schema import RAW_COLUMNS
@@ -187,6 +187,21 @@ def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.to_silver(L.to_bronze(raw(spark, sf_dir)))
 
 
+def silver_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silver written once and read back, for queries with several consumers of it."""
+    return materialize(silver(spark, sf_dir), "silver")
+
+
+def staging_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Staging written once and read back, for queries with several consumers of it."""
+    return materialize(staging(spark, sf_dir), "staging")
+
+
+def clean_table(spark: SparkSession, sf_dir: str, *, time_of_day: bool = False) -> DataFrame:
+    """The cleaned batch written once (the interim artifact) and read back."""
+    return materialize(C.clean_data(raw(spark, sf_dir, time_of_day=time_of_day)), "interim")
+
+
 @query(
     "stg_transactions",
     O.stg_chain()
