@@ -23,19 +23,26 @@ def test_event_ingest_rejects_and_resumes(spark, tmp_path):
     unknown["shipper"] = "x"
     nested_unknown = json.loads(good[0])
     nested_unknown["event"]["extra"] = 1
-    _write_lines(spark, inbox, good + ["{not json", json.dumps(unknown), json.dumps(nested_unknown)])
+    bookkeeping = json.loads(good[0])
+    bookkeeping["@version"] = "1"
+    bookkeeping["event"]["original"] = "..."
+    _write_lines(spark, inbox, good + ["{not json", json.dumps(unknown), json.dumps(nested_unknown), json.dumps(bookkeeping)])
     I.await_all(I.start_event_ingest(spark, inbox, sink, dead, ck))
 
     accepted = spark.read.parquet(sink)
-    assert accepted.count() == 2
-    assert sorted(r["event_date"].isoformat() for r in accepted.select("event_date").collect()) == ["2024-02-01", "2024-02-02"]
+    assert accepted.count() == 3  # the bookkeeping fields are dropped, the event kept
+    assert sorted(r["event_date"].isoformat() for r in accepted.select("event_date").collect()) == [
+        "2024-02-01",
+        "2024-02-01",
+        "2024-02-02",
+    ]
     reasons = sorted(r["reject_reason"] for r in spark.read.parquet(dead).collect())
     assert reasons == ["malformed_json", "undeclared_field: event.extra", "undeclared_field: shipper"]
 
     # restart with one new line: only the new line is read
     _write_lines(spark, inbox, [json.dumps(base_event("validate", "failure", run_id="r2", timestamp="2024-02-03T10:00:00+00:00"))])
     I.await_all(I.start_event_ingest(spark, inbox, sink, dead, ck))
-    assert spark.read.parquet(sink).count() == 3
+    assert spark.read.parquet(sink).count() == 4
     assert spark.read.parquet(dead).count() == 3
 
 

@@ -36,6 +36,8 @@ DB_TS_FORMAT = "yyyy-MM-dd HH:mm:ss.SSS"
 # '<timestamp>[ zone] [<pid>] <LEVEL>:  <message>'
 DB_LINE = r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:?\d{2}(?::?\d{2}(?:[.,]\d+)?)?(?:Z|[+-]\d{2}(?::?\d{2})?| [A-Z]{2,5})?) \[(\d+)\] (\w+):  (.*)$"
 DB_DURATION = r"^duration: ([0-9]+(?:\.[0-9]+)?) ms\s+(.*)$"
+#: shipper bookkeeping keys that are removed on ingest, not rejected (object path -> keys)
+BOOKKEEPING_KEYS = {"": ["@version"], "event": ["original"], "log": ["file"]}
 DB_TS_PATTERNS = ["yyyy-MM-dd HH:mm:ss.SSS z", "yyyy-MM-dd HH:mm:ss z", "yyyy-MM-dd HH:mm:ss.SSS", "yyyy-MM-dd HH:mm:ss"]
 
 
@@ -94,8 +96,9 @@ def _prefixer(obj: str):
 
 def undeclared_keys(value: Column) -> Column:
     """V5: keys of the raw JSON line not declared by the event schema, top level and inside
-    each declared object (Spark's JSON reader would otherwise silently drop them)."""
-    allowed = allowed_keys(EVENT_SCHEMA)
+    each declared object (Spark's JSON reader would otherwise silently drop them). Shipper
+    bookkeeping keys are not findings: the declared schema simply drops them (P18)."""
+    allowed = {obj: keys + BOOKKEEPING_KEYS.get(obj, []) for obj, keys in allowed_keys(EVENT_SCHEMA).items()}
     parts = [F.array_except(F.coalesce(F.json_object_keys(value), F.array()), F.array(*[F.lit(k) for k in allowed[""]]))]
     for obj, keys in allowed.items():
         if not obj:
