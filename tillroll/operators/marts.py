@@ -112,18 +112,29 @@ def dim_date(stg: DataFrame) -> DataFrame:
     return spine.select(*calendar_columns("date_key"))
 
 
+def join_hot_key(fact: DataFrame, dim: DataFrame, key: str, hot: str) -> DataFrame:
+    """Equi-join ``fact`` to ``dim`` on ``key`` with one known hot key split out.
+
+    The hot key's rows (e.g. the ``UNKNOWN`` guest bucket: about a quarter of all sales)
+    join against that key's single dimension row as a broadcast, so no task receives the
+    whole bucket; the remaining keys join normally (AQE still splits any other skew).
+    """
+    hot_rows = fact.filter(F.col(key) == hot).join(F.broadcast(dim.filter(F.col(key) == hot)), key)
+    rest = fact.filter(F.col(key) != hot).join(dim.filter(F.col(key) != hot), key)
+    return hot_rows.unionByName(rest)
+
+
 def star_join_revenue(fct: DataFrame, d_date: DataFrame, d_customer: DataFrame, d_product: DataFrame) -> DataFrame:
     """Revenue by month, RFM segment and pricing volatility from the fact joined to the
     three dimensions.
 
-    ``dim_date`` is bounded by the calendar span, so it is broadcast explicitly; customer and
-    product dimensions grow with the data and are left to AQE's runtime size check.
+    ``dim_date`` is bounded by the calendar span, so it is broadcast explicitly; the guest
+    bucket is split out of the customer join (a known hot key); product joins are left to
+    AQE (runtime broadcast below the threshold, skew splitting above).
     """
-    joined = (
-        fct.join(F.broadcast(d_date.select("date_key", "year_month")), "date_key")
-        .join(d_customer.select("customer_key", "rfm_segment"), "customer_key")
-        .join(d_product.select("product_key", "has_volatile_pricing"), "product_key")
-    )
+    with_date = fct.join(F.broadcast(d_date.select("date_key", "year_month")), "date_key")
+    with_customer = join_hot_key(with_date, d_customer.select("customer_key", "rfm_segment"), "customer_key", UNKNOWN_CUSTOMER)
+    joined = with_customer.join(d_product.select("product_key", "has_volatile_pricing"), "product_key")
     return joined.groupBy("year_month", "rfm_segment", "has_volatile_pricing").agg(
         F.count(F.lit(1)).alias("sales_lines"),
         F.countDistinct("invoice_no").alias("invoice_count"),

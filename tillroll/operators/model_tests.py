@@ -137,8 +137,16 @@ def run_model_tests(models: dict[str, DataFrame], tests: list[ModelTest] | None
             elif t.kind == "relationships":
                 target, field = t.args
                 parent = models[target].select(F.col(field).alias("_k")).distinct()
-                orphans = df.select(F.col(t.column).alias("_k")).filter(F.col("_k").isNotNull()).join(parent, "_k", "left_anti")
-                parts.append(orphans.agg(F.count(F.lit(1)).alias("_f")).select(row(i, t, F.col("_f")).alias("r")).select("r.*"))
+                # rows per key first (combined map-side): a hot key is one row before the join
+                keys = (
+                    df.select(F.col(t.column).alias("_k"))
+                    .filter(F.col("_k").isNotNull())
+                    .groupBy("_k")
+                    .agg(F.count(F.lit(1)).alias("_rows"))
+                )
+                orphans = keys.join(parent, "_k", "left_anti")
+                failures = orphans.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("_f"))
+                parts.append(failures.select(row(i, t, F.col("_f")).alias("r")).select("r.*"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
