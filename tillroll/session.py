@@ -59,6 +59,8 @@ def build_session(
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # arg-min aggregates over text (deterministic dedupe / mode) plan as SortAggregate
         "spark.sql.codegen.aggregate.sortAggregate.enabled": "true",
+        # remove reliable-checkpoint files once the checkpointed frame is garbage collected
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
@@ -127,5 +129,9 @@ def lake_path(spark: SparkSession, layer: str, table: str, root: str | None = No
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, never-reused location in shared storage for one run of one job."""
+    """A fresh, never-reused location in shared storage for one run of one job.
+
+    Everything under ``<lake>/runs/`` is per-run intermediate data (materialised layers,
+    stream inboxes and checkpoints of one-off runs): a scratch area meant to be expired by the
+    storage's lifecycle rule, never read by a later run."""
     return lake_path(spark, "runs", f"{name}-{uuid.uuid4().hex[:12]}")
