@@ -231,3 +231,37 @@ def event_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     if not ok:
         raise RuntimeError("event append failed")
     return I.read_event_lines(spark, path).select(*I.flat_event_columns(None))
+
+
+DB_P95_SQL = """SELECT date_trunc('hour', ts) AS hour, count(*) AS statements,
+       round(quantile_cont(CAST(CAST(value AS DECIMAL(12,3)) AS DOUBLE), 0.95), 6) AS p95_statement_ms,
+       max(CAST(CAST(value AS DECIMAL(12,3)) AS DOUBLE)) AS max_statement_ms
+FROM events GROUP BY 1"""
+
+
+@query("db_statement_p95_by_hour", DB_P95_SQL, "A22,V7,F14")
+def db_statement_p95_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p95 statement time per hour from the parsed database log lines (exact; no hour's
+    durations are buffered in one task)."""
+    parsed = I.parse_db_log(I.db_log_lines(_events(spark, sf_dir))).filter(F.col("duration_ms").isNotNull())
+    timed = parsed.select(F.date_trunc("hour", "event_ts").alias("hour"), "duration_ms")
+    counts = timed.groupBy("hour").agg(F.count(F.lit(1)).alias("statements"), F.max("duration_ms").alias("max_statement_ms"))
+    p95 = grouped_quantile(timed, ["hour"], "duration_ms", Fraction(95, 100), "p95")
+    return counts.join(p95, "hour", "left").select(
+        "hour", "statements", F.round("p95", 6).alias("p95_statement_ms"), "max_statement_ms"
+    )
+
+
+FINDINGS_BY_COLUMN_SQL = f"""SELECT "column", count(*) AS findings, count_if(severity = 'breaking') AS breaking,
+       count(DISTINCT category) AS categories
+FROM ({FINDING_SQL}) GROUP BY "column\""""
+
+
+@query("findings_by_column", FINDINGS_BY_COLUMN_SQL, "A22,V2")
+def findings_by_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which column breaks most often: finding events of the drifted batch per column."""
+    return finding_events(spark, sf_dir).groupBy("column").agg(
+        F.count(F.lit(1)).alias("findings"),
+        F.count_if(F.col("severity") == "breaking").alias("breaking"),
+        F.countDistinct("category").alias("categories"),
+    )
