@@ -114,3 +114,22 @@ def test_mixed_format_dates_parse_or_null(spark):
     df = spark.createDataFrame([("2012-05-01 10:00:00",), ("2012-05-01",), ("garbage",)], "d string")
     got = [r[0] for r in df.select(parse_mixed_timestamp(F.col("d"))).collect()]
     assert got[0] == datetime(2012, 5, 1, 10) and got[1] == datetime(2012, 5, 1) and got[2] is None
+
+
+def test_star_tables_with_text_dates_keep_unparseable_rows(spark, tmp_path):
+    from tillroll.sources.raw import read_star_tables
+
+    root = str(tmp_path / "star")
+    tx = spark.createDataFrame(
+        [("1", "A", 7, 2, Decimal("1.5000"), Decimal("3.00"), "2012-05-01 10:00:00", "P", False),
+         ("2", "A", 7, 1, Decimal("1.5000"), Decimal("1.50"), "2012-05-02", "P", False),
+         ("3", "A", 7, 1, Decimal("1.5000"), Decimal("1.50"), "not a date", "P", False)],
+        TX_SCHEMA.replace("invoice_date timestamp", "invoice_date string"),
+    )
+    tx.write.parquet(f"{root}/transactions")
+    spark.createDataFrame([(7, "P")], "customer_id bigint, country string").write.parquet(f"{root}/customers")
+    spark.createDataFrame([("A", "X")], "stock_code string, description string").write.parquet(f"{root}/products")
+    t, c, p = read_star_tables(spark, root)
+    assert t.count() == 3 and t.filter("invoice_date IS NULL").count() == 1
+    a = report(t, c, p)["invoice_date_within_expected_window"]
+    assert not a["passed"] and a["actual"].endswith("1 unparseable/null")
