@@ -11,7 +11,7 @@ from tillroll.operators.rank import grouped_quantile
 from tillroll.plans import oracle as O
 from tillroll.plans.catalog import query, raw
 from tillroll.plans.checks import WINDOW, drifted_batch
-from tillroll.session import scratch_path
+from tillroll.session import ensure_session_defaults, scratch_path
 from tillroll.sources.raw import read_table
 from tillroll.streaming import ingest as I
 from tillroll.streaming.events import EventLog, run_pipeline, stage_screen
@@ -31,6 +31,7 @@ BAD_DB_LINES = [
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_session_defaults(spark)  # hours and dates are bucketed in UTC
     return read_table(spark, sf_dir, "events", EVENT_COLS)
 
 
