@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillroll.session import checkpoint_dir
+
 # --- fixed values: check names, required columns, tolerance, default windows ---------------
 CHECK_NAMES = [
     "row_count_in_range",
@@ -205,14 +207,18 @@ def fk_check(
 ) -> DataFrame:
     """Q4/Q5: distinct non-null fact keys absent from the dimension (anti join), the fact
     rows carrying them, and the first few orphans in sorted order. Null keys are allowed."""
+    checkpoint_dir(transactions.sparkSession)
     conv = (lambda c: c.cast("string")) if as_string else (lambda c: c)
     # rows per distinct fact key (combined map-side), then one join to the distinct dimension
     # keys: both sides are hash-partitioned on the key, so the join adds no shuffle
+    # checkpointed (reliable storage): both the counting and the top-5 branch read the
+    # per-key counts instead of each aggregating the fact table again
     fact_keys = (
         transactions.select(conv(F.col(fact_col)).alias("k"))
         .filter(F.col("k").isNotNull())
         .groupBy("k")
         .agg(F.count(F.lit(1)).alias("rows"))
+        .checkpoint(eager=True)
     )
     dim_keys = dimension.select(conv(F.col(dim_col)).alias("k")).filter(F.col("k").isNotNull()).distinct()
     # a full outer join gives checked, known and orphan counts from ONE aggregate
