@@ -6,7 +6,7 @@ import importlib
 
 from tillroll.llm.common import QueryFn
 
-MODULES = ("url_trust", "repetition", "viterbi", "html_main", "mixing", "sharding", "chat", "secrets")
+MODULES = ("url_trust", "repetition", "viterbi", "html_main", "ngram_join", "mixing", "sharding", "chat", "secrets")
 
 
 def _all(kind: str) -> dict:
