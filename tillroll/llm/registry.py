@@ -6,7 +6,18 @@ import importlib
 
 from tillroll.llm.common import QueryFn
 
-MODULES = ("url_trust", "repetition", "viterbi", "html_main", "ngram_join", "mixing", "sharding", "chat", "secrets")
+MODULES = (
+    "decontaminate",
+    "url_trust",
+    "repetition",
+    "viterbi",
+    "html_main",
+    "mixing",
+    "sharding",
+    "chat",
+    "ngram_join",
+    "secrets",
+)
 
 
 def _all(kind: str) -> dict:

@@ -198,6 +198,15 @@ def judge_batches(rules: dict):
     return judged
 
 
+def _rules(least_words: int, max_covered: float, max_repeat: int) -> dict:
+    return {
+        "base_window": BASE_WINDOW,
+        "least_words": least_words,
+        "max_covered": max_covered,
+        "max_repeat": max_repeat,
+    }
+
+
 def repetition_rules(
     docs: DataFrame,
     *,
@@ -206,18 +215,40 @@ def repetition_rules(
     max_repeat: int = MAX_REPEAT,
 ) -> DataFrame:
     """Base counts, repeat statistics and the verdict of every document."""
-    spark = docs.sparkSession
     ship_by_value(__name__)
-    small_batches(spark)
-    rules = {
-        "base_window": BASE_WINDOW,
-        "least_words": least_words,
-        "max_covered": max_covered,
-        "max_repeat": max_repeat,
-    }
+    small_batches(docs.sparkSession)
+    rules = _rules(least_words, max_covered, max_repeat)
     return docs.select("doc_id", "text").mapInPandas(judge_batches(rules), RESULT)
 
 
+def filter_batches(rules: dict, text_at: int):
+    """A mapInArrow function that keeps the rows whose text (the column ``text_at``) is kept."""
+
+    def filtered(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = list(texts_of(batch.column(text_at).to_pylist()))
+            kept = [row[-1] for run in runs(texts) for row in judge(run, rules)]
+            yield batch.filter(pa.array(kept, type=pa.bool_()))
+
+    return filtered
+
+
+def kept_documents(
+    docs: DataFrame,
+    *,
+    least_words: int = LEAST_WORDS,
+    max_covered: float = MAX_COVERED,
+    max_repeat: int = MAX_REPEAT,
+) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns."""
+    ship_by_value(__name__)
+    small_batches(docs.sparkSession)
+    rules = _rules(least_words, max_covered, max_repeat)
+    return docs.mapInArrow(filter_batches(rules, docs.columns.index("text")), docs.schema)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules over the whole text of every document."""
     return repetition_rules(table(spark, sf_dir, "documents"))
