@@ -13,7 +13,8 @@ range's sort (``1 / ranges`` of it), never a sort of the whole source in one tas
 
 Defined results: a null or empty text has size 0 and is never an obstacle (taken 0); a null
 source is a source; an empty table gives an empty result; rows that repeat a doc_id draw the same
-key and are taken side by side; other columns are ignored. Reruns agree, as keys come from md5.
+key, and if their words are as many too, all or none of them are taken; other columns are ignored
+(or, in the mix itself, carried along). Reruns agree, as keys come from md5.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from tillroll.llm.common import stash, table, word_count
 WEIGHTS = (1, 2, 3)
 CAP = 3
 RANGES = 4096
+#: Sources whose plan is broadcast; more are joined by shuffle.
+BROADCAST_SOURCES = 100_000
 SEED = "mix-1"
 SYMBOLS = "#*$%&|<>!{}"
 #: Lowest quality weight: the share of characters that are no symbols, never under this.
@@ -79,25 +82,26 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFra
     )
 
 
-def mix_sources(
-    docs: DataFrame, *, weights=WEIGHTS, cap: int = CAP, ranges: int = RANGES, seed: str = SEED
-) -> DataFrame:
-    """Per document: size, source_size, target, taken words, complete epochs and whether selected."""
+def drawn(docs: DataFrame, seed: str = SEED, ranges: int = RANGES) -> DataFrame:
+    """``docs`` with what the draw needs: words, key, key range and id, under ``mix_`` names."""
     text = F.col("text")
-    rows = stash(
-        docs.select(
-            "doc_id",
-            "source",
-            word_count(text).alias("size"),
-            exponential_key(F.col("doc_id"), quality_weight(text), seed).alias("key"),
-        ).withColumn(
-            "range", F.least(F.floor((1 - F.exp(-F.col("key"))) * ranges), F.lit(ranges - 1)).cast("int")
-        ),
-        "mix-rows",
-    )
-    by_range = stash(
-        rows.groupBy("source", "range").agg(F.sum("size").alias("range_size")), "mix-ranges"
+    return docs.withColumns(
+        {
+            "mix_size": word_count(text),
+            "mix_key": exponential_key(F.col("doc_id"), quality_weight(text), seed),
+            "mix_id": F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))),
+        }
+    ).withColumn(
+        "mix_range", F.least(F.floor((1 - F.exp(-F.col("mix_key"))) * ranges), F.lit(ranges - 1)).cast("int")
     )
+
+
+def mix_plan(rows: DataFrame, *, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
+    """What the mix does with each source, from drawn rows.
+
+    One row per source: its words, target and complete epochs, the key range in which the prefix
+    sum reaches the rest, and the last draw (key, id, words) that is taken in that range."""
+    by_range = stash(rows.groupBy("source", "mix_range").agg(F.sum("mix_size").alias("range_size")), "mix-ranges")
     targets = (
         source_targets(by_range.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, cap)
         .withColumn(
@@ -106,8 +110,8 @@ def mix_sources(
         )
         .withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     )
-    # the range in which the prefix sum reaches the rest: the first whose running sum is not below it
-    running = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # the range that holds the edge is the first whose running sum is not below the rest
+    running = Window.partitionBy("source").orderBy("mix_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = (
         by_range.withColumn("upto", F.sum("range_size").over(running))
         .withColumnRenamed("source", "range_source")
@@ -117,45 +121,82 @@ def mix_sources(
         )
         .filter(F.col("upto") >= F.col("rest"))
         .groupBy("target_source")
-        .agg(F.min_by(F.struct("range", (F.col("upto") - F.col("range_size")).alias("upto")), "range").alias("edge"))
+        .agg(
+            F.min("mix_range").alias("edge_range"),
+            F.min_by(F.col("upto") - F.col("range_size"), "mix_range").alias("edge_before"),
+        )
     )
-    plan = (
+    plan = stash(
         targets.join(edge, targets["source"].eqNullSafe(F.col("target_source")), "left")
-        .select(
-            F.col("source").alias("plan_source"),
-            "source_size",
-            "target",
-            "epochs",
-            "rest",
-            F.col("edge.range").alias("edge_range"),
-            F.col("edge.upto").alias("edge_upto"),
-        )
+        .withColumnRenamed("source", "plan_source")
+        .drop("target_source"),
+        "mix-edges",
     )
-    planned = rows.join(plan, F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source")
-    at_edge = F.coalesce(F.col("range") == F.col("edge_range"), F.lit(False))
-    sorted_edge = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(
+    in_order = Window.partitionBy("source").orderBy("mix_key", "mix_id", "mix_size").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    edge_rows = planned.filter(at_edge).withColumn(
-        "ahead", F.col("edge_upto") + F.coalesce(F.sum("size").over(sorted_edge), F.lit(0))
+    last = (
+        rows.select("source", "mix_range", "mix_key", "mix_id", "mix_size")
+        .join(
+            bounded(plan),
+            F.col("source").eqNullSafe(F.col("plan_source")) & (F.col("mix_range") == F.col("edge_range")),
+        )
+        .withColumn("ahead", F.col("edge_before") + F.coalesce(F.sum("mix_size").over(in_order), F.lit(0)))
+        .filter(F.col("ahead") * 2 + F.col("mix_size") < F.col("rest") * 2)
+        .groupBy(F.col("source").alias("last_source"))
+        .agg(F.max(F.struct("mix_key", "mix_id", "mix_size")).alias("last"))
     )
-    edge_rows = edge_rows.withColumn("selected", F.col("ahead") * 2 + F.col("size") < F.col("rest") * 2).drop("ahead")
-    other_rows = planned.filter(~at_edge).withColumn(
-        "selected", F.coalesce(F.col("range") < F.col("edge_range"), F.lit(True)) & (F.col("rest") > 0)
+    return stash(
+        plan.join(last, F.col("plan_source").eqNullSafe(F.col("last_source")), "left").select(
+            "plan_source", "source_size", "target", "epochs", "rest", "edge_range", "last"
+        ),
+        "mix-plan",
     )
-    both = edge_rows.unionByName(other_rows)
-    copies = F.col("epochs") + F.col("selected").cast("long")
-    return both.select(
+
+
+def bounded(plan: DataFrame) -> DataFrame:
+    """A plan has a row per source: broadcast as long as sources are few."""
+    return F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
+
+
+def with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Drawn rows with ``mix_copies``, how often the mix takes them, and their source's plan."""
+    joined = rows.join(bounded(plan), F.col("source").eqNullSafe(F.col("plan_source")))
+    draw = F.struct("mix_key", "mix_id", "mix_size")
+    taken = (F.col("mix_range") < F.col("edge_range")) | (
+        (F.col("mix_range") == F.col("edge_range")) & F.coalesce(draw <= F.col("last"), F.lit(False))
+    )
+    selected = (F.col("rest") > 0) & F.coalesce(taken, F.lit(True))
+    return joined.withColumn("mix_copies", (F.col("epochs") + selected.cast("long")).cast("int"))
+
+
+def mix_sources(docs: DataFrame, *, weights=WEIGHTS, cap: int = CAP, ranges: int = RANGES, seed: str = SEED) -> DataFrame:
+    """Per document: size, source_size, target, the words taken, and the copies they make."""
+    rows = stash(
+        drawn(docs.select("doc_id", "source", "text"), seed, ranges).drop("text"),
+        "mix-rows",
+    )
+    return with_copies(rows, mix_plan(rows, weights=weights, cap=cap)).select(
         "doc_id",
         "source",
-        "size",
+        F.col("mix_size").alias("size"),
         "source_size",
         "target",
-        (copies * F.col("size")).cast("long").alias("taken"),
-        copies.cast("int").alias("copies"),
+        (F.col("mix_copies") * F.col("mix_size")).cast("long").alias("taken"),
+        F.col("mix_copies").alias("copies"),
     )
 
 
+def mixed_documents(docs: DataFrame, *, weights=WEIGHTS, cap: int = CAP, ranges: int = RANGES, seed: str = SEED) -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as often as it is taken."""
+    needed = docs.select("doc_id", "source", "text", F.struct(*[docs[c] for c in docs.columns]).alias("mix_row"))
+    rows = stash(drawn(docs.select("doc_id", "source", "text"), seed, ranges).drop("text"), "mix-rows")
+    taken = with_copies(drawn(needed, seed, ranges), mix_plan(rows, weights=weights, cap=cap)).filter("mix_copies > 0")
+    return taken.select(
+        "mix_row", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_copy")
+    ).select("mix_row.*")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents: one row per document with the words the mix takes of it."""
     return mix_sources(table(spark, sf_dir, "documents")).select(
