@@ -55,6 +55,8 @@ DROPPED_ROLE = frozenset(
     "navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split()
 )
 BLANK = re.compile(r"[\x20\x09-\x0D]+")
+#: A tag that the end of the page cuts off.
+CUT_TAG = re.compile(r"<[/!?A-Za-z][^<>]*\Z")
 
 BLOCKS = "page_id long, url string, host string, blocks array<struct<text: string, loose: boolean>>"
 PREFIXES = "host string, prefix string, page_id long, places array<int>, first_page long, last_page long"
@@ -122,7 +124,7 @@ class BlockParser(HTMLParser):
 
 def page_blocks(html: str) -> list[tuple[str, bool]]:
     parser = BlockParser()
-    parser.feed(html)
+    parser.feed(CUT_TAG.sub("", html))
     parser.close()
     return parser.blocks
 
