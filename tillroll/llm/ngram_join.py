@@ -19,7 +19,8 @@ partner that is no larger, and lacks at most n - T of its own. All steps are exa
 
 Hashes travel packed in arrays, one row per (task, hash range); before that each task merges
 equal hashes, so a shingle that a third of all documents have adds one entry per task to the
-range that gets it. The numbers of ranges, blocks and tasks follow the size of the data.
+range that gets it. The numbers of ranges, blocks and tasks follow the size of the data; packed
+rows are never more than the entries in them.
 
 Defined results: a null, empty or blank text has an empty set and only itself; a text under five
 words has one shingle, its whole sequence; rows that repeat a doc_id are joined by their texts; a
@@ -41,7 +42,7 @@ PERCENT = 75
 #: Hashes below this are scanned in step 2: half of the range.
 SCAN_BELOW = 1 << 63
 #: Entries that a task packs, merges or searches at once, about.
-ENTRIES = 1_500_000
+ENTRIES = 1_000_000
 #: Coarse groups of more hashes than this are cut into blocks.
 GROUP_ENTRIES = 2_000_000
 #: Sets whose ids are broadcast to pick their documents; more go through a shuffle.
@@ -188,28 +189,50 @@ def scan_batches(ranges: int):
     return scanned
 
 
-def merge_scan(part):
-    """Per class, the hashes of one range that other classes have too, and the tasks that saw it."""
+CREDITS = "part int, classes binary, credits binary, seen binary"
+
+
+def merge_scan(parts: int):
+    """An applyInPandas function over the entries of one hash range: the hashes that other classes
+    have too, counted per class, and the tasks that saw the class; packed by the class's part."""
+
+    def merged(entries):
+        import pandas as pd
+
+        scanned = entries[entries["kind"] == 0]
+        h, c = unpack(scanned["hashes"], np.uint64), unpack(scanned["classes"], np.int64)
+        known = unpack(scanned["known"], bool)
+        order = np.lexsort((c, h))
+        h, c, known = h[order], c[order], known[order]
+        first = changes(h) if len(h) else np.zeros(0, dtype=bool)
+        several = group_sums(first, changes(h, c) if len(h) else first) > 1
+        shared = several | (group_sums(first, known) > 0)
+        found, credit = np.unique(c[shared & ~known], return_counts=True)
+        told = entries[entries["kind"] == 1]
+        classes, local = unpack(told["classes"], np.int64), unpack(told["known"], np.int64)
+        keys = np.concatenate([found, classes])
+        credits = np.concatenate([credit, local]).astype(np.int64)
+        seen = np.concatenate([np.zeros(len(found)), np.ones(len(classes))]).astype(np.int64)
+        part = keys % parts
+        order = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[order], np.arange(parts + 1))
+        rows = [
+            (p, *(pack(x[order[a:b]]) for x in (keys, credits, seen))) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if a < b
+        ]
+        return pd.DataFrame(rows, columns=["part", "classes", "credits", "seen"])
+
+    return merged
+
+
+def sum_credits(part):
+    """(key, credit, seen) of the classes of one part."""
     import pandas as pd
 
-    entries = part[part["kind"] == 0]
-    h, c = unpack(entries["hashes"], np.uint64), unpack(entries["classes"], np.int64)
-    known = unpack(entries["known"], bool)
-    order = np.lexsort((c, h))
-    h, c, known = h[order], c[order], known[order]
-    first = changes(h) if len(h) else np.zeros(0, dtype=bool)
-    several = group_sums(first, changes(h, c) if len(h) else first) > 1
-    shared = several | (group_sums(first, known) > 0)
-    found, credit = np.unique(c[shared & ~known], return_counts=True)
-    told = part[part["kind"] == 1]
-    classes, local = unpack(told["classes"], np.int64), unpack(told["known"], np.int64)
-    return pd.DataFrame(
-        {
-            "key": np.concatenate([found, classes]),
-            "credit": np.concatenate([credit, local]).astype(np.int64),
-            "seen": np.concatenate([np.zeros(len(found)), np.ones(len(classes))]).astype(np.int64),
-        }
-    )
+    keys, at = np.unique(unpack(part["classes"], np.int64), return_inverse=True)
+    total = {n: np.zeros(len(keys), dtype=np.int64) for n in ("credits", "seen")}
+    for name, sums in total.items():
+        np.add.at(sums, at, unpack(part[name], np.int64))
+    return pd.DataFrame({"key": keys, "credit": total["credits"], "seen": total["seen"]})
 
 
 def set_batches(batches):
@@ -398,14 +421,14 @@ def partner_candidates(docs: DataFrame, described: DataFrame) -> DataFrame:
         .agg(F.min("doc_id").alias("class_doc")),
         "join-classes",
     )
-    entries = classes.agg(F.sum("scanned")).first()[0]
+    ranges = share(classes.agg(F.sum("scanned")).first()[0], ENTRIES)
     credits = (
         docs.select("text")
-        .mapInPandas(scan_batches(share(entries, ENTRIES)), SCAN)
+        .mapInPandas(scan_batches(ranges), SCAN)
         .groupBy("range")
-        .applyInPandas(merge_scan, "key long, credit long, seen long")
-        .groupBy("key")
-        .agg(F.sum("credit").alias("credit"), F.sum("seen").alias("seen"))
+        .applyInPandas(merge_scan(ranges), CREDITS)
+        .groupBy("part")
+        .applyInPandas(sum_credits, "key long, credit long, seen long")
         .withColumnRenamed("key", "credit_key")
     )
     lacking = F.col("n_shingles") - F.floor((F.lit(PERCENT) * F.col("n_shingles") + 99) / 100)
