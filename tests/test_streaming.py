@@ -6,44 +6,83 @@ from __future__ import annotations
 import json
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from tillroll.streaming import ingest as I
-from tillroll.streaming.events import base_event
 
 
 def _write_lines(spark, path, lines):
     spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("append").text(path)
 
 
-def test_event_ingest_rejects_and_resumes(spark, tmp_path):
+FULL = {
+    "event": {"dataset": "d", "module": "m", "kind": "k"},
+    "stage": "load",
+    "outcome": "success",
+    "metrics": {"rows": 5, "pct_dropped": 0.5},
+    "finding": {"column": "Country"},
+    "error": {"type": "t", "message": "m"},
+    "log": {"level": "l"},
+    "database": {"pid": 7},
+    "host": {"name": "h"},
+    "run": {"id": "r1"},
+}
+
+
+def line(day, **changes):
+    return json.dumps({"@timestamp": f"2024-02-0{day}T10:00:00+00:00", **FULL, **changes})
+
+
+def _ingest(spark, tmp_path, **options):
     inbox, sink, dead, ck = (str(tmp_path / p) for p in ("inbox", "sink", "dead", "ck"))
-    good = [json.dumps(base_event("load", "success", run_id="r1", timestamp=f"2024-02-0{d}T10:00:00+00:00")) for d in (1, 2)]
-    unknown = json.loads(good[0])
-    unknown["shipper"] = "x"
-    nested_unknown = json.loads(good[0])
-    nested_unknown["event"]["extra"] = 1
-    bookkeeping = json.loads(good[0])
-    bookkeeping["@version"] = "1"
-    bookkeeping["event"]["original"] = "..."
-    _write_lines(spark, inbox, good + ["{not json", json.dumps(unknown), json.dumps(nested_unknown), json.dumps(bookkeeping)])
-    I.await_all(I.start_event_ingest(spark, inbox, sink, dead, ck))
-
-    accepted = spark.read.parquet(sink)
-    assert accepted.count() == 3  # the bookkeeping fields are dropped, the event kept
-    assert sorted(r["event_date"].isoformat() for r in accepted.select("event_date").collect()) == [
-        "2024-02-01",
-        "2024-02-01",
-        "2024-02-02",
-    ]
-    reasons = sorted(r["reject_reason"] for r in spark.read.parquet(dead).collect())
-    assert reasons == ["malformed_json", "undeclared_field: event.extra", "undeclared_field: shipper"]
+    I.await_all(I.start_event_ingest(spark, inbox, sink, dead, ck, **options))
+    return spark.read.parquet(sink), spark.read.parquet(dead)
+
+
+def test_event_ingest_keeps_all_refuses_what_does_not_fit_and_resumes(spark, tmp_path):
+    inbox = str(tmp_path / "inbox")
+    good = [line(1), line(2)]
+    refused = {
+        "{not json": "malformed_json",
+        line(1, shipper="x"): "undeclared_field: shipper",
+        line(1, event={"dataset": "d", "extra": 1}): "undeclared_field: event.extra",
+        line(1, duration_ms="abc"): "wrong_type: duration_ms",
+        line(1, metrics={"rows": "many"}): "wrong_type: metrics.rows",
+        line(1, metrics={"rows": 1.5}): "wrong_type: metrics.rows",
+        line(1, stage={"a": 1}): "wrong_type: stage",
+        line(1).replace("2024-02-01T10", "2024-99-01T77"): "bad_timestamp",
+        json.dumps(FULL): "bad_timestamp",
+    }
+    bookkeeping = line(1, **{"@version": "1"})
+    _write_lines(spark, inbox, [*good, *refused, bookkeeping])
+    accepted, dead = _ingest(spark, tmp_path)
+    assert accepted.count() == 3  # the bookkeeping field is dropped, the event kept
+    assert sorted(r["event_date"].isoformat() for r in accepted.select("event_date").collect()) == ["2024-02-01", "2024-02-01", "2024-02-02"]
+    assert {r["raw_line"]: r["reject_reason"] for r in dead.collect()} == refused
+    row = accepted.filter("event_date = '2024-02-02'").first()
+    assert row["metrics"]["rows"] == 5 and row["finding"]["column"] == "Country" and row["error"]["type"] == "t"
+    assert row["log"]["level"] == "l" and row["database"]["pid"] == 7 and row["host"]["name"] == "h" and row["event"]["kind"] == "k"
 
     # restart with one new line: only the new line is read
-    _write_lines(spark, inbox, [json.dumps(base_event("validate", "failure", run_id="r2", timestamp="2024-02-03T10:00:00+00:00"))])
-    I.await_all(I.start_event_ingest(spark, inbox, sink, dead, ck))
-    assert spark.read.parquet(sink).count() == 4
-    assert spark.read.parquet(dead).count() == 3
+    _write_lines(spark, inbox, [line(3)])
+    accepted, dead = _ingest(spark, tmp_path)
+    assert accepted.count() == 4 and dead.count() == len(refused)
+
+
+def test_a_batch_that_runs_again_replaces_what_it_stored(spark, tmp_path):
+    lines = spark.createDataFrame([(line(1),), (line(2),)], "value string")
+    events = I.enrich_events(I.classify_event_lines(lines))
+    for _ in range(2):
+        I._store(events, str(tmp_path / "sink"), 0, by="event_date")
+    assert spark.read.parquet(str(tmp_path / "sink")).count() == 2
+
+
+def test_a_backlog_is_taken_in_bounded_batches(spark, tmp_path):
+    for day in (1, 2, 3):
+        _write_lines(spark, str(tmp_path / "inbox"), [line(day)])
+    accepted, _ = _ingest(spark, tmp_path, max_files=1)
+    assert accepted.count() == 3 and len(list((tmp_path / "sink").glob("batch=*"))) == 3
 
 
 def test_db_log_parse(spark):
@@ -65,6 +104,25 @@ def test_db_log_parse(spark):
     assert out[3]["tags"] == ["postgres_log", "_grokparsefailure_postgres"] and out[3]["raw_line"] == "garbage"
 
 
+@pytest.mark.parametrize(
+    "written, read",
+    [
+        ("2024-01-01T10:00:00Z", datetime(2024, 1, 1, 10)),
+        ("2024-01-01T10:00:00.250+02:00", datetime(2024, 1, 1, 8, 0, 0, 250000)),
+        ("2024-01-01 10:00:00,5", datetime(2024, 1, 1, 10, 0, 0, 500000)),
+        ("2024-01-01 10:00:00.123456789-0530", datetime(2024, 1, 1, 15, 30, 0, 123456)),
+        ("2024-01-01 10:00:00+02", datetime(2024, 1, 1, 8)),
+        ("2024-01-01 10:00:00 EST", datetime(2024, 1, 1, 15)),
+        ("2024-01-01 10:00", datetime(2024, 1, 1, 10)),
+        ("2024-13-01 10:00:00 UTC", None),
+    ],
+)
+def test_db_log_times(spark, written, read):
+    row = I.parse_db_log(spark.createDataFrame([(f"{written} [1] LOG:  m",)], "value string")).first()
+    assert row["event_ts"] == read and row["message"] == "m" and row["raw_line"] is None
+    assert ("_dateparsefailure_postgres" in row["tags"]) == (read is None)
+
+
 def test_db_log_stream_surfaces_unparsed(spark, tmp_path):
     inbox, sink, dead, ck = (str(tmp_path / p) for p in ("inbox", "sink", "dead", "ck"))
     _write_lines(spark, inbox, ["2024-01-01 10:00:00.000 UTC [1] LOG:  duration: 1.000 ms  x", "nope"])

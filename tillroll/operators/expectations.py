@@ -146,10 +146,13 @@ def evaluate_suite(df: DataFrame, suite: list[Expectation] | None = None) -> Dat
 
 
 class DataValidationError(RuntimeError):
-    def __init__(self, outcome: "ValidationOutcome"):
+    """Expectations failed; ``outcome`` holds all of them."""
+
+    def __init__(self, outcome: "ValidationOutcome", facts: dict | None = None):
         self.outcome = outcome
-        detail = "; ".join(f"{f['expectation']}({f['column']})" if f["column"] else f["expectation"] for f in outcome.failures)
-        super().__init__(f"data validation failed: {detail}")
+        self.facts = facts or {}
+        failed = [f"{f['expectation']} of {f['column'] or 'the batch'}" for f in outcome.failures]
+        super().__init__("the batch fails " + ", ".join(failed))
 
 
 @dataclass

@@ -1,24 +1,23 @@
 """Post-load data-quality checks Q1-Q9 over the operational star.
 
-Every check is a one-row findings frame ``(check_order, name, passed, actual, expected,
-detail)``; the suite unions them. Q1-Q3 and Q6-Q8 come from **one** aggregation pass over the
-transactions (exploded into six rows); the two foreign-key checks are the only joins. All
-checks always run, so one report lists every failure. Only the final eight rows are ever
-collected (``QualityReport``).
+Every check is a row ``(check_order, name, passed, actual, expected, detail)``. Q1-Q3 and Q6-Q8
+are made of aggregates over the transactions alone: a check names the columns it needs, its
+aggregates and how they become a row, and all checks asked for share one pass. The two
+foreign-key checks aggregate the fact keys once and join them to the dimension's. A check whose
+columns the table lacks is a failed row, so a report always lists every check.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillroll.session import checkpoint_dir
-
-# --- fixed values: check names, required columns, tolerance, default windows ---------------
+# --- fixed values: check names, required columns, tolerance, expected dates ----------------
 CHECK_NAMES = [
     "row_count_in_range",
     "no_nulls_in_required_columns",
@@ -31,206 +30,250 @@ CHECK_NAMES = [
 ]
 NON_NULL_COLUMNS = ["invoice_no", "stock_code", "quantity", "unit_price", "total_price"]
 TOTAL_PRICE_TOLERANCE = "0.01"
-MIN_TRANSACTION_ROWS = 400_000
-MAX_TRANSACTION_ROWS = 600_000
 EXPECTED_MIN_DATE = dt.datetime(2010, 12, 1)
 EXPECTED_MAX_DATE = dt.datetime(2011, 12, 31)
 ORPHAN_SAMPLE = 5
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
-REPORT_SCHEMA = T.StructType(
-    [
-        T.StructField("check_order", T.IntegerType()),
-        T.StructField("name", T.StringType()),
-        T.StructField("passed", T.BooleanType()),
-        T.StructField("actual", T.StringType()),
-        T.StructField("expected", T.StringType()),
-        T.StructField("detail", T.StringType()),
-    ]
-)
+SCANNED = tuple(CHECK_NAMES[i] for i in (0, 1, 2, 5, 6, 7))
 
 
 class DataQualityError(AssertionError):
-    """Raised when one or more data-quality checks fail."""
+    """A quality report with failures was to be raised."""
+
+
+@dataclass
+class ScanCheck:
+    """A check on aggregates over the transactions."""
 
+    name: str
+    needs: list[str]
+    aggregates: dict[str, Column]
+    passed: Column
+    actual: Column
+    expected: str
+    detail: Column | None = None
 
-def _s(c: Column) -> Column:
-    return c.cast("string")
 
+def _text(*parts: Column | str) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
-def _row(order: int, passed: Column, actual: Column, expected: Column | str, detail: Column | str = "") -> Column:
-    lit = lambda v: F.lit(v) if isinstance(v, str) else v
+
+def _row(name: str, passed: Column, actual: Column, expected: str, detail: Column | None = None) -> Column:
     return F.struct(
-        F.lit(order).cast("int").alias("check_order"),
-        F.lit(CHECK_NAMES[order - 1]).alias("name"),
+        F.lit(CHECK_NAMES.index(name) + 1).alias("check_order"),
+        F.lit(name).alias("name"),
         F.coalesce(passed, F.lit(False)).alias("passed"),
-        lit(actual).alias("actual"),
-        lit(expected).alias("expected"),
-        lit(detail).alias("detail"),
+        actual.alias("actual"),
+        F.lit(expected).alias("expected"),
+        (F.lit("") if detail is None else detail).alias("detail"),
     )
 
 
-def _ts_lit(value: dt.datetime) -> Column:
+def _lacking(name: str, columns: list[str], expected: str) -> Column:
+    return _row(name, F.lit(False), F.lit("not checked"), expected, F.lit("the table lacks " + ", ".join(columns)))
+
+
+def _at(value: dt.datetime) -> Column:
     return F.lit(value.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")
 
 
-def scan_checks(
-    transactions: DataFrame,
-    *,
-    min_rows: int = MIN_TRANSACTION_ROWS,
-    max_rows: int = MAX_TRANSACTION_ROWS,
-    min_date: dt.datetime = EXPECTED_MIN_DATE,
-    max_date: dt.datetime = EXPECTED_MAX_DATE,
-    now: dt.datetime | None = None,
-    tolerance: str = TOTAL_PRICE_TOLERANCE,
-) -> DataFrame:
-    """Q1, Q2, Q3, Q6, Q7, Q8 in one aggregation pass, exploded into six report rows."""
-    now = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-    cols = set(transactions.columns)
-    present = [c for c in NON_NULL_COLUMNS if c in cols]
-    absent = [c for c in NON_NULL_COLUMNS if c not in cols]
+def _row_count(tx: DataFrame, o: dict) -> ScanCheck:
+    n, low, high = F.col("n_rows"), o["min_rows"], o["max_rows"]
+    return ScanCheck(
+        CHECK_NAMES[0],
+        [],
+        {"n_rows": F.count(F.lit(1))},
+        (n >= low) & (F.lit(True) if high is None else n <= high),
+        _text(n),
+        f"{low} rows or more" if high is None else f"{low} to {high} rows",
+    )
 
-    price = F.col("total_price")
-    is_float = isinstance(transactions.schema["total_price"].dataType, (T.FloatType, T.DoubleType))
-    bad_revenue = price.isNull()
-    if is_float:
-        bad_revenue = bad_revenue | F.isnan(price) | (F.abs(price) == F.lit(float("inf")))
-    diff = F.abs(price - F.col("quantity") * F.col("unit_price"))
-    if is_float:
-        diff_cond = diff > F.lit(float(tolerance))
-        max_diff = F.coalesce(F.max(diff), F.lit(0.0)).cast("decimal(20,4)")
-    else:
-        diff_cond = diff > F.lit(tolerance).cast("decimal(10,4)")
-        max_diff = F.coalesce(F.max(diff), F.lit(0)).cast("decimal(20,4)")
-    d = F.col("invoice_date")
 
-    aggs = [F.count(F.lit(1)).alias("n")]
-    aggs += [F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in present]
-    aggs += [
-        F.count_if(F.col("quantity") <= 0).alias("bad_qty"),
-        F.count_if(F.col("unit_price") <= 0).alias("bad_price"),
-        F.sum(price).alias("revenue"),
-        F.count_if(bad_revenue).alias("bad_revenue_rows"),
-        F.count_if(diff_cond).alias("mismatches"),
-        max_diff.alias("max_diff"),
-        F.min(d).alias("dmin"),
-        F.max(d).alias("dmax"),
-        F.count_if(d < _ts_lit(min_date)).alias("before"),
-        F.count_if(d > _ts_lit(max_date)).alias("after"),
-        F.count_if(d > _ts_lit(now)).alias("future"),
-        F.count_if(d.isNull()).alias("unparseable"),
-    ]
-    m = transactions.agg(*aggs)
-
-    n = F.col("n")
-    total_nulls = sum((F.col(f"null_{c}") for c in present), F.lit(0).cast("long"))
-    offenders = F.concat_ws(
-        ", ", *[F.when(F.col(f"null_{c}") > 0, F.concat(F.lit(f"{c}="), _s(F.col(f"null_{c}")))) for c in present]
+def _required(tx: DataFrame, o: dict) -> ScanCheck:
+    wanted = o["columns"]
+    have = [c for c in wanted if c in tx.columns]
+    lacking = [c for c in wanted if c not in have]
+    nulls = {c: F.col(f"null_{c}") for c in have}
+    total = sum(nulls.values(), F.lit(0))
+    named = F.concat_ws(", ", *[F.when(n > 0, _text(f"{c}=", n)) for c, n in nulls.items()])
+    return ScanCheck(
+        CHECK_NAMES[1],
+        [],
+        {f"null_{c}": F.count_if(F.col(c).isNull()) for c in have},
+        (total == 0) & F.lit(not lacking),
+        _text(total, f" nulls in {len(have)} columns"),
+        "no nulls in " + ", ".join(wanted),
+        F.lit("the table lacks " + ", ".join(lacking)) if lacking else F.when(total > 0, named).otherwise(F.lit("")),
     )
-    null_detail = (
-        F.lit(f"columns absent from table: {absent}")
-        if absent
-        else F.when(total_nulls > 0, F.concat(F.lit("columns with nulls: "), offenders)).otherwise(F.lit(""))
+
+
+def _positive(tx: DataFrame, o: dict) -> ScanCheck:
+    quantity, price = F.col("bad_quantity"), F.col("bad_price")
+    return ScanCheck(
+        CHECK_NAMES[2],
+        ["quantity", "unit_price"],
+        {"bad_quantity": F.count_if(F.col("quantity") <= 0), "bad_price": F.count_if(F.col("unit_price") <= 0)},
+        (quantity == 0) & (price == 0),
+        _text("quantity: ", quantity, ", unit_price: ", price),
+        "no row with quantity or unit_price at or under 0",
     )
-    revenue_txt = F.when(F.col("bad_revenue_rows") > 0, F.lit("not finite")).otherwise(_s(F.col("revenue")))
-    rows = [
-        _row(
-            1,
-            (n >= min_rows) & (n <= max_rows),
-            _s(n),
-            f"between {min_rows:,} and {max_rows:,} rows",
-        ),
-        _row(
-            2,
-            (total_nulls == 0) & F.lit(not absent),
-            F.concat(_s(total_nulls), F.lit(f" nulls across {len(present)} columns")),
-            "0 nulls in " + ", ".join(NON_NULL_COLUMNS),
-            null_detail,
-        ),
-        _row(
-            3,
-            (F.col("bad_qty") + F.col("bad_price")) == 0,
-            F.concat(
-                _s(F.col("bad_qty")),
-                F.lit(" rows with quantity<=0, "),
-                _s(F.col("bad_price")),
-                F.lit(" rows with unit_price<=0"),
-            ),
-            "0 rows with non-positive quantity or unit_price",
-        ),
-        _row(
-            6,
-            (F.col("bad_revenue_rows") == 0) & (F.coalesce(F.col("revenue"), F.lit(0)) > 0),
-            F.coalesce(revenue_txt, F.lit("null")),
-            "finite total revenue > 0 and no null, NaN or infinite line",
-        ),
-        _row(
-            7,
-            F.col("mismatches") == 0,
-            F.concat(_s(F.col("mismatches")), F.lit(" rows exceed tolerance; max abs diff "), _s(F.col("max_diff"))),
-            f"|total_price - quantity*unit_price| <= {tolerance}",
-        ),
-        _row(
-            8,
-            (F.col("before") + F.col("after") + F.col("future") + F.col("unparseable")) == 0,
-            F.concat(
-                F.lit("min="),
-                F.coalesce(F.date_format("dmin", TS_FORMAT), F.lit("null")),
-                F.lit(", max="),
-                F.coalesce(F.date_format("dmax", TS_FORMAT), F.lit("null")),
-                F.lit("; "),
-                _s(F.col("before")),
-                F.lit(" before window, "),
-                _s(F.col("after")),
-                F.lit(" after window, "),
-                _s(F.col("future")),
-                F.lit(" in the future, "),
-                _s(F.col("unparseable")),
-                F.lit(" unparseable/null"),
-            ),
-            f"all invoice_date parseable and between {min_date.date()} and {max_date.date()}, none in the future",
+
+
+def _is_float(tx: DataFrame, column: str) -> bool:
+    return column in tx.columns and isinstance(tx.schema[column].dataType, (T.FloatType, T.DoubleType))
+
+
+def _revenue(tx: DataFrame, o: dict) -> ScanCheck:
+    price = F.col("total_price")
+    bad = price.isNull()
+    if _is_float(tx, "total_price"):
+        bad = bad | F.isnan(price) | (F.abs(price) == F.lit(float("inf")))
+    bad_rows, total = F.col("bad_revenue_rows"), F.col("revenue")
+    return ScanCheck(
+        CHECK_NAMES[5],
+        ["total_price"],
+        {"bad_revenue_rows": F.count_if(bad), "revenue": F.sum(price)},
+        (bad_rows == 0) & (F.coalesce(total, F.lit(0)) > 0),
+        F.when(bad_rows > 0, _text(bad_rows, " rows without a finite total_price")).otherwise(
+            F.coalesce(total.cast("string"), F.lit("no rows"))
         ),
-    ]
-    return m.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+        "a total above 0, of finite lines",
+    )
+
+
+def _total_price(tx: DataFrame, o: dict) -> ScanCheck:
+    off = F.abs(F.col("total_price") - F.col("quantity") * F.col("unit_price"))
+    exact = not _is_float(tx, "total_price")
+    limit = F.lit(o["tolerance"]).cast("decimal(10,4)") if exact else F.lit(float(o["tolerance"]))
+    count, most = F.col("mismatches"), F.col("max_off")
+    return ScanCheck(
+        CHECK_NAMES[6],
+        ["total_price", "quantity", "unit_price"],
+        {"mismatches": F.count_if(off > limit), "max_off": F.coalesce(F.max(off), F.lit(0)).cast("decimal(20,4)")},
+        count == 0,
+        _text(count, " rows off, the worst by ", most),
+        f"total_price within {o['tolerance']} of quantity * unit_price",
+    )
+
+
+def _dates(tx: DataFrame, o: dict) -> ScanCheck:
+    d = F.col("invoice_date")
+    counts = {
+        "too_early": F.count_if(d < _at(o["min_date"])),
+        "too_late": F.count_if(d > _at(o["max_date"])),
+        "in_future": F.count_if(d > _at(o["now"])),
+        "without_date": F.count_if(d.isNull()),
+    }
+    shown = lambda c: F.coalesce(F.date_format(c, TS_FORMAT), F.lit("none"))
+    listed = [part for name in counts for part in (f", {name.replace('_', ' ')}: ", F.col(name))]
+    return ScanCheck(
+        CHECK_NAMES[7],
+        ["invoice_date"],
+        {**counts, "first_date": F.min(d), "last_date": F.max(d)},
+        sum((F.col(c) for c in counts), F.lit(0)) == 0,
+        _text(shown("first_date"), " to ", shown("last_date"), *listed),
+        f"dates from {o['min_date'].date()} to {o['max_date'].date()}, none later than now",
+    )
 
 
-def fk_check(
+SCAN_CHECKS = dict(zip(SCANNED, (_row_count, _required, _positive, _revenue, _total_price, _dates)))
+
+
+def scan_checks(
     transactions: DataFrame,
-    dimension: DataFrame,
     *,
-    order: int,
-    fact_col: str,
-    dim_col: str,
-    label: str,
-    dim_label: str,
-    as_string: bool = False,
+    only: Iterable[str] = SCANNED,
+    columns: Iterable[str] = tuple(NON_NULL_COLUMNS),
+    min_rows: int = 1,
+    max_rows: int | None = None,
+    min_date: dt.datetime = EXPECTED_MIN_DATE,
+    max_date: dt.datetime = EXPECTED_MAX_DATE,
+    now: dt.datetime | None = None,
+    tolerance: str = TOTAL_PRICE_TOLERANCE,
 ) -> DataFrame:
-    """Q4/Q5: distinct non-null fact keys absent from the dimension (anti join), the fact
-    rows carrying them, and the first few orphans in sorted order. Null keys are allowed."""
-    checkpoint_dir(transactions.sparkSession)
-    conv = (lambda c: c.cast("string")) if as_string else (lambda c: c)
-    # rows per distinct fact key (combined map-side), then one join to the distinct dimension
-    # keys: both sides are hash-partitioned on the key, so the join adds no shuffle
-    # checkpointed (reliable storage): both the counting and the top-5 branch read the
-    # per-key counts instead of each aggregating the fact table again
-    fact_keys = (
-        transactions.select(conv(F.col(fact_col)).alias("k"))
-        .filter(F.col("k").isNotNull())
-        .groupBy("k")
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .checkpoint(eager=True)
+    """The scanned checks asked for (Q1, Q2, Q3, Q6, Q7, Q8), in one aggregation pass.
+
+    ``columns`` are those that may have no nulls (Q2), ``tolerance`` is that of Q7. The row
+    window has no upper end unless one is given."""
+    options = {
+        "columns": list(columns),
+        "min_rows": min_rows,
+        "max_rows": max_rows,
+        "min_date": min_date,
+        "max_date": max_date,
+        "now": now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None),
+        "tolerance": tolerance,
+    }
+    aggregates: dict[str, Column] = {"n_rows": F.count(F.lit(1))}
+    rows = []
+    for name in only:
+        check = SCAN_CHECKS[name](transactions, options)
+        lacking = [c for c in check.needs if c not in transactions.columns]
+        if lacking:
+            rows.append(_lacking(name, lacking, check.expected))
+        else:
+            aggregates |= check.aggregates
+            rows.append(_row(name, check.passed, check.actual, check.expected, check.detail))
+    one = transactions.agg(*[a.alias(n) for n, a in aggregates.items()])
+    return one.select(F.inline(F.array(*rows)))
+
+
+def check_row_count(transactions: DataFrame, min_rows: int = 1, max_rows: int | None = None) -> DataFrame:
+    """Q1 alone."""
+    return scan_checks(transactions, only=SCANNED[:1], min_rows=min_rows, max_rows=max_rows)
+
+
+def check_required(transactions: DataFrame, columns: Iterable[str] = tuple(NON_NULL_COLUMNS)) -> DataFrame:
+    """Q2 alone, for any columns."""
+    return scan_checks(transactions, only=SCANNED[1:2], columns=columns)
+
+
+def check_positive(transactions: DataFrame) -> DataFrame:
+    """Q3 alone."""
+    return scan_checks(transactions, only=SCANNED[2:3])
+
+
+def check_revenue(transactions: DataFrame) -> DataFrame:
+    """Q6 alone."""
+    return scan_checks(transactions, only=SCANNED[3:4])
+
+
+def check_total_price(transactions: DataFrame, tolerance: str = TOTAL_PRICE_TOLERANCE) -> DataFrame:
+    """Q7 alone."""
+    return scan_checks(transactions, only=SCANNED[4:5], tolerance=tolerance)
+
+
+def check_dates(transactions: DataFrame, min_date: dt.datetime, max_date: dt.datetime, now: dt.datetime | None = None) -> DataFrame:
+    """Q8 alone."""
+    return scan_checks(transactions, only=SCANNED[5:], min_date=min_date, max_date=max_date, now=now)
+
+
+def fk_check(transactions: DataFrame, dimension: DataFrame, *, name: str, key: str, as_text: bool = False) -> DataFrame:
+    """Q4/Q5: fact keys that the dimension lacks, the rows that carry them, the first few.
+
+    Rows are counted per fact key (combined map-side) and joined to the dimension's distinct
+    keys. The counting and the listing branch read the same aggregate, whose exchange Spark
+    computes once. Null keys are allowed."""
+    expected = f"every {key} of the facts in the dimension"
+    lacking = [where for where, df in (("the facts", transactions), ("the dimension", dimension)) if key not in df.columns]
+    if lacking:
+        spark = transactions.sparkSession
+        return spark.range(1).select(F.inline(F.array(_lacking(name, [f"{key} in {w}" for w in lacking], expected))))
+    as_key = (lambda df: F.col(key).cast("string")) if as_text else (lambda df: F.col(key))
+    facts = (
+        transactions.select(as_key(transactions).alias("k")).filter("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("rows"))
     )
-    dim_keys = dimension.select(conv(F.col(dim_col)).alias("k")).filter(F.col("k").isNotNull()).distinct()
-    # a full outer join gives checked, known and orphan counts from ONE aggregate
-    matched = fact_keys.join(dim_keys.withColumn("hit", F.lit(True)), "k", "full_outer")
-    orphan = F.col("rows").isNotNull() & F.col("hit").isNull()
-    stats = matched.agg(
-        F.count(F.col("rows")).alias("checked"),
-        F.count(F.col("hit")).alias("known"),
+    known = dimension.select(as_key(dimension).alias("k")).filter("k is not null").distinct()
+    matched = facts.join(known.withColumn("hit", F.lit(True)), "k", "full_outer")
+    # the count is part of the condition, so that both branches keep the same aggregate
+    orphan = (F.col("rows") > 0) & F.col("hit").isNull()
+    counts = matched.agg(
+        F.count("rows").alias("checked"),
+        F.count("hit").alias("known"),
         F.count_if(orphan).alias("orphans"),
         F.coalesce(F.sum(F.when(orphan, F.col("rows"))), F.lit(0)).alias("orphan_rows"),
     )
-    # bounded: at most ORPHAN_SAMPLE keys reach the final one-row aggregate
     first = (
         matched.filter(orphan)
         .select("k")
@@ -238,64 +281,45 @@ def fk_check(
         .limit(ORPHAN_SAMPLE)
         .agg(F.array_join(F.array_sort(F.collect_list("k")).cast("array<string>"), ", ").alias("first"))
     )
-    one = stats.crossJoin(first)  # one-row frames only
+    found = F.col("orphans") > 0
     row = _row(
-        order,
-        F.col("orphans") == 0,
-        F.concat(
-            _s(F.col("orphans")),
-            F.lit(f" orphan {label} values ("),
-            _s(F.col("orphan_rows")),
-            F.lit(" rows); "),
-            _s(F.col("checked")),
-            F.lit(f" distinct {'codes' if as_string else 'ids'} checked against "),
-            _s(F.col("known")),
-            F.lit(f" {dim_label}"),
-        ),
-        f"every {'non-null ' if not as_string else ''}{label} present in {dim_label}",
-        F.when(F.col("orphans") > 0, F.concat(F.lit("first orphans: ["), F.col("first"), F.lit("]"))).otherwise(F.lit("")),
+        name,
+        ~found,
+        _text(F.col("orphans"), " unknown of ", F.col("checked"), " keys, on ", F.col("orphan_rows"), " rows; the dimension has ", F.col("known")),
+        expected,
+        F.when(found, _text("unknown: ", F.col("first"))).otherwise(F.lit("")),
     )
-    return one.select(row.alias("r")).select("r.*")
+    return counts.crossJoin(first).select(F.inline(F.array(row)))  # one-row frames
 
 
-def run_all_checks(
-    transactions: DataFrame,
-    customers: DataFrame,
-    products: DataFrame,
-    *,
-    min_rows: int = MIN_TRANSACTION_ROWS,
-    max_rows: int = MAX_TRANSACTION_ROWS,
-    min_date: dt.datetime = EXPECTED_MIN_DATE,
-    max_date: dt.datetime = EXPECTED_MAX_DATE,
-    now: dt.datetime | None = None,
-) -> DataFrame:
-    """Q9: every check, as one findings frame ordered by ``check_order``."""
-    scans = scan_checks(transactions, min_rows=min_rows, max_rows=max_rows, min_date=min_date, max_date=max_date, now=now)
-    fk_c = fk_check(
-        transactions, customers, order=4, fact_col="customer_id", dim_col="customer_id", label="customer_id", dim_label="customers"
-    )
-    fk_p = fk_check(
-        transactions,
-        products,
-        order=5,
-        fact_col="stock_code",
-        dim_col="stock_code",
-        label="stock_code",
-        dim_label="products",
-        as_string=True,
+def check_customers(transactions: DataFrame, customers: DataFrame) -> DataFrame:
+    """Q4 alone."""
+    return fk_check(transactions, customers, name=CHECK_NAMES[3], key="customer_id")
+
+
+def check_products(transactions: DataFrame, products: DataFrame) -> DataFrame:
+    """Q5 alone."""
+    return fk_check(transactions, products, name=CHECK_NAMES[4], key="stock_code", as_text=True)
+
+
+def run_all_checks(transactions: DataFrame, customers: DataFrame, products: DataFrame, **options) -> DataFrame:
+    """Q9: every check as one frame; options are those of ``scan_checks``."""
+    return (
+        scan_checks(transactions, **options)
+        .unionByName(check_customers(transactions, customers))
+        .unionByName(check_products(transactions, products))
     )
-    return scans.unionByName(fk_c).unionByName(fk_p)
 
 
 @dataclass
 class QualityReport:
-    """Driver-side view of the (eight-row) findings frame."""
+    """The eight rows of a report on the driver."""
 
     rows: list[dict] = field(default_factory=list)
 
     @classmethod
-    def from_frame(cls, findings: DataFrame) -> "QualityReport":
-        return cls([r.asDict() for r in findings.orderBy("check_order").collect()])
+    def from_frame(cls, checks: DataFrame) -> "QualityReport":
+        return cls([r.asDict() for r in checks.orderBy("check_order").collect()])
 
     @property
     def failures(self) -> list[dict]:
@@ -306,41 +330,25 @@ class QualityReport:
         return not self.failures
 
     def render(self) -> str:
-        lines = []
-        for r in self.rows:
-            line = f"[{'PASS' if r['passed'] else 'FAIL'}] {r['name']}: actual={r['actual']} | expected {r['expected']}"
-            if r["detail"]:
-                line += f" | {r['detail']}"
-            lines.append(line)
-        passed = len(self.rows) - len(self.failures)
-        lines.append(f"--- {passed}/{len(self.rows)} checks passed ({len(self.failures)} failed) ---")
-        return "\n".join(lines)
+        lines = [
+            " | ".join(filter(None, ("ok  " if r["passed"] else "FAIL", r["name"], f"{r['actual']} (expected: {r['expected']})", r["detail"])))
+            for r in self.rows
+        ]
+        return "\n".join([*lines, f"{len(self.failures)} of {len(self.rows)} checks failed"])
 
     def to_dict(self) -> dict:
-        return {
-            "ok": self.ok,
-            "total_checks": len(self.rows),
-            "passed": len(self.rows) - len(self.failures),
-            "failed": len(self.failures),
-            "results": self.rows,
-        }
+        return {"ok": self.ok, "checks": self.rows}
 
     def raise_if_failed(self) -> None:
         if self.failures:
-            detail = "\n".join(f"{r['name']}: {r['actual']}" for r in self.failures)
-            raise DataQualityError(f"{len(self.failures)} data-quality check(s) failed:\n{detail}")
+            raise DataQualityError("; ".join(f"{r['name']}: {r['actual']}" for r in self.failures))
 
 
 def validate_tables(
-    transactions: DataFrame,
-    customers: DataFrame,
-    products: DataFrame,
-    *,
-    raise_on_failure: bool = True,
-    **kwargs,
+    transactions: DataFrame, customers: DataFrame, products: DataFrame, *, raise_on_failure: bool = True, **options
 ) -> QualityReport:
-    """Run the suite; raise ``DataQualityError`` on any failure unless told not to."""
-    report = QualityReport.from_frame(run_all_checks(transactions, customers, products, **kwargs))
+    """Run the suite and collect its eight rows; a failure raises unless told not to."""
+    report = QualityReport.from_frame(run_all_checks(transactions, customers, products, **options))
     if raise_on_failure:
         report.raise_if_failed()
     return report

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,10 +12,11 @@ from tillroll.operators.rank import grouped_quantile
 from tillroll.plans import oracle as O
 from tillroll.plans.catalog import query, raw
 from tillroll.plans.checks import WINDOW, drifted_batch
+from tillroll.schema import EVENT_SCHEMA
 from tillroll.session import ensure_session_defaults, scratch_path
 from tillroll.sources.raw import read_table
 from tillroll.streaming import ingest as I
-from tillroll.streaming.events import EventLog, run_pipeline, stage_screen
+from tillroll.streaming.events import PIPELINE, RunLog, finding_facts, run_pipeline, screening
 
 EVENT_COLS = ["event_id", "ts", "user_id", "event_type", "value"]
 
@@ -22,11 +24,43 @@ EVENT_COLS = ["event_id", "ts", "user_id", "event_type", "value"]
 BAD_EVENT_LINES = [
     '{"@timestamp": "2024-01-01T00:00:00.000000+00:00", "stage": "load", "outcome": "success"',
     '{"@timestamp": "2024-01-01T00:00:00.000000+00:00", "stage": "load", "outcome": "success", "shipper": "x"}',
+    '{"@timestamp": "2024-13-45T99:00:00.000000+00:00", "stage": "load", "outcome": "success"}',
+    '{"@timestamp": "2024-01-01T00:00:00.000000+00:00", "stage": "load", "outcome": "success", "duration_ms": "abc"}',
+    '{"@timestamp": "2024-01-01T00:00:00.000000+00:00", "stage": "load", "metrics": {"rows": "many"}}',
+    '{"stage": "load", "outcome": "success"}',
 ]
+REJECT_REASONS = [
+    "malformed_json",
+    "undeclared_field: shipper",
+    "bad_timestamp",
+    "wrong_type: duration_ms",
+    "wrong_type: metrics.rows",
+    "bad_timestamp",
+]
+#: A record with every declared field, to show that the sink keeps all of them.
+FULL_EVENT = {
+    "@timestamp": "2024-01-01T00:00:00.000000+00:00",
+    "event": {"dataset": "d", "module": "m", "kind": "k"},
+    "service": {"name": "n", "environment": "e"},
+    "host": {"name": "h"},
+    "run": {"id": "full"},
+    "stage": "screen",
+    "outcome": "finding",
+    "duration_ms": 1.5,
+    "metrics": {f.name: i if f.name != "pct_dropped" else 0.5 for i, f in enumerate(EVENT_SCHEMA["metrics"].dataType)},
+    "finding": {"category": "c", "kind": "k", "severity": "s", "column": "Country", "detail": "d"},
+    "error": {"type": "t", "message": "m"},
+    "log": {"level": "l", "logger": "g", "message": "m", "source": "s"},
+    "database": {"duration_ms": 2.5, "statement": "select 1", "pid": 7},
+}
 BAD_DB_LINES = [
     "FATAL something went wrong without a prefix",
     "2024-01-01 00:00:00.000 UTC [17] LOG:  connection received: host=10.0.0.1",
     "2024-01-01 00:00:00.000 UTC [17] LOG:  duration: n/a ms  select 1",
+    "2024-01-01T02:00:00,250+02:00 [17] LOG:  checkpoint starting",
+    "2024-01-01T00:00:00Z [17] LOG:  checkpoint complete",
+    "2023-12-31 19:00:00.5-05 [17] WARNING:  x",
+    "2024-99-01 00:00:00 UTC [17] LOG:  y",
 ]
 
 
@@ -39,7 +73,7 @@ def _records_sql() -> str:
     return """SELECT CAST(ts AS TIMESTAMP) AS event_ts, event_type AS stage,
        CASE WHEN event_type = 'error' THEN 'failure' ELSE 'success' END AS outcome,
        CAST(value AS DOUBLE) AS duration_ms, CAST(user_id AS VARCHAR) AS run_id,
-       'retail.pipeline' AS dataset, 'retail-data-pipeline' AS service"""
+       'retail.pipeline' AS dataset, 'tillroll' AS service"""
 
 
 STAGE_EVENTS_SQL = O.with_ctes(O.STANDARDIZED, O.CLEAN) + """SELECT * FROM (
@@ -55,7 +89,7 @@ STAGE_EVENTS_SQL = O.with_ctes(O.STANDARDIZED, O.CLEAN) + """SELECT * FROM (
            0 AS breaking_drift, 0 AS additive_drift, 13 AS expectations_run, 0 AS expectations_failed
     FROM retail_raw
     UNION ALL
-    SELECT 2, 'transform', 'success', NULL, r.n, c.n, r.n - c.n, round(100.0 * (r.n - c.n) / r.n, 2), NULL,
+    SELECT 2, 'transform', 'success', NULL, r.n, c.n, r.n - c.n, round(100.0 * (r.n - c.n) / r.n, 1), NULL,
            NULL, NULL, NULL, NULL
     FROM (SELECT count(*) AS n FROM retail_raw) r, (SELECT count(*) AS n FROM clean) c
     UNION ALL
@@ -67,65 +101,51 @@ STAGE_EVENTS_SQL = O.with_ctes(O.STANDARDIZED, O.CLEAN) + """SELECT * FROM (
 
 @query("stage_events", STAGE_EVENTS_SQL, "V1,V3,V10,F16,K8")
 def stage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run extract -> screen -> transform -> load -> validate over the whole batch; one event per stage
-    (wall-clock fields - timestamps, durations, host - are left out of the result)."""
+    """Run extract -> screen -> transform -> load -> validate over the whole batch and read the
+    run's log back; one event per stage (clock times and host are left out of the result)."""
     work = scratch_path(spark, "pipeline")
-    log = EventLog(spark, f"{work}/events")
-    run_pipeline(raw(spark, sf_dir), work, log, quality_window=WINDOW)
-    order = F.when(F.col("stage") == "extract", 0).when(F.col("stage") == "screen", 1).when(F.col("stage") == "transform", 2).when(
-        F.col("stage") == "load", 3
-    ).otherwise(4)
-    m = "metrics"
-    return log.frame().filter(F.col("outcome") != "finding").select(
-        order.alias("stage_order"),
-        "stage",
-        "outcome",
-        F.col(f"{m}.rows").alias("rows"),
-        F.col(f"{m}.rows_in").alias("rows_in"),
-        F.col(f"{m}.rows_out").alias("rows_out"),
-        F.col(f"{m}.rows_dropped").alias("rows_dropped"),
-        F.col(f"{m}.pct_dropped").alias("pct_dropped"),
-        F.col(f"{m}.rows_written").alias("rows_written"),
-        F.col(f"{m}.breaking_drift").alias("breaking_drift"),
-        F.col(f"{m}.additive_drift").alias("additive_drift"),
-        F.col(f"{m}.expectations_run").alias("expectations_run"),
-        F.col(f"{m}.expectations_failed").alias("expectations_failed"),
+    log = RunLog(spark, f"{work}/events")
+    run_pipeline(raw(spark, sf_dir), work, log, window=WINDOW)
+    order = F.array_position(F.array(*[F.lit(s.name) for s in PIPELINE]), F.col("stage")) - 1
+    metrics = (
+        "rows rows_in rows_out rows_dropped pct_dropped rows_written breaking_drift additive_drift "
+        "expectations_run expectations_failed"
+    ).split()
+    return (
+        log.read()
+        .filter(F.col("outcome") != "finding")
+        .select(order.cast("int").alias("stage_order"), "stage", "outcome", *[F.col(f"metrics.{m}").alias(m) for m in metrics])
     )
 
 
-FINDING_SQL = O.with_ctes() + """SELECT 'screen' AS stage, 'finding' AS outcome, category, kind, severity, "column", detail
+FINDING_SQL = O.with_ctes() + """, n AS (SELECT count_if(Quantity = 0) AS zero FROM retail_raw)
+SELECT 'screen' AS stage, 'finding' AS outcome, category, kind, severity, "column", detail
 FROM (
     SELECT 'schema_drift' AS category, 'type_change' AS kind, 'breaking' AS severity, 'Quantity' AS "column",
-           'expected integer, received string' AS detail
-    UNION ALL SELECT 'schema_drift', 'unexpected_nulls', 'breaking', 'UnitPrice',
-           'declared non-nullable but ' || CAST(count_if(Quantity = 0) AS VARCHAR) || ' nulls present'
-           FROM retail_raw HAVING count_if(Quantity = 0) > 0
-    UNION ALL SELECT 'schema_drift', 'missing_column', 'breaking', 'Country', 'declared in the contract but absent from the batch'
-    UNION ALL SELECT 'schema_drift', 'new_column', 'additive', 'SalesChannel', 'present in the batch but not declared in the contract'
-    UNION ALL SELECT 'expectation', 'expect_table_columns_to_match_set', 'breaking', NULL, 'observed 1.0'
+           'integer declared, string found' AS detail
+    UNION ALL SELECT 'schema_drift', 'unexpected_nulls', 'breaking', 'UnitPrice', zero || ' nulls in a required column'
+           FROM n WHERE zero > 0
+    UNION ALL SELECT 'schema_drift', 'missing_column', 'breaking', 'Country', 'the batch lacks it'
+    UNION ALL SELECT 'schema_drift', 'new_column', 'additive', 'SalesChannel', 'the contract does not know it'
+    UNION ALL SELECT 'expectation', 'expect_table_columns_to_match_set', 'breaking', NULL, 'saw 1.000000'
     UNION ALL SELECT 'expectation', 'expect_column_values_to_not_be_null', 'breaking', 'UnitPrice',
-           'observed ' || CAST(CAST(count_if(Quantity = 0) AS DOUBLE) AS VARCHAR) FROM retail_raw
-    UNION ALL SELECT 'expectation', 'expect_column_values_to_not_be_null', 'breaking', 'Country', 'observed None'
-    UNION ALL SELECT 'expectation', 'expect_column_values_to_not_be_null', 'breaking', 'CustomerID', 'observed 0.0'
-    UNION ALL SELECT 'expectation', 'expect_column_unique_value_count_to_be_between', 'breaking', 'Country', 'observed None'
+           'saw ' || CAST(zero AS DECIMAL(20,6)) FROM n WHERE zero > 0
+    UNION ALL SELECT 'expectation', 'expect_column_values_to_not_be_null', 'breaking', 'Country', 'saw nothing'
+    UNION ALL SELECT 'expectation', 'expect_column_values_to_not_be_null', 'breaking', 'CustomerID', 'saw 0.000000'
+    UNION ALL SELECT 'expectation', 'expect_column_unique_value_count_to_be_between', 'breaking', 'Country', 'saw nothing'
 )"""
 
 
 @query("finding_events", FINDING_SQL, "V2,A22")
 def finding_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Screen the drifted batch without enforcing: one event per drift finding and per failed
-    expectation."""
-    log = EventLog(spark, scratch_path(spark, "events"))
-    stage_screen(drifted_batch(raw(spark, sf_dir)), log, enforce=False)
-    return log.frame().filter(F.col("outcome") == "finding").select(
-        "stage",
-        "outcome",
-        F.col("finding.category").alias("category"),
-        F.col("finding.kind").alias("kind"),
-        F.col("finding.severity").alias("severity"),
-        F.col("finding.column").alias("column"),
-        F.col("finding.detail").alias("detail"),
-    )
+    """Screen the drifted batch without enforcing: one event per contract finding and per failed
+    expectation, written to the run's log and read back."""
+    log = RunLog(spark, scratch_path(spark, "events"))
+    log.add(finding_facts("screen", *screening(drifted_batch(raw(spark, sf_dir)))))
+    if not log.flush():
+        raise RuntimeError("the findings could not be written")
+    names = ("category", "kind", "severity", "column", "detail")
+    return log.read().select("stage", "outcome", *[F.col(f"finding.{n}").alias(n) for n in names])
 
 
 P95_SQL = """SELECT date_trunc('hour', ts) AS hour, count(*) AS events,
@@ -169,21 +189,73 @@ def run_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-INGEST_SQL = _records_sql() + ", CAST(ts AS DATE) AS event_date, 'etl_events' AS source FROM events"
+#: every declared field but the clock's, objects as JSON text
+_RECORD_JSON = {
+    "event": """'{"dataset":"retail.pipeline","module":"etl","kind":"event"}'""",
+    "service": """'{"name":"tillroll","environment":"local"}'""",
+    "host": """'{"name":"ingest"}'""",
+}
+_OBJECTS = [f.name for f in EVENT_SCHEMA if f.name not in ("@timestamp", "stage", "outcome", "duration_ms", "tags")]
 
 
-@query("event_stream_ingest", INGEST_SQL, "S9,P18,V4,V5,V8,V9,K9,K10")
-def event_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write the event records as JSON Lines (plus a malformed and an undeclared-key line),
-    stream them into the daily-partitioned sink, and read the sink back."""
-    base = scratch_path(spark, "event-ingest")
-    inbox = f"{base}/inbox"
-    I.append_json_lines(I.event_records(_events(spark, sf_dir)), inbox)
-    spark.createDataFrame([(x,) for x in BAD_EVENT_LINES], "value string").coalesce(1).write.mode("append").text(inbox)
-    I.await_all(I.start_event_ingest(spark, inbox, f"{base}/sink", f"{base}/rejects", f"{base}/_checkpoints"))
-    return spark.read.parquet(f"{base}/sink").select(
-        "event_ts", "stage", "outcome", "duration_ms", "run_id", "dataset", "service", "event_date", "source"
+def _ingest_sql() -> str:
+    given = ", ".join(f"{_RECORD_JSON.get(n, 'NULL')} AS {n}" for n in _OBJECTS if n != "run")
+    full = ", ".join(
+        "NULL AS " + n if n not in FULL_EVENT else f"'{json.dumps(FULL_EVENT[n], separators=(',', ':'))}' AS {n}" for n in _OBJECTS
     )
+    return f"""SELECT CAST(ts AS TIMESTAMP) AS event_ts, event_type AS stage,
+       CASE WHEN event_type = 'error' THEN 'failure' ELSE 'success' END AS outcome, CAST(value AS DOUBLE) AS duration_ms,
+       '{{"id":"' || user_id || '"}}' AS run, {given}, CAST(ts AS DATE) AS event_date, 'etl_events' AS source FROM events
+UNION ALL BY NAME
+SELECT TIMESTAMP '2024-01-01 00:00:00' AS event_ts, '{FULL_EVENT["stage"]}' AS stage, '{FULL_EVENT["outcome"]}' AS outcome,
+       1.5::DOUBLE AS duration_ms, {full}, DATE '2024-01-01' AS event_date, 'etl_events' AS source"""
+
+
+INGEST_SQL = _ingest_sql()
+
+
+def _ingested(spark: SparkSession, sf_dir: str, *, twice: bool = False) -> str:
+    """Stream the event records (as JSON Lines, with one full record and the bad lines) into sink
+    and dead letters under the returned folder; ``twice``: one part, then the rest after a restart."""
+    base = scratch_path(spark, "event-ingest")
+    records = I.event_records(_events(spark, sf_dir))
+    late = F.pmod(F.xxhash64("run.id", "@timestamp"), F.lit(2)) == 1
+    extra = [json.dumps(FULL_EVENT), *BAD_EVENT_LINES]
+    spark.createDataFrame([(x,) for x in extra], "value string").coalesce(1).write.mode("append").text(f"{base}/inbox")
+    for part in (records.filter(~late), records.filter(late)) if twice else (records,):
+        I.append_json_lines(part, f"{base}/inbox")
+        I.await_all(
+            I.start_event_ingest(spark, f"{base}/inbox", f"{base}/sink", f"{base}/rejects", f"{base}/_checkpoint", max_files=50)
+        )
+    return base
+
+
+def _stored_events(spark: SparkSession, base: str) -> DataFrame:
+    objects = [F.to_json(n).alias(n) for n in _OBJECTS]
+    return spark.read.parquet(f"{base}/sink").select("event_ts", "stage", "outcome", "duration_ms", *objects, "event_date", "source")
+
+
+@query("event_stream_ingest", INGEST_SQL, "S9,P18,V4,V5,V8,V9,K9")
+def event_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily-partitioned sink of an ingest, every declared field of every record."""
+    return _stored_events(spark, _ingested(spark, sf_dir))
+
+
+@query("event_stream_resume", INGEST_SQL, "V4")
+def event_stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sink when the ingest is stopped midway and started again."""
+    return _stored_events(spark, _ingested(spark, sf_dir, twice=True))
+
+
+REJECTS_SQL = "\nUNION ALL ".join(
+    f"SELECT '{line}' AS raw_line, '{reason}' AS reject_reason" for line, reason in zip(BAD_EVENT_LINES, REJECT_REASONS)
+)
+
+
+@query("event_rejects", REJECTS_SQL, "K10,V5")
+def event_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dead letters of the same ingest, with their reasons."""
+    return spark.read.parquet(f"{_ingested(spark, sf_dir)}/rejects").select("raw_line", "reject_reason")
 
 
 DB_SQL = """SELECT CAST(date_trunc('millisecond', ts) AS TIMESTAMP) AS event_ts, CAST(user_id AS BIGINT) AS pid,
@@ -197,27 +269,55 @@ UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, 'postgres_log,_grokparsefai
 UNION ALL SELECT TIMESTAMP '2024-01-01 00:00:00', 17, 'LOG', 'connection received: host=10.0.0.1', NULL, NULL,
        'postgres_log', NULL
 UNION ALL SELECT TIMESTAMP '2024-01-01 00:00:00', 17, 'LOG', 'duration: n/a ms  select 1', NULL, NULL,
-       'postgres_log,_grokparsefailure_duration', NULL"""
+       'postgres_log,_grokparsefailure_duration', NULL
+UNION ALL SELECT TIMESTAMP '2024-01-01 00:00:00.25', 17, 'LOG', 'checkpoint starting', NULL, NULL, 'postgres_log', NULL
+UNION ALL SELECT TIMESTAMP '2024-01-01 00:00:00', 17, 'LOG', 'checkpoint complete', NULL, NULL, 'postgres_log', NULL
+UNION ALL SELECT TIMESTAMP '2024-01-01 00:00:00.5', 17, 'WARNING', 'x', NULL, NULL, 'postgres_log', NULL
+UNION ALL SELECT NULL, 17, 'LOG', 'y', NULL, NULL, 'postgres_log,_dateparsefailure_postgres', NULL"""
+
+
+def _logged(spark: SparkSession, sf_dir: str) -> str:
+    """Stream database log lines made of the events (with the bad lines) into sink and dead
+    letters under the returned folder."""
+    base = scratch_path(spark, "db-logs")
+    I.db_log_lines(_events(spark, sf_dir)).write.mode("append").text(f"{base}/inbox")
+    spark.createDataFrame([(x,) for x in BAD_DB_LINES], "value string").coalesce(1).write.mode("append").text(f"{base}/inbox")
+    I.await_all(I.start_db_log_ingest(spark, f"{base}/inbox", f"{base}/sink", f"{base}/unparsed", f"{base}/_checkpoint"))
+    return base
 
 
 @query("db_log_parse", DB_SQL, "S10,V6,V7,F14")
 def db_log_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write database log lines derived from the events (plus three bad lines), stream them
-    through the parser, and read the sink back."""
-    base = scratch_path(spark, "db-logs")
-    inbox = f"{base}/inbox"
-    I.db_log_lines(_events(spark, sf_dir)).write.mode("append").text(inbox)
-    spark.createDataFrame([(x,) for x in BAD_DB_LINES], "value string").coalesce(1).write.mode("append").text(inbox)
-    I.await_all(I.start_db_log_ingest(spark, inbox, f"{base}/sink", f"{base}/unparsed", f"{base}/_checkpoints"))
-    return spark.read.parquet(f"{base}/sink").select(
-        "event_ts",
-        "pid",
-        "level",
-        "message",
-        "duration_ms",
-        "statement",
-        F.array_join("tags", ",").alias("tags"),
-        "raw_line",
+    """The stored rows of an ingest of database log lines."""
+    return spark.read.parquet(f"{_logged(spark, sf_dir)}/sink").select(
+        "event_ts", "pid", "level", "message", "duration_ms", "statement", F.array_join("tags", ",").alias("tags"), "raw_line"
+    )
+
+
+@query("db_log_unparsed", f"SELECT '{BAD_DB_LINES[0]}' AS raw_line", "K10,S10")
+def db_log_unparsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dead letters of the same ingest."""
+    return spark.read.parquet(f"{_logged(spark, sf_dir)}/unparsed").select("raw_line")
+
+
+LAG_SQL = """SELECT event_type AS stage, count(*) AS events, round(max(3600.0 * (1 + date_part('hour', ts))), 3) AS max_lag_s,
+       round(sum(3600.0 * (1 + date_part('hour', ts))), 3) AS sum_lag_s
+FROM events GROUP BY event_type"""
+
+
+@query("shipping_lag", LAG_SQL, "A22")
+def shipping_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ingest time minus event time per stage, for events ingested one hour and their hour of the
+    day late (a stamp that both engines can derive)."""
+    at = F.col("ts").cast("timestamp")
+    late = _events(spark, sf_dir).select(
+        F.col("event_type").alias("stage"),
+        at.alias("event_ts"),
+        F.timestamp_micros(F.unix_micros(at) + F.lit(3_600_000_000) * (1 + F.hour(at))).alias("ingested_at"),
+    )
+    lag = I.shipping_lag_seconds(late)
+    return late.groupBy("stage").agg(
+        F.count(F.lit(1)).alias("events"), F.round(F.max(lag), 3).alias("max_lag_s"), F.round(F.sum(lag), 3).alias("sum_lag_s")
     )
 
 
@@ -231,7 +331,15 @@ def event_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     ok = I.append_json_lines(I.event_records(_events(spark, sf_dir)), path)
     if not ok:
         raise RuntimeError("event append failed")
-    return I.read_event_lines(spark, path).select(*I.flat_event_columns(None))
+    return I.read_event_lines(spark, path).select(
+        F.try_to_timestamp(F.col("`@timestamp`")).alias("event_ts"),
+        "stage",
+        "outcome",
+        "duration_ms",
+        F.col("run.id").alias("run_id"),
+        F.col("event.dataset").alias("dataset"),
+        F.col("service.name").alias("service"),
+    )
 
 
 DB_P95_SQL = """SELECT date_trunc('hour', ts) AS hour, count(*) AS statements,

@@ -61,14 +61,14 @@ def build_lakehouse(raw_df: DataFrame, root: str, num_partitions: int | None = N
 def main(argv: list[str] | None = None) -> int:
     from tillroll.session import build_session, scratch_path
     from tillroll.sources.retail import retail_raw
-    from tillroll.streaming.events import EventLog, run_pipeline
+    from tillroll.streaming.events import PIPELINE, RunLog, run_pipeline
 
     ap = argparse.ArgumentParser(prog="tillroll.plans.jobs")
     ap.add_argument("job", choices=["lakehouse", "pipeline"])
     ap.add_argument("--sf-dir", required=True)
     ap.add_argument("--lake-root", default=None)
     ap.add_argument("--work-dir", default=None)
-    ap.add_argument("--min-rows", type=int, default=None, help="quality row-count window (pipeline)")
+    ap.add_argument("--min-rows", type=int, default=None, help="rows the star must hold; else those that transform kept (pipeline)")
     ap.add_argument("--max-rows", type=int, default=None)
     ap.add_argument("--min-date", default=None, help="quality date window, YYYY-MM-DD (pipeline)")
     ap.add_argument("--max-date", default=None)
@@ -83,12 +83,14 @@ def main(argv: list[str] | None = None) -> int:
             out = build_lakehouse(raw_df, args.lake_root or scratch_path(spark, "lakehouse"))
         else:
             work = args.work_dir or scratch_path(spark, "pipeline")
-            log = EventLog(spark, f"{work}/events")
+            log = RunLog(spark, f"{work}/events")
             window = {k: v for k, v in (("min_rows", args.min_rows), ("max_rows", args.max_rows)) if v is not None}
             for k, v in (("min_date", args.min_date), ("max_date", args.max_date)):
                 if v:
                     window[k] = datetime.datetime.fromisoformat(v)
-            out = run_pipeline(raw_df, work, log, quality_window=window)
+            done = run_pipeline(raw_df, work, log, window=window)
+            out = {"run": log.run_id, **{s.name: done[s.name] for s in PIPELINE}}
+            out["validate"] = {**out["validate"], "report": out["validate"]["report"].to_dict()}
         print(json.dumps(out, default=str))
         return 0
     finally:

@@ -1,25 +1,31 @@
 """Continuous ingest of run events and database logs with Structured Streaming
 (S9, S10, P18, V4-V9, K9, K10, F14).
 
-* Sources are text streams (``readStream.text``): the raw line is kept, so strictness can be
-  checked (undeclared keys are rejected, not silently dropped by a schema) and unparsed lines
-  can be surfaced.
-* Sinks are Parquet file sinks with checkpoints: file source + file sink is exactly-once, and
-  a restart resumes at the stored position (nothing is read twice). Accepted events go to a
-  dataset partitioned by event date (one folder per day); rejected lines go to a dead-letter
-  dataset with the reason.
+* Sources are text streams (``readStream.text``): the raw line is kept, so a line can be judged
+  key by key and value by value against the declared record, and refused lines can be surfaced.
+* Each kind of line is one stream: a micro-batch is read and parsed once, and ``foreachBatch``
+  writes both its accepted and its refused rows. Every row is stored under its batch's number
+  (``batch=<n>``, overwritten as a whole), so a batch that runs again after a failure replaces
+  what it wrote before: nothing is lost or doubled, and a restart resumes at the stored position.
+* Accepted events keep the whole record and go to one folder per day, rebalanced by day so that
+  a batch writes few files per day. ``max_files`` bounds the files of a micro-batch.
+* A value that does not fit its declared type, or a time that cannot be read, refuses the line
+  with its reason; no line can fail the stream.
 * ``trigger(availableNow=True)`` processes everything present and stops: the same code serves a
   scheduled catch-up job and, with a processing-time trigger, a continuous one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tillroll.schema import EVENT_SCHEMA, allowed_keys
-from tillroll.streaming.events import EVENT_DATASET, EVENT_KIND, EVENT_MODULE, SERVICE_NAME
+from tillroll.streaming.events import as_events, to_json_lines
 
 # --- fixed values: sources, tags and the database-log line layout -------------------------
 EVENTS_SOURCE = "etl_events"
@@ -38,31 +44,38 @@ DB_LINE = r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:?\d{2}(?::?\d{2}(?:[.,]\d+)?)?(?:Z|[+-]
 DB_DURATION = r"^duration: ([0-9]+(?:\.[0-9]+)?) ms\s+(.*)$"
 #: shipper bookkeeping keys that are removed on ingest, not rejected (object path -> keys)
 BOOKKEEPING_KEYS = {"": ["@version"], "event": ["original"], "log": ["file"]}
-DB_TS_PATTERNS = ["yyyy-MM-dd HH:mm:ss.SSS z", "yyyy-MM-dd HH:mm:ss z", "yyyy-MM-dd HH:mm:ss.SSS", "yyyy-MM-dd HH:mm:ss"]
+#: Readable times after their form is made uniform: a blank for T, a point for a comma, no blank
+#: before the zone.
+DB_TS_PATTERNS = [
+    "yyyy-MM-dd HH:mm:ss[.SSSSSS]XXX",
+    "yyyy-MM-dd HH:mm:ss[.SSSSSS]z",
+    "yyyy-MM-dd HH:mm:ss[.SSSSSS]",
+    "yyyy-MM-dd HH:mmXXX",
+    "yyyy-MM-dd HH:mm",
+]
+#: Files of the inbox that one micro-batch takes at most.
+MAX_FILES = 1000
 
 
 # --- event records from the events table ---------------------------------------------------
 def event_records(events: DataFrame, environment: str = "local", host: str = "ingest") -> DataFrame:
-    """V1 records derived from the ``events`` table: ``@timestamp`` = ts (ISO-8601 with UTC
-    offset), stage = event_type, outcome = failure for errors, duration = value, run = user."""
-    return events.select(
-        F.date_format(F.col("ts").cast("timestamp"), ISO_OFFSET_FORMAT).alias("@timestamp"),
-        F.struct(F.lit(EVENT_DATASET).alias("dataset"), F.lit(EVENT_MODULE).alias("module"), F.lit(EVENT_KIND).alias("kind")).alias("event"),
-        F.struct(F.lit(SERVICE_NAME).alias("name"), F.lit(environment).alias("environment")).alias("service"),
-        F.struct(F.lit(host).alias("name")).alias("host"),
-        F.struct(F.col("user_id").cast("string").alias("id")).alias("run"),
+    """V1 records of the ``events`` table: stage = event_type, outcome = failure for errors,
+    duration = value, run = user."""
+    facts = events.select(
+        "ts",
+        "user_id",
         F.col("event_type").alias("stage"),
         F.when(F.col("event_type") == "error", F.lit("failure")).otherwise(F.lit("success")).alias("outcome"),
         F.col("value").cast("double").alias("duration_ms"),
     )
+    at = F.date_format(F.col("ts").cast("timestamp"), ISO_OFFSET_FORMAT)
+    return as_events(facts, run_id=F.col("user_id").cast("string"), at=at, environment=environment, host=host)
 
 
 def append_json_lines(records: DataFrame, path: str) -> bool:
-    """K8 + F15 for data-derived events: append JSON Lines; never raises."""
+    """K8 + F15 for events made of data: append JSON Lines; never raises."""
     try:
-        records.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in records.columns])).alias("value")).write.mode(
-            "append"
-        ).text(path)
+        to_json_lines(records).write.mode("append").text(path)
         return True
     except Exception:  # noqa: BLE001 - telemetry must never fail the pipeline
         return False
@@ -73,18 +86,13 @@ def read_event_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EVENT_SCHEMA).json(path)
 
 
-def flat_event_columns(e: str | None = "e") -> list[Column]:
-    """The comparable fields of an event record (wall-clock fields excluded); ``e`` names the
-    struct column holding the record, or ``None`` when the fields are top-level columns."""
-    p = f"{e}." if e else ""
+def event_columns(e: str | None = "e") -> list[Column]:
+    """Every declared field of an event record, ``@timestamp`` as a timestamp ``event_ts``; ``e``
+    names the struct column that holds the record, or ``None`` when its fields are columns."""
+    at = f"{e}." if e else ""
     return [
-        F.col(f"{p}`@timestamp`").cast("timestamp").alias("event_ts"),
-        F.col(f"{p}stage").alias("stage"),
-        F.col(f"{p}outcome").alias("outcome"),
-        F.col(f"{p}duration_ms").alias("duration_ms"),
-        F.col(f"{p}run.id").alias("run_id"),
-        F.col(f"{p}event.dataset").alias("dataset"),
-        F.col(f"{p}service.name").alias("service"),
+        F.try_to_timestamp(F.col(f"{at}`@timestamp`")).alias("event_ts"),
+        *[F.col(f"{at}`{f.name}`").alias(f.name) for f in EVENT_SCHEMA if f.name not in ("@timestamp", "tags")],
     ]
 
 
@@ -109,41 +117,80 @@ def undeclared_keys(value: Column) -> Column:
     return F.flatten(F.array(*parts))
 
 
+def wrong_types(value: Column) -> Column:
+    """V5: declared fields whose raw JSON value is there but did not parse as declared.
+
+    The raw value comes from the line itself, the parsed one from the declared schema; a number
+    or text that the reader turned into null shows as the difference."""
+
+    def judged(path: str, parsed: Column, kind: T.DataType) -> Column:
+        raw = F.get_json_object(value, f"$.{path}")
+        wrong = raw.isNotNull() & parsed.isNull()
+        if isinstance(kind, T.StringType):  # the reader takes any value for text: only text will do
+            wrong = wrong | F.coalesce(F.get(F.json_object_keys(raw), 0).isNotNull(), F.lit(False))
+        return F.when(wrong, F.lit(path.replace("['", "").replace("']", "")))
+
+    checks = []
+    for f in EVENT_SCHEMA:
+        name = f"['{f.name}']" if f.name.startswith("@") else f.name
+        parsed = F.col(f"e.`{f.name}`")
+        checks.append(judged(name, parsed, f.dataType))
+        if isinstance(f.dataType, T.StructType):
+            checks += [judged(f"{name}.{s.name}", parsed[s.name], s.dataType) for s in f.dataType]
+    return F.array_compact(F.array(*checks))
+
+
 def classify_event_lines(lines: DataFrame) -> DataFrame:
     """Parse each line and attach ``reject_reason`` (null when accepted)."""
-    keys = F.json_object_keys(F.col("value"))
     parsed = lines.select(
         "value",
         F.from_json("value", EVENT_SCHEMA).alias("e"),
-        keys.alias("_keys"),
+        F.json_object_keys(F.col("value")).alias("_keys"),
         undeclared_keys(F.col("value")).alias("_extra"),
-    )
+    ).withColumn("_wrong", wrong_types(F.col("value")))
     reason = (
         F.when(F.col("_keys").isNull() | F.col("e").isNull(), F.lit("malformed_json"))
         .when(F.size("_extra") > 0, F.concat(F.lit("undeclared_field: "), F.array_join("_extra", ",")))
-        .when(F.to_timestamp(F.col("e.`@timestamp`")).isNull(), F.lit("bad_timestamp"))
+        .when(F.size("_wrong") > 0, F.concat(F.lit("wrong_type: "), F.array_join("_wrong", ",")))
+        .when(F.try_to_timestamp(F.col("e.`@timestamp`")).isNull(), F.lit("bad_timestamp"))
     )
     return parsed.withColumn("reject_reason", reason)
 
 
 def enrich_events(classified: DataFrame) -> DataFrame:
-    """P18 + V8 + V9: accepted events with source, ingest time and the daily partition key."""
+    """P18 + V8 + V9: accepted events whole, with source, ingest time and the daily partition key."""
     return classified.filter(F.col("reject_reason").isNull()).select(
-        *flat_event_columns("e"),
+        *event_columns("e"),
         F.lit(EVENTS_SOURCE).alias("source"),
         F.array(F.lit(TAG_PIPELINE_EVENT)).alias("tags"),
         F.current_timestamp().alias("ingested_at"),
-        F.to_date(F.col("e.`@timestamp`").cast("timestamp")).alias("event_date"),
+        F.to_date(F.try_to_timestamp(F.col("e.`@timestamp`"))).alias("event_date"),
     )
 
 
 def rejected_lines(classified: DataFrame) -> DataFrame:
-    """Rejected lines keep their raw text and the reason (dead-letter dataset)."""
+    """Refused lines keep their raw text and the reason."""
     return classified.filter(F.col("reject_reason").isNotNull()).select(
         F.col("value").alias("raw_line"), "reject_reason", F.current_timestamp().alias("ingested_at")
     )
 
 
+def _store(rows: DataFrame, path: str, batch: int, by: str | None = None) -> None:
+    """The rows of one micro-batch, replacing whatever an earlier run of that batch stored."""
+    if by:
+        rows = rows.hint("rebalance", by)
+    writer = rows.write.mode("overwrite")
+    (writer.partitionBy(by) if by else writer).parquet(f"{path}/batch={batch}")
+
+
+def _start(
+    spark: SparkSession, inbox: str, checkpoint: str, write: Callable[[DataFrame, int], None], available_now: bool, max_files: int
+) -> StreamingQuery:
+    lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(inbox)
+    writer = lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")).start()
+
+
 def start_event_ingest(
     spark: SparkSession,
     inbox: str,
@@ -152,21 +199,18 @@ def start_event_ingest(
     checkpoint: str,
     *,
     available_now: bool = True,
+    max_files: int = MAX_FILES,
 ) -> list[StreamingQuery]:
-    """S9 + V4: tail the JSON-Lines inbox into the daily-partitioned sink (K9) and the
-    dead-letter set (K10). Each sink has its own checkpoint, so a restart resumes exactly."""
-    classified = classify_event_lines(spark.readStream.text(inbox))
-    queries = []
-    for name, frame, path, parts in (
-        ("events", enrich_events(classified), sink, ["event_date"]),
-        ("rejects", rejected_lines(classified), dead_letter, []),
-    ):
-        writer = frame.writeStream.format("parquet").option("checkpointLocation", f"{checkpoint}/{name}").outputMode("append")
-        if parts:
-            writer = writer.partitionBy(*parts)
-        writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
-        queries.append(writer.start(path))
-    return queries
+    """S9 + V4: tail the JSON-Lines inbox into the daily-partitioned sink (K9) and the dead-letter
+    set (K10): one stream, one parse of every line."""
+
+    def write(lines: DataFrame, batch: int) -> None:
+        classified = classify_event_lines(lines).persist()
+        _store(enrich_events(classified), sink, batch, by="event_date")
+        _store(rejected_lines(classified), dead_letter, batch)
+        classified.unpersist()
+
+    return [_start(spark, inbox, checkpoint, write, available_now, max_files)]
 
 
 def await_all(queries: list[StreamingQuery]) -> None:
@@ -194,55 +238,71 @@ def db_log_lines(events: DataFrame) -> DataFrame:
 
 
 def parse_db_log(lines: DataFrame) -> DataFrame:
-    """V6 + V7 + F14: prefix, pid, level and message by regex; the timestamp with a format
-    ladder; the duration as a number when the message is a duration line. Unmatched lines
-    are tagged and keep their raw text; parsed lines drop it."""
-    v = F.col("value")
-    matched = v.rlike(DB_LINE)
-    ts_txt = F.regexp_extract(v, DB_LINE, 1)
-    msg = F.regexp_extract(v, DB_LINE, 4)
-    is_duration = matched & msg.startswith("duration:")
-    dur_ok = msg.rlike(DB_DURATION)
-    ts = F.coalesce(*[F.try_to_timestamp(ts_txt, F.lit(p)) for p in DB_TS_PATTERNS])
+    """V6 + V7 + F14: prefix, pid, level and message by one regex; the time made uniform and read
+    by a ladder of forms; the duration as a number when the message is a duration line.
+    Unmatched lines are tagged and keep their raw text; parsed lines drop it."""
+    # one match per line gives all four parts: joined by a mark that no line of text holds
+    parts = F.split(F.regexp_replace("value", DB_LINE, "$1\u0001$2\u0001$3\u0001$4"), "\u0001", 4)
+    split = lines.select("value", parts.alias("p")).select(
+        "value",
+        (F.size("p") == 4).alias("matched"),
+        *[F.get("p", F.lit(i)).alias(n) for i, n in enumerate(("at", "pid", "level", "message"))],
+    )
+    matched = F.col("matched")
+    uniform = F.regexp_replace("at", r"^(\d{4}-\d{2}-\d{2})T", "$1 ")
+    uniform = F.regexp_replace(F.translate(uniform, ",", "."), r" (?=[A-Z])", "")
+    uniform = F.regexp_replace(uniform, r"Z$", "+00:00")
+    uniform = F.regexp_replace(uniform, r"(:\d{2}(?:\.\d+)?[+-]\d{2})(\d{2})$", "$1:$2")
+    uniform = F.regexp_replace(uniform, r"(:\d{2}(?:\.\d+)?[+-]\d{2})$", "$1:00")
+    uniform = F.regexp_replace(uniform, r"(\.\d{6})\d+", "$1")
+    timed = split.withColumn("uniform", F.when(matched, uniform))
+    ts = F.coalesce(*[F.try_to_timestamp("uniform", F.lit(p)) for p in DB_TS_PATTERNS])
+    is_duration = matched & F.col("message").startswith("duration:")
+    took = F.regexp_extract("message", DB_DURATION, 1)
     tags = F.array_compact(
         F.array(
             F.lit(TAG_DB_LOG),
             F.when(~matched, F.lit(TAG_UNPARSED)),
-            F.when(matched & ts.isNull(), F.lit(TAG_BAD_DATE)),
-            F.when(is_duration & ~dur_ok, F.lit(TAG_BAD_DURATION)),
+            F.when(matched & F.col("event_ts").isNull(), F.lit(TAG_BAD_DATE)),
+            F.when(is_duration & (took == ""), F.lit(TAG_BAD_DURATION)),
         )
     )
-    return lines.select(
-        F.when(matched, ts).alias("event_ts"),
-        F.when(matched, F.regexp_extract(v, DB_LINE, 2).cast("bigint")).alias("pid"),
-        F.when(matched, F.regexp_extract(v, DB_LINE, 3)).alias("level"),
-        F.when(matched, msg).alias("message"),
-        F.when(is_duration & dur_ok, F.regexp_extract(msg, DB_DURATION, 1).try_cast("double")).alias("duration_ms"),
-        F.when(is_duration & dur_ok, F.regexp_extract(msg, DB_DURATION, 2)).alias("statement"),
+    return timed.withColumn("event_ts", ts).select(
+        "event_ts",
+        F.when(matched, F.col("pid").try_cast("bigint")).alias("pid"),
+        F.when(matched, F.col("level")).alias("level"),
+        F.when(matched, F.col("message")).alias("message"),
+        F.when(is_duration & (took != ""), took.try_cast("double")).alias("duration_ms"),
+        F.when(is_duration & (took != ""), F.regexp_extract("message", DB_DURATION, 2)).alias("statement"),
         F.lit(DB_SERVICE).alias("service"),
         F.lit(DB_DATASET).alias("dataset"),
         F.lit(DB_SOURCE).alias("source"),
         tags.alias("tags"),
-        F.when(~matched, v).alias("raw_line"),
+        F.when(~matched, F.col("value")).alias("raw_line"),
         F.current_timestamp().alias("ingested_at"),
     )
 
 
 def start_db_log_ingest(
-    spark: SparkSession, inbox: str, sink: str, dead_letter: str, checkpoint: str, *, available_now: bool = True
+    spark: SparkSession,
+    inbox: str,
+    sink: str,
+    dead_letter: str,
+    checkpoint: str,
+    *,
+    available_now: bool = True,
+    max_files: int = MAX_FILES,
 ) -> list[StreamingQuery]:
     """Tail plain-text database logs; every line lands in the sink (unparsed ones tagged),
-    and unparsed lines are also surfaced in a dead-letter set."""
-    parsed = parse_db_log(spark.readStream.text(inbox))
-    queries = []
-    for name, frame, path in (
-        ("logs", parsed, sink),
-        ("unparsed", parsed.filter(F.array_contains("tags", TAG_UNPARSED)).select("raw_line", "ingested_at"), dead_letter),
-    ):
-        writer = frame.writeStream.format("parquet").option("checkpointLocation", f"{checkpoint}/{name}").outputMode("append")
-        writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
-        queries.append(writer.start(path))
-    return queries
+    and unparsed lines are also surfaced in a dead-letter set. One stream, one parse."""
+
+    def write(lines: DataFrame, batch: int) -> None:
+        parsed = parse_db_log(lines).persist()
+        _store(parsed, sink, batch)
+        _store(parsed.filter(F.array_contains("tags", TAG_UNPARSED)).select("raw_line", "ingested_at"), dead_letter, batch)
+        parsed.unpersist()
+
+    return [_start(spark, inbox, checkpoint, write, available_now, max_files)]
 
 
 def shipping_lag_seconds(df: DataFrame) -> Column:
