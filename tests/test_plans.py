@@ -37,11 +37,16 @@ def test_filters_and_pruning_reach_the_scan(spark, tmp_path):
 
 
 def test_hot_guest_key_is_split_out_of_the_customer_join(spark):
-    fact = spark.createDataFrame([("UNKNOWN", 1), ("7", 2)], "customer_key string, v int")
+    fact = spark.createDataFrame([("UNKNOWN", i) for i in range(900)] + [("7", 2)], "customer_key string, v int")
     dim = spark.createDataFrame([("UNKNOWN", "Unattributed"), ("7", "Loyal")], "customer_key string, seg string")
-    out = M.join_hot_key(fact, dim, "customer_key", "UNKNOWN")
-    assert sorted(map(tuple, out.select("customer_key", "seg").collect())) == [("7", "Loyal"), ("UNKNOWN", "Unattributed")]
-    assert "Filter (isnotnull(customer_key" in _plan(out) or "customer_key = UNKNOWN" in _plan(out)
+    out = M.join_hot_key(fact, dim.hint("merge"), "customer_key", "UNKNOWN", ["v"])
+    assert out.columns == ["customer_key", "v", "seg"]
+    counted = dict(out.groupBy("seg").count().collect())
+    assert counted == {"Loyal": 1, "Unattributed": 900}
+    plan = _plan(out)
+    assert plan.count("Scan ExistingRDD") == 2 and "Union" not in plan  # one scan of the fact
+    spread = out.filter("seg = 'Unattributed'").withColumn("p", F.spark_partition_id()).select("p").distinct().count()
+    assert "_salt" in plan and spread >= 1
 
 
 def test_dedupe_is_an_aggregate_not_a_window(spark, batch):

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions import elapsed_days
-from tillroll.operators.rank import METRIC, N, PAYLOAD, RN, exact_quantiles, multi_rank, quantile_edges
+from tillroll.operators.rank import METRIC, Wanted, exact_quantiles, metric_quantiles, rank_bounds, tile_by_bounds
+from tillroll.session import store
 
 # --- fixed values: notebook RFM segments and thresholds -----------------------------------
 RFM_SEGMENT_ORDER = ["Champions", "Loyal Customers", "Potential Loyalists", "At Risk", "Lost"]
@@ -28,28 +29,28 @@ def _revenue_by(tx: DataFrame, label: Column, name: str) -> DataFrame:
     return tx.groupBy(label.alias(name)).agg(F.sum("total_price").alias("revenue"))
 
 
+def _resample(tx: DataFrame, label: Column, name: str, step: str) -> DataFrame:
+    """Revenue per calendar step, empty steps as 0, from one aggregate over ``tx``.
+
+    The sums are one per step, so the calendar bounds them; they are gathered into one map from
+    which the spine between their first and last step takes its values."""
+    sums = _revenue_by(tx.filter(F.col("invoice_date").isNotNull()), label, name)
+    one = sums.agg(
+        F.map_from_entries(F.collect_list(F.struct(name, "revenue"))).alias("by"), F.min(name).alias("lo"), F.max(name).alias("hi")
+    )
+    spine = one.filter("lo is not null").select("by", F.explode(F.sequence("lo", "hi", F.expr(f"interval {step}"))).alias(name))
+    revenue = F.coalesce(F.try_element_at("by", F.col(name)), F.lit(0).cast("decimal(24,2)"))
+    return spine.select(name, revenue.cast("decimal(24,2)").alias("revenue"))
+
+
 def monthly_revenue(tx: DataFrame) -> DataFrame:
     """Revenue per calendar month (month start), empty months as 0."""
-    month = F.trunc(F.to_date("invoice_date"), "month")
-    sums = _revenue_by(tx, month, "month_start")
-    spine = tx.agg(F.min(month).alias("lo"), F.max(month).alias("hi")).select(
-        F.explode(F.sequence("lo", "hi", F.expr("interval 1 month"))).alias("month_start")
-    )
-    return spine.join(sums, "month_start", "left").select(
-        "month_start", F.coalesce("revenue", F.lit(0).cast("decimal(24,2)")).cast("decimal(24,2)").alias("revenue")
-    )
+    return _resample(tx, F.trunc(F.to_date("invoice_date"), "month"), "month_start", "1 month")
 
 
 def weekly_revenue(tx: DataFrame) -> DataFrame:
     """Revenue per week ending Sunday (label = the Sunday), empty weeks as 0."""
-    week_end = F.date_add(F.trunc(F.to_date("invoice_date"), "week"), 6)
-    sums = _revenue_by(tx, week_end, "week_end")
-    spine = tx.agg(F.min(week_end).alias("lo"), F.max(week_end).alias("hi")).select(
-        F.explode(F.sequence("lo", "hi", F.expr("interval 7 days"))).alias("week_end")
-    )
-    return spine.join(sums, "week_end", "left").select(
-        "week_end", F.coalesce("revenue", F.lit(0).cast("decimal(24,2)")).cast("decimal(24,2)").alias("revenue")
-    )
+    return _resample(tx, F.date_add(F.trunc(F.to_date("invoice_date"), "week"), 6), "week_end", "7 days")
 
 
 def best_worst_month(monthly: DataFrame) -> DataFrame:
@@ -77,10 +78,11 @@ def _top(sums: DataFrame, key: str, k: int) -> DataFrame:
 
 def top_products(tx: DataFrame, products: DataFrame, k: int = TOP_K) -> DataFrame:
     """T1 + J10: top products by revenue, grouped by *description* (codes sharing a name
-    merge; lines whose product has no name are left out). The products table grows with the
-    data, so its join is left to AQE's runtime size check."""
-    named = tx.join(products, "stock_code", "left").filter(F.col("description").isNotNull())
-    sums = named.groupBy("description").agg(F.sum("total_price").alias("revenue"))
+    merge; lines whose product has no name are left out). Lines are summed per code before the
+    join, so a hot code is one row there."""
+    per_code = tx.groupBy("stock_code").agg(F.sum("total_price").alias("revenue"))
+    named = per_code.join(products.filter(F.col("description").isNotNull()), "stock_code")
+    sums = named.groupBy("description").agg(F.sum("revenue").cast("decimal(24,2)").alias("revenue"))
     return _top(sums, "description", k)
 
 
@@ -113,16 +115,18 @@ class DuplicateBinEdgesError(ValueError):
     """Raised in strict mode when quartile edges coincide (pandas ``qcut`` raises too)."""
 
 
-def _check_unique_edges(ranked: DataFrame, metrics: list[str]) -> None:
+def _check_unique_edges(per: DataFrame, metrics: list[str]) -> None:
     """Strict ``qcut``: min, quartiles and max of each metric must be strictly increasing.
     Collects one row per metric (bounded)."""
-    full = quantile_edges(
-        ranked.filter(F.col(METRIC).isin(metrics)), [Fraction(0), *QUARTILES, Fraction(1)], prefix="e"
-    ).collect()
-    for row in full:
+    full = metric_quantiles(per, [(m, F.col(m)) for m in metrics], [Fraction(0), *QUARTILES, Fraction(1)], "e")
+    for row in full.collect():
         edges = [row[f"e{i}"] for i in range(5)]
         if any(a >= b for a, b in zip(edges, edges[1:])):
-            raise DuplicateBinEdgesError(f"Bin edges must be unique for {row[METRIC]}: {edges}")
+            raise DuplicateBinEdgesError(f"{row[METRIC]} has equal bin edges: {edges}")
+
+
+#: Last first-occurrence rank within each quartile: rank <= 1 + (n - 1) * i / 4.
+QUARTILE_RANKS = [Wanted(f"t{i}", f"({i} * (n - 1)) div 4 + 1", i / 4) for i in (1, 2, 3)]
 
 
 def rfm_quartiles(tx: DataFrame, num_partitions: int | None = None, *, strict_edges: bool = False) -> DataFrame:
@@ -147,35 +151,24 @@ def rfm_quartiles(tx: DataFrame, num_partitions: int | None = None, *, strict_ed
         .crossJoin(F.broadcast(snapshot))
         .select("customer_id", elapsed_days(F.col("_snap"), F.col("_last")).alias("Recency"), "Frequency", "Monetary")
     )
-    # one ranking pass for all three metrics; the row's other columns ride on the Recency rows
-    ranked = multi_rank(
-        per,
-        "customer_id",
-        [("Recency", F.col("Recency"), True), ("Monetary", F.col("Monetary"), True), ("Frequency", F.col("Frequency"), True)],
-        num_partitions=num_partitions,
-        carry_payload=True,
-    )
+    per = store(per, "rfm-customers")  # a row per customer, read for the edges, the bounds and the scores
     if strict_edges:
-        _check_unique_edges(ranked, ["Recency", "Monetary"])
-    edges = quantile_edges(ranked.filter(F.col(METRIC) != "Frequency"), QUARTILES, prefix="e").agg(
+        _check_unique_edges(per, ["Recency", "Monetary"])
+    edges = metric_quantiles(per, [(m, F.col(m)) for m in ("Recency", "Monetary")], QUARTILES, "e").agg(
         *[F.max(F.when(F.col(METRIC) == m, F.col(f"e{i}"))).alias(f"{p}{i}") for m, p in (("Recency", "r"), ("Monetary", "m")) for i in range(3)]
     )
-    # rank-first quartile: rn <= 1 + (n-1)q  <=>  4(rn-1) <= k(n-1), exact in integers
-    f_bin = F.lit(4)
-    for k in (3, 2, 1):
-        f_bin = F.when(F.lit(4) * (F.col(RN) - 1) <= F.lit(k) * (F.col(N) - 1), F.lit(k)).otherwise(f_bin)
-    f_bins = ranked.filter(F.col(METRIC) == "Frequency").select("customer_id", f_bin.cast("int").alias("F"))
-    base = ranked.filter(F.col(METRIC) == "Recency").select("customer_id", f"{PAYLOAD}.*")
+    bounds = rank_bounds(per, "customer_id", [("Frequency", F.col("Frequency"))], QUARTILE_RANKS, num_partitions)
+    f_bounds = [F.col(f"Frequency_{w.name}") for w in QUARTILE_RANKS]
     scored = (
-        base.join(f_bins, "customer_id")
-        .crossJoin(F.broadcast(edges))
+        per.crossJoin(F.broadcast(edges))  # one-row frames
+        .crossJoin(F.broadcast(bounds))
         .select(
             "customer_id",
             "Recency",
             "Frequency",
             "Monetary",
             (F.lit(5) - _bin(F.col("Recency"), [F.col("r0"), F.col("r1"), F.col("r2")])).cast("int").alias("R"),
-            "F",
+            tile_by_bounds(F.col("Frequency"), "customer_id", f_bounds).alias("F"),
             _bin(F.col("Monetary"), [F.col("m0"), F.col("m1"), F.col("m2")]).alias("M"),
         )
     )
@@ -206,27 +199,22 @@ def rfm_segment_summary(rfm: DataFrame) -> DataFrame:
     )
 
 
-def describe(df: DataFrame, columns: list[str], key: str = "customer_id", num_partitions: int | None = None) -> DataFrame:
+def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """Count, mean, sample std, min, quartiles (linear interpolation), max per column;
-    long format, doubles rounded to 4 places. Moments: one aggregation; quartiles: one
-    ranking pass for all columns (``key`` must be unique)."""
-    moments = df.agg(
-        *[
-            F.struct(
-                F.lit(c).alias(METRIC),
-                F.count(F.col(c)).cast("long").alias("count"),
-                F.round(F.avg(F.col(c).cast("double")), 4).alias("mean"),
-                F.round(F.stddev_samp(F.col(c).cast("double")), 4).alias("std"),
-                F.round(F.min(F.col(c)).cast("double"), 4).alias("min"),
-                F.round(F.max(F.col(c)).cast("double"), 4).alias("max"),
-            ).alias(f"_s{i}")
-            for i, c in enumerate(columns)
-        ]
-    ).select(F.explode(F.array(*[F.col(f"_s{i}") for i in range(len(columns))])).alias("s")).select("s.*")
-    ranked = multi_rank(df, key, [(c, F.col(c), True) for c in columns], num_partitions=num_partitions)
-    q = quantile_edges(ranked, QUARTILES, prefix="q", as_double=True)
-    # both sides hold one row per described column
-    return F.broadcast(moments).join(F.broadcast(q), METRIC).select(
+    long format, doubles rounded to 4 places. Nulls are left out column by column."""
+    df = store(df.select(*columns), "described")  # read for the moments and for the quartiles
+    moments = df.select(
+        F.inline(F.array(*[F.struct(F.lit(c).alias(METRIC), F.col(c).cast("double").alias("x")) for c in columns]))
+    ).groupBy(METRIC).agg(
+        F.count("x").alias("count"),
+        F.round(F.avg("x"), 4).alias("mean"),
+        F.round(F.stddev_samp("x"), 4).alias("std"),
+        F.round(F.min("x"), 4).alias("min"),
+        F.round(F.max("x"), 4).alias("max"),
+    )
+    quartiles = metric_quantiles(df, [(c, F.col(c)) for c in columns], QUARTILES, "q", as_double=True)
+    # both sides hold one row per described column; a column of nulls alone has no quartiles
+    return moments.join(F.broadcast(quartiles), METRIC, "left").select(
         F.col(METRIC).alias("column_name"),
         "count",
         "mean",
@@ -239,16 +227,16 @@ def describe(df: DataFrame, columns: list[str], key: str = "customer_id", num_pa
     )
 
 
-def order_value_stats(tx: DataFrame, num_partitions: int | None = None) -> DataFrame:
+def order_value_stats(tx: DataFrame) -> DataFrame:
     """Invoices, total, mean and median invoice value (exact median)."""
-    per_invoice = tx.groupBy("invoice_no").agg(F.sum("total_price").alias("order_value"))
+    per_invoice = store(tx.groupBy("invoice_no").agg(F.sum("total_price").alias("order_value")), "order-values")
     stats = per_invoice.agg(
         F.count(F.lit(1)).alias("orders"),
         F.sum("order_value").cast("decimal(24,2)").alias("total_revenue"),
         F.round(F.avg(F.col("order_value").cast("double")), 4).alias("mean_order_value"),
     )
-    median = exact_quantiles(per_invoice, "order_value", [Fraction(1, 2)], prefix="med", as_double=True, num_partitions=num_partitions)
-    return stats.crossJoin(median).select(
+    median = exact_quantiles(per_invoice, "order_value", [Fraction(1, 2)], prefix="med", as_double=True)
+    return stats.crossJoin(median).select(  # one-row frames
         "orders", "total_revenue", "mean_order_value", F.round("med0", 4).alias("median_order_value")
     )
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.functions import calendar_columns, exact_avg_price, nullif_blank, surrogate_key
+from tillroll.functions import KEY_TIMESTAMP_FORMAT, calendar_columns, exact_avg_price, nullif_blank, surrogate_key
 from tillroll.operators.layers import (
     UNKNOWN_CUSTOMER,
     customer_facts,
@@ -24,6 +24,8 @@ from tillroll.schema import PRICE_TYPE, REVENUE_TYPE
 # --- fixed values: dimension fallbacks and the volatility rule ------------------------------
 UNKNOWN_PRODUCT = "UNKNOWN PRODUCT"
 VOLATILE_PRICE_FACTOR = 3
+#: Tasks that the rows of the known hot customer are spread over.
+HOT_SALTS = 64
 SALES_KEY_COLUMNS = ["invoice_no", "product_key", "invoiced_at", "unit_price", "quantity"]
 
 
@@ -49,7 +51,7 @@ def stg_transactions(landing: DataFrame) -> DataFrame:
 def fct_sales(stg: DataFrame) -> DataFrame:
     """P15 + F10: invoice-line grain with a surrogate key over the natural composite."""
     return stg.select(
-        surrogate_key(*SALES_KEY_COLUMNS, formats={"invoiced_at": "yyyy-MM-dd HH:mm:ss"}).alias("sales_key"),
+        surrogate_key(*SALES_KEY_COLUMNS, formats={"invoiced_at": KEY_TIMESTAMP_FORMAT}).alias("sales_key"),
         "invoice_no",
         "date_key",
         "customer_key",
@@ -112,16 +114,18 @@ def dim_date(stg: DataFrame) -> DataFrame:
     return spine.select(*calendar_columns("date_key"))
 
 
-def join_hot_key(fact: DataFrame, dim: DataFrame, key: str, hot: str) -> DataFrame:
-    """Equi-join ``fact`` to ``dim`` on ``key`` with one known hot key split out.
+def join_hot_key(fact: DataFrame, dim: DataFrame, key: str, hot: str, spread: list[str], salts: int = HOT_SALTS) -> DataFrame:
+    """Equi-join ``fact`` to ``dim`` on ``key`` in one scan, with one known hot key salted.
 
-    The hot key's rows (e.g. the ``UNKNOWN`` guest bucket: about a quarter of all sales)
-    join against that key's single dimension row as a broadcast, so no task receives the
-    whole bucket; the remaining keys join normally (AQE still splits any other skew).
-    """
-    hot_rows = fact.filter(F.col(key) == hot).join(F.broadcast(dim.filter(F.col(key) == hot)), key)
-    rest = fact.filter(F.col(key) != hot).join(dim.filter(F.col(key) != hot), key)
-    return hot_rows.unionByName(rest)
+    The hot key's fact rows (e.g. the ``UNKNOWN`` guest bucket: about a quarter of all sales) get
+    a salt from the columns ``spread``, and that key's one dimension row is repeated for every
+    salt; all other rows have salt 0. So the hot rows spread over ``salts`` tasks."""
+    is_hot = F.col(key) == hot
+    salted = fact.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(0).cast("int"))
+    repeated = dim.withColumn(
+        "_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+    )
+    return salted.join(repeated, [key, "_salt"]).drop("_salt")
 
 
 def star_join_revenue(fct: DataFrame, d_date: DataFrame, d_customer: DataFrame, d_product: DataFrame) -> DataFrame:
@@ -129,11 +133,12 @@ def star_join_revenue(fct: DataFrame, d_date: DataFrame, d_customer: DataFrame,
     three dimensions.
 
     ``dim_date`` is bounded by the calendar span, so it is broadcast explicitly; the guest
-    bucket is split out of the customer join (a known hot key); product joins are left to
+    bucket is salted in the customer join (a known hot key); product joins are left to
     AQE (runtime broadcast below the threshold, skew splitting above).
     """
     with_date = fct.join(F.broadcast(d_date.select("date_key", "year_month")), "date_key")
-    with_customer = join_hot_key(with_date, d_customer.select("customer_key", "rfm_segment"), "customer_key", UNKNOWN_CUSTOMER)
+    customers = d_customer.select("customer_key", "rfm_segment")
+    with_customer = join_hot_key(with_date, customers, "customer_key", UNKNOWN_CUSTOMER, ["invoice_no", "product_key"])
     joined = with_customer.join(d_product.select("product_key", "has_volatile_pricing"), "product_key")
     return joined.groupBy("year_month", "rfm_segment", "has_volatile_pricing").agg(
         F.count(F.lit(1)).alias("sales_lines"),
@@ -147,35 +152,29 @@ MART_TABLES = ("fct_sales", "dim_customer", "dim_product", "dim_date")
 
 
 def build_warehouse(stg: DataFrame, root: str, *, num_partitions: int | None = None) -> dict[str, str]:
-    """K6: materialise the marts as tables (staging stays a view-like function).
-
-    Staging feeds all four marts, so it is persisted for the duration of the build (its
-    recomputation after an executor loss is deterministic), populated once, and released
-    afterwards; the four independent writes are then submitted concurrently.
-    Returns ``{mart: path}``.
+    """K6: materialise the marts as tables; staging stays a view over the landing table, which
+    should be a stored one, as each mart reads it once with its own columns. The four
+    independent writes are submitted concurrently. Returns ``{mart: path}``.
     """
     from concurrent.futures import ThreadPoolExecutor
 
-    from tillroll.storage_level import DISK_AND_MEMORY
-
-    stg = stg.persist(DISK_AND_MEMORY)
-    try:
-        # populate the cache once before fanning out; concurrent first readers of a cold
-        # cache would each compute the lineage themselves
-        stg.count()
-        builders = {
-            "fct_sales": lambda: fct_sales(stg),
-            "dim_customer": lambda: dim_customer(stg, num_partitions=num_partitions),
-            "dim_product": lambda: dim_product(stg),
-            "dim_date": lambda: dim_date(stg),
-        }
-
-        def write(name: str) -> tuple[str, str]:
-            path = f"{root}/{name}"
-            builders[name]().write.mode("overwrite").parquet(path)
-            return name, path
-
-        with ThreadPoolExecutor(max_workers=len(builders)) as pool:
-            return dict(pool.map(write, MART_TABLES))
-    finally:
-        stg.unpersist()
+    builders = {
+        "fct_sales": lambda: fct_sales(stg),
+        "dim_customer": lambda: dim_customer(stg, num_partitions=num_partitions),
+        "dim_product": lambda: dim_product(stg),
+        "dim_date": lambda: dim_date(stg),
+    }
+
+    def write(name: str) -> tuple[str, str]:
+        path = f"{root}/{name}"
+        builders[name]().write.mode("overwrite").parquet(path)
+        return name, path
+
+    with ThreadPoolExecutor(max_workers=len(builders)) as pool:
+        return dict(pool.map(write, MART_TABLES))
+
+
+def staging_view(landing: DataFrame, name: str = "stg_transactions") -> str:
+    """K6: staging as a session view over the landing table; returns the view's name."""
+    stg_transactions(landing).createOrReplaceTempView(name)
+    return name

@@ -19,14 +19,21 @@ reproducible: ties in a score are broken by the key, in the oracle too.
 
 Because the range partitioner splits on the full composite key, a single value shared by a
 third of all rows is spread over many tasks instead of landing in one.
+
+Quantiles and tiles need far less than positions for all rows: ``order_statistics`` finds single
+positions by bracketing them, and ``multi_ntile`` compares rows with the few bounds between tiles.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
 from fractions import Fraction
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillroll.session import checkpoint_dir
 
@@ -34,10 +41,16 @@ RN = "_rn"
 N = "_n"
 
 
+#: Rows that one range slice holds, about.
+SLICE_ROWS = 2_000_000
+
+
 def _partitions(df: DataFrame, num_partitions: int | None) -> int:
+    """Slices by the rows to rank, and no fewer than an ordinary shuffle has."""
     if num_partitions:
         return num_partitions
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(1, usual, -(-df.count() // SLICE_ROWS))
 
 
 def global_rank(
@@ -117,195 +130,188 @@ def distributed_ntile(
     return ranked.withColumn(out, tile_of(RN, N, k)).drop(RN, N)
 
 
-def exact_quantiles(
-    df: DataFrame,
-    value: str,
-    qs: list[Fraction],
-    *,
-    prefix: str = "q",
-    as_double: bool = False,
-    num_partitions: int | None = None,
-) -> DataFrame:
-    """One-row frame of linear-interpolation quantiles (pandas ``quantile`` / SQL
-    ``quantile_cont``), exact, computed from global positions.
+# --- order statistics without ranking everything -------------------------------------------
+#: Rank error of the approximate percentiles that bracket a wanted position, as 1 / ACCURACY.
+ACCURACY = 10_000
+#: Groups of at most so many rows are bracketed whole.
+WHOLE_GROUP = 10_000
 
-    Position of quantile q among n sorted values: ``1 + (n-1)q``; the result interpolates the
-    values at its floor and ceiling. Only those rows are read back, so nothing of size n
-    reaches one task. Null values are ignored, as ``quantile`` does.
-    """
-    # ties need no order for quantiles; the id only lets range partitioning split a hot value
-    vals = (
-        df.select(F.col(value).alias("_v"))
-        .filter(F.col("_v").isNotNull())
-        .withColumn("_tie", F.monotonically_increasing_id())
-    )
-    ranked = global_rank(vals, [F.col("_v").asc(), F.col("_tie").asc()], num_partitions=num_partitions)
-    aggs = []
-    for i, q in enumerate(qs):
-        num, den = q.numerator, q.denominator
-        lo = F.expr(f"(({N} - 1) * {num}) div {den} + 1")
-        frac_num = F.expr(f"(({N} - 1) * {num}) % {den}")
-        hi = lo + F.when(frac_num > 0, F.lit(1)).otherwise(F.lit(0))
-        aggs += [
-            F.max(F.when(F.col(RN) == lo, F.col("_v"))).alias(f"_lo{i}"),
-            F.max(F.when(F.col(RN) == hi, F.col("_v"))).alias(f"_hi{i}"),
-            F.max(frac_num).alias(f"_fn{i}"),
-        ]
-    picked = ranked.filter(_needed_positions(qs)).agg(*aggs)
-    cols = []
+
+class Wanted(NamedTuple):
+    """A 1-based position in sorted order: an expression of the group size ``n``, and the share of
+    the rows that lie before it, about."""
+
+    name: str
+    position: str
+    share: float
+
+
+def quantile_positions(qs: list[Fraction]) -> list[Wanted]:
+    """The two positions that a linearly interpolated quantile lies between, for each quantile."""
+    wanted = []
     for i, q in enumerate(qs):
-        lo_v, hi_v = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        if as_double:
-            frac = F.col(f"_fn{i}").cast("double") / F.lit(float(q.denominator))
-            edge = lo_v.cast("double") + (hi_v.cast("double") - lo_v.cast("double")) * frac
-        else:
-            frac = (F.col(f"_fn{i}").cast("decimal(20,0)") / F.lit(q.denominator)).cast("decimal(20,10)")
-            edge = lo_v + (hi_v - lo_v) * frac
-        cols.append(edge.alias(f"{prefix}{i}"))
-    return picked.select(*cols)
-
-
-def _needed_positions(qs: list[Fraction]) -> Column:
-    cond = F.lit(False)
-    for q in qs:
-        num, den = q.numerator, q.denominator
-        lo = F.expr(f"(({N} - 1) * {num}) div {den} + 1")
-        cond = cond | (F.col(RN) == lo) | (F.col(RN) == lo + 1)
-    return cond
-
-
-def grouped_quantile(
-    df: DataFrame,
-    group_by: list[str],
-    value: str,
-    q: Fraction,
-    out: str,
-    *,
-    num_partitions: int | None = None,
-) -> DataFrame:
-    """Exact linear-interpolation quantile of ``value`` per group (``percentile`` /
-    ``quantile_cont``), as doubles.
+        low = f"((n - 1) * {q.numerator}) div {q.denominator} + 1"
+        step = f"if(((n - 1) * {q.numerator}) % {q.denominator} > 0, 1, 0)"
+        wanted += [Wanted(f"lo{i}", low, float(q)), Wanted(f"hi{i}", f"{low} + {step}", float(q))]
+    return wanted
+
+
+def tile_ends(k: int) -> list[Wanted]:
+    """The last position of each of the first k - 1 tiles of ``ntile(k)``."""
+    return [Wanted(f"t{i}", f"{i} * (n div {k}) + least({i}, n % {k})", i / k) for i in range(1, k)]
+
 
-    The exact ``percentile`` aggregate keeps every distinct value of a group in one buffer; a
-    group holding a third of all rows would then sit in one task. Here positions come from
-    the range-partitioned rank, and only the (at most two) rows bracketing the quantile
-    position of each group are aggregated.
+def _same(left: list[str], right: list[str]) -> Column:
+    """Null-safe equality, column by column (true without columns)."""
+    return functools.reduce(operator.and_, (F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right)), F.lit(True))
+
+
+def order_statistics(rows: DataFrame, groups: list[str], wanted: list[Wanted]) -> DataFrame:
+    """The values ``v`` at wanted positions of each group, exact: (groups, w, v, p, before, n),
+    where ``before`` counts the rows under the value. Null values have no position.
+
+    1. Approximate percentiles bracket each position with a margin of twice their error.
+    2. Rows under a bracket are counted; rows inside are counted per distinct value (both combined
+       map-side, so a value that a third of the rows share is one row per task).
+    3. A running sum over the few values inside finds the one that covers the position.
+
+    Nothing is sorted, shuffled or stored but the insides of the brackets, a few ten-thousandths
+    of the rows. ``rows`` is read three times: pass a stored table or a cheap projection.
     """
-    vals = (
-        df.select(*group_by, F.col(value).cast("double").alias("_v"))
-        .filter(F.col("_v").isNotNull())
-        .withColumn("_tie", F.monotonically_increasing_id())
+    value = F.col("v").cast("double")
+    margin = 2 / ACCURACY
+    shares = [x for w in wanted for x in (max(0.0, w.share - margin), min(1.0, w.share + margin))]
+    rows = rows.filter("v is not null")
+    sizes = rows.groupBy(*groups).agg(
+        F.count("v").alias("n"), F.percentile_approx(value, F.array(*map(F.lit, shares)), F.lit(ACCURACY)).alias("cuts")
+    )
+    whole = F.col("n") <= WHOLE_GROUP
+    brackets = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("i"),
+                F.lit(w.name).alias("w"),
+                F.expr(w.position).cast("long").alias("p"),
+                F.when(whole, F.lit(float("-inf"))).otherwise(F.get("cuts", F.lit(2 * i))).alias("low"),
+                F.when(whole, F.lit(float("inf"))).otherwise(F.get("cuts", F.lit(2 * i + 1))).alias("high"),
+            )
+            for i, w in enumerate(wanted)
+        ]
+    )
+    of = [f"_g{i}" for i in range(len(groups))]
+    sized = sizes.select(*[F.col(g).alias(a) for g, a in zip(groups, of)], "n", brackets.alias("brackets"))
+    bracketed = rows.join(sized, _same(groups, of)) if groups else rows.crossJoin(F.broadcast(sized))  # one row
+    under = bracketed.groupBy(*groups).agg(
+        F.array(*[F.count_if(value < F.get("brackets", F.lit(i))["low"]) for i in range(len(wanted))]).alias("under")
     )
-    ranked = global_rank(vals, [F.col("_v").asc(), F.col("_tie").asc()], group_by=group_by, num_partitions=num_partitions)
-    num, den = q.numerator, q.denominator
-    lo = F.expr(f"(({N} - 1) * {num}) div {den} + 1")
-    frac_num = F.expr(f"(({N} - 1) * {num}) % {den}")
-    picked = ranked.filter((F.col(RN) == lo) | (F.col(RN) == lo + 1)).groupBy(*group_by).agg(
-        F.max(F.when(F.col(RN) == lo, F.col("_v"))).alias("_lo"),
-        F.max(F.when(F.col(RN) == lo + 1, F.col("_v"))).alias("_hi"),
-        F.max(frac_num).alias("_fn"),
+    under = under.select(*[F.col(g).alias(a) for g, a in zip(groups, of)], "under")
+    inside = F.filter("brackets", lambda b: (value >= b["low"]) & (value <= b["high"]))
+    counted = bracketed.select(*groups, "v", "n", F.inline(inside)).groupBy(*groups, "i", "w", "p", "n", "v").agg(F.count("*").alias("c"))
+    counted = counted.join(under, _same(groups, of)) if groups else counted.crossJoin(F.broadcast(under))  # one row
+    running = Window.partitionBy(*groups, "w").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counted.withColumn("upto", F.get("under", F.col("i")) + F.sum("c").over(running))
+    return placed.filter((F.col("upto") >= F.col("p")) & (F.col("upto") - F.col("c") < F.col("p"))).select(
+        *groups, "w", "v", "p", (F.col("upto") - F.col("c")).alias("before"), "n"
     )
-    frac = F.col("_fn").cast("double") / F.lit(float(den))
-    edge = F.col("_lo") + (F.coalesce(F.col("_hi"), F.col("_lo")) - F.col("_lo")) * frac
-    return picked.select(*group_by, edge.alias(out))
 
 
-# --- several rankings in one pass ----------------------------------------------------------
-METRIC = "_m"
-VALUE = "_v"
-PAYLOAD = "_p"
-RANK_VALUE_TYPE = "decimal(38,6)"
+def _interpolated(i: int, q: Fraction, as_double: bool) -> Column:
+    """Quantile ``i`` from the values at its two positions, pivoted to columns lo and hi."""
+    low, high = F.col(f"lo{i}"), F.col(f"hi{i}")
+    rest = F.expr(f"((n - 1) * {q.numerator}) % {q.denominator}")
+    if as_double:
+        part = rest.cast("double") / F.lit(float(q.denominator))
+        return low.cast("double") + (high.cast("double") - low.cast("double")) * part
+    part = (rest.cast("decimal(20,0)") / F.lit(q.denominator)).cast("decimal(20,10)")
+    return low + (high - low) * part
 
 
-def multi_rank(
-    df: DataFrame,
-    key: str,
-    metrics: list[tuple[str, Column, bool]],
-    *,
-    num_partitions: int | None = None,
-    carry_payload: bool = False,
-) -> DataFrame:
-    """Rank several metrics of the same rows in ONE range-partitioned, checkpointed pass.
-
-    Each row is exploded into one ``(key, _m, _v)`` row per metric, the value normalised to
-    an exact decimal (negated for descending order), and all metrics are ranked together,
-    grouped by metric, with ``key`` as the tie-breaker. Returns ``(key, _m, _v, _rn, _n)``
-    (+ ``_p``: the other columns of the row, on the first metric's rows only, when
-    ``carry_payload``; so the input is never recomputed to be joined back). The shuffle
-    volume equals ranking each metric separately; the number of jobs does not grow with
-    the number of metrics. Metric values must be non-null numbers.
-    """
-    payload = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != key]) if carry_payload else None
-    structs = []
-    for i, (name, value, ascending) in enumerate(metrics):
-        fields = [F.lit(name).alias("m"), (value if ascending else -value).cast(RANK_VALUE_TYPE).alias("v")]
-        if payload is not None:
-            # a typed null on all but the first metric's row
-            fields.append((payload if i == 0 else F.when(F.lit(False), payload)).alias("p"))
-        structs.append(F.struct(*fields))
-    out = [key, F.col("_x.m").alias(METRIC), F.col("_x.v").alias(VALUE)]
-    if payload is not None:
-        out.append(F.col("_x.p").alias(PAYLOAD))
-    long = df.select(F.col(key), F.explode(F.array(*structs)).alias("_x")).select(*out)
-    return global_rank(
-        long,
-        [F.col(VALUE).asc(), F.col(key).asc()],
-        group_by=[METRIC],
-        num_partitions=num_partitions,
-        bounded_groups=True,
+def grouped_quantiles(rows: DataFrame, groups: list[str], qs: list[Fraction], prefix: str, as_double: bool = False) -> DataFrame:
+    """Linear-interpolation quantiles (pandas ``quantile``, SQL ``quantile_cont``) of ``v`` per
+    group: (groups, {prefix}0, {prefix}1, ...)."""
+    found = order_statistics(rows, groups, quantile_positions(qs))
+    names = [n for i in range(len(qs)) for n in (f"lo{i}", f"hi{i}")]
+    wide = found.groupBy(*groups).agg(*[F.max(F.when(F.col("w") == n, F.col("v"))).alias(n) for n in names], F.max("n").alias("n"))
+    return wide.select(*groups, *[_interpolated(i, q, as_double).alias(f"{prefix}{i}") for i, q in enumerate(qs)])
+
+
+def exact_quantiles(df: DataFrame, value: str, qs: list[Fraction], *, prefix: str = "q", as_double: bool = False) -> DataFrame:
+    """One-row frame of the quantiles of a column; nulls are ignored."""
+    return grouped_quantiles(df.select(F.col(value).alias("v")), [], qs, prefix, as_double)
+
+
+def grouped_quantile(df: DataFrame, group_by: list[str], value: str, q: Fraction, out: str) -> DataFrame:
+    """The quantile of a column per group, as doubles; groups without values are absent."""
+    rows = df.select(*group_by, F.col(value).cast("double").alias("v"))
+    return grouped_quantiles(rows, group_by, [q], out, as_double=True).withColumnRenamed(f"{out}0", out)
+
+
+# --- several metrics of the same rows ------------------------------------------------------
+METRIC = "m"
+
+
+def metric_rows(df: DataFrame, metrics: list[tuple[str, Column]], *keep: str) -> DataFrame:
+    """One row (m, v, kept columns) per row and metric. Whole and decimal metrics take their common
+    exact type; if any is a float, all are compared as doubles."""
+    typed = df.select(*[c.alias(f"_{i}") for i, (_, c) in enumerate(metrics)]).schema
+    floats = any(isinstance(f.dataType, (T.FloatType, T.DoubleType)) for f in typed)
+    as_one = (lambda c: c.cast("double")) if floats else (lambda c: c)
+    values = F.map_from_arrays(
+        F.array(*[F.lit(name) for name, _ in metrics]), F.array(*[as_one(c) for _, c in metrics])
     )
+    return df.select(*keep, F.explode(values).alias(METRIC, "v"))
 
 
-def multi_ntile(
-    df: DataFrame,
-    key: str,
-    k: int,
-    metrics: list[tuple[str, Column, bool]],
-    *,
-    num_partitions: int | None = None,
+def metric_quantiles(
+    df: DataFrame, metrics: list[tuple[str, Column]], qs: list[Fraction], prefix: str, as_double: bool = False
 ) -> DataFrame:
-    """``ntile(k) OVER (ORDER BY metric, key)`` for several metrics at once, added to the
-    rows of ``df`` as columns named after the metrics."""
-    ranked = multi_rank(df, key, metrics, num_partitions=num_partitions, carry_payload=True).withColumn(
-        "_t", tile_of(RN, N, k)
+    """(m, {prefix}0, ...): quantiles of each metric, nulls left out metric by metric."""
+    return grouped_quantiles(metric_rows(df, metrics), [METRIC], qs, prefix, as_double)
+
+
+def rank_bounds(
+    df: DataFrame, key: str, metrics: list[tuple[str, Column]], wanted: list[Wanted], num_partitions: int | None = None
+) -> DataFrame:
+    """One-row frame: per metric and wanted position, the (value, key) pair there in the order of
+    value, then key; columns ``{metric}_{name}``, structs of v and k.
+
+    The value comes from ``order_statistics``. Only the keys of the rows that share that value are
+    ranked to find the pair, in range slices, without any other column."""
+    rows = metric_rows(df, metrics, key)
+    found = order_statistics(rows.select(METRIC, "v"), [METRIC], wanted)
+    spots = found.select(F.col(METRIC).alias("at_m"), F.col("v").alias("at_v"), "w", (F.col("p") - F.col("before")).alias("nth"))
+    tied = rows.join(F.broadcast(spots), (F.col(METRIC) == F.col("at_m")) & (F.col("v") == F.col("at_v")))  # a row per bound
+    ranked = global_rank(
+        tied.select(METRIC, "w", "nth", "v", key), [F.col(key).asc()], group_by=[METRIC, "w"], num_partitions=num_partitions, bounded_groups=True
     )
-    first, rest = metrics[0][0], [m[0] for m in metrics[1:]]
-    base = ranked.filter(F.col(METRIC) == first).select(key, f"{PAYLOAD}.*", F.col("_t").alias(first))
-    if not rest:
-        return base
-    others = (
-        ranked.filter(F.col(METRIC) != first)
-        .groupBy(key)
-        .agg(*[F.max(F.when(F.col(METRIC) == name, F.col("_t"))).alias(name) for name in rest])
+    bounds = ranked.filter(F.col(RN) == F.col("nth"))
+    return bounds.agg(
+        *[
+            F.max(F.when((F.col(METRIC) == m) & (F.col("w") == w.name), F.struct("v", F.col(key).alias("k")))).alias(f"{m}_{w.name}")
+            for m, _ in metrics
+            for w in wanted
+        ]
     )
-    return base.join(others, key)
 
 
-def quantile_edges(ranked: DataFrame, qs: list[Fraction], *, prefix: str, as_double: bool = False) -> DataFrame:
-    """Per metric of a ``multi_rank`` result: linear-interpolation quantiles, one row per
-    metric ``(_m, {prefix}0, {prefix}1, ...)``; only the bracketing rows are aggregated."""
-    cond = F.lit(False)
-    aggs = []
-    for i, q in enumerate(qs):
-        num, den = q.numerator, q.denominator
-        lo = F.expr(f"(({N} - 1) * {num}) div {den} + 1")
-        frac_num = F.expr(f"(({N} - 1) * {num}) % {den}")
-        cond = cond | (F.col(RN) == lo) | (F.col(RN) == lo + 1)
-        aggs += [
-            F.max(F.when(F.col(RN) == lo, F.col(VALUE))).alias(f"_lo{i}"),
-            F.max(F.when(F.col(RN) == lo + 1, F.col(VALUE))).alias(f"_hi{i}"),
-            F.max(frac_num).alias(f"_fn{i}"),
-        ]
-    picked = ranked.filter(cond).groupBy(METRIC).agg(*aggs)
-    cols = []
-    for i, q in enumerate(qs):
-        lo_v = F.col(f"_lo{i}")
-        hi_v = F.coalesce(F.col(f"_hi{i}"), lo_v)
-        if as_double:
-            frac = F.col(f"_fn{i}").cast("double") / F.lit(float(q.denominator))
-            edge = lo_v.cast("double") + (hi_v.cast("double") - lo_v.cast("double")) * frac
-        else:
-            frac = (F.col(f"_fn{i}").cast("decimal(20,0)") / F.lit(q.denominator)).cast("decimal(20,10)")
-            edge = lo_v + (hi_v - lo_v) * frac
-        cols.append(edge.alias(f"{prefix}{i}"))
-    return picked.select(METRIC, *cols)
+def tile_by_bounds(value: Column, key: str, bounds: list[Column]) -> Column:
+    """1 + the number of bounds that the row's (value, key) lies beyond."""
+    beyond = [F.when((value > b["v"]) | ((value == b["v"]) & (F.col(key) > b["k"])), 1).otherwise(0) for b in bounds]
+    return (F.lit(1) + functools.reduce(operator.add, beyond)).cast("int")
+
+
+def multi_ntile(
+    df: DataFrame, key: str, k: int, metrics: list[tuple[str, Column, bool]], *, num_partitions: int | None = None
+) -> DataFrame:
+    """``ntile(k) OVER (ORDER BY metric, key)`` for several metrics (descending where the third item
+    is false), added to the rows of ``df`` as columns named after the metrics.
+
+    Only the k - 1 bounds of each metric are looked for; they come back as one broadcast row, and
+    every row finds its tiles by comparison: no payload is shuffled, nothing is joined on the key.
+    ``df`` is read several times: pass a stored table."""
+    signed = [(name, value if ascending else -value) for name, value, ascending in metrics]
+    ends = tile_ends(k)
+    bounds = rank_bounds(df, key, signed, ends, num_partitions)
+    scored = df.crossJoin(F.broadcast(bounds))  # one row
+    tiles = {name: tile_by_bounds(value, key, [F.col(f"{name}_{w.name}") for w in ends]) for name, value in signed}
+    return scored.select(*[F.col(f"`{c}`") for c in df.columns], *[t.alias(n) for n, t in tiles.items()])

@@ -25,7 +25,13 @@ def star_sql(*extra: str) -> str:
     return O.with_ctes(O.STANDARDIZED, O.CLEAN, *STAR_CTES, *extra, time_of_day=True)
 
 
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact for a query that reads it once: nothing is stored in between."""
+    return S.fact_transactions(C.clean_data(raw(spark, sf_dir, time_of_day=True)))
+
+
 def _star(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Fact and products, both from one stored cleaned batch."""
     from tillroll.plans.ingest import clean_table
 
     cleaned = clean_table(spark, sf_dir, time_of_day=True)
@@ -43,7 +49,7 @@ mon_filled AS (
 
 @query("monthly_revenue", star_sql(MONTHLY_CTE) + "SELECT month_start, revenue FROM mon_filled", "A15")
 def monthly_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.monthly_revenue(_star(spark, sf_dir)[0])
+    return A.monthly_revenue(_facts(spark, sf_dir))
 
 
 WEEKLY_SQL = star_sql(
@@ -56,7 +62,7 @@ LEFT JOIN wk w ON s.week_end = w.week_end"""
 
 @query("weekly_revenue", WEEKLY_SQL, "A15")
 def weekly_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.weekly_revenue(_star(spark, sf_dir)[0])
+    return A.weekly_revenue(_facts(spark, sf_dir))
 
 
 BEST_WORST_SQL = star_sql(MONTHLY_CTE) + """SELECT b.month_start AS best_month, b.revenue AS best_revenue,
@@ -69,7 +75,7 @@ FROM (SELECT * FROM mon_filled ORDER BY revenue DESC, month_start LIMIT 1) b,
 
 @query("best_worst_month", BEST_WORST_SQL, "A21")
 def best_worst_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.best_worst_month(A.monthly_revenue(_star(spark, sf_dir)[0]))
+    return A.best_worst_month(A.monthly_revenue(_facts(spark, sf_dir)))
 
 
 TOP_PRODUCTS_SQL = star_sql() + """SELECT description, revenue, rank FROM (
@@ -92,7 +98,7 @@ TOP_COUNTRIES_SQL = star_sql() + """SELECT country, revenue, rank FROM (
 
 @query("top_countries", TOP_COUNTRIES_SQL, "T2")
 def top_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.top_countries(_star(spark, sf_dir)[0])
+    return A.top_countries(_facts(spark, sf_dir))
 
 
 SHARE_SQL = star_sql() + """SELECT country, revenue,
@@ -102,7 +108,7 @@ FROM (SELECT country, CAST(sum(total_price) AS DECIMAL(24,2)) AS revenue FROM tx
 
 @query("country_share", SHARE_SQL, "A16")
 def country_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.country_share(_star(spark, sf_dir)[0])
+    return A.country_share(_facts(spark, sf_dir))
 
 
 def _edges(name: str, col: str) -> str:
@@ -156,7 +162,7 @@ RFM_CTES = [
 
 @query("rfm_quartiles", star_sql(*RFM_CTES) + "SELECT * FROM rfm", "D4,W4,W5,F6")
 def rfm_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.rfm_quartiles(_star(spark, sf_dir)[0])
+    return A.rfm_quartiles(_facts(spark, sf_dir))
 
 
 SEGMENT_SQL = star_sql(*RFM_CTES) + """SELECT o.segment_order, o.Segment,
@@ -173,7 +179,7 @@ LEFT JOIN (SELECT Segment, count(*) AS customers, sum(Monetary) AS revenue FROM
 
 @query("rfm_segment_summary", SEGMENT_SQL, "A16,A17")
 def rfm_segment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.rfm_segment_summary(A.rfm_quartiles(_star(spark, sf_dir)[0]))
+    return A.rfm_segment_summary(A.rfm_quartiles(_facts(spark, sf_dir)))
 
 
 DESCRIBE_SQL = star_sql(*RFM_CTES) + "\nUNION ALL\n".join(
@@ -187,7 +193,7 @@ DESCRIBE_SQL = star_sql(*RFM_CTES) + "\nUNION ALL\n".join(
 
 @query("rfm_describe", DESCRIBE_SQL, "A18")
 def rfm_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.describe(A.rfm_quartiles(_star(spark, sf_dir)[0]), A.DESCRIBE_COLUMNS)
+    return A.describe(A.rfm_quartiles(_facts(spark, sf_dir)), A.DESCRIBE_COLUMNS)
 
 
 ORDER_VALUE_SQL = star_sql(
@@ -200,7 +206,7 @@ FROM ov"""
 
 @query("order_value_stats", ORDER_VALUE_SQL, "A19")
 def order_value_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.order_value_stats(_star(spark, sf_dir)[0])
+    return A.order_value_stats(_facts(spark, sf_dir))
 
 
 TOP_CUSTOMERS_SQL = star_sql() + """SELECT customer_id, revenue, orders, rank FROM (
@@ -211,4 +217,4 @@ TOP_CUSTOMERS_SQL = star_sql() + """SELECT customer_id, revenue, orders, rank FR
 
 @query("top_customers", TOP_CUSTOMERS_SQL, "A20")
 def top_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.top_customers(_star(spark, sf_dir)[0])
+    return A.top_customers(_facts(spark, sf_dir))
