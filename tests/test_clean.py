@@ -89,12 +89,12 @@ class TestCleanData:
         assert kite["Description"] == "PAPER KITE" and kite["TotalPrice"] == Decimal("12.80")
 
     def test_observed_counts_of_transform_stage(self, spark, batch, tmp_path):
-        from tillroll.streaming.events import stage_transform
+        from tillroll.streaming.events import clean_into
 
-        s = stage_transform(batch, str(tmp_path / "interim"))
+        s = clean_into(batch, str(tmp_path / "interim"))
         assert (s["rows_in"], s["rows_out"], s["rows_dropped"]) == (8, 4, 4)
         assert s["pct_dropped"] == 50.0
-        assert spark.read.parquet(s["interim_path"]).count() == 4
+        assert spark.read.parquet(s["path"]).count() == 4
 
     def test_missing_interim_is_an_error(self, spark, tmp_path):
         from pyspark.errors import AnalysisException
@@ -126,3 +126,37 @@ def test_align_raw_types(spark):
     out = {r["InvoiceNo"]: r for r in align_raw_types(df).collect()}
     assert out["1"]["CustomerID"] == "17850" and out["2"]["CustomerID"] is None
     assert out["1"]["UnitPrice"] == Decimal("1.2346")
+
+
+def test_a_csv_header_in_another_order_is_refused(spark, tmp_path):
+    from tillroll.sources.raw import declared_read
+
+    p = tmp_path / "raw.csv"
+    names = "StockCode,InvoiceNo,Description,Quantity,InvoiceDate,UnitPrice,CustomerID,Country"
+    p.write_text(f"{names}\nK1,700001,KITE,1,2012-03-05 09:15:00,1.5,40001,Norway\n")
+    with pytest.raises(Exception, match="header"):
+        declared_read(spark, str(p), "csv").collect()
+
+
+def test_a_parquet_file_without_declared_columns_is_refused(spark, batch, tmp_path):
+    from tillroll.sources.raw import DeclaredSchemaError, declared_read
+
+    batch.drop("Country", "UnitPrice").write.parquet(str(tmp_path / "raw"))
+    with pytest.raises(DeclaredSchemaError, match="UnitPrice, Country"):
+        declared_read(spark, str(tmp_path / "raw"))
+
+
+def test_text_dates_and_quantities(spark):
+    names = ["InvoiceNo", "StockCode", "Description", "Quantity", "InvoiceDate", "UnitPrice", "CustomerID", "Country"]
+    rows = [
+        ("1", "A", "x", "6.0", "12/1/2010 8:26", "2.55", "17850.0", "UK"),
+        ("2", "A", "x", " 7 ", "2010-12-01 08:26:00", "2.55", None, "UK"),
+        ("3", "A", "x", "six", "2010-12-01", "n/a", "none", "UK"),
+    ]
+    out = C.standardize_columns(spark.createDataFrame(rows, names)).orderBy("InvoiceNo").collect()
+    assert [r["Quantity"] for r in out] == [6, 7, None]
+    assert [r["InvoiceDate"] for r in out] == [datetime(2010, 12, 1, 8, 26), datetime(2010, 12, 1, 8, 26), datetime(2010, 12, 1)]
+    assert [r["CustomerID"] for r in out] == [17850, None, None] and out[2]["UnitPrice"] is None
+    bad = spark.createDataFrame([("1", "A", "x", "1", "soon", "1", None, "UK")], ", ".join(f"{n} string" for n in names))
+    with pytest.raises(Exception, match="unreadable invoice date: soon"):
+        C.standardize_columns(bad).collect()

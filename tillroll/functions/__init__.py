@@ -1,10 +1,10 @@
 """Column-expression helpers (all JVM-side built-ins; no Python UDFs)."""
 
 from tillroll.functions.exprs import (
+    KEY_TIMESTAMP_FORMAT,
     calendar_columns,
     elapsed_days,
     exact_avg_price,
-    has_prefix,
     min_by_order,
     nullif_blank,
     strip,
@@ -12,10 +12,10 @@ from tillroll.functions.exprs import (
 )
 
 __all__ = [
+    "KEY_TIMESTAMP_FORMAT",
     "calendar_columns",
     "elapsed_days",
     "exact_avg_price",
-    "has_prefix",
     "min_by_order",
     "nullif_blank",
     "strip",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # --- fixed values: surrogate-key text conventions ------------------------------------------
 KEY_SEPARATOR = "-"
 KEY_NULL_SENTINEL = "<null>"
-KEY_TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
+KEY_TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 MICROS_PER_DAY = 86_400_000_000
 
@@ -31,12 +31,6 @@ def nullif_blank(col: Column | str) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
 
-def has_prefix(col: Column | str, prefix: str) -> Column:
-    """prefix test. A null value yields null, which a filter treats as false."""
-    c = F.col(col) if isinstance(col, str) else col
-    return c.startswith(prefix)
-
-
 def elapsed_days(later: Column, earlier: Column) -> Column:
     """whole days elapsed between two timestamps (floor of the exact difference).
 

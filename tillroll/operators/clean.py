@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from tillroll.functions import min_by_order, strip
 from tillroll.schema import PRICE_TYPE, RAW_COLUMNS, TOTAL_PRICE_TYPE
+from tillroll.sources.raw import parse_mixed_timestamp
 
 # --- fixed values: cleaning rules -----------------------------------------------------------
 CANCELLED_PREFIX = "C"
@@ -26,14 +27,28 @@ class MissingColumnsError(ValueError):
 def require_columns(df: DataFrame, expected: list[str]) -> None:
     missing = [c for c in expected if c not in df.columns]
     if missing:
-        raise MissingColumnsError(f"Input dataframe is missing expected columns: {sorted(missing)}")
+        raise MissingColumnsError(f"the batch lacks {', '.join(sorted(missing))}")
 
 
 def _coerce(df: DataFrame, name: str, target: str) -> F.Column:
-    """Numeric coercion: text that does not parse becomes null instead of failing (ANSI)."""
-    if isinstance(df.schema[name].dataType, T.StringType):
-        return F.expr(f"try_cast(trim(`{name}`) as {target})")
-    return F.col(name).cast(target)
+    """Numeric coercion: text that is no number becomes null instead of failing (ANSI). Whole
+    numbers may be written with a fraction of zeros (``6.0``); another fraction is cut off."""
+    c = F.col(f"`{name}`")
+    if not isinstance(df.schema[name].dataType, T.StringType):
+        return c.cast(target)
+    number = F.trim(c).try_cast("decimal(38,10)")
+    return number.try_cast(target)
+
+
+def _moment(df: DataFrame, name: str) -> F.Column:
+    """The invoice date: text in any known layout; text in none fails the job, as a date that
+    cannot be read means a broken extract."""
+    c = F.col(f"`{name}`")
+    if not isinstance(df.schema[name].dataType, T.StringType):
+        return c.cast("timestamp")
+    parsed = parse_mixed_timestamp(F.trim(c))
+    unreadable = F.concat(F.lit("unreadable invoice date: "), c)
+    return F.when(c.isNotNull() & parsed.isNull(), F.raise_error(unreadable).cast("timestamp")).otherwise(parsed)
 
 
 def standardize_columns(df: DataFrame) -> DataFrame:
@@ -54,7 +69,7 @@ def standardize_columns(df: DataFrame) -> DataFrame:
         "StockCode": strip(F.col("StockCode").cast("string")),
         "Description": strip(F.col("Description").cast("string")),
         "Country": strip(F.col("Country").cast("string")),
-        "InvoiceDate": F.col("InvoiceDate").cast("timestamp"),
+        "InvoiceDate": _moment(df, "InvoiceDate"),
         "Quantity": _coerce(df, "Quantity", "int"),
         "UnitPrice": _coerce(df, "UnitPrice", "decimal(12,4)").cast(PRICE_TYPE),
         "CustomerID": customer,

@@ -43,7 +43,7 @@ def to_landing_frame(clean: DataFrame, loaded_at: Column | None = None) -> DataF
     renamed = clean.select([F.col(c).alias(LANDING_RENAMES.get(c, c)) for c in clean.columns])
     missing = [c for c in LANDING_COLUMNS if c not in renamed.columns]
     if missing:
-        raise ValueError(f"cleaned frame is missing expected columns: {missing}")
+        raise ValueError(f"no landing column {missing[0]} in the cleaned batch")
     stamp = loaded_at if loaded_at is not None else F.current_timestamp()
     return renamed.select(
         F.col("invoice_no").cast("string"),

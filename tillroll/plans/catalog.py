@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.session import ensure_session_defaults
+from tillroll.session import ensure_session_defaults, store
 from tillroll.sources.retail import retail_raw
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -24,9 +24,8 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 LOADED_AT = dt.datetime(2026, 1, 1, 0, 0, 0)
 #: "now" for freshness and future-date checks
 NOW = dt.datetime(2026, 1, 1, 18, 0, 0)
-#: expected invoice-date window of the test data and the fact row-count window
+#: expected invoice-date window of the test data
 DATE_WINDOW = (dt.date(1995, 1, 1), dt.date(2001, 12, 31))
-ROW_WINDOW_PER_SF = (4_000_000, 6_000_000)  # clean fact rows per unit of scale factor
 
 
 @dataclass
@@ -55,18 +54,10 @@ def raw(spark: SparkSession, sf_dir: str, *, time_of_day: bool = False) -> DataF
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write an intermediate layer once to shared storage and read it back.
-
-    Used where one derived layer feeds several branches of a query: branches prune different
-    columns, so their subtrees differ and Spark cannot reuse the shuffle; without this the
-    whole derivation (scans, joins, dedupe) would run once per branch. Reading the written
-    table back lets every branch prune columns at the scan instead.
-    """
-    from tillroll.session import scratch_path
-
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """A derived layer written once to shared storage, where it feeds several branches of a query:
+    branches prune different columns, so their subtrees differ and Spark cannot reuse the shuffle;
+    without this the whole derivation (scans, joins, dedupe) would run once per branch."""
+    return store(df, name)
 
 
 def ts_lit(value: dt.datetime) -> F.Column:
@@ -75,16 +66,3 @@ def ts_lit(value: dt.datetime) -> F.Column:
 
 def sql_ts(value: dt.datetime) -> str:
     return f"TIMESTAMP '{value.strftime('%Y-%m-%d %H:%M:%S')}'"
-
-
-def sql_date(value: dt.date) -> str:
-    return f"DATE '{value.isoformat()}'"
-
-
-def scale_factor(sf_dir: str) -> float:
-    """The scale factor encoded in a test-data folder name (``.../sf0.01`` -> 0.01)."""
-    tail = sf_dir.rstrip("/").rsplit("/", 1)[-1]
-    try:
-        return float(tail.removeprefix("sf"))
-    except ValueError:
-        return 1.0

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,9 +13,9 @@ from tillroll.operators import layers as L
 from tillroll.operators import marts as M
 from tillroll.operators import star as S
 from tillroll.plans import oracle as O
-from tillroll.plans.catalog import LOADED_AT, materialize, query, raw, ts_lit
+from tillroll.plans.catalog import LOADED_AT, materialize, query, raw, sql_ts, ts_lit
 from tillroll.session import BRONZE, scratch_path
-from tillroll.sources.raw import align_raw_types, declared_read, read_layer
+from tillroll.sources.raw import align_raw_types, declared_read, read_layer, read_layer_between, read_star_tables
 from tillroll.schema import RAW_COLUMNS
 from pyspark.sql import types as T
 
@@ -82,6 +85,38 @@ def bronze_roundtrip_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+RANGE = (dt.date(1996, 3, 17), dt.date(1997, 2, 9))
+
+
+@query(
+    "bronze_date_range",
+    O.with_ctes()
+    + f"""SELECT CAST(InvoiceDate AS DATE) AS day, count(*) AS rows, CAST(sum(Quantity) AS BIGINT) AS units
+FROM retail_raw WHERE CAST(InvoiceDate AS DATE) BETWEEN DATE '{RANGE[0]}' AND DATE '{RANGE[1]}' GROUP BY 1""",
+    "S3,K1 (partition pruning)",
+)
+def bronze_date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bronze written by event month and read back for a date range: only its months are read."""
+    path = L.write_layer(
+        L.to_bronze(raw(spark, sf_dir)),
+        BRONZE,
+        "transactions",
+        partition_by=["invoice_year", "invoice_month"],
+        root=scratch_path(spark, "lake"),
+    )
+    rows = read_layer_between(spark, path, "InvoiceDate", *RANGE)
+    return rows.groupBy(F.to_date("InvoiceDate").alias("day")).agg(F.count(F.lit(1)).alias("rows"), F.sum("Quantity").alias("units"))
+
+
+@query("raw_csv_read", O.with_ctes() + RAW_SELECT + " FROM retail_raw", "S1")
+def raw_csv_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Land the batch as CSV and read it back under the declared schema, header checked."""
+    path = scratch_path(spark, "raw-csv")
+    keep = dict(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    raw(spark, sf_dir).select(*RAW_COLUMNS).write.options(**keep).csv(path)
+    return declared_read(spark, path, "csv")
+
+
 STD_SELECT = "SELECT InvoiceNo, StockCode, Description, Quantity, InvoiceDate, UnitPrice, CustomerID, Country"
 
 
@@ -90,6 +125,22 @@ def standardize_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.standardize_columns(raw(spark, sf_dir))
 
 
+@query("standardize_text", O.with_ctes(O.STANDARDIZED) + STD_SELECT + " FROM std", "P1,F7")
+def standardize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch as an extract of nothing but text delivers it: month/day dates, quantities and
+    customer ids with a fraction."""
+    whole = lambda c: F.concat(F.col(c).cast("string"), F.lit(".0"))
+    text = raw(spark, sf_dir).withColumns(
+        {
+            "InvoiceDate": F.date_format("InvoiceDate", "M/d/yyyy H:mm"),
+            "Quantity": whole("Quantity"),
+            "CustomerID": whole("CustomerID"),
+            "UnitPrice": F.col("UnitPrice").cast("string"),
+        }
+    )
+    return C.standardize_columns(text.select(*RAW_COLUMNS))
+
+
 @query(
     "drop_missing_description",
     O.with_ctes(O.STANDARDIZED) + STD_SELECT + " FROM std WHERE Description IS NOT NULL AND length(Description) > 0",
@@ -157,10 +208,10 @@ CLEAN_SELECT = (
 @query("clean_data", O.clean_chain() + CLEAN_SELECT, "P8,K3,S4")
 def clean_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The transform stage: clean, write the interim Parquet artifact, read it back."""
-    from tillroll.streaming.events import stage_transform
+    from tillroll.streaming.events import clean_into
 
     path = scratch_path(spark, "interim")
-    stage_transform(raw(spark, sf_dir), path)
+    clean_into(raw(spark, sf_dir), path)
     return read_layer(spark, path)
 
 
@@ -179,6 +230,11 @@ def landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.to_landing_frame(C.clean_data(raw(spark, sf_dir)), ts_lit(LOADED_AT))
 
 
+def landing_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landing written once and read back, for queries with several consumers of it."""
+    return materialize(landing(spark, sf_dir), "landing")
+
+
 def staging(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.stg_transactions(landing(spark, sf_dir))
 
@@ -232,7 +288,7 @@ def landing_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     O.stg_chain()
     + """SELECT md5(concat_ws('-', coalesce(CAST(invoice_no AS VARCHAR), '<null>'),
                 coalesce(CAST(product_key AS VARCHAR), '<null>'),
-                coalesce(strftime(invoiced_at, '%Y-%m-%d %H:%M:%S'), '<null>'),
+                coalesce(strftime(invoiced_at, '%Y-%m-%d %H:%M:%S.%f'), '<null>'),
                 coalesce(CAST(unit_price AS VARCHAR), '<null>'),
                 coalesce(CAST(quantity AS VARCHAR), '<null>'))) AS sales_key,
        invoice_no, date_key, customer_key, product_key, country, quantity, unit_price, line_revenue, invoiced_at
@@ -253,3 +309,62 @@ def fct_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def fact_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.fact_transactions(C.clean_data(raw(spark, sf_dir)))
+
+
+LATER = LOADED_AT + dt.timedelta(days=1)
+
+
+@query(
+    "landing_append",
+    O.with_ctes(O.STANDARDIZED, O.CLEAN, O.LANDING)
+    + f"""SELECT {sql_ts(LOADED_AT)} AS loaded_at, count(*) AS rows, count(*) AS rows_written, count(*) AS rows_in_table,
+       CAST(sum(quantity) AS BIGINT) AS units FROM landing
+UNION ALL SELECT {sql_ts(LATER)}, count(*), count(*), 2 * count(*), CAST(sum(quantity) AS BIGINT) FROM landing""",
+    "K4,P17 (append)",
+)
+def landing_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two loads appended to one landing table, with what each load reported."""
+    path = scratch_path(spark, "landing")
+    cleaned = clean_table(spark, sf_dir)
+    reports = []
+    for stamp in (LOADED_AT, LATER):
+        done = S.load_to_landing(cleaned, path, truncate=False, loaded_at=ts_lit(stamp))
+        reports.append((stamp, done["rows_written"], done["rows_in_table"]))
+    told = spark.createDataFrame(reports, "loaded_at timestamp, rows_written long, rows_in_table long")
+    rows = read_layer(spark, path).groupBy("loaded_at").agg(F.count(F.lit(1)).alias("rows"), F.sum("quantity").alias("units"))
+    return rows.join(F.broadcast(told), "loaded_at")  # a row per load
+
+
+@query(
+    "star_append",
+    O.clean_chain()
+    + """SELECT 'transactions' AS star_table, 2 * count(*) AS rows, count(DISTINCT StockCode) AS keys FROM clean
+UNION ALL SELECT 'products', 2 * count(DISTINCT StockCode), count(DISTINCT StockCode) FROM clean
+UNION ALL SELECT 'customers', 2 * count(DISTINCT CustomerID), count(DISTINCT CustomerID) FROM clean""",
+    "K5 (append)",
+)
+def star_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The star loaded twice in append mode: rows and keys of each table."""
+    root = scratch_path(spark, "star")
+    cleaned = clean_table(spark, sf_dir)
+    for _ in range(2):
+        S.load_star(cleaned, root, mode="append")
+    tables = zip(("transactions", "customers", "products"), read_star_tables(spark, root), ("stock_code", "customer_id", "stock_code"))
+    counted = [
+        t.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(key).alias("keys")).select(F.lit(name).alias("star_table"), "*")
+        for name, t, key in tables
+    ]
+    return functools.reduce(DataFrame.unionByName, counted)
+
+
+@query(
+    "staging_view",
+    O.stg_chain() + "SELECT date_key, country, count(*) AS lines, CAST(sum(line_revenue) AS DECIMAL(24,4)) AS revenue FROM stg GROUP BY ALL",
+    "K6",
+)
+def staging_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Staging as a session view over the landing table, queried with SQL."""
+    view = M.staging_view(landing_table(spark, sf_dir))
+    return spark.sql(
+        f"SELECT date_key, country, count(*) AS lines, CAST(sum(line_revenue) AS DECIMAL(24,4)) AS revenue FROM {view} GROUP BY date_key, country"
+    )

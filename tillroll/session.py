@@ -4,18 +4,23 @@ The session is configured once, identically for jobs, tests and the bench: UTC,
 adaptive execution with skew-join handling, and a reliable checkpoint directory.
 
 Shared storage: jobs that cut lineage (``checkpoint()``) or write lake tables use the folder
-the cluster names in ``spark.checkpoint.dir``. Only when that setting is absent *and* the
-master is local (tests, the bench) do we create a scratch folder of our own.
+the cluster names in ``spark.checkpoint.dir``; a cluster without it is refused. Only where it is
+unset *and* the master is one local JVM (tests, the bench) is a folder of our own made, which
+goes when the driver ends.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
+import re
+import shutil
 import sys
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 BRONZE = "bronze"
 SILVER = "silver"
@@ -38,9 +43,9 @@ def build_session(
 ) -> SparkSession:
     """A session with the settings every job in this package relies on.
 
-    ``shuffle_partitions`` is only a starting value: AQE coalesces small post-shuffle
-    partitions and splits skewed ones from runtime statistics, so the same code serves a
-    laptop and a large cluster.
+    ``shuffle_partitions`` is a starting value for joins and aggregates: AQE coalesces small
+    post-shuffle partitions and splits skewed ones. Ranked slices take their number from the
+    rows to rank (``operators.rank``), as AQE leaves an explicit number alone.
     """
     os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
     os.environ.setdefault("PYSPARK_DRIVER_PYTHON", sys.executable)
@@ -84,7 +89,19 @@ def ensure_session_defaults(spark: SparkSession) -> None:
 
 
 def _is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    """One JVM on one machine (``local``, ``local[n]``): not a cluster of any kind."""
+    return re.match(r"local(\[|$)", spark.sparkContext.master) is not None
+
+
+def _remove_at_exit(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of this run when the driver ends, wherever its file system is."""
+
+    def remove() -> None:
+        with contextlib.suppress(Exception):  # the session may be gone already
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    atexit.register(remove)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -108,6 +125,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
             "spark.checkpoint.dir is not set: a shared, reliable folder is required on a cluster"
         )
     scratch = tempfile.mkdtemp(prefix="tillroll-ckpt-")
+    atexit.register(shutil.rmtree, scratch, ignore_errors=True)
     sc.setCheckpointDir(scratch)
     return sc.getCheckpointDir() or scratch
 
@@ -128,10 +146,26 @@ def lake_path(spark: SparkSession, layer: str, table: str, root: str | None = No
     return f"{lake_root(spark, root)}/{layer}/{table}"
 
 
+_RUN = uuid.uuid4().hex[:12]
+_runs: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never-reused location in shared storage for one run of one job.
 
-    Everything under ``<lake>/runs/`` is per-run intermediate data (materialised layers,
-    stream inboxes and checkpoints of one-off runs): a scratch area meant to be expired by the
-    storage's lifecycle rule, never read by a later run."""
-    return lake_path(spark, "runs", f"{name}-{uuid.uuid4().hex[:12]}")
+    Everything this driver writes there (materialised layers, stream inboxes and checkpoints of
+    one-off runs) lies in one folder of its own, which is removed when the driver ends; no later
+    run reads it. A driver that is killed leaves its folder to the storage's lifecycle rule."""
+    run = f"{lake_root(spark)}/runs/{_RUN}"
+    if run not in _runs:
+        _runs.add(run)
+        _remove_at_exit(spark, run)
+    return f"{run}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Write a derived table once to shared storage and read it back, where several parts of a job
+    read it with different columns."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -1,11 +1,13 @@
 """Raw and layer reads.
 
 Raw data is read under a declared schema: no inference pass, and a batch whose shape changed
-fails visibly (CSV in FAILFAST mode; Parquet type mismatches raise on read).
+fails visibly (CSV header and records; Parquet columns and types).
 """
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,14 +21,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
     return df.select(*columns) if columns else df
 
 
+class DeclaredSchemaError(ValueError):
+    """A file does not have the columns that were declared for it."""
+
+
 def declared_read(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType = RAW_SCHEMA) -> DataFrame:
     """Read raw invoice lines under the declared schema (never inferred).
 
-    CSV uses FAILFAST so a malformed record aborts the read instead of becoming nulls.
+    A batch of another shape fails visibly: a CSV header must have the declared names in their
+    order, and a malformed CSV record aborts the read; a Parquet file that lacks declared columns
+    is refused by their names (its own schema is in its footer, so that costs no scan).
     """
     reader = spark.read.schema(schema)
     if fmt == "csv":
-        reader = reader.option("header", True).option("mode", "FAILFAST")
+        reader = reader.options(header=True, mode="FAILFAST", enforceSchema=False)
+    elif fmt == "parquet":
+        lacking = [n for n in schema.fieldNames() if n not in spark.read.parquet(path).columns]
+        if lacking:
+            raise DeclaredSchemaError(f"{path} lacks the declared columns {', '.join(lacking)}")
     return reader.format(fmt).load(path)
 
 
@@ -71,6 +83,17 @@ def read_layer(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def read_layer_between(spark: SparkSession, path: str, date_column: str, first: dt.date, last: dt.date) -> DataFrame:
+    """S3: the rows of a layer partitioned by invoice_year and invoice_month whose date lies in
+    [first, last]. The range also becomes a predicate on the partition columns, so months outside
+    it are never listed or read; the dates of the months at its ends are compared row by row."""
+    year, number = F.col("invoice_year"), F.col("invoice_month")
+    after = (year > first.year) | ((year == first.year) & (number >= first.month))
+    before = (year < last.year) | ((year == last.year) & (number <= last.month))
+    day = F.to_date(F.col(date_column))
+    return read_layer(spark, path).filter(after & before & day.between(F.lit(first), F.lit(last)))
+
+
 def read_star_tables(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The three operational star tables.
 
@@ -93,11 +116,13 @@ MIXED_TIMESTAMP_FORMATS = [
     "yyyy-MM-dd'T'HH:mm:ss",
     "yyyy-MM-dd HH:mm",
     "yyyy-MM-dd",
-    "dd/MM/yyyy HH:mm",
-    "MM/dd/yyyy HH:mm",
+    "M/d/yyyy H:mm:ss",
+    "M/d/yyyy H:mm",
+    "M/d/yyyy",
+    "d/M/yyyy H:mm",
 ]
 
 
 def parse_mixed_timestamp(col: F.Column) -> F.Column:
-    """First format that parses wins; null when none does."""
+    """First format that parses wins, month before day where both could; null when none does."""
     return F.coalesce(*[F.try_to_timestamp(col, F.lit(fmt)) for fmt in MIXED_TIMESTAMP_FORMATS])
