@@ -300,8 +300,8 @@ def db_log_unparsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{_logged(spark, sf_dir)}/unparsed").select("raw_line")
 
 
-LAG_SQL = """SELECT event_type AS stage, count(*) AS events, round(max(3600.0 * (1 + date_part('hour', ts))), 3) AS max_lag_s,
-       round(sum(3600.0 * (1 + date_part('hour', ts))), 3) AS sum_lag_s
+LAG_SQL = """SELECT event_type AS stage, count(*) AS events, CAST(max(3600 * (1 + date_part('hour', ts))) AS DOUBLE) AS max_lag_s,
+       CAST(sum(3600 * (1 + date_part('hour', ts))) AS DOUBLE) AS sum_lag_s
 FROM events GROUP BY event_type"""
 
 
