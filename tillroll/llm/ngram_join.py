@@ -42,11 +42,13 @@ PERCENT = 75
 #: Hashes below this are scanned in step 2: half of the range.
 SCAN_BELOW = 1 << 63
 #: Entries that a task packs, merges or searches at once, about.
-ENTRIES = 1_000_000
+ENTRIES = 400_000
 #: Coarse groups of more hashes than this are cut into blocks.
-GROUP_ENTRIES = 2_000_000
+GROUP_ENTRIES = 1_000_000
 #: Sets whose ids are broadcast to pick their documents; more go through a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Word hashes that a task remembers; beyond it the table starts anew.
+REMEMBERED = 200_000
 #: A long list is probed when merging it costs this many times its binary search, per candidate.
 PROBE_COST = 4.0
 
@@ -61,7 +63,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 2_000_000:
+        if len(self) >= REMEMBERED:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word)
         return value
@@ -347,7 +349,7 @@ def spanning_links(keys: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int,
     def overlap(candidates: np.ndarray, count: np.ndarray, long_lists: np.ndarray) -> np.ndarray:
         """Merged occurrences plus binary probes of the long lists."""
         total = count.copy()
-        step = max(1, 2_000_000 // max(1, len(long_lists)))
+        step = max(1, 500_000 // max(1, len(long_lists)))
         for a in range(0, len(candidates), step):
             wanted = long_lists[:, None] * docs + candidates[None, a : a + step]
             at = np.minimum(np.searchsorted(postings, wanted), len(postings) - 1)
