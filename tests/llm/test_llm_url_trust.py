@@ -82,6 +82,18 @@ def test_hosts_that_link_to_blocked_ones_are_blocked(spark):
     assert got == {1: "allow", 2: "allow", 3: "block", 4: "block", 5: "block", 6: "allow"}
 
 
+def test_distrust_arrives_however_many_hosts_there_are(spark):
+    chain = [f"spam{i}" for i in range(33, 0, -1)] + ["bad"]
+    seeds = [("bad", 0.0, 100.0)] + [(f"other{i}", 100.0, 0.0) for i in range(2000)]
+    got = ut.propagate(
+        spark.createDataFrame(seeds, "host string, trust double, distrust double").coalesce(1),
+        spark.createDataFrame([(*ab, 1) for ab in zip(chain, chain[1:])], "src string, dst string, links long"),
+    )
+    found = {r.host: r.distrust for r in got.filter("trust = 0").collect()}
+    for hops, host in enumerate(reversed(chain)):
+        assert found[host] == pytest.approx((1 - ut.DAMPING) * 100 * ut.DAMPING**hops), host
+
+
 def test_links_are_summed_per_host_pair(spark):
     rows = [(i, "http://hot.net/", link("a.org", "b.org", "hot.net")) for i in range(50)] + [(99, None, link("a.org"))]
     found = {(r.src, r.dst): r.links for r in ut.host_links(pages(spark, rows)).collect()}

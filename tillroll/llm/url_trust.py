@@ -9,8 +9,11 @@ against the links: who links to a blocked host is distrusted. A host is blocked
 reaches ``threshold`` of what has arrived there; a host that nothing reached is allowed.
 
 Links are summed to weighted host pairs before any iteration, so iterations see hosts, never
-pages. Each iteration is written to the shared folder, which cuts lineage; they end when no host
-changes by more than ``tolerance`` of the seeds, or after ``most_steps``.
+pages. Each iteration is written to the shared folder, which cuts lineage. Trust and distrust only
+grow from step to step; the iterations end when neither has grown at any host by more than
+``tolerance`` of what that host has of it. A host reached for the first time has grown by all it
+has, so they go on while anything is still on its way, however small it is beside the whole
+table. What is yet to come is then about ``tolerance`` times the links it has run over.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and
 is allowed; a null page is a page without links; repeated rows are judged alike; an empty table
@@ -20,6 +23,7 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,8 +40,8 @@ RULES = (
 )
 DAMPING = 0.85
 THRESHOLD = 0.75
-TOLERANCE = 1e-4
-MOST_STEPS = 30
+#: Growth of a host's trust or distrust in a step, as a share of it, from which it counts as settled.
+TOLERANCE = 1e-6
 
 _HOST_AND_PATH = r"(?s)\A.*?://([^/?#]*)([^?#]*)"
 _LINK = r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#\"'\s>]+)"
@@ -98,9 +102,12 @@ def host_links(pages: DataFrame) -> DataFrame:
 
 
 def propagate(
-    seeds: DataFrame, links: DataFrame, *, damping: float = DAMPING, tolerance: float = TOLERANCE, most_steps: int = MOST_STEPS
+    seeds: DataFrame, links: DataFrame, *, damping: float = DAMPING, tolerance: float = TOLERANCE, most_steps: int | None = None
 ) -> DataFrame:
-    """host, trust, distrust, from ``seeds`` (host, trust, distrust) and ``links`` (src, dst, links)."""
+    """host, trust, distrust, from ``seeds`` (host, trust, distrust) and ``links`` (src, dst, links).
+
+    Goes on until all hosts have settled, which damping below 1 makes sure of, unless the caller
+    asks for ``most_steps``."""
     out = links.groupBy("src").agg(F.sum("links").alias("out_links"))
     into = links.groupBy("dst").agg(F.sum("links").alias("in_links"))
     edges = stash(
@@ -123,8 +130,8 @@ def propagate(
     )
     if edges.isEmpty():
         return rank
-    mass = base.agg(F.sum(F.col("seed_trust") + F.col("seed_distrust"))).first()[0] or 0.0
-    for _ in range(most_steps):
+    grown = lambda now, then: F.when(now > 0, (now - then) / now).otherwise(F.lit(0.0))
+    for _ in count() if most_steps is None else range(most_steps):
         forth = edges.join(rank, F.col("src") == F.col("host")).select(
             F.col("dst").alias("to"), (F.col("trust") * F.col("forth")).alias("t"), F.lit(0.0).alias("d")
         )
@@ -140,12 +147,12 @@ def propagate(
         before = rank.select(F.col("host").alias("h"), F.col("trust").alias("t0"), F.col("distrust").alias("d0"))
         step = stash(
             flowed.join(before, F.col("host") == F.col("h")).select(
-                "host", "trust", "distrust", F.greatest(F.abs(F.col("trust") - F.col("t0")), F.abs(F.col("distrust") - F.col("d0"))).alias("change")
+                "host", "trust", "distrust", F.greatest(grown(F.col("trust"), F.col("t0")), grown(F.col("distrust"), F.col("d0"))).alias("change")
             ),
             "host-rank",
         )
         rank = step.drop("change")
-        if (step.agg(F.max("change")).first()[0] or 0.0) <= tolerance * mass:
+        if (step.agg(F.max("change")).first()[0] or 0.0) <= tolerance:
             break
     return rank
 
