@@ -41,6 +41,27 @@ def test_a_small_group_stays_together(make_docs):
     assert len({r.shard for r in got}) == 1
 
 
+def test_groups_that_fit_a_shard_stay_together(make_docs):
+    copies = {"pair": 2, "twenty": 20, "most 100": 60}
+    rows = [(i, f"text {i} " * 30) for i in range(3000)]
+    rows += [(10_000 * (g + 1) + i, f"{t} " * 30) for g, (t, n) in enumerate(copies.items()) for i in range(n)]
+    got = sharding.shard_documents(make_docs(rows)).filter("doc_id >= 10000").collect()
+    shards = defaultdict(set)
+    for r in got:
+        shards[r.doc_id // 10_000].add(r.shard)
+    assert [len(shards[g + 1]) for g in range(3)] == [1, 1, 1]
+
+
+def test_a_group_above_a_shard_is_split_into_few_pieces(make_docs):
+    rows = [(i, f"text {i} " * 30) for i in range(2000)] + [(10_000 + i, "hot text 12 " * 25) for i in range(500)]
+    got = sharding.shard_documents(make_docs(rows), shards=8).collect()
+    size = defaultdict(int)
+    for r in got:
+        size[r.shard] += r.size
+    assert 2 <= len({r.shard for r in got if r.doc_id >= 10_000}) <= 4
+    assert max(size.values()) <= 1.02 * sum(size.values()) / 8
+
+
 def test_edge_rows(make_docs):
     docs = make_docs([(1, None), (None, None), (2, ""), (3, "é"), (3, "é"), (4, "x" * 200_000)])
     got = sharding.as_contract(sharding.shard_documents(docs)).collect()

@@ -1,12 +1,14 @@
 """Vector bin packing of documents into shards.
 
-Every document demands a vector (bytes, words, rows). Documents of equal text form a group;
-groups are placed whole unless one alone exceeds a lot (``1 / (shards * lots_per_shard)`` of
-any total), in which case it is split by document id into chunks of about a lot. All other
-groups are dealt into lots by the hash of their text. The lots, whose number the parameters
-bound whatever the input, are placed one after the other, largest first, each on the shard
-where the dot product of its demand with the residual capacity is highest. Rows never pass
-through the driver: it sees only the lots' totals.
+Every document demands a vector (bytes, words, rows). Documents of equal text form a group, and
+a group is placed whole unless it exceeds a shard's capacity (an equal share of any total): only
+then is it split, by document id, into pieces of about ``PIECE`` of a shard. A group above a lot
+(``1 / (shards * lots_per_shard)`` of any total) is an item of its own; all smaller groups are
+dealt into lots by the hash of their text. The items, whose number the parameters bound whatever
+the input, are placed one after the other, largest first, each on the shard where the dot product
+of its demand with the residual capacity is highest. An item's rows are numbered in chunks of
+about a lot, so no task holds a large group. Rows never pass through the driver: it sees only
+the chunks' totals.
 
 Defined results: a null text has no bytes and no words and forms a group of its own; an empty
 table gives an empty result; repeated rows are separate rows of one group; other columns are
@@ -24,6 +26,8 @@ from tillroll.llm.common import stash, table, word_count
 SHARDS = 40
 LOTS_PER_SHARD = 256
 ROW_OVERHEAD = 16
+#: About so much of a shard is a piece of a group that no shard holds.
+PIECE = 0.5
 #: Weight of each dimension in the dot product: bytes decide, words and rows break near ties.
 WEIGHTS = (1.0, 0.1, 0.02)
 
@@ -74,7 +78,11 @@ def shard_documents(
     large = (
         rows.groupBy(*group)
         .agg(F.count("*").alias("n"), F.max("words").alias("words"))
-        .select(*group, F.ceil(share * lots).cast("int").alias("chunks"))
+        .select(
+            *group,
+            F.ceil(share * lots).cast("int").alias("chunks"),
+            F.when(share * shards > 1, F.ceil(share * shards / F.lit(PIECE))).otherwise(1).cast("int").alias("pieces"),
+        )
         .filter(F.col("chunks") > 1)
     )
     dealt = rows.join(F.broadcast(large), group, "left").select(
@@ -85,15 +93,20 @@ def shard_documents(
         F.when(F.col("chunks").isNull(), F.lit(-1).cast("long"))
         .otherwise(F.pmod(F.xxhash64("doc_id"), F.coalesce("chunks", F.lit(1)).cast("long")))
         .alias("lot_chunk"),
+    ).withColumn(
+        "piece",
+        F.when(F.col("chunks").isNull(), -1).otherwise(F.floor(F.col("lot_chunk") * F.col("pieces") / F.col("chunks"))).cast("int"),
     )
     sums = (
-        dealt.groupBy("lot_key", "lot_chunk")
+        dealt.groupBy("lot_key", "piece", "lot_chunk")
         .agg(F.sum("size").alias("size"), F.sum("words").alias("words"), F.count("*").alias("n"))
-        .orderBy("lot_key", "lot_chunk")
+        .orderBy("lot_key", "piece", "lot_chunk")
         .toPandas()  # bounded by the parameters: the lots and the chunks of large groups
     )
-    shard = place(sums[["size", "words", "n"]].to_numpy(dtype=float).reshape(-1, 3), shards, weights)
-    sums["shard"] = shard
+    item = sums.groupby(["lot_key", "piece"], sort=True).ngroup().to_numpy()
+    demands = np.zeros((item.max(initial=-1) + 1, 3))
+    np.add.at(demands, item, sums[["size", "words", "n"]].to_numpy(dtype=float).reshape(-1, 3))
+    sums["shard"] = place(demands, shards, weights)[item]
     sums["first_slot"] = sums.groupby("shard")["n"].cumsum() - sums["n"]
     placed = spark.createDataFrame(
         list(sums[["lot_key", "lot_chunk", "shard", "first_slot"]].itertuples(index=False, name=None)),
