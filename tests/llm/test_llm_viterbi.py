@@ -47,6 +47,16 @@ def test_byte_fallback_counts_bytes():
     assert viterbi.PieceCounter([("▁a", -1.0), ("▁", -2.0)])("▁aé€") == 2
 
 
+def test_public_vocabulary_on_uncovered_scripts(make_docs):
+    pieces = viterbi.read_vocabulary(viterbi.VOCABULARY)
+    lowest = min(score for _, score in pieces)
+    tokenizer = reference([*pieces, *((f"<0x{b:02X}>", lowest) for b in range(256))], byte_fallback=True)
+    texts = ["\U00010348" * 1000, "ሰላም ለዓለም the ሰላምworld", "a\U0001f9ffb ߊߋ", "plain words"]
+    got = {r.doc_id: r.n_tokens for r in viterbi.count_tokens(make_docs(list(enumerate(texts)))).collect()}
+    assert got == {i: len(tokenizer.encode(t).tokens) for i, t in enumerate(texts)}
+    assert got[0] == 4001
+
+
 def test_edge_rows(make_docs):
     docs = make_docs([(1, None), (2, ""), (3, " \n"), (None, "the"), (4, "the"), (4, "the"), (5, "z" * 50_000)])
     got = sorted(((r.doc_id, r.n_words) for r in viterbi.count_tokens(docs).collect()), key=str)

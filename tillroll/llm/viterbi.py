@@ -5,8 +5,9 @@ all vocabulary pieces in it, by end and longest first. Dynamic programming over
 the best score and the number of pieces on the way to it. Ties go as in the tokenizer: a
 candidate replaces the best only if its score is strictly higher, and candidates for one end
 come in the order of their starts. A character that is no piece of its own may be taken as
-unknown, ten below the lowest score; a run of unknown characters is one token (or, with
-``byte_fallback``, one token per UTF-8 byte).
+unknown, ten below the lowest score; with ``byte_fallback`` it is one token per UTF-8 byte, else
+a run of unknown characters is one token. A vocabulary that has a piece for every byte is
+counted with byte fallback.
 
 Words are counted once per task and looked up afterwards, in a table of bounded size.
 
@@ -42,6 +43,14 @@ def read_vocabulary(path: str) -> list[tuple[str, float]]:
     ]
 
 
+def has_byte_pieces(path: str) -> bool:
+    """Whether a sentencepiece file has a piece for every byte, so that nothing is unknown."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    return sum(model.is_byte(i) for i in range(model.get_piece_size())) == 256
+
+
 class PieceCounter:
     """Counts the pieces of the best segmentation."""
 
@@ -112,9 +121,12 @@ def counter(vocabulary, byte_fallback: bool):
     return count
 
 
-def count_tokens(docs: DataFrame, *, vocabulary: str = VOCABULARY, byte_fallback: bool = False) -> DataFrame:
-    """Words and tokens of every document. The vocabulary is of fixed size and is broadcast."""
+def count_tokens(docs: DataFrame, *, vocabulary: str = VOCABULARY, byte_fallback: bool | None = None) -> DataFrame:
+    """Words and tokens of every document. The vocabulary is of fixed size and is broadcast; it
+    decides on ``byte_fallback`` unless the caller does."""
     spark = docs.sparkSession
+    if byte_fallback is None:
+        byte_fallback = has_byte_pieces(vocabulary)
     shared = spark.sparkContext.broadcast(read_vocabulary(vocabulary))
     ship_by_value(__name__)
     small_batches(spark)
