@@ -29,6 +29,37 @@ def test_article_without_its_surroundings(spark):
     assert texts(spark, [(1, "http://a.b/", page)]) == {1: (text, len(text))}
 
 
+def blocks(page):
+    return [t for t, _ in hm.page_blocks(page)]
+
+
+def test_figures_and_named_sections_of_an_article_stay():
+    page = (
+        "<article><figure><pre>code</pre><figcaption>caption</figcaption></figure>"
+        "<h2 id='related-work'>Related work</h2><section id='social-history'><p>history</p></section>"
+        "<section id='notice-period'><p>period</p></section><div class='share-prices'><p>prices</p></div>"
+        "<h2 class='header'>head</h2><div id='related'><p>anchor</p></div>"
+        "<div class='share-buttons x'><p>Share!</p></div></article>"
+    )
+    assert blocks(page) == ["code", "caption", "Related work", "history", "period", "prices", "head", "anchor"]
+
+
+def test_names_of_the_body_and_of_wrappers_leave_the_page():
+    assert blocks("<body class='right-sidebar'><div>text</div></body>") == ["text"]
+    assert blocks("<body class='has-banner'><div class='has-banner'><div role='main'>text</div></div></body>") == ["text"]
+    assert blocks("<body id='header'><div class='right-sidebar'>side</div><p>text</p></body>") == ["text"]
+    assert blocks("<header>Site<div role='main'>text</div>") == ["text"]
+
+
+def test_articles_within_dropped_parts_stay_out():
+    inner = "<article><p>not this</p></article>"
+    parts = ["<section id='comments'>{}</section>", "<aside>{}</aside>", "<nav>{}</nav>", "<footer>{}</footer>", "<div class='related-posts'>{}</div>"]
+    for part in parts:
+        assert blocks("<main><p>this</p></main>" + part.format(inner)) == ["this"], part
+        assert blocks(part.format(inner) + "<article><p>this</p></article>") == ["this"], part
+    assert blocks("<form><article><p>this</p></article></form>") == ["this"]
+
+
 def test_given_pages_give_their_articles(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
     got = texts(spark, [(r.page_id, r.url, r.html) for r in rows])

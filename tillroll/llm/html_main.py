@@ -38,7 +38,7 @@ CHUNK_TOKENS = 500_000
 # What elements and names mean.
 DROPPED = frozenset(
     "nav header footer aside form script style noscript template iframe object svg canvas button select "
-    "textarea input label menu dialog head title audio video figure datalist".split()
+    "textarea input label menu dialog head title audio video datalist".split()
 )
 ARTICLE = frozenset(["article", "main"])
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,11 +46,24 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span "
     "strike strong sub sup time tt u var wbr".split()
 )
-DROPPED_NAME = re.compile(
-    r"(?i)(?:^|[-_\s])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|alert|popup|modal|overlay|"
+#: Elements whose class and id say what they hold; those of body, headings or text don't.
+CONTAINER = frozenset("article div section ul ol li dl table tr td fieldset details".split())
+_NAME = (
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|alert|popup|modal|overlay|"
     r"newsletter|subscribe|signup|login|side-?bar|nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|"
-    r"header|masthead|footer|comments?|disqus|replies|share|sharing|social|related|recommended|toolbar|widget)(?:$|[-_\s])"
+    r"header|masthead|footer|comments?|disqus|replies|share|sharing|social|related|recommended|toolbar|widget"
 )
+#: Words that leave the name beside them its meaning.
+_BESIDE = (
+    r"left|right|top|bottom|site|main|global|primary|secondary|area|bar|box|block|slot|unit|list|links|buttons|"
+    r"icons|posts|articles|stories|items|thread"
+)
+#: A whole class token or id, made of such names and the words beside them.
+DROPPED_NAME = re.compile(rf"(?i)(?:(?:{_BESIDE})[-_]+)*(?:{_NAME})(?:[-_]+(?:{_NAME}|{_BESIDE}))*\Z")
+COMMENTS_NAME = re.compile(r"(?i)(?:comments?|disqus|replies)(?:[-_]+(?:area|list|thread))*\Z")
+#: Parts that an article within them doesn't end: comments, teasers of other articles.
+SIDE = frozenset(["aside", "nav", "footer"])
+SIDE_NAME = re.compile(r"(?i)(?:comments?|disqus|replies|related|recommended|side-?bar)(?:[-_]|\Z)|(?:left|right)[-_]+side-?bar\Z")
 DROPPED_ROLE = frozenset(
     "navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split()
 )
@@ -68,7 +81,7 @@ class BlockParser(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool]] = []  # tag, dropped from here, in an article
+        self.open: list[tuple[str, bool, bool, bool]] = []  # tag, dropped from here, in an article, in a side part
         self.blocks: list[tuple[str, bool]] = []
         self.data: list[str] = []
 
@@ -86,18 +99,27 @@ class BlockParser(HTMLParser):
         if tag in VOID:
             return
         named = {k: v or "" for k, v in attrs if k in ("class", "id", "role", "aria-hidden", "hidden")}
+        _, dropped, inside, side = self.open[-1] if self.open else ("", False, False, False)
+        names = []
+        if tag in CONTAINER:
+            is_dropped = COMMENTS_NAME if tag == "article" else DROPPED_NAME
+            names = [n for n in BLANK.split(named.get("class", "")) if is_dropped.match(n)]
+            # in an article an id is an anchor, unless it is that of the comments
+            if (COMMENTS_NAME if inside else is_dropped).match(named.get("id", "")):
+                names.append(named["id"])
         marked = (
             tag in DROPPED
             or "hidden" in named
             or named.get("aria-hidden") == "true"
             or named.get("role", "").lower() in DROPPED_ROLE
-            or bool(DROPPED_NAME.search(named.get("class", "")) or DROPPED_NAME.search(named.get("id", "")))
+            or bool(names)
         )
-        if tag in ARTICLE and not marked and not (self.open and self.open[-1][2]):
-            self.open.clear()  # what was left open before the article doesn't hold it
-        dropped, inside = self.open[-1][1:] if self.open else (False, False)
         main = tag in ARTICLE or named.get("role", "").lower() in ("main", "article")
-        self.open.append((tag, dropped or marked, inside or main))
+        if main and not (marked or inside or side):
+            self.open.clear()  # what was left open before the article doesn't hold it
+            dropped = False
+        side = side or tag in SIDE or any(SIDE_NAME.match(n) for n in names)
+        self.open.append((tag, dropped or marked, inside or main, side))
 
     def handle_startendtag(self, tag, attrs):
         if tag not in INLINE:
