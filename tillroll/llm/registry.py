@@ -17,6 +17,7 @@ MODULES = (
     "chat",
     "ngram_join",
     "secrets",
+    "pieces",
 )
 
 
