@@ -18,6 +18,7 @@ MODULES = (
     "ngram_join",
     "secrets",
     "pieces",
+    "periodic",
 )
 
 
