@@ -19,6 +19,7 @@ MODULES = (
     "secrets",
     "pieces",
     "periodic",
+    "whitening",
 )
 
 
