@@ -152,8 +152,7 @@ def encoder(model, cuts: str, table_bytes: int):
                 known = ChunkTable(tokenizer, cuts)
             numbers: list[int] = []
             stops = [0]
-            for text in batch.column(1):
-                text = text.as_py()
+            for text in batch.column(1).to_pylist():
                 if text:
                     numbers += map(known.__getitem__, find(MARK + text.replace(" ", MARK)))
                 stops.append(len(numbers))
@@ -174,7 +173,10 @@ def decoder(model):
 
         tokenizer = load(model.value)
         for batch in batches:
-            texts = [tokenizer.decode(ids.as_py() or []) for ids in batch.column(1)]
+            ids = batch.column(1)
+            flat = ids.flatten().to_numpy().tolist()
+            stops = np.cumsum(ids.value_lengths().fill_null(0).to_numpy()).tolist()
+            texts = [tokenizer.decode(flat[a:b]) for a, b in zip([0, *stops], stops)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return decoded
