@@ -37,7 +37,7 @@ def line(day, **changes):
 def _ingest(spark, tmp_path, **options):
     inbox, sink, dead, ck = (str(tmp_path / p) for p in ("inbox", "sink", "dead", "ck"))
     I.await_all(I.start_event_ingest(spark, inbox, sink, dead, ck, **options))
-    return spark.read.parquet(sink), spark.read.parquet(dead)
+    return I.read_events(spark, sink), spark.read.parquet(dead)
 
 
 def test_event_ingest_keeps_all_refuses_what_does_not_fit_and_resumes(spark, tmp_path):
@@ -75,14 +75,53 @@ def test_a_batch_that_runs_again_replaces_what_it_stored(spark, tmp_path):
     events = I.enrich_events(I.classify_event_lines(lines))
     for _ in range(2):
         I._store(events, str(tmp_path / "sink"), 0, by="event_date")
-    assert spark.read.parquet(str(tmp_path / "sink")).count() == 2
+    sink = str(tmp_path / "sink")
+    assert spark.read.parquet(sink).count() == I.read_events(spark, sink).count() == 2
+    assert sorted(p.name for p in (tmp_path / "sink").glob("*/*")) == ["batch=0", "batch=0"]
 
 
 def test_a_backlog_is_taken_in_bounded_batches(spark, tmp_path):
     for day in (1, 2, 3):
         _write_lines(spark, str(tmp_path / "inbox"), [line(day)])
     accepted, _ = _ingest(spark, tmp_path, max_files=1)
-    assert accepted.count() == 3 and len(list((tmp_path / "sink").glob("batch=*"))) == 3
+    assert accepted.count() == 3 and len({p.name for p in (tmp_path / "sink").glob("*/batch=*")}) == 3
+
+
+def test_a_day_is_read_from_its_own_folder_and_compacted(spark, tmp_path):
+    sink, ck = str(tmp_path / "sink"), str(tmp_path / "ck")
+    for hour in range(3):
+        _write_lines(spark, str(tmp_path / "inbox"), [line(1), line(2), line(2, stage=f"s{hour}")])
+        _ingest(spark, tmp_path)
+    day = "2024-02-02"
+    before = sorted(map(str, I.read_events(spark, sink, [day]).collect()))
+    assert len(before) == 6 and I.last_batch(spark, ck) == 2
+    assert all(f"event_date={day}/" in f for f in I.read_events(spark, sink, [day]).inputFiles())
+    # a compaction that did not finish is passed over
+    I.read_events(spark, sink, [day]).drop("event_date").write.parquet(f"{sink}/event_date={day}/upto=1")
+    (tmp_path / "sink" / f"event_date={day}" / "upto=1" / "_SUCCESS").unlink()
+    assert sorted(map(str, I.read_events(spark, sink, [day]).collect())) == before
+    assert I.compact_day(spark, sink, day, I.last_batch(spark, ck)) == 6
+    assert [p.name for p in (tmp_path / "sink" / f"event_date={day}").iterdir()] == ["upto=2"]
+    assert sorted(map(str, I.read_events(spark, sink, [day]).collect())) == before
+    assert I.compact_day(spark, sink, day, 2) == 0
+    # a folder that a finished compaction covers is passed over, a later batch is added
+    I.read_events(spark, sink, [day]).drop("event_date").write.parquet(f"{sink}/event_date={day}/batch=1")
+    _write_lines(spark, str(tmp_path / "inbox"), [line(2, stage="late")])
+    _ingest(spark, tmp_path)
+    assert I.read_events(spark, sink, [day]).count() == 7 and I.read_events(spark, sink).count() == 10
+    assert I.read_events(spark, sink, ["2020-01-01"]).count() == 0
+
+
+def test_appended_lines_and_half_lines(spark, tmp_path):
+    (tmp_path / "inbox").mkdir()
+    log = tmp_path / "inbox" / "events.log"
+    log.write_text(line(1) + "\n" + line(2)[:30])
+    accepted, dead = _ingest(spark, tmp_path)
+    assert accepted.count() == 1 and dead.count() == 0
+    with log.open("a") as file:
+        file.write(line(2)[30:] + "\n{broken\n")
+    accepted, dead = _ingest(spark, tmp_path)
+    assert accepted.count() == 2 and dead.count() == 1
 
 
 def test_db_log_parse(spark):

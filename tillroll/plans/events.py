@@ -16,7 +16,8 @@ from tillroll.schema import EVENT_SCHEMA
 from tillroll.session import ensure_session_defaults, scratch_path
 from tillroll.sources.raw import read_table
 from tillroll.streaming import ingest as I
-from tillroll.streaming.events import PIPELINE, RunLog, finding_facts, run_pipeline, screening
+from tillroll.streaming.events import PIPELINE, RunLog, finding_facts, run_pipeline, screening, to_json_lines
+from tillroll.streaming.tail import ship, storage
 
 EVENT_COLS = ["event_id", "ts", "user_id", "event_type", "value"]
 
@@ -232,7 +233,7 @@ def _ingested(spark: SparkSession, sf_dir: str, *, twice: bool = False) -> str:
 
 def _stored_events(spark: SparkSession, base: str) -> DataFrame:
     objects = [F.to_json(n).alias(n) for n in _OBJECTS]
-    return spark.read.parquet(f"{base}/sink").select("event_ts", "stage", "outcome", "duration_ms", *objects, "event_date", "source")
+    return I.read_events(spark, f"{base}/sink").select("event_ts", "stage", "outcome", "duration_ms", *objects, "event_date", "source")
 
 
 @query("event_stream_ingest", INGEST_SQL, "S9,P18,V4,V5,V8,V9,K9")
@@ -247,6 +248,48 @@ def event_stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored_events(spark, _ingested(spark, sf_dir, twice=True))
 
 
+def _grow(spark: SparkSession, given: str, inbox: str, share: float) -> None:
+    """Stands for the writers of log files: every given file has one of its name in the inbox,
+    which is appended to until it holds that share of the given one's bytes."""
+    ship()
+
+    def append(batches):
+        for batch in batches:
+            for path, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                system, at = storage(path)
+                target = f"{storage(inbox)[1]}/{at.rsplit('/', 1)[1]}"
+                system.create_dir(storage(inbox)[1])
+                held = system.get_file_info(target)
+                have = held.size if held.is_file else 0
+                with system.open_input_file(at) as source, system.open_append_stream(target) as sink:
+                    source.seek(have)
+                    left = int(length * share) - have
+                    while left > 0:
+                        data = source.read(min(left, 1 << 20))
+                        sink.write(data)
+                        left -= len(data)
+            yield batch
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(given).select("path", "length")
+    files.mapInArrow(append, "path string, length long").write.format("noop").mode("overwrite").save()
+
+
+@query("log_append_resume", INGEST_SQL, "S9,V4,K9,V9")
+def log_append_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sink of an ingest that follows growing files: each file of event lines is cut at half its
+    lines (and a half line more), taken in, completed, and taken in by a second run; then every
+    day is compacted, and the stored days are read."""
+    base = scratch_path(spark, "log-append")
+    lines = to_json_lines(I.event_records(_events(spark, sf_dir)))
+    full = spark.createDataFrame([(x,) for x in (json.dumps(FULL_EVENT), *BAD_EVENT_LINES)], "value string")
+    lines.unionByName(full).write.text(f"{base}/given")
+    for share in (0.5, 1.0):
+        _grow(spark, f"{base}/given", f"{base}/inbox", share)
+        I.await_all(I.start_event_ingest(spark, f"{base}/inbox", f"{base}/sink", f"{base}/rejects", f"{base}/_checkpoint"))
+    I.compact_days(spark, f"{base}/sink", I.last_batch(spark, f"{base}/_checkpoint"))
+    return _stored_events(spark, base)
+
+
 REJECTS_SQL = "\nUNION ALL ".join(
     f"SELECT '{line}' AS raw_line, '{reason}' AS reject_reason" for line, reason in zip(BAD_EVENT_LINES, REJECT_REASONS)
 )

@@ -1,14 +1,18 @@
 """Continuous ingest of run events and database logs with Structured Streaming
 (S9, S10, P18, V4-V9, K9, K10, F14).
 
-* Sources are text streams (``readStream.text``): the raw line is kept, so a line can be judged
-  key by key and value by value against the declared record, and refused lines can be surfaced.
+* Sources are streams of text lines: the raw line is kept, so a line can be judged key by key and
+  value by value against the declared record, and refused lines can be surfaced. Files may grow:
+  the stream's position is a byte position per file (``streaming.tail``). An inbox of files that
+  are complete when they appear can be read by the file source instead, ``max_files`` a batch.
 * Each kind of line is one stream: a micro-batch is read and parsed once, and ``foreachBatch``
-  writes both its accepted and its refused rows. Every row is stored under its batch's number
-  (``batch=<n>``, overwritten as a whole), so a batch that runs again after a failure replaces
-  what it wrote before: nothing is lost or doubled, and a restart resumes at the stored position.
-* Accepted events keep the whole record and go to one folder per day, rebalanced by day so that
-  a batch writes few files per day. ``max_files`` bounds the files of a micro-batch.
+  writes both its accepted and its refused rows. Every row is stored under its batch's number,
+  so a batch that runs again after a failure replaces what it wrote before: nothing is lost or
+  doubled, and a restart resumes at the stored position.
+* Accepted events keep the whole record. A day has its folder, the batches theirs within it
+  (``event_date=<day>/batch=<n>``), rebalanced by day so that a batch writes few files per day:
+  a day's read lists that day only. ``compact_day`` turns a day's finished batches into one folder
+  ``upto=<n>`` of few files, which then stands for them.
 * A value that does not fit its declared type, or a time that cannot be read, refuses the line
   with its reason; no line can fail the stream.
 * ``trigger(availableNow=True)`` processes everything present and stops: the same code serves a
@@ -18,7 +22,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +32,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tillroll.schema import EVENT_SCHEMA, allowed_keys
 from tillroll.streaming.events import as_events, to_json_lines
+from tillroll.streaming.tail import growing_lines
 
 # --- fixed values: sources, tags and the database-log line layout -------------------------
 EVENTS_SOURCE = "etl_events"
@@ -53,8 +60,10 @@ DB_TS_PATTERNS = [
     "yyyy-MM-dd HH:mmXXX",
     "yyyy-MM-dd HH:mm",
 ]
-#: Files of the inbox that one micro-batch takes at most.
-MAX_FILES = 1000
+#: Rows of a day's folder that one file holds after compaction.
+COMPACT_ROWS = 5_000_000
+#: Days that are compacted at the same time.
+JOBS = 8
 
 
 # --- event records from the events table ---------------------------------------------------
@@ -168,6 +177,22 @@ def enrich_events(classified: DataFrame) -> DataFrame:
     )
 
 
+#: A row of the event sink: every declared field, how it came in, and its day.
+STORED_EVENTS = T.StructType(
+    [
+        T.StructField("event_ts", T.TimestampType()),
+        *[f for f in EVENT_SCHEMA if f.name not in ("@timestamp", "tags")],
+        T.StructField("source", T.StringType()),
+        T.StructField("tags", T.ArrayType(T.StringType())),
+        T.StructField("ingested_at", T.TimestampType()),
+        T.StructField("event_date", T.DateType()),
+    ]
+)
+
+#: What the files of a day's folder hold.
+_IN_A_DAY = T.StructType([f for f in STORED_EVENTS if f.name != "event_date"])
+
+
 def rejected_lines(classified: DataFrame) -> DataFrame:
     """Refused lines keep their raw text and the reason."""
     return classified.filter(F.col("reject_reason").isNotNull()).select(
@@ -176,17 +201,114 @@ def rejected_lines(classified: DataFrame) -> DataFrame:
 
 
 def _store(rows: DataFrame, path: str, batch: int, by: str | None = None) -> None:
-    """The rows of one micro-batch, replacing whatever an earlier run of that batch stored."""
-    if by:
-        rows = rows.hint("rebalance", by)
-    writer = rows.write.mode("overwrite")
-    (writer.partitionBy(by) if by else writer).parquet(f"{path}/batch={batch}")
+    """The rows of one micro-batch, replacing whatever an earlier run of that batch stored; ``by``
+    names the day, whose folder holds a folder per batch."""
+    if by is None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        return
+    rows = rows.hint("rebalance", by).withColumn("batch", F.lit(batch).cast("long"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by, "batch").parquet(path)
+
+
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders right under a path; none if it isn't there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(at):
+        return []
+    return sorted(s.getPath().getName() for s in system.listStatus(at) if s.isDirectory())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _day_folders(spark: SparkSession, sink: str, day: str) -> tuple[int, list[str]]:
+    """The last batch that a finished compaction covers (-1: none), and the folders that hold the
+    day: that compaction's and those of later batches. Only this day's folder is listed.
+
+    A compaction counts from the moment it is finished; what it stands for is passed over then,
+    deleted or not, so readers see every row once at any time."""
+    at = f"{sink}/event_date={day}"
+    names = _folders(spark, at)
+    done = [int(n[5:]) for n in names if n.startswith("upto=") and _exists(spark, f"{at}/{n}/_SUCCESS")]
+    last = max(done, default=-1)
+    later = [f"{at}/{n}" for n in names if n.startswith("batch=") and int(n[6:]) > last]
+    return last, ([f"{at}/upto={last}"] if done else []) + later
+
+
+def stored_days(spark: SparkSession, sink: str) -> list[str]:
+    """The days that the sink has folders for."""
+    return [n.removeprefix("event_date=") for n in _folders(spark, sink) if n.startswith("event_date=")]
+
+
+def read_events(spark: SparkSession, sink: str, days: list[str] | None = None) -> DataFrame:
+    """The stored events of some days (all: None), each row once."""
+    found = [f for day in (stored_days(spark, sink) if days is None else days) for f in _day_folders(spark, sink, day)[1]]
+    if not found:
+        return spark.createDataFrame([], STORED_EVENTS)
+    day = F.regexp_extract(F.col("_metadata.file_path"), r"event_date=([0-9-]+)/", 1).cast("date")
+    stored = spark.read.schema(_IN_A_DAY).parquet(*found)
+    return stored.select("*", day.alias("event_date")).select(*STORED_EVENTS.fieldNames())
+
+
+def compact_day(spark: SparkSession, sink: str, day: str, upto: int, rows_per_file: int = COMPACT_ROWS) -> int:
+    """Turn what a day's batches up to ``upto`` hold into one folder of few files; returns the rows.
+
+    ``upto`` is a batch that the stream has committed, so no batch up to it can run again. A
+    compaction that fails midway leaves a folder without its mark of success: readers pass it
+    over, and the next compaction replaces it."""
+    at = f"{sink}/event_date={day}"
+    last, folders = _day_folders(spark, sink, day)
+    taken = [f for f in folders if "/upto=" in f or int(f.rsplit("=", 1)[1]) <= upto]
+    upto = max([last, *(int(f.rsplit("=", 1)[1]) for f in taken)])
+    if len(taken) < 2 or upto == last:
+        return 0
+    whole = spark.read.schema(_IN_A_DAY).parquet(*taken)
+    n = whole.count()
+    whole.repartition(max(1, -(-n // rows_per_file))).write.mode("overwrite").parquet(f"{at}/upto={upto}")
+    for folder in _folders(spark, at):
+        covered = folder.startswith("batch=") and int(folder[6:]) <= upto
+        if covered or (folder.startswith("upto=") and int(folder[5:]) < upto):
+            _remove(spark, f"{at}/{folder}")
+    return n
+
+
+def compact_days(spark: SparkSession, sink: str, upto: int, days: list[str] | None = None) -> int:
+    """``compact_day`` for some days (all: None), several jobs at a time; returns the rows."""
+    days = stored_days(spark, sink) if days is None else days
+    with ThreadPoolExecutor(JOBS) as pool:
+        return sum(pool.map(lambda day: compact_day(spark, sink, day, upto), days))
+
+
+def last_batch(spark: SparkSession, checkpoint: str) -> int:
+    """The last batch that a stream has committed; -1 before its first one."""
+    try:
+        commits = spark.read.text(f"{checkpoint.rstrip('/')}/commits").select(F.col("_metadata.file_name").try_cast("long").alias("n"))
+        found = commits.agg(F.max("n")).first()[0]
+    except AnalysisException:
+        return -1
+    return -1 if found is None else found
 
 
 def _start(
-    spark: SparkSession, inbox: str, checkpoint: str, write: Callable[[DataFrame, int], None], available_now: bool, max_files: int
+    spark: SparkSession,
+    inbox: str,
+    checkpoint: str,
+    write: Callable[[DataFrame, int], None],
+    available_now: bool,
+    max_files: int | None,
 ) -> StreamingQuery:
-    lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(inbox)
+    if max_files is None:
+        lines = growing_lines(spark, inbox, checkpoint)
+    else:
+        lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(inbox)
     writer = lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")).start()
 
@@ -199,10 +321,11 @@ def start_event_ingest(
     checkpoint: str,
     *,
     available_now: bool = True,
-    max_files: int = MAX_FILES,
+    max_files: int | None = None,
 ) -> list[StreamingQuery]:
     """S9 + V4: tail the JSON-Lines inbox into the daily-partitioned sink (K9) and the dead-letter
-    set (K10): one stream, one parse of every line."""
+    set (K10): one stream, one parse of every line. ``max_files``: the inbox holds complete files,
+    and a batch takes so many of them at most."""
 
     def write(lines: DataFrame, batch: int) -> None:
         classified = classify_event_lines(lines).persist()
@@ -291,7 +414,7 @@ def start_db_log_ingest(
     checkpoint: str,
     *,
     available_now: bool = True,
-    max_files: int = MAX_FILES,
+    max_files: int | None = None,
 ) -> list[StreamingQuery]:
     """Tail plain-text database logs; every line lands in the sink (unparsed ones tagged),
     and unparsed lines are also surfaced in a dead-letter set. One stream, one parse."""
