@@ -70,6 +70,14 @@ def test_long_periods_and_copies_in_one_sequence():
     assert got[-1] == [(0, 6, 1)] and got[-2] == []
 
 
+def test_many_short_texts_that_repeat_up_to_their_ends():
+    rng = random.Random(8)
+    texts = [[rng.choice("ab")] * rng.randint(4, 9) for _ in range(3000)]
+    texts += [["b", "a", "c"] * rng.randint(1, 5) for _ in range(500)]
+    got = [list(map(tuple, r.tolist())) for r in periodic.periodic_runs(texts)]
+    assert got == [by_stretches(t) for t in texts]
+
+
 def test_extensions_against_comparing_words():
     rng = np.random.default_rng(2)
     words = rng.integers(0, 2, 400)

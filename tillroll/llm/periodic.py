@@ -224,9 +224,11 @@ def periodic_runs(texts: list[list]) -> list[np.ndarray]:
     words[own] = found
     words[~own] = len(number) + np.arange(len(texts) + 1)
     text[own] = np.repeat(np.arange(len(texts)), sizes)
-    text[~own] = np.minimum(np.arange(len(texts) + 1), max(len(texts) - 1, 0))
+    # the number that ends a text belongs to it, read either way
+    text[~own] = np.maximum(np.arange(len(texts) + 1) - 1, 0)
     right = CommonExtension(words, text)
     last = len(words) - 1
+    text[~own] = np.minimum(np.arange(len(texts) + 1), max(len(texts) - 1, 0))
     left = CommonExtension(words[::-1].copy(), text[::-1].copy())
     parts = []
     for place, period in grid(starts, sizes):
