@@ -20,6 +20,7 @@ from tillroll.operators.layers import (
     score_rfm,
 )
 from tillroll.schema import PRICE_TYPE, REVENUE_TYPE
+from tillroll.sources.tables import write_table
 
 # --- fixed values: dimension fallbacks and the volatility rule ------------------------------
 UNKNOWN_PRODUCT = "UNKNOWN PRODUCT"
@@ -167,7 +168,7 @@ def build_warehouse(stg: DataFrame, root: str, *, num_partitions: int | None = N
 
     def write(name: str) -> tuple[str, str]:
         path = f"{root}/{name}"
-        builders[name]().write.mode("overwrite").parquet(path)
+        write_table(builders[name](), path)
         return name, path
 
     with ThreadPoolExecutor(max_workers=len(builders)) as pool:

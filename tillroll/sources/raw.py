@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillroll.schema import PRICE_TYPE, RAW_SCHEMA
+from tillroll.sources.tables import newest
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
@@ -95,17 +96,17 @@ def read_layer_between(spark: SparkSession, path: str, date_column: str, first:
 
 
 def read_star_tables(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The three operational star tables.
+    """The three operational star tables, of the dimensions the newest finished version.
 
     ``invoice_date`` may have been stored as text by another writer; mixed formats are parsed
     with a format ladder and anything unparseable becomes null (kept, so the date-window check
     can count it) rather than being dropped.
     """
-    transactions = spark.read.parquet(f"{root}/transactions")
+    transactions = spark.read.parquet(f"{root}/transactions").drop("batch")
     if isinstance(transactions.schema["invoice_date"].dataType, T.StringType):
         transactions = transactions.withColumn("invoice_date", parse_mixed_timestamp(F.col("invoice_date")))
-    customers = spark.read.parquet(f"{root}/customers")
-    products = spark.read.parquet(f"{root}/products")
+    customers = spark.read.parquet(newest(spark, f"{root}/customers"))
+    products = spark.read.parquet(newest(spark, f"{root}/products"))
     return transactions, customers, products
 
 

@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tillroll.schema import EVENT_SCHEMA, allowed_keys
+from tillroll.sources.tables import folders, numbered, remove
 from tillroll.streaming.events import as_events, to_json_lines
 from tillroll.streaming.tail import growing_lines
 
@@ -210,25 +211,6 @@ def _store(rows: DataFrame, path: str, batch: int, by: str | None = None) -> Non
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by, "batch").parquet(path)
 
 
-def _folders(spark: SparkSession, path: str) -> list[str]:
-    """Names of the folders right under a path; none if it isn't there."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not system.exists(at):
-        return []
-    return sorted(s.getPath().getName() for s in system.listStatus(at) if s.isDirectory())
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def _day_folders(spark: SparkSession, sink: str, day: str) -> tuple[int, list[str]]:
     """The last batch that a finished compaction covers (-1: none), and the folders that hold the
     day: that compaction's and those of later batches. Only this day's folder is listed.
@@ -236,16 +218,14 @@ def _day_folders(spark: SparkSession, sink: str, day: str) -> tuple[int, list[st
     A compaction counts from the moment it is finished; what it stands for is passed over then,
     deleted or not, so readers see every row once at any time."""
     at = f"{sink}/event_date={day}"
-    names = _folders(spark, at)
-    done = [int(n[5:]) for n in names if n.startswith("upto=") and _exists(spark, f"{at}/{n}/_SUCCESS")]
-    last = max(done, default=-1)
-    later = [f"{at}/{n}" for n in names if n.startswith("batch=") and int(n[6:]) > last]
-    return last, ([f"{at}/upto={last}"] if done else []) + later
+    last = max(numbered(spark, at, "upto="), default=-1)
+    later = [f"{at}/batch={n}" for n in numbered(spark, at, "batch=", finished=False) if n > last]
+    return last, ([f"{at}/upto={last}"] if last >= 0 else []) + later
 
 
 def stored_days(spark: SparkSession, sink: str) -> list[str]:
     """The days that the sink has folders for."""
-    return [n.removeprefix("event_date=") for n in _folders(spark, sink) if n.startswith("event_date=")]
+    return [n.removeprefix("event_date=") for n in folders(spark, sink) if n.startswith("event_date=")]
 
 
 def read_events(spark: SparkSession, sink: str, days: list[str] | None = None) -> DataFrame:
@@ -273,10 +253,10 @@ def compact_day(spark: SparkSession, sink: str, day: str, upto: int, rows_per_fi
     whole = spark.read.schema(_IN_A_DAY).parquet(*taken)
     n = whole.count()
     whole.repartition(max(1, -(-n // rows_per_file))).write.mode("overwrite").parquet(f"{at}/upto={upto}")
-    for folder in _folders(spark, at):
-        covered = folder.startswith("batch=") and int(folder[6:]) <= upto
-        if covered or (folder.startswith("upto=") and int(folder[5:]) < upto):
-            _remove(spark, f"{at}/{folder}")
+    for prefix, below in (("batch=", upto + 1), ("upto=", upto)):
+        for old in numbered(spark, at, prefix, finished=False):
+            if old < below:
+                remove(spark, f"{at}/{prefix}{old}")
     return n
 
 
