@@ -39,8 +39,10 @@ def word_count(text: Column) -> Column:
 
 
 def ship_by_value(module_name: str) -> None:
-    """Pickle a module's functions by value, so that executors need no copy of this package."""
+    """Pickle a module's functions, and these helpers, by value: executors need no copy of the
+    package."""
     cloudpickle.register_pickle_by_value(sys.modules[module_name])
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
@@ -77,5 +79,35 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
 
 def texts_of(batch) -> Iterator[str]:
-    """The texts of a pandas column; null counts as empty."""
+    """The texts of a column; null counts as empty."""
     return ("" if t is None or t != t else t for t in batch)
+
+
+def arrow_types(schema: str) -> dict:
+    """Arrow types by name of a schema string of long, int, string, boolean and binary columns."""
+    import pyarrow as pa
+
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
+    return {name: kinds[kind] for name, kind in (column.split() for column in schema.split(", "))}
+
+
+def beside_ids(judge: Callable, schema: str, kept: int = 1) -> Callable:
+    """A mapInArrow function: ``judge`` turns the texts of a batch (its last column) into rows, and
+    the ``kept`` columns before pass as Arrow has them.
+
+    Ids never go through pandas: a null among them would make them doubles, which hold no
+    integer beyond 2**53 exactly. ``judge`` is made anew for each task."""
+    types = arrow_types(schema)
+
+    def judged(batches):
+        import pyarrow as pa
+
+        rows_of = judge()
+        own = list(types.items())[kept:]
+        for batch in batches:
+            rows = rows_of(list(texts_of(batch.column(kept).to_pylist())))
+            columns = list(zip(*rows)) or [()] * len(own)
+            arrays = [pa.array(values, type=kind) for values, (_, kind) in zip(columns, own)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *arrays], names=list(types))
+
+    return judged

@@ -1,10 +1,15 @@
 """Secret scan: three base patterns, and spans whose tokens are too short for language.
 
-The method is a token-efficiency test: a run of token-like characters that mixes letters and
-digits is encoded with a byte-level BPE vocabulary (tiktoken); language and identifiers take
-many characters a token, random strings few. Runs under ``ratio`` characters a token are reported
-as kind ``random``, unless they are a known digest (hex of a digest's length), a UUID, a
-decimal number, a dotted or dashed identifier of plain words and numbers, or lie in a base span.
+The method is a token-efficiency test: a run of token-like characters is encoded with a
+byte-level BPE vocabulary (tiktoken); language and identifiers take many characters a token,
+random strings few. Runs under ``ratio`` characters a token are reported as kind ``random``,
+unless they are a known digest (hex of a digest's length), a UUID, a decimal number, an
+identifier, or touch a base span. An identifier consists of plain words and short numbers between
+``- _ / = +``; a word is plain in lower, upper or capital case, and in camel case if its parts have
+``CAMEL_LETTERS`` letters on average (random letters of both cases have about two).
+
+Every test is linear in the run: a run is split at its separators, and each part is judged by a
+pattern that reads it in one way only.
 
 Defined results: a null or empty text has no span; texts are scanned whole; repeated rows give
 repeated results; other columns are ignored.
@@ -18,13 +23,17 @@ import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tillroll.llm.common import ship_by_value, small_batches, table, texts_of
+from tillroll.llm.common import beside_ids, ship_by_value, small_batches, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fewer characters a token than this is taken for random.
 RATIO = 2.0
 LEAST_CHARS = 20
+#: Digits of a number within an identifier, and letters that the parts of a camel-case word have
+#: on average.
+NUMBER_DIGITS, CAMEL_LETTERS = 8, 3
 KINDS = ("assign", "access", "hex", "random")
 
 # The base patterns, and the word splitting of the public vocabulary.
@@ -37,7 +46,8 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_CHARS)
 DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 DIGEST_CHARS = {32, 40, 48, 56, 64, 96, 128}
 UUID = re.compile(r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}\Z")
-IDENTIFIER = re.compile(r"(?:[A-Za-z]?[a-z]*|[A-Z]+|[0-9]{1,8})(?:[-_/=+](?:[A-Za-z]?[a-z]*|[A-Z]+|[0-9]{1,8}))*\Z")
+SEPARATOR = re.compile(r"[-_/=+]")
+CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 RESULT = "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string"
@@ -51,19 +61,36 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def is_plain(part: str) -> bool:
+    """A word or short number, as identifiers are made of."""
+    if part.isdigit():
+        return len(part) <= NUMBER_DIGITS
+    if not part or not part.isalpha():
+        return not part
+    cased = part[1:]
+    if not cased or cased.islower() or part.isupper():
+        return True
+    return len(part) >= CAMEL_LETTERS * len(CAMEL.findall(part))
+
+
 def is_known(run: str) -> bool:
     """A digest, UUID, number or identifier rather than a secret."""
-    if run.isalpha() or run.isdigit() or (len(run) in DIGEST_CHARS and DIGEST.match(run)):
+    if run.isdigit() or (len(run) in DIGEST_CHARS and DIGEST.match(run)) or UUID.match(run):
         return True
-    return bool(UUID.match(run) or IDENTIFIER.match(run))
+    return all(map(is_plain, SEPARATOR.split(run)))
 
 
 def random_spans(text: str, base: list[tuple[int, int, int]], encode, ratio: float) -> list[tuple[int, int, int]]:
     """Runs with too few characters a token, outside the base spans."""
     found = []
+    spans = sorted((s, e) for s, _, e in base)
+    at = reach = 0  # base spans that start before the run's end, and how far they go
     for m in RUN.finditer(text):
         run, start, end = m[0], m.start(), m.end()
-        if is_known(run) or any(s < end and start < e for s, _, e in base):
+        while at < len(spans) and spans[at][0] < end:
+            reach = max(reach, spans[at][1])
+            at += 1
+        if reach > start or is_known(run):
             continue
         if len(run) < ratio * len(encode(run)):
             found.append((start, 3, end))
@@ -83,11 +110,9 @@ def encoder(vocabulary: bytes):
 
 
 def scanner(vocabulary, ratio: float):
-    """A mapInPandas function; the vocabulary (a broadcast) is opened at the first run to judge."""
-
-    def scan(batches):
-        import pandas as pd
+    """A mapInArrow function; the vocabulary (a broadcast) is opened at the first run to judge."""
 
+    def judge():
         known = []
 
         def encode(run: str):
@@ -95,18 +120,15 @@ def scanner(vocabulary, ratio: float):
                 known.append(encoder(vocabulary.value))
             return known[0](run)
 
-        for batch in batches:
-            out = []
-            for doc_id, text in zip(batch["doc_id"], texts_of(batch["text"])):
-                base = base_spans(text)
-                more = random_spans(text, base, encode, ratio)
-                n = [sum(k == kind for _, k, _ in base) for kind in range(3)]
-                digest = hashlib.sha256(joined(base).encode()).hexdigest()
-                out.append((doc_id, *n, len(more), digest, joined(base + more)))
-            frame = pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
-            yield frame.astype({"doc_id": "Int64"})
+        def row(text: str) -> tuple:
+            base = base_spans(text)
+            more = random_spans(text, base, encode, ratio)
+            n = [sum(k == kind for _, k, _ in base) for kind in range(3)]
+            return (*n, len(more), hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + more))
+
+        return lambda texts: list(map(row, texts))
 
-    return scan
+    return beside_ids(judge, RESULT)
 
 
 def find_secrets(docs: DataFrame, *, vocabulary: str = VOCABULARY, ratio: float = RATIO) -> DataFrame:
@@ -121,7 +143,7 @@ def find_secrets(docs: DataFrame, *, vocabulary: str = VOCABULARY, ratio: float
         shared = spark.sparkContext.broadcast(f.read())
     ship_by_value(__name__)
     small_batches(spark)
-    return docs.select("doc_id", "text").mapInPandas(scanner(shared, ratio), RESULT)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scanner(shared, ratio), RESULT)
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
