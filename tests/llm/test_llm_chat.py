@@ -65,3 +65,10 @@ def test_read_back_digests(spark):
     assert got[2].turns_sha256 == sha("\nfirst\nassistant\none\nassistant\none\n") and got[2].loss_sha256 == sha("oneone")
     assert got[None].n_turns == 1 and got[None].loss_sha256 == sha("")
     assert chat.read_back(chat.format_turns(messages.limit(0))).count() == 0
+
+
+def test_wide_ids_beside_a_null(spark):
+    rows = [(2**60 + 1, 2**60 + 1, "user", "a"), (2**60 + 2, None, "user", "b"), (None, 2**60 + 3, "user", "c")]
+    formatted = chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert sorted(((r.conv_id, r.turn) for r in formatted.collect()), key=str) == sorted(((r[0], r[1]) for r in rows), key=str)
+    assert {r.conv_id for r in chat.read_back(formatted).collect()} == {2**60 + 1, 2**60 + 2, None}

@@ -86,3 +86,9 @@ def test_kept_documents_carry_all_columns(make_docs):
 
 def test_empty_table(make_docs):
     assert repetition.repetition_rules(make_docs([(1, "a")]).limit(0)).count() == 0
+
+
+def test_wide_ids_beside_a_null(make_docs):
+    docs = make_docs([(2**60 + 1, "a"), (2**60 + 2, "b c"), (None, "c")])
+    got = sorted((r.doc_id or 0, r.n_words) for r in repetition.repetition_rules(docs).collect())
+    assert got == [(0, 1), (2**60 + 1, 1), (2**60 + 2, 2)]

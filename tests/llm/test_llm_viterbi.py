@@ -62,3 +62,17 @@ def test_edge_rows(make_docs):
     got = sorted(((r.doc_id, r.n_words) for r in viterbi.count_tokens(docs).collect()), key=str)
     assert got == [(1, 0), (2, 0), (3, 0), (4, 1), (4, 1), (5, 1), (None, 1)]
     assert viterbi.count_tokens(docs.limit(0)).count() == 0
+
+
+def test_wide_ids_beside_a_null(make_docs):
+    docs = make_docs([(2**60 + 1, "a"), (2**60 + 2, "b c"), (None, "c")])
+    got = sorted((r.doc_id or 0, r.n_words) for r in viterbi.count_tokens(docs).collect())
+    assert got == [(0, 1), (2**60 + 1, 1), (2**60 + 2, 2)]
+
+
+def test_remembered_words_are_bounded_in_bytes(make_docs, monkeypatch):
+    texts = [f"w{i} " * 3 + "z" * 300 for i in range(300)]
+    docs = make_docs(list(enumerate(texts)))
+    whole = sorted(map(tuple, viterbi.count_tokens(docs).collect()))
+    monkeypatch.setattr(viterbi, "REMEMBERED", 400)
+    assert sorted(map(tuple, viterbi.count_tokens(docs).collect())) == whole

@@ -26,9 +26,12 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tillroll.llm.common import ship_by_value, small_batches, table
 
@@ -128,21 +131,25 @@ def read_turn(formatted: str) -> tuple[str, str]:
     return "assistant", unescape(m["assistant"])
 
 
-def _missing(value) -> bool:
-    return value is None or value != value
+def _formatter(kinds: list):
+    """mapInArrow from (conv_id, turn, role, parts); ids and turns pass as Arrow has them. ``kinds``
+    are the Arrow types of the columns after them."""
 
+    def formatted_batches(batches):
+        import pyarrow as pa
 
-def _format_batches(batches):
-    import pandas as pd
+        for batch in batches:
+            out = []
+            for role, parts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                role = role or ""
+                formatted, start, end, attached = format_turn(role, [p for p in parts if p is not None])
+                out.append((role, formatted, start, end, attached, sum(a["tokens"] for a in attached)))
+            columns = list(zip(*out)) or [()] * len(kinds)
+            arrays = [pa.array(values, type=kind) for values, kind in zip(columns, kinds)]
+            names = ["conv_id", "turn", "role", "formatted", "loss_from", "loss_to", "attachments", "expanded_tokens"]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *arrays], names=names)
 
-    for batch in batches:
-        out = []
-        for conv, turn, role, parts in zip(batch["conv_id"], batch["turn"], batch["role"], batch["parts"]):
-            role = "" if _missing(role) else role
-            formatted, start, end, attached = format_turn(role, [dict(p) for p in parts if p is not None])
-            out.append((conv, turn, role, formatted, start, end, attached, sum(a["tokens"] for a in attached)))
-        frame = pd.DataFrame(out, columns=["conv_id", "turn", "role", "formatted", "loss_from", "loss_to", "attachments", "expanded_tokens"])
-        yield frame.astype({"conv_id": "Int64", "turn": "Int64"})
+    return formatted_batches
 
 
 def format_turns(messages: DataFrame) -> DataFrame:
@@ -165,25 +172,41 @@ def format_turns(messages: DataFrame) -> DataFrame:
         )
     )
     parts = F.coalesce(F.col("parts").cast(f"array<{PART}>"), text_part) if "parts" in messages.columns else text_part
-    return messages.select("conv_id", "turn", "role", parts.alias("parts")).mapInPandas(_format_batches, FORMATTED)
+    given = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", parts.alias("parts"))
+    kinds = [to_arrow_type(f.dataType) for f in T.StructType.fromDDL(FORMATTED).fields[2:]]
+    return given.mapInArrow(_formatter(kinds), FORMATTED)
+
+
+class FormattedTurn(NamedTuple):
+    conv_id: int | None
+    turn: int | None
+    role: str
+    formatted: str
+    loss_from: int
+    loss_to: int
+    expanded_tokens: int
+    n_attachments: int
 
 
 def _read_batches(batches):
-    import pandas as pd
+    import pyarrow as pa
 
     columns = [c.split()[0] for c in DIGEST.split(", ")]
+    kinds = [pa.string() if c.split()[1] == "string" else pa.int64() for c in DIGEST.split(", ")]
     current = None  # [conv_id, turns, turns digest, loss chars, loss digest, formatted chars, attachments, tokens]
 
     def row(c):
         return (c[0], c[1], c[2].hexdigest(), c[3], c[4].hexdigest(), *c[5:])
 
     def frame(rows):
-        return pd.DataFrame(rows, columns=columns).astype({"conv_id": "Int64"})
+        arrays = [pa.array(values, type=kind) for values, kind in zip(zip(*rows), kinds)]
+        return pa.RecordBatch.from_arrays(arrays, names=columns)
 
     for batch in batches:
         done = []
-        for r in batch.itertuples(index=False):
-            conv = None if pd.isna(r.conv_id) else int(r.conv_id)
+        for values in zip(*(column.to_pylist() for column in batch.columns)):
+            r = FormattedTurn(*values)
+            conv = r.conv_id
             if current is None or current[0] != conv:
                 if current is not None:
                     done.append(row(current))
@@ -215,7 +238,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
         .repartition("conv_id")
         .sortWithinPartitions("conv_id", "turn", "role", "formatted")
     )
-    return ordered.mapInPandas(_read_batches, DIGEST)
+    return ordered.mapInArrow(_read_batches, DIGEST)
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,8 +23,9 @@ from itertools import count
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tillroll.llm.common import ship_by_value, small_batches, table, texts_of
+from tillroll.llm.common import beside_ids, ship_by_value, small_batches, table, texts_of
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\v\f\r"
@@ -42,7 +43,6 @@ RESULT = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "n_covered_words long, longest_repeat long, base_failed boolean, kept boolean"
 )
-COLUMNS = [c.split()[0] for c in RESULT.split(", ")]
 
 
 def suffix_ranks(words: np.ndarray, ends: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -184,18 +184,8 @@ def runs(texts: list[str], most: int = RUN_CHARS) -> Iterator[list[str]]:
 
 
 def judge_batches(rules: dict):
-    """A mapInPandas function over (doc_id, text)."""
-
-    def judged(batches):
-        import pandas as pd
-
-        for batch in batches:
-            rows = [row for run in runs(list(texts_of(batch["text"]))) for row in judge(run, rules)]
-            frame = pd.DataFrame(rows, columns=COLUMNS[1:])
-            frame.insert(0, "doc_id", pd.array(batch["doc_id"], dtype="Int64"))
-            yield frame
-
-    return judged
+    """A mapInArrow function over (doc_id, text)."""
+    return beside_ids(lambda: lambda texts: [row for run in runs(texts) for row in judge(run, rules)], RESULT)
 
 
 def _rules(least_words: int, max_covered: float, max_repeat: int) -> dict:
@@ -218,7 +208,7 @@ def repetition_rules(
     ship_by_value(__name__)
     small_batches(docs.sparkSession)
     rules = _rules(least_words, max_covered, max_repeat)
-    return docs.select("doc_id", "text").mapInPandas(judge_batches(rules), RESULT)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(judge_batches(rules), RESULT)
 
 
 def filter_batches(rules: dict, text_at: int):

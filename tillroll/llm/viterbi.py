@@ -9,7 +9,8 @@ unknown, ten below the lowest score; with ``byte_fallback`` it is one token per
 a run of unknown characters is one token. A vocabulary that has a piece for every byte is
 counted with byte fallback.
 
-Words are counted once per task and looked up afterwards, in a table of bounded size.
+Words are counted once per task and looked up afterwards, in a table of bounded size in bytes; long
+words are not remembered.
 
 Defined results: a null, empty or blank text has no words and no tokens; words are runs of
 anything but the six ASCII white space characters; texts are read whole; repeated rows give
@@ -19,14 +20,17 @@ repeated results; an empty table gives an empty result; other columns are ignore
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tillroll.llm.common import ship_by_value, small_batches, table, texts_of
+from tillroll.llm.common import beside_ids, ship_by_value, small_batches, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Words remembered by a task; beyond it the table starts anew.
-REMEMBERED = 1_000_000
+#: Bytes of words that a task remembers; beyond it the table starts anew.
+REMEMBERED = 64 << 20
+#: What a remembered word costs besides its bytes, and bytes of a word that is not remembered.
+ENTRY_BYTES, LONG_WORD = 150, 256
 
 RESULT = "doc_id long, n_words long, n_tokens long"
 
@@ -95,30 +99,36 @@ class PieceCounter:
 
 
 def counter(vocabulary, byte_fallback: bool):
-    """A mapInPandas function over (doc_id, text)."""
+    """A mapInArrow function over (doc_id, text)."""
 
-    def count(batches):
-        import pandas as pd
-
-        pieces = None
+    def judge():
+        pieces = PieceCounter(vocabulary.value, byte_fallback)
         known: dict[bytes, int] = {}
-        for batch in batches:
-            pieces = pieces or PieceCounter(vocabulary.value, byte_fallback)
+        held = 0
+
+        def count(texts):
+            nonlocal held
             out = []
-            for doc_id, text in zip(batch["doc_id"], texts_of(batch["text"])):
+            for text in texts:
                 words = text.encode().split()  # bytes split at the six ASCII white space characters
                 tokens = 0
                 for word in words:
                     n = known.get(word)
                     if n is None:
-                        if len(known) >= REMEMBERED:
-                            known.clear()
-                        n = known[word] = pieces(MARK + word.decode())
+                        n = pieces(MARK + word.decode())
+                        if len(word) <= LONG_WORD:
+                            held += len(word) + ENTRY_BYTES
+                            if held > REMEMBERED:
+                                known.clear()
+                                held = len(word) + ENTRY_BYTES
+                            known[word] = n
                     tokens += n
-                out.append((doc_id, len(words), tokens))
-            yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_tokens"]).astype({"doc_id": "Int64"})
+                out.append((len(words), tokens))
+            return out
+
+        return count
 
-    return count
+    return beside_ids(judge, RESULT)
 
 
 def count_tokens(docs: DataFrame, *, vocabulary: str = VOCABULARY, byte_fallback: bool | None = None) -> DataFrame:
@@ -130,7 +140,7 @@ def count_tokens(docs: DataFrame, *, vocabulary: str = VOCABULARY, byte_fallback
     shared = spark.sparkContext.broadcast(read_vocabulary(vocabulary))
     ship_by_value(__name__)
     small_batches(spark)
-    return docs.select("doc_id", "text").mapInPandas(counter(shared, byte_fallback), RESULT)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(counter(shared, byte_fallback), RESULT)
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
