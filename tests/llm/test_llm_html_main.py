@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import html
 import re
+import time
+from collections import Counter
 
 import numpy as np
 
@@ -89,6 +91,71 @@ def test_one_page_twice_is_one_page(spark):
     assert got == ["the very same words of one page"] * 2
 
 
+def test_phrases_that_prose_shares_and_copies_of_a_page_stay(spark):
+    prose = [f"<p>number {i} jumps where the quick brown fox was and number {i} rests</p>" for i in range(6)]
+    rows = [(i, "http://a.net/x", p) for i, p in enumerate(prose)]
+    rows += [(10 + i, f"http://b.net/{i}", "<div>the very same page under many urls</div><p>and its second block</p>") for i in range(9)]
+    rows += [(30 + i, url, "<p>one of these pages without a host</p><p>words</p>" + str(i)) for i, url in enumerate([None, "x", "/y", None])]
+    # a paragraph on two pages of a host is no boilerplate; on three it is
+    rows += [(50 + i, "http://c.net/", f"<p>twice said on this host only</p><p>own {i}</p>") for i in range(2)]
+    rows += [(60 + i, "http://d.net/", f"<p>thrice said on this host only</p><p>own {i}</p>") for i in range(3)]
+    got = {k: t for k, (t, _) in texts(spark, rows).items()}
+    assert [got[i] for i in range(6)] == [f"number {i} jumps where the quick brown fox was and number {i} rests" for i in range(6)]
+    assert {got[10 + i] for i in range(9)} == {"the very same page under many urls\n\nand its second block"}
+    assert got[30] == "one of these pages without a host\n\nwords\n\n0"
+    assert got[50] == "twice said on this host only\n\nown 0" and got[61] == "own 1"
+
+
+def test_a_share_of_the_hosts_pages_is_needed(spark):
+    rows = [(i, "http://a.net/", f"<p>page {i} of a host</p>" + ("<p>a word of thanks to all</p>" if i < 4 else "")) for i in range(40)]
+    assert texts(spark, rows)[0][0] == "page 0 of a host"
+    assert texts(spark, rows, least_share=0.2)[0][0] == "page 0 of a host\n\na word of thanks to all"
+
+
+def brute_text(rows, least, least_pages):
+    """Loose pages by definition: a block goes if windows on enough differing pages cover it."""
+    paragraphs = {i: re.findall("<p>(.*?)</p>", page) for i, _, page in rows}
+    streams = {tuple(p): [t for b in p for t in ["\n", *b.split()]] + ["\n"] for p in paragraphs.values()}
+    on = Counter(w for s in streams.values() for w in {tuple(s[i : i + least]) for i in range(len(s) - least + 1)})
+    out = {}
+    for i, own in paragraphs.items():
+        s, gone, kept, at = streams[tuple(own)], set(), [], 1
+        for j in range(len(s) - least + 1):
+            if on[tuple(s[j : j + least])] >= least_pages:
+                gone.update(range(j, j + least))
+        for b in own:
+            n = len(b.split())
+            if not set(range(at, at + n)) <= gone:
+                kept.append(b)
+            at += n + 1
+        out[i] = "\n\n".join(kept)
+    return out
+
+
+def test_loose_pages_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(60):
+        blocks = [" ".join(rng.choice(list("abcd"), rng.integers(1, 7))) for _ in range(rng.integers(1, 6))]
+        rows.append((i, "http://a.net/", "".join(f"<p>{b}</p>" for b in blocks)))
+    expected = brute_text(rows, 5, 3)
+    for chunk in (40, 1_000_000):
+        assert {k: t for k, (t, _) in texts(spark, rows, chunk_tokens=chunk).items()} == expected
+    assert 0 < sum(t != "\n\n".join(re.findall("<p>(.*?)</p>", r[2])) for t, r in zip(expected.values(), rows)) < 60
+
+
+def test_broken_markup_takes_linear_time():
+    began = time.perf_counter()
+    assert hm.page_blocks("<div>" * 100_000 + "</p>" * 100_000 + "text") == [("text", True)]
+    assert hm.page_blocks("<p>" * 100_000 + "</b></i>" * 100_000 + "text" + "</p>" * 200_000)[0][0] == "text"
+    assert time.perf_counter() - began < 20
+
+
+def test_wide_page_ids_beside_a_null(spark):
+    rows = [(2**60 + 1, "u", "<p>a</p>"), (2**60 + 2, "u", "<p>b</p>"), (None, "u", "<p>c</p>")]
+    assert texts(spark, rows) == {2**60 + 1: ("a", 1), 2**60 + 2: ("b", 1), None: ("c", 1)}
+
+
 def brute_covered(streams, least):
     covered = {}
     for page, tokens in streams:
@@ -104,8 +171,10 @@ def test_prefix_intervals_against_brute_force():
     for _ in range(60):
         streams = [(p, [str(x) for x in rng.integers(0, 3, rng.integers(0, 25))]) for p in range(6)]
         covered = {}
-        for _, page, places, first, last in hm.prefix_intervals(streams, 4):
-            if first < last:
+        found = hm.prefix_intervals(streams, 4)
+        on_pages = Counter(prefix for prefix, _, _ in found)
+        for prefix, page, places in found:
+            if on_pages[prefix] > 1:
                 covered.setdefault(page, set()).update(i for at in places for i in range(at, at + 4))
         assert covered == brute_covered(streams, 4)
 

@@ -4,23 +4,30 @@ Every page is parsed into blocks. Parts that the page itself marks as something
 out (menus, headers, footers, sidebars, adverts, notices, forms, comments, scripts, styles). What
 stands in the page's article (``article``, ``main``) is main text. All other blocks are loose:
 their words, page after page, make one token stream per host, and a suffix array finds runs of
-``least_tokens`` or more that repeat on distinct pages. Covered runs are boilerplate and go;
-unique runs stay, in page order. Article blocks are kept whole, as articles share passages.
+``least_tokens`` or more that repeat on distinct pages. Covered blocks are boilerplate and go;
+blocks with a word of their own stay whole, in page order, so a phrase that sentences share is
+never cut out of them. Article blocks are kept whole, as articles share passages.
+
+A run repeats if ``least_pages`` pages and ``least_share`` of the host's pages hold it. Pages of one
+host whose loose text is the same count as one page, so copies are no evidence against each
+other; the url's host tells hosts apart, and pages without one (null or relative urls) are
+evidence for nobody.
 
 A host of any size is cut into chunks of pages of bounded length, one suffix array each. An
 array's prefix intervals (suffixes with the same first ``least_tokens`` tokens) leave the chunk
-as one row with their first and last page; rows of one prefix meet by (host, prefix), and those
-with two pages are boilerplate. So the result doesn't depend on the cut.
+as one row per page; rows of one prefix meet by (host, prefix) and are counted. So the result
+doesn't depend on the cut.
 
-Defined results: a null or empty html has no text; a null url belongs to the empty host; broken
-markup is read as far as it goes; repeated rows of one page_id count as one page; an empty table
-gives an empty result; other columns are ignored.
+Defined results: a null or empty html has no text; broken markup is read as far as it goes, in time
+linear in its length; repeated rows of one page_id count as one page; a null page_id stays null
+and ids of any width stay exact; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -28,10 +35,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.llm import repetition
-from tillroll.llm.common import ship_by_value, small_batches, stash, table
+from tillroll.llm.common import ship_by_value, small_batches, stash, table, texts_of
 from tillroll.llm.url_trust import host_and_path
 
 LEAST_TOKENS = 5
+#: Distinct pages of a host, and their share of all its distinct pages, that a boilerplate run has.
+LEAST_PAGES = 3
+LEAST_SHARE = 0.01
 #: Loose tokens in one suffix array, about.
 CHUNK_TOKENS = 500_000
 
@@ -72,7 +82,7 @@ BLANK = re.compile(r"[\x20\x09-\x0D]+")
 CUT_TAG = re.compile(r"<[/!?A-Za-z][^<>]*\Z")
 
 BLOCKS = "page_id long, url string, host string, blocks array<struct<text: string, loose: boolean>>"
-PREFIXES = "host string, prefix string, page_id long, places array<int>, first_page long, last_page long"
+PREFIXES = "host string, prefix string, content string, places array<int>"
 RESULT = "page_id long, url string, text string, n_chars long"
 
 
@@ -82,6 +92,7 @@ class BlockParser(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, bool, bool]] = []  # tag, dropped from here, in an article, in a side part
+        self.counts: Counter = Counter()  # open elements by tag
         self.blocks: list[tuple[str, bool]] = []
         self.data: list[str] = []
 
@@ -117,9 +128,11 @@ class BlockParser(HTMLParser):
         main = tag in ARTICLE or named.get("role", "").lower() in ("main", "article")
         if main and not (marked or inside or side):
             self.open.clear()  # what was left open before the article doesn't hold it
+            self.counts.clear()
             dropped = False
         side = side or tag in SIDE or any(SIDE_NAME.match(n) for n in names)
         self.open.append((tag, dropped or marked, inside or main, side))
+        self.counts[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         if tag not in INLINE:
@@ -130,10 +143,12 @@ class BlockParser(HTMLParser):
     def handle_endtag(self, tag):
         if tag not in INLINE:
             self.flush()
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                break
+        if self.counts[tag]:  # a stray end tag closes nothing
+            while self.open:
+                closed = self.open.pop()[0]
+                self.counts[closed] -= 1
+                if closed == tag:
+                    break
 
     def handle_data(self, data):
         if not (self.open and self.open[-1][1]):
@@ -152,12 +167,16 @@ def page_blocks(html: str) -> list[tuple[str, bool]]:
 
 
 def _parse_batches(batches):
-    import pandas as pd
+    """mapInArrow from (page_id, url, host, html) to BLOCKS."""
+    import pyarrow as pa
 
+    kind = pa.list_(pa.struct([("text", pa.string()), ("loose", pa.bool_())]))
     for batch in batches:
-        html = ("" if h is None or h != h else h for h in batch["html"])
-        batch["blocks"] = [[{"text": t, "loose": loose} for t, loose in page_blocks(h)] for h in html]
-        yield batch[["page_id", "url", "host", "blocks"]].astype({"page_id": "Int64"})
+        html = texts_of(batch.column(3).to_pylist())
+        blocks = [[{"text": t, "loose": loose} for t, loose in page_blocks(h)] for h in html]
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:3], pa.array(blocks, type=kind)], names=["page_id", "url", "host", "blocks"]
+        )
 
 
 def stream(texts: list[str]) -> list[str]:
@@ -168,9 +187,9 @@ def stream(texts: list[str]) -> list[str]:
     return [*tokens, "\n"] if tokens else []
 
 
-def prefix_intervals(pages: list[tuple[int, list[str]]], least: int) -> list[tuple[str, int, list[int], int, int]]:
-    """(prefix, page, places, first page, last page) for the suffixes of at least ``least`` tokens,
-    one entry per page and prefix; places count from the page's first token."""
+def prefix_intervals(pages: list[tuple[str, list[str]]], least: int) -> list[tuple[str, str, list[int]]]:
+    """(prefix, page, places) for the suffixes of at least ``least`` tokens, one entry per page and
+    prefix; places count from the page's first token."""
     numbers: dict[str, int] = {}
     words = np.array([numbers.setdefault(t, len(numbers)) for _, ts in pages for t in ts], dtype=np.int64)
     if len(words) == 0:
@@ -192,12 +211,10 @@ def prefix_intervals(pages: list[tuple[int, list[str]]], least: int) -> list[tup
         row = int(page[i])
         place = i - int(stops[row] - sizes[row])
         key = hashlib.md5("\x00".join(pages[row][1][place : place + least]).encode("utf-8", "surrogatepass")).hexdigest()
-        ids = [pages[p][0] for p in page[members].tolist()]
-        first, last = min(ids), max(ids)
         places: dict[int, list[int]] = {}
         for p, at in zip(page[members].tolist(), members.tolist()):
             places.setdefault(p, []).append(at - int(stops[p] - sizes[p]))
-        found += [(key, pages[p][0], at, first, last) for p, at in places.items()]
+        found += [(key, pages[p][0], at) for p, at in places.items()]
     return found
 
 
@@ -208,87 +225,103 @@ def chunk_intervals(least: int):
         import pandas as pd
 
         host = chunk["host"].iloc[0]
-        pages = [(int(p), list(s)) for p, s in zip(chunk["page_id"], chunk["stream"])]
+        pages = [(p, list(s)) for p, s in zip(chunk["content"], chunk["stream"])]
         return pd.DataFrame(
-            [(host, *row) for row in prefix_intervals(pages, least)],
-            columns=["host", "prefix", "page_id", "places", "first_page", "last_page"],
+            [(host, *row) for row in prefix_intervals(pages, least)], columns=["host", "prefix", "content", "places"]
         )
 
     return intervals
 
 
 def keep_unique(texts: list[str], places: list[int], least: int) -> list[str]:
-    """The loose texts without the runs that the marked places cover."""
+    """The loose texts; empty in place of those whose every word the marked places cover."""
     gone = set()
     for place in places:
         gone.update(range(place, place + least))
     kept, at = [], 0
     for text in texts:
-        words = text.split(" ")
-        kept.append(" ".join(w for i, w in enumerate(words, at + 1) if i not in gone))
-        at += len(words) + 1
+        n = text.count(" ") + 1
+        kept.append("" if gone and all(i in gone for i in range(at + 1, at + 1 + n)) else text)
+        at += n + 1
     return kept
 
 
 def assemble(least: int):
-    """A mapInPandas function: page text from blocks and covered places."""
+    """A mapInArrow function: page text from (page_id, url, blocks, covered places)."""
 
     def assembled(batches):
-        import pandas as pd
+        import pyarrow as pa
 
         for batch in batches:
-            out = []
-            for page_id, url, blocks, places in zip(batch["page_id"], batch["url"], batch["blocks"], batch["places"]):
-                places = [] if places is None else list(places)
-                loose = iter(keep_unique([b["text"] for b in blocks if b["loose"]], places, least))
-                texts = [next(loose) if b["loose"] else b["text"] for b in blocks]
-                text = "\n\n".join(t for t in texts if t)
-                out.append((page_id, url, text, len(text)))
-            yield pd.DataFrame(out, columns=["page_id", "url", "text", "n_chars"]).astype({"page_id": "Int64"})
+            texts = []
+            for blocks, places in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                loose = iter(keep_unique([b["text"] for b in blocks if b["loose"]], places or [], least))
+                whole = [next(loose) if b["loose"] else b["text"] for b in blocks]
+                texts.append("\n\n".join(t for t in whole if t))
+            sizes = pa.array(map(len, texts), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], pa.array(texts, pa.string()), sizes], names=["page_id", "url", "text", "n_chars"]
+            )
 
     return assembled
 
 
-def main_text(pages: DataFrame, *, least_tokens: int = LEAST_TOKENS, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+def main_text(
+    pages: DataFrame,
+    *,
+    least_tokens: int = LEAST_TOKENS,
+    least_pages: int = LEAST_PAGES,
+    least_share: float = LEAST_SHARE,
+    chunk_tokens: int = CHUNK_TOKENS,
+) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     spark = pages.sparkSession
     ship_by_value(__name__)
     ship_by_value(repetition.__name__)
     small_batches(spark)
     host, _ = host_and_path(F.col("url"))
-    parsed = stash(pages.select("page_id", "url", "html", host.alias("host")).mapInPandas(_parse_batches, BLOCKS), "page-blocks")
+    given = pages.select(F.col("page_id").cast("long"), "url", host.alias("host"), "html")
+    parsed = stash(given.mapInArrow(_parse_batches, BLOCKS), "page-blocks")
 
     loose = F.transform(F.filter("blocks", lambda b: b["loose"]), lambda b: b["text"])
+    content = F.sha2(F.array_join(loose, "\n").cast("binary"), 256)
+    told = parsed.withColumn("content", F.when((F.size(loose) > 0) & (F.col("host") != ""), content))
     tokens = F.flatten(F.transform(loose, lambda t: F.concat(F.array(F.lit("\n")), F.split(t, " "))))
-    streams = parsed.select(
-        "host", "page_id", F.when(F.size(tokens) > 0, F.concat(tokens, F.array(F.lit("\n")))).alias("stream")
-    ).filter("stream is not null and page_id is not null")
-    chunks = streams.groupBy("host").agg(
-        F.ceil(F.sum(F.size("stream")) / F.lit(chunk_tokens)).cast("int").alias("chunks")
+    # one page stands for all of its host that have the same loose text
+    streams = (
+        told.filter("content is not null")
+        .select("host", "content", F.concat(tokens, F.array(F.lit("\n"))).alias("stream"))
+        .dropDuplicates(["host", "content"])
+    )
+    hosts = streams.groupBy("host").agg(
+        F.ceil(F.sum(F.size("stream")) / F.lit(chunk_tokens)).cast("int").alias("chunks"),
+        F.greatest(F.lit(least_pages), F.ceil(F.count("*") * F.lit(least_share))).alias("needed"),
     )
     intervals = stash(
-        streams.join(chunks, "host")
-        .withColumn("chunk", F.pmod(F.xxhash64("page_id"), F.col("chunks").cast("long")))
+        streams.join(hosts, "host")
+        .withColumn("chunk", F.pmod(F.xxhash64("content"), F.col("chunks").cast("long")))
         .groupBy("host", "chunk")
         .applyInPandas(chunk_intervals(least_tokens), PREFIXES),
         "page-prefixes",
     )
     repeated = (
         intervals.groupBy("host", "prefix")
-        .agg(F.min("first_page").alias("first"), F.max("last_page").alias("last"))
-        .filter(F.col("first") < F.col("last"))
+        .agg(F.count("*").alias("on_pages"))
+        .join(hosts, "host")
+        .filter("on_pages >= needed")
         .select("host", "prefix")
     )
     places = (
         intervals.join(repeated, ["host", "prefix"], "left_semi")
-        .groupBy("page_id")
+        .groupBy("host", "content")
         .agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
-        .withColumnRenamed("page_id", "covered_page")
+        .select(F.col("host").alias("on_host"), F.col("content").alias("on_content"), "places")
     )
+    same = (F.col("host") == F.col("on_host")) & (F.col("content") == F.col("on_content"))
     return (
-        parsed.join(places, F.col("page_id") == F.col("covered_page"), "left")
+        told.join(places, same, "left")
         .select("page_id", "url", "blocks", "places")
-        .mapInPandas(assemble(least_tokens), RESULT)
+        .mapInArrow(assemble(least_tokens), RESULT)
     )
 
 
