@@ -99,3 +99,26 @@ def test_quality_sharpens_the_draw(make_docs):
     rows = [(i, "#$% " * 50 if i % 2 else "abc " * 50, "a") for i in range(400)] + [(1000, "w " * 20_000, "b")]
     got = [r for r in mixing.mix_sources(make_docs(rows), cap=1, weights=(1, 9)).collect() if r.source == "a"]
     assert sum(r.taken for r in got if r.doc_id % 2 == 0) >= sum(r.taken for r in got if r.doc_id % 2)
+
+
+@pytest.mark.parametrize("own_text", [False, True])
+def test_many_null_or_equal_ids_come_near_the_target(make_docs, own_text):
+    rows = [(None, f"w{i if own_text else ''} x y z", "hot") for i in range(1000)]
+    rows += [(7, "one two three four five", "same") for _ in range(1000)]
+    rows += [(i, "a b c d e f", "other") for i in range(100, 1300)]
+    docs = make_docs(rows).repartition(7)
+    got = mixing.mix_sources(docs).collect()
+    taken, targets = defaultdict(int), {}
+    for r in got:
+        taken[r.source] += r.taken
+        targets[r.source] = r.target
+        assert r.taken % max(r.size, 1) == 0 and r.taken <= 3 * r.size
+    assert len(got) == len(rows) and len(targets) == 3
+    for source, target in targets.items():
+        assert abs(taken[source] - target) <= 6 / 2 + 1, source
+    words = defaultdict(int)
+    for r in mixing.mixed_documents(docs).collect():
+        words[r.source] += len(r.text.split())
+    assert words == taken
+    again = mixing.mix_sources(docs.repartition(3)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))

@@ -13,8 +13,9 @@ range's sort (``1 / ranges`` of it), never a sort of the whole source in one tas
 
 Defined results: a null or empty text has size 0 and is never an obstacle (taken 0); a null
 source is a source; an empty table gives an empty result; rows that repeat a doc_id draw the same
-key, and if their words are as many too, all or none of them are taken; other columns are ignored
-(or, in the mix itself, carried along). Reruns agree, as keys come from md5.
+key, rows without one draw by their text; of rows that draw alike and have one text, as many are
+taken as the target needs (which of them is left open); other columns are ignored (or, in the
+mix itself, carried along). Reruns agree, as keys come from md5.
 """
 
 from __future__ import annotations
@@ -30,6 +31,10 @@ RANGES = 4096
 #: Sources whose plan is broadcast; more are joined by shuffle.
 BROADCAST_SOURCES = 100_000
 SEED = "mix-1"
+#: The order in which rows are taken: by key; then what tells rows apart that draw the same key.
+DRAW = ("mix_key", "mix_id", "mix_size", "mix_tie")
+#: Slices in which rows that draw alike are numbered.
+SLICES = 1024
 SYMBOLS = "#*$%&|<>!{}"
 #: Lowest quality weight: the share of characters that are no symbols, never under this.
 LEAST_QUALITY = 0.25
@@ -43,9 +48,10 @@ def quality_weight(text: Column) -> Column:
     return F.greatest(share, F.lit(LEAST_QUALITY))
 
 
-def exponential_key(doc_id: Column, weight: Column, seed: str) -> Column:
-    """-ln(u) / weight, with u in (0, 1) from the first 52 bits of an md5."""
-    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+def exponential_key(doc_id: Column, text: Column, weight: Column, seed: str) -> Column:
+    """-ln(u) / weight, with u in (0, 1) from the first 52 bits of an md5 of the id (or the text)."""
+    without_id = F.concat(F.lit("null|"), F.coalesce(F.md5(text.cast("binary")), F.lit("")))
+    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(doc_id.cast("string"), without_id)))
     bits = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
     return -F.ln((bits + F.lit(0.5)) / F.lit(float(1 << 52))) / weight
 
@@ -88,8 +94,9 @@ def drawn(docs: DataFrame, seed: str = SEED, ranges: int = RANGES) -> DataFrame:
     return docs.withColumns(
         {
             "mix_size": word_count(text),
-            "mix_key": exponential_key(F.col("doc_id"), quality_weight(text), seed),
+            "mix_key": exponential_key(F.col("doc_id"), text, quality_weight(text), seed),
             "mix_id": F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))),
+            "mix_tie": F.xxhash64(text),
         }
     ).withColumn(
         "mix_range", F.least(F.floor((1 - F.exp(-F.col("mix_key"))) * ranges), F.lit(ranges - 1)).cast("int")
@@ -100,7 +107,8 @@ def mix_plan(rows: DataFrame, *, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     """What the mix does with each source, from drawn rows.
 
     One row per source: its words, target and complete epochs, the key range in which the prefix
-    sum reaches the rest, and the last draw (key, id, words) that is taken in that range."""
+    sum reaches the rest, the last draw that is taken in that range, how many rows drew it, and how
+    many of them are taken."""
     by_range = stash(rows.groupBy("source", "mix_range").agg(F.sum("mix_size").alias("range_size")), "mix-ranges")
     targets = (
         source_targets(by_range.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, cap)
@@ -132,23 +140,38 @@ def mix_plan(rows: DataFrame, *, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
         .drop("target_source"),
         "mix-edges",
     )
-    in_order = Window.partitionBy("source").orderBy("mix_key", "mix_id", "mix_size").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    last = (
-        rows.select("source", "mix_range", "mix_key", "mix_id", "mix_size")
+    # rows that draw alike are one row here, however many they are
+    in_order = Window.partitionBy("source").orderBy(*DRAW).rowsBetween(Window.unboundedPreceding, -1)
+    alike = (
+        rows.select("source", "mix_range", *DRAW)
         .join(
             bounded(plan),
             F.col("source").eqNullSafe(F.col("plan_source")) & (F.col("mix_range") == F.col("edge_range")),
         )
-        .withColumn("ahead", F.col("edge_before") + F.coalesce(F.sum("mix_size").over(in_order), F.lit(0)))
-        .filter(F.col("ahead") * 2 + F.col("mix_size") < F.col("rest") * 2)
+        .groupBy("source", "edge_before", "rest", *DRAW)
+        .agg(F.count("*").alias("rows"))
+        .withColumn("ahead", F.col("edge_before") + F.coalesce(F.sum(F.col("rows") * F.col("mix_size")).over(in_order), F.lit(0)))
+    )
+    # a row is taken if that brings the words nearer to the rest
+    nearer = F.col("ahead") * 2 + F.col("mix_size") < F.col("rest") * 2
+    fitting = F.ceil((2 * (F.col("rest") - F.col("ahead")) - F.col("mix_size")) / (2 * F.nullif(F.col("mix_size"), F.lit(0))))
+    last = (
+        alike.filter(nearer)
+        .withColumn("taken", F.least("rows", F.greatest(F.coalesce(fitting, F.col("rows")), F.lit(1))))
         .groupBy(F.col("source").alias("last_source"))
-        .agg(F.max(F.struct("mix_key", "mix_id", "mix_size")).alias("last"))
+        .agg(F.max(F.struct(*DRAW, "rows", "taken")).alias("last"))
     )
     return stash(
         plan.join(last, F.col("plan_source").eqNullSafe(F.col("last_source")), "left").select(
-            "plan_source", "source_size", "target", "epochs", "rest", "edge_range", "last"
+            "plan_source",
+            "source_size",
+            "target",
+            "epochs",
+            "rest",
+            "edge_range",
+            F.when(F.col("last").isNotNull(), F.struct(*[F.col(f"last.{c}").alias(c) for c in DRAW])).alias("last"),
+            (F.col("last.rows") > F.col("last.taken")).alias("last_parted"),
+            F.col("last.taken").alias("last_taken"),
         ),
         "mix-plan",
     )
@@ -159,15 +182,39 @@ def bounded(plan: DataFrame) -> DataFrame:
     return F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
 
 
+def some_of(tied: DataFrame) -> DataFrame:
+    """``mix_selected`` for rows that drew the last draw of their source: true for ``last_taken`` of them.
+
+    The rows are numbered in slices of a stored copy, so that a draw which a third of all rows share
+    is no single task's."""
+    tied = stash(tied.withColumn("mix_number", F.monotonically_increasing_id()), "mix-tied")
+    tied = tied.withColumn("mix_slice", F.pmod("mix_number", F.lit(SLICES)))
+    upto = Window.partitionBy("sliced_source").orderBy("sliced").rowsBetween(Window.unboundedPreceding, -1)
+    slices = (
+        tied.groupBy(F.col("source").alias("sliced_source"), F.col("mix_slice").alias("sliced"))
+        .agg(F.count("*").alias("mix_rows"))
+        .withColumn("mix_before", F.coalesce(F.sum("mix_rows").over(upto), F.lit(0)))
+    )
+    same = F.col("source").eqNullSafe(F.col("sliced_source")) & (F.col("mix_slice") == F.col("sliced"))
+    number = F.row_number().over(Window.partitionBy("source", "mix_slice").orderBy("mix_number"))
+    return tied.join(slices, same).withColumn("mix_selected", F.col("mix_before") + number <= F.col("last_taken"))
+
+
 def with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Drawn rows with ``mix_copies``, how often the mix takes them, and their source's plan."""
     joined = rows.join(bounded(plan), F.col("source").eqNullSafe(F.col("plan_source")))
-    draw = F.struct("mix_key", "mix_id", "mix_size")
+    draw = F.struct(*DRAW)
     taken = (F.col("mix_range") < F.col("edge_range")) | (
         (F.col("mix_range") == F.col("edge_range")) & F.coalesce(draw <= F.col("last"), F.lit(False))
     )
-    selected = (F.col("rest") > 0) & F.coalesce(taken, F.lit(True))
-    return joined.withColumn("mix_copies", (F.col("epochs") + selected.cast("long")).cast("int"))
+    judged = joined.withColumn("mix_selected", F.coalesce(taken, F.lit(True)))
+    if not plan.filter("last_parted").isEmpty():
+        parted = F.coalesce(F.col("last_parted") & (draw == F.col("last")), F.lit(False))
+        columns = [c for c in judged.columns if c != "mix_selected"]
+        some = some_of(judged.filter(parted).drop("mix_selected")).select(*columns, "mix_selected")
+        judged = judged.filter(~parted).unionByName(some)
+    selected = (F.col("rest") > 0) & F.col("mix_selected")
+    return judged.withColumn("mix_copies", (F.col("epochs") + selected.cast("long")).cast("int"))
 
 
 def mix_sources(docs: DataFrame, *, weights=WEIGHTS, cap: int = CAP, ranges: int = RANGES, seed: str = SEED) -> DataFrame:
