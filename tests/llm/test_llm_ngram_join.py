@@ -129,3 +129,17 @@ def test_components_of_chains_and_stars(spark):
     found = {r.node: r.component for r in connected_components(df).collect()}
     assert found == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 130), 100)}
     assert connected_components(df.limit(0)).count() == 0
+
+
+def test_wide_and_null_ids(make_docs):
+    wide = 2**60 + 1
+    text = " ".join(f"w{i}" for i in range(60))
+    near = text + " more"
+    docs = make_docs([(wide, text), (wide + 1, near), (wide + 2, "something else here entirely now"), (None, "x")])
+    out = {r.doc_id: r.component_id for r in nj.join_documents(docs).collect()}
+    assert out == {wide: wide, wide + 1: wide, wide + 2: wide + 2, None: None}
+    # a link that goes through a text without an id holds
+    chain = [" ".join(f"w{i}" for i in range(a, a + 100)) for a in (0, 8, 16)]
+    assert set(brute([(0, chain[0]), (1, chain[2])])) and brute([(0, chain[0]), (1, chain[2])])[1][1] == 1
+    through = make_docs([(1, chain[0]), (None, chain[1]), (2, chain[2])])
+    assert {r.doc_id: r.component_id for r in nj.join_documents(through).collect()} == {1: 1, None: 1, 2: 1}

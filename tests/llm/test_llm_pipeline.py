@@ -88,3 +88,29 @@ def test_stages_on_odd_rows(spark):
             out.collect()
         corpus_pipeline.sharding(spark, given, SF).collect()
     assert corpus_pipeline.near_duplicates(spark, docs, SF).filter("doc_id = 1").count() == 1
+
+
+def prose(name, n=40):
+    return " ".join(f"{name}{i}" for i in range(n))
+
+
+def test_one_doc_id_with_several_texts(spark):
+    """A decision about one text of a doc_id leaves the others alone, in every stage."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    a, b, c, d = map(prose, "abcd")
+    rows = [(3, a), (5, a), (5, b), (9, b + " end"), (6, c), (6, c), (6, d), (None, d), (None, prose("e")), (None, prose("e"))]
+    rows += [(7, f"{prose('f')} {item} {prose('g')}"), (7, prose("h")), (None, f"{item} {prose('i')}"), (8, None), (8, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "x", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+    def after(stage):
+        return sorted(((r.doc_id, r.text) for r in stage(spark, docs, SF).collect()), key=str)
+
+    assert after(corpus_pipeline.near_duplicates) == sorted(
+        [(3, a), (5, b), (6, c), (6, d), (None, prose("e")), *rows[10:]], key=str
+    )
+    assert after(corpus_pipeline.benchmark_decontamination) == sorted([*rows[:10], rows[11], *rows[13:]], key=str)
+    bad = (5, "no " * 100)
+    more = docs.unionByName(spark.createDataFrame([(*bad, "x", "s", 0)], docs.schema))
+    kept = corpus_pipeline.quality_rules(spark, more, SF).filter("doc_id = 5").collect()
+    assert sorted(r.text for r in kept) == [a, b]
+    assert corpus_pipeline.sharding(spark, docs, SF).count() == len(rows)

@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import ship_by_value, small_batches, stash, table, texts_of
+from tillroll.llm.common import beside_ids, ship_by_value, small_batches, stash, table, texts_of
 from tillroll.llm.components import connected_components
 
 SHINGLE = 5
@@ -95,18 +95,18 @@ def set_keys(s: np.ndarray) -> tuple[int, int]:
     return int(one), int(two)
 
 
-def describe_batches(batches):
-    """(doc_id, n_shingles, scanned, key, key2) of every document."""
-    import pandas as pd
+DESCRIBED = "doc_id long, text_hash long, n_shingles long, scanned long, key long, key2 long"
+
 
+def describer():
+    """What DESCRIBED says about a text after its id and hash, for the texts of a batch."""
     hashes = WordHashes()
-    for batch in batches:
-        out = []
-        for doc_id, text in zip(batch["doc_id"], texts_of(batch["text"])):
-            s = shingle_set(text, hashes)
-            out.append((doc_id, len(s), int(np.searchsorted(s, np.uint64(SCAN_BELOW))), *set_keys(s)))
-        frame = pd.DataFrame(out, columns=["doc_id", "n_shingles", "scanned", "key", "key2"])
-        yield frame.astype({"doc_id": "Int64"})
+
+    def described(texts):
+        sets = (shingle_set(text, hashes) for text in texts)
+        return [(len(s), int(np.searchsorted(s, np.uint64(SCAN_BELOW))), *set_keys(s)) for s in sets]
+
+    return described
 
 
 def pack(array: np.ndarray) -> bytes:
@@ -420,7 +420,8 @@ def partner_candidates(docs: DataFrame, described: DataFrame) -> DataFrame:
     classes = stash(
         described.filter("n_shingles > 0")
         .groupBy("key", "key2", "n_shingles", "scanned")
-        .agg(F.min("doc_id").alias("class_doc")),
+        # one row whose text has the set: the smallest id, of a class without ids any of its texts
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("class_row")),
         "join-classes",
     )
     ranges = share(classes.agg(F.sum("scanned")).first()[0], ENTRIES)
@@ -437,16 +438,15 @@ def partner_candidates(docs: DataFrame, described: DataFrame) -> DataFrame:
     left = stash(
         classes.join(credits, F.col("key") == F.col("credit_key"))
         .filter(F.col("credit") >= (F.col("scanned") - lacking) * F.col("seen"))
-        .filter("class_doc is not null")
-        .select(F.col("key").alias("left_key"), F.col("class_doc").alias("left_doc")),
+        .select(F.col("key").alias("left_key"), "class_row.doc_id", "class_row.text_hash"),
         "join-left",
     )
-    ids = left.select("left_doc").distinct()
+    rows = left.select(F.col("doc_id").alias("left_doc"), F.col("text_hash").alias("left_hash")).distinct()
     if left.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+        rows = F.broadcast(rows)
     return (
         docs.select("doc_id", "text")
-        .join(ids, F.col("doc_id") == F.col("left_doc"), "left_semi")
+        .join(rows, F.col("doc_id").eqNullSafe(F.col("left_doc")) & (F.xxhash64("text") == F.col("left_hash")), "left_semi")
         .select("text")
         .mapInPandas(set_batches, "key long, n long, hashes binary")
         .join(left.select("left_key"), F.col("key") == F.col("left_key"), "left_semi")
@@ -496,14 +496,18 @@ def link_components(docs: DataFrame, described: DataFrame) -> DataFrame:
     return connected_components(links)
 
 
-def join_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document."""
+def label_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component and component_id of every row.
+
+    ``component`` numbers the component itself (null for rows without words), also where ids are
+    null or stand for several texts; ``component_id`` is its smallest doc_id."""
     spark = docs.sparkSession
     ship_by_value(__name__)
     small_batches(spark)
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
     described = stash(
-        docs.select("doc_id", "text").mapInPandas(
-            describe_batches, "doc_id long, n_shingles long, scanned long, key long, key2 long"
+        docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
+            beside_ids(describer, DESCRIBED, kept=2), DESCRIBED
         ),
         "join-docs",
     )
@@ -517,13 +521,19 @@ def join_documents(docs: DataFrame) -> DataFrame:
         .select(F.col("key").alias("k"), F.col("key2").alias("k2"), "class_doc", "component")
     )
     least = classed.groupBy(F.col("component").alias("c")).agg(F.min("class_doc").alias("component_id"))
-    labelled = classed.join(least, F.col("component") == F.col("c")).select("k", "k2", "component_id")
+    labelled = classed.join(least, F.col("component") == F.col("c")).select("k", "k2", "component", "component_id")
     same = (F.col("key") == F.col("k")) & (F.col("key2") == F.col("k2")) & (F.col("n_shingles") > 0)
+    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return described.join(labelled, same, "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+        "doc_id", "text_hash", "n_shingles", "component", own.alias("component_id")
     )
 
 
+def join_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document."""
+    return label_documents(docs).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shingle count and component."""
     return join_documents(table(spark, sf_dir, "documents"))
