@@ -4,8 +4,9 @@ Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is wri
 and read back as the next stage's ``docs``. All but the last return the columns of ``docs``.
 
 Defined results of every stage: nulls in any column, empty texts, repeated rows and an empty table
-give what the stage's operator defines for them; other columns travel along. Rows are never
-matched by doc_id alone where texts decide, so a repeated doc_id does no harm.
+give what the stage's operator defines for them; other columns travel along. Decisions about a
+text reach its rows by doc_id and text together, so a doc_id that stands for several texts, or is
+null, does no harm.
 """
 
 from __future__ import annotations
@@ -16,20 +17,22 @@ from pyspark.sql import functions as F
 from tillroll.llm.common import stash, table
 from tillroll.llm.decontaminate import contained_items
 from tillroll.llm.mixing import mixed_documents
-from tillroll.llm.ngram_join import join_documents
+from tillroll.llm.ngram_join import label_documents
 from tillroll.llm.repetition import kept_documents
 from tillroll.llm.sharding import as_contract, shard_documents
 
-#: Decisions about documents, by doc_id, that are broadcast; more go through a shuffle.
+#: Decisions about documents that are broadcast; more go through a shuffle.
 BROADCAST_IDS = 2_000_000
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose doc_id is not among ``ids`` (one column); rows without doc_id stay."""
-    gone = stash(ids.toDF("gone_id").filter("gone_id is not null").distinct(), "gone")
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+def among(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """The rows of ``docs`` whose doc_id and text are among ``rows`` (doc_id, text_hash), or are not."""
+    named = rows.select(F.col("doc_id").alias("named_id"), F.col("text_hash").alias("named_hash")).distinct()
+    named = stash(named, "named")
+    if named.count() <= BROADCAST_IDS:
+        named = F.broadcast(named)
+    same = docs["doc_id"].eqNullSafe(F.col("named_id")) & (F.xxhash64(docs["text"]) == F.col("named_hash"))
+    return docs.join(named, same, how)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,26 +41,30 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one of the smallest doc_id.
-
-    Documents without words are no duplicates of each other. Of rows that repeat the doc_id that
-    stays, one stays."""
-    joined = join_documents(docs)
-    extra = without(docs, joined.filter("doc_id <> component_id").select("doc_id"))
-    repeated = stash(
-        joined.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1 and doc_id is not null").select("doc_id"),
-        "repeated-ids",
-    )
-    if repeated.isEmpty():
-        return extra
-    again = repeated.withColumnRenamed("doc_id", "repeated_id")
-    once = extra.join(again, F.col("doc_id") == F.col("repeated_id"), "left_semi").dropDuplicates(["doc_id"])
-    return extra.join(again, F.col("doc_id") == F.col("repeated_id"), "left_anti").unionByName(once)
+    """One document of each group of near duplicates stays: the one of the smallest doc_id (a null
+    one last), of several texts with that id the one of the smallest hash.
+
+    Documents without words are no duplicates of each other. Of rows that repeat id and text of
+    the one that stays, one stays."""
+    pairs = label_documents(docs).filter("n_shingles > 0").groupBy("component", "doc_id", "text_hash")
+    pairs = stash(pairs.agg(F.count("*").alias("rows")), "near-pairs")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "rows"))
+    kept = stash(pairs.groupBy("component").agg(first.alias("first")).select("first.*"), "near-kept")
+    one = kept.select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_hash") == F.col("kept_hash"))
+    rest = among(docs, pairs.join(one, same, "left_anti"), "left_anti")
+    twins = kept.filter("rows > 1")
+    if twins.isEmpty():
+        return rest
+    copies = among(docs, twins, "left_semi").withColumn("near_hash", F.xxhash64("text"))
+    return among(rest, twins, "left_anti").unionByName(copies.dropDuplicates(["doc_id", "near_hash"]).drop("near_hash"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go."""
-    return without(docs, contained_items(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
+    keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("doc_id"), "text")
+    found = contained_items(keyed, table(spark, sf_dir, "benchmark"))
+    return among(docs, found.select("doc_id.doc_id", "doc_id.text_hash"), "left_anti")
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
