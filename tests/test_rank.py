@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from fractions import Fraction
 
 import numpy as np
@@ -90,6 +91,47 @@ def test_brackets_hold_the_exact_positions(spark, monkeypatch):
     assert np.allclose(list(row), np.quantile(values, [float(q) for q in qs]), atol=1e-12)
 
 
+def test_a_bracket_that_misses_is_found_out(spark, monkeypatch):
+    # brackets of no width around a wrong place: every position is missed, and found by widening
+    monkeypatch.setattr(rank, "WHOLE_GROUP", 10)
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"g": rng.integers(0, 3, 6_000), "v": rng.normal(size=6_000)})
+    df = spark.createDataFrame(pdf).repartition(5)
+    wrong = rank.value_sketches(df.withColumn("v", F.col("v") * 0 + 100 + F.col("g")), ["g"])
+    for sketches in (wrong, rank.value_sketches(df, ["g"], 8)):
+        got = {r["g"]: r["p"] for r in grouped_quantile(df, ["g"], "v", Fraction(95, 100), "p", sketches).collect()}
+        assert got == pytest.approx(pdf.groupby("g")["v"].quantile(0.95).to_dict(), abs=1e-12)
+    whole = df.select(F.lit(1).alias("k"), "v")
+    wrong = rank.value_sketches(whole.withColumn("v", F.lit(0.0)), [])
+    found = rank.order_statistics(whole.select("v"), [], rank.tile_ends(4), wrong).collect()
+    assert sorted(r["v"] for r in found) == [np.sort(pdf["v"])[n] for n in (1499, 2999, 4499)]
+
+
+def test_wide_brackets_are_narrowed_by_histograms(spark, monkeypatch):
+    monkeypatch.setattr(rank, "INSIDE", 40)
+    monkeypatch.setattr(rank, "BINS", 16)
+    rng = np.random.default_rng(6)
+    values = np.concatenate([rng.lognormal(0, 4, 4_000), np.full(2_000, 7.0), [1e-300, 1e300]])
+    df = spark.createDataFrame(pd.DataFrame({"g": np.arange(len(values)) % 2, "x": values})).repartition(4)
+    qs = [Fraction(1, 100), Fraction(1, 2), Fraction(99, 100)]
+    row = exact_quantiles(df, "x", qs, as_double=True).first()
+    assert np.allclose(list(row), np.quantile(values, [float(q) for q in qs]), rtol=1e-12)
+    monkeypatch.setattr(rank, "BROADCAST_GROUPS", 0)
+    got = {r["g"]: r["p"] for r in grouped_quantile(df, ["g"], "x", Fraction(3, 4), "p").collect()}
+    assert got == pytest.approx({g: np.quantile(values[g::2], 0.75) for g in (0, 1)}, rel=1e-12)
+
+
+def test_sketches_of_batches_answer_together(spark):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"g": rng.integers(0, 4, 50_000), "v": rng.normal(size=50_000)})
+    df = spark.createDataFrame(pdf)
+    parts = [rank.value_sketches(df.filter(F.pmod(F.xxhash64("v"), F.lit(3)) == i), ["g"]) for i in range(3)]
+    together = rank.merge_sketches(functools.reduce(lambda a, b: a.unionByName(b), parts), ["g"])
+    assert {r["g"]: r["n"] for r in together.collect()} == pdf.groupby("g").size().to_dict()
+    got = {r["g"]: r["p"] for r in grouped_quantile(df, ["g"], "v", Fraction(95, 100), "p", together).collect()}
+    assert got == pytest.approx(pdf.groupby("g")["v"].quantile(0.95).to_dict(), abs=1e-12)
+
+
 def test_nulls_have_no_position(spark):
     df = spark.createDataFrame([(1, None), (None, None), (3, 1.5), (5, 2.5)], "a int, b double")
     qs = [Fraction(1, 4), Fraction(1, 2)]

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillroll.session import checkpoint_dir
+from tillroll.session import checkpoint_dir, store
 
 RN = "_rn"
 N = "_n"
@@ -131,10 +131,20 @@ def distributed_ntile(
 
 
 # --- order statistics without ranking everything -------------------------------------------
-#: Rank error of the approximate percentiles that bracket a wanted position, as 1 / ACCURACY.
-ACCURACY = 10_000
+#: Size of the quantile sketches that bracket a wanted position, of all rows and of a group, and the
+#: rank error of a sketch of size 1 (it falls with about the 0.9th power of the size).
+SKETCH, GROUP_SKETCH = 4096, 1024
+SKETCH_ERROR = 2.3
 #: Groups of at most so many rows are bracketed whole.
 WHOLE_GROUP = 10_000
+#: Group sizes and brackets of so many groups are broadcast; beyond it rows meet them by shuffle,
+#: those of one group spread over SALTS tasks.
+BROADCAST_GROUPS = 100_000
+SALTS = 32
+#: Distinct values that the last step sorts for one position, and histogram bins that narrow a
+#: bracket which holds more.
+INSIDE = 200_000
+BINS = 4096
 
 
 class Wanted(NamedTuple):
@@ -166,53 +176,145 @@ def _same(left: list[str], right: list[str]) -> Column:
     return functools.reduce(operator.and_, (F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right)), F.lit(True))
 
 
-def order_statistics(rows: DataFrame, groups: list[str], wanted: list[Wanted]) -> DataFrame:
-    """The values ``v`` at wanted positions of each group, exact: (groups, w, v, p, before, n),
-    where ``before`` counts the rows under the value. Null values have no position.
+def _few(rows: DataFrame, groups: int) -> DataFrame:
+    """A frame with a few rows per group: broadcast while groups are few."""
+    return F.broadcast(rows) if groups <= BROADCAST_GROUPS else rows
 
-    1. Approximate percentiles bracket each position with a margin of twice their error.
-    2. Rows under a bracket are counted; rows inside are counted per distinct value (both combined
-       map-side, so a value that a third of the rows share is one row per task).
-    3. A running sum over the few values inside finds the one that covers the position.
 
-    Nothing is sorted, shuffled or stored but the insides of the brackets, a few ten-thousandths
-    of the rows. ``rows`` is read three times: pass a stored table or a cheap projection.
-    """
+def _beside(rows: DataFrame, groups: list[str], few: DataFrame, few_groups: list[str], count: int) -> DataFrame:
+    """Rows with what ``few``, a row per group, says about their group."""
+    if not groups:
+        return rows.crossJoin(F.broadcast(few))  # one row
+    if count <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(few), _same(groups, few_groups))
+    salted = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("_deal", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, _same(groups, few_groups) & (F.col("_deal") == F.col("_salt"))).drop("_deal", "_salt")
+
+
+def value_sketches(rows: DataFrame, groups: list[str], size: int | None = None) -> DataFrame:
+    """(groups, n, sketch) of the values ``v``: mergeable, of bounded size whatever the rows.
+
+    Kept with each batch of a growing table, they answer for all of it without reading old
+    batches again (``merge_sketches``)."""
+    size = size or (GROUP_SKETCH if groups else SKETCH)
     value = F.col("v").cast("double")
-    margin = 2 / ACCURACY
-    shares = [x for w in wanted for x in (max(0.0, w.share - margin), min(1.0, w.share + margin))]
-    rows = rows.filter("v is not null")
-    sizes = rows.groupBy(*groups).agg(
-        F.count("v").alias("n"), F.percentile_approx(value, F.array(*map(F.lit, shares)), F.lit(ACCURACY)).alias("cuts")
-    )
-    whole = F.col("n") <= WHOLE_GROUP
-    brackets = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("i"),
-                F.lit(w.name).alias("w"),
-                F.expr(w.position).cast("long").alias("p"),
-                F.when(whole, F.lit(float("-inf"))).otherwise(F.get("cuts", F.lit(2 * i))).alias("low"),
-                F.when(whole, F.lit(float("inf"))).otherwise(F.get("cuts", F.lit(2 * i + 1))).alias("high"),
-            )
-            for i, w in enumerate(wanted)
-        ]
+    return rows.filter("v is not null").groupBy(*groups).agg(
+        F.count("v").alias("n"), F.kll_sketch_agg_double(value, F.lit(size)).alias("sketch")
     )
-    of = [f"_g{i}" for i in range(len(groups))]
-    sized = sizes.select(*[F.col(g).alias(a) for g, a in zip(groups, of)], "n", brackets.alias("brackets"))
-    bracketed = rows.join(sized, _same(groups, of)) if groups else rows.crossJoin(F.broadcast(sized))  # one row
-    under = bracketed.groupBy(*groups).agg(
-        F.array(*[F.count_if(value < F.get("brackets", F.lit(i))["low"]) for i in range(len(wanted))]).alias("under")
+
+
+def merge_sketches(parts: DataFrame, groups: list[str], size: int | None = None) -> DataFrame:
+    """(groups, n, sketch) of the rows that several sketches have seen together."""
+    size = size or (GROUP_SKETCH if groups else SKETCH)
+    return parts.groupBy(*groups).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", F.lit(size)).alias("sketch"))
+
+
+def _bracketed(sketches: DataFrame, groups: list[str], names: list[str], wanted: list[Wanted], margin: float) -> DataFrame:
+    """(groups as ``names``, n, spans, wants): per wanted position the values that should hold it."""
+    shares = [x for w in wanted for x in (max(0.0, w.share - margin), min(1.0, w.share + margin))]
+    cuts = F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("sketch", F.array(*map(F.lit, shares))))
+    whole = (F.col("n") <= WHOLE_GROUP) | F.lit(margin >= 1)
+    spans = F.transform(
+        F.array(*[F.lit(i) for i in range(len(wanted))]),
+        lambda i: F.struct(
+            F.when(whole, float("-inf")).otherwise(F.get("cuts", 2 * i)).alias("low"),
+            F.when(whole, float("inf")).otherwise(F.get("cuts", 2 * i + 1)).alias("high"),
+        ),
     )
-    under = under.select(*[F.col(g).alias(a) for g, a in zip(groups, of)], "under")
-    inside = F.filter("brackets", lambda b: (value >= b["low"]) & (value <= b["high"]))
-    counted = bracketed.select(*groups, "v", "n", F.inline(inside)).groupBy(*groups, "i", "w", "p", "n", "v").agg(F.count("*").alias("c"))
-    counted = counted.join(under, _same(groups, of)) if groups else counted.crossJoin(F.broadcast(under))  # one row
-    running = Window.partitionBy(*groups, "w").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = counted.withColumn("upto", F.get("under", F.col("i")) + F.sum("c").over(running))
-    return placed.filter((F.col("upto") >= F.col("p")) & (F.col("upto") - F.col("c") < F.col("p"))).select(
+    wants = F.array(*[F.struct(F.lit(w.name).alias("w"), F.expr(w.position).cast("long").alias("p")) for w in wanted])
+    kept = [F.col(g).alias(a) for g, a in zip(groups, names)]
+    sized = sketches.select("*", cuts.alias("cuts"))
+    return sized.select(*kept, "n", F.array_distinct(spans).alias("spans"), wants.alias("wants"))
+
+
+def _spots(rows: DataFrame, sized: DataFrame, groups: list[str], names: list[str], count: int) -> tuple[DataFrame, DataFrame]:
+    """One pass over the rows. Entries (groups, seg, v, c): the line of values cut at the spans' ends
+    into segments, rows outside of every span counted by segment alone, rows inside by value; and
+    for each wanted position the segment that holds it: (groups as names, w, p, n, seg, before, inside, values)."""
+    value = F.col("v").cast("double")
+    begun = F.size(F.filter("spans", lambda s: s["low"] <= value))
+    ended = F.size(F.filter("spans", lambda s: s["high"] < value))
+    placed = _beside(rows.select(*groups, "v"), groups, sized.select(*names, "spans"), names, count)
+    placed = placed.select(*groups, (begun + ended).alias("seg"), F.when(begun > ended, F.col("v")).alias("v"))
+    entries = store(placed.groupBy(*groups, "seg", "v").agg(F.count("*").alias("c")), "rank-entries")
+    segments = entries.groupBy(*groups, "seg").agg(F.sum("c").alias("rows"), F.count("v").alias("values"))
+    running = Window.partitionBy(*groups).orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
+    segments = segments.withColumn("before", F.coalesce(F.sum("rows").over(running), F.lit(0)))
+    wants = sized.select(*names, "n", F.inline("wants"))
+    # a few segments per group meet a few positions
+    met = segments.join(_few(wants, count), _same(names, groups))
+    held = met.filter((F.col("before") < F.col("p")) & (F.col("p") <= F.col("before") + F.col("rows")))
+    return entries, store(held.select(*names, "w", "p", "n", "seg", "before", (F.col("values") > 0).alias("inside"), "values"), "rank-spots")
+
+
+def _narrowed(live: DataFrame, by: list[str], count: int) -> DataFrame:
+    """Values that still may be the wanted ones, by one histogram per position: the bin that holds
+    the position stays, what lies under it joins ``before``."""
+    value = F.col("v").cast("double")
+    named = [F.col(c).alias(f"_e{i}") for i, c in enumerate(by)]
+    other = [f"_e{i}" for i in range(len(by))]
+    ends = live.groupBy(*by).agg(F.min(value).alias("least"), F.max(value).alias("most")).select(*named, "least", "most")
+    width = F.col("most") - F.col("least")
+    at = F.when(width > 0, F.least(F.floor((value - F.col("least")) / width * BINS), F.lit(BINS - 1))).otherwise(F.lit(0))
+    binned = store(live.join(_few(ends, count), _same(by, other)).drop(*other).withColumn("bin", at.cast("long")), "rank-bins")
+    bins = binned.groupBy(*by, "bin", "p", "before").agg(F.sum("c").alias("rows"))
+    running = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumn("upto", F.col("before") + F.coalesce(F.sum("rows").over(running), F.lit(0)))
+    held = bins.filter((F.col("upto") < F.col("p")) & (F.col("p") <= F.col("upto") + F.col("rows")))
+    held = held.select(*named, F.col("bin").alias("held_bin"), "upto")
+    kept = binned.join(_few(held, count), _same(by, other) & (F.col("bin") == F.col("held_bin")))
+    return store(kept.drop("before").withColumnRenamed("upto", "before").select(*live.columns), "rank-live")
+
+
+def order_statistics(
+    rows: DataFrame, groups: list[str], wanted: list[Wanted], sketches: DataFrame | None = None, margin: float | None = None
+) -> DataFrame:
+    """The values ``v`` at wanted positions of each group, exact: (groups, w, v, p, before, n),
+    where ``before`` counts the rows under the value. Null values have no position.
+
+    1. Quantile sketches (``value_sketches``, or given ones) bracket each position with a margin of
+       twice their error.
+    2. One pass counts rows under, between and inside the brackets, inside per distinct value (all
+       combined map-side, so a value that a third of the rows share is one row per task).
+    3. The counts tell exactly which part holds a position. If that is not its bracket, the sketch
+       was wrong there: the groups concerned are bracketed anew, wider, until nothing is missed.
+    4. Brackets that hold more than INSIDE values are narrowed by histograms over those values,
+       a running sum over the rest finds the one that covers the position.
+
+    Nothing is sorted, shuffled or stored but the insides of the brackets, some thousandths of the
+    rows. ``rows`` is read twice: pass a stored table or a cheap projection."""
+    rows = rows.filter("v is not null")
+    if sketches is None:
+        sketches = value_sketches(rows, groups)
+    size = GROUP_SKETCH if groups else SKETCH
+    margin = margin or 2 * SKETCH_ERROR / size**0.9
+    names = [f"_g{i}" for i in range(len(groups))]
+    sized = store(_bracketed(sketches, groups, names, wanted, margin), "rank-brackets")
+    count = sized.count() if groups else 1
+    entries, spots = _spots(rows, sized, groups, names, count)
+    missed, most = spots.agg(F.coalesce(F.max(~F.col("inside")), F.lit(False)), F.max("values")).first()
+    spare = [f"_a{i}" for i in range(len(groups))]
+    missing = spots.filter("not inside").select(*[F.col(n).alias(a) for n, a in zip(names, spare)]).distinct()
+    placed = spots.join(missing, _same(names, spare), "left_anti") if missed else spots
+    placed = placed.select(*names, "w", "p", "n", F.col("seg").alias("at_seg"), "before")
+    here = (F.col("seg") == F.col("at_seg")) & F.col("v").isNotNull()
+    live = entries.join(_few(placed, count), _same(groups, names) & here).select(*groups, "w", "p", "n", "before", "v", "c")
+    by = [*groups, "w"]
+    while most and most > INSIDE:
+        live = _narrowed(live, by, count)
+        left = live.groupBy(*by).agg(F.count("*").alias("values"), F.min(F.col("v").cast("double")).alias("least"), F.max(F.col("v").cast("double")).alias("most"))
+        most = left.filter("least < most").agg(F.max("values")).first()[0]
+    upto = Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = live.withColumn("upto", F.col("before") + F.sum("c").over(upto))
+    found = summed.filter((F.col("upto") >= F.col("p")) & (F.col("upto") - F.col("c") < F.col("p"))).select(
         *groups, "w", "v", "p", (F.col("upto") - F.col("c")).alias("before"), "n"
     )
+    if not missed:
+        return found
+    if groups:
+        rows, sketches = (df.join(missing, _same(groups, spare), "left_semi") for df in (rows, sketches))
+    return found.unionByName(order_statistics(rows, groups, wanted, sketches, min(1.0, 16 * margin)))
 
 
 def _interpolated(i: int, q: Fraction, as_double: bool) -> Column:
@@ -226,10 +328,12 @@ def _interpolated(i: int, q: Fraction, as_double: bool) -> Column:
     return low + (high - low) * part
 
 
-def grouped_quantiles(rows: DataFrame, groups: list[str], qs: list[Fraction], prefix: str, as_double: bool = False) -> DataFrame:
+def grouped_quantiles(
+    rows: DataFrame, groups: list[str], qs: list[Fraction], prefix: str, as_double: bool = False, sketches: DataFrame | None = None
+) -> DataFrame:
     """Linear-interpolation quantiles (pandas ``quantile``, SQL ``quantile_cont``) of ``v`` per
     group: (groups, {prefix}0, {prefix}1, ...)."""
-    found = order_statistics(rows, groups, quantile_positions(qs))
+    found = order_statistics(rows, groups, quantile_positions(qs), sketches)
     names = [n for i in range(len(qs)) for n in (f"lo{i}", f"hi{i}")]
     wide = found.groupBy(*groups).agg(*[F.max(F.when(F.col("w") == n, F.col("v"))).alias(n) for n in names], F.max("n").alias("n"))
     return wide.select(*groups, *[_interpolated(i, q, as_double).alias(f"{prefix}{i}") for i, q in enumerate(qs)])
@@ -240,10 +344,13 @@ def exact_quantiles(df: DataFrame, value: str, qs: list[Fraction], *, prefix: st
     return grouped_quantiles(df.select(F.col(value).alias("v")), [], qs, prefix, as_double)
 
 
-def grouped_quantile(df: DataFrame, group_by: list[str], value: str, q: Fraction, out: str) -> DataFrame:
-    """The quantile of a column per group, as doubles; groups without values are absent."""
+def grouped_quantile(
+    df: DataFrame, group_by: list[str], value: str, q: Fraction, out: str, sketches: DataFrame | None = None
+) -> DataFrame:
+    """The quantile of a column per group, as doubles; groups without values are absent. ``sketches``
+    of the same groups and values spare a pass over the rows."""
     rows = df.select(*group_by, F.col(value).cast("double").alias("v"))
-    return grouped_quantiles(rows, group_by, [q], out, as_double=True).withColumnRenamed(f"{out}0", out)
+    return grouped_quantiles(rows, group_by, [q], out, True, sketches).withColumnRenamed(f"{out}0", out)
 
 
 # --- several metrics of the same rows ------------------------------------------------------
