@@ -168,6 +168,20 @@ def events_by_hour_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(p95, "hour", "left").select("hour", "events", "failures", F.round("p95", 6).alias("p95_duration_ms"))
 
 
+KEPT_P95_SQL = """SELECT hour, count(*) AS events, count_if(failed) AS failures, round(quantile_cont(value, 0.95), 6) AS p95_duration_ms
+FROM (SELECT date_trunc('hour', ts) AS hour, event_type = 'error' AS failed, value FROM events
+      UNION ALL SELECT TIMESTAMP '2024-01-01 00:00:00', false, 1.5) GROUP BY hour"""
+
+
+@query("events_by_hour_kept", KEPT_P95_SQL, "A22,V4")
+def events_by_hour_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from an ingest in two batches, whose hourly states are kept and merged: counts and
+    brackets need no event again."""
+    base = _ingested(spark, sf_dir, twice=True, hours=True)
+    p95 = I.exact_p95(I.hours_so_far(spark, f"{base}/hours"), I.read_events(spark, f"{base}/sink"))
+    return p95.select("hour", "events", "failures", F.round("p95", 6).alias("p95_duration_ms"))
+
+
 RUN_SQL = """SELECT CAST(user_id AS VARCHAR) AS run_id, min(ts) AS first_event, max(ts) AS last_event,
        count(*) AS events, count_if(event_type = 'error') AS failures, count(DISTINCT event_type) AS stages,
        (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000 AS span_ms
@@ -215,9 +229,10 @@ SELECT TIMESTAMP '2024-01-01 00:00:00' AS event_ts, '{FULL_EVENT["stage"]}' AS s
 INGEST_SQL = _ingest_sql()
 
 
-def _ingested(spark: SparkSession, sf_dir: str, *, twice: bool = False) -> str:
+def _ingested(spark: SparkSession, sf_dir: str, *, twice: bool = False, hours: bool = False) -> str:
     """Stream the event records (as JSON Lines, with one full record and the bad lines) into sink
-    and dead letters under the returned folder; ``twice``: one part, then the rest after a restart."""
+    and dead letters under the returned folder; ``twice``: one part, then the rest after a restart;
+    ``hours``: the hourly states as well."""
     base = scratch_path(spark, "event-ingest")
     records = I.event_records(_events(spark, sf_dir))
     late = F.pmod(F.xxhash64("run.id", "@timestamp"), F.lit(2)) == 1
@@ -226,7 +241,15 @@ def _ingested(spark: SparkSession, sf_dir: str, *, twice: bool = False) -> str:
     for part in (records.filter(~late), records.filter(late)) if twice else (records,):
         I.append_json_lines(part, f"{base}/inbox")
         I.await_all(
-            I.start_event_ingest(spark, f"{base}/inbox", f"{base}/sink", f"{base}/rejects", f"{base}/_checkpoint", max_files=50)
+            I.start_event_ingest(
+                spark,
+                f"{base}/inbox",
+                f"{base}/sink",
+                f"{base}/rejects",
+                f"{base}/_checkpoint",
+                max_files=50,
+                hours=f"{base}/hours" if hours else None,
+            )
         )
     return base
 

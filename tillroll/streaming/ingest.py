@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from fractions import Fraction
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from tillroll.operators.rank import GROUP_SKETCH, grouped_quantile
 from tillroll.schema import EVENT_SCHEMA, allowed_keys
 from tillroll.sources.tables import folders, numbered, remove
 from tillroll.streaming.events import as_events, to_json_lines
@@ -302,20 +304,57 @@ def start_event_ingest(
     *,
     available_now: bool = True,
     max_files: int | None = None,
+    hours: str | None = None,
 ) -> list[StreamingQuery]:
     """S9 + V4: tail the JSON-Lines inbox into the daily-partitioned sink (K9) and the dead-letter
     set (K10): one stream, one parse of every line. ``max_files``: the inbox holds complete files,
-    and a batch takes so many of them at most."""
+    and a batch takes so many of them at most. ``hours``: where each batch's ``hour_state`` is kept
+    (A22)."""
 
     def write(lines: DataFrame, batch: int) -> None:
         classified = classify_event_lines(lines).persist()
         _store(enrich_events(classified), sink, batch, by="event_date")
+        if hours:
+            _store(hour_state(enrich_events(classified)), hours, batch)
         _store(rejected_lines(classified), dead_letter, batch)
         classified.unpersist()
 
     return [_start(spark, inbox, checkpoint, write, available_now, max_files)]
 
 
+def hour_state(events: DataFrame) -> DataFrame:
+    """What a batch says about its hours: events, failures, and a mergeable sketch of the
+    durations. A row per hour, of bounded size however many events it has."""
+    rows = events.select(F.date_trunc("hour", "event_ts").alias("hour"), "outcome", F.col("duration_ms").alias("v"))
+    counted = rows.groupBy("hour").agg(
+        F.count(F.lit(1)).alias("events"),
+        F.count_if(F.col("outcome") == "failure").alias("failures"),
+        F.count("v").alias("n"),
+        F.kll_sketch_agg_double("v", F.lit(GROUP_SKETCH)).alias("sketch"),
+    )
+    return counted.filter("hour is not null")
+
+
+def hours_so_far(spark: SparkSession, hours: str) -> DataFrame:
+    """(hour, events, failures, n, sketch) of all batches together, from their kept states alone."""
+    kept = spark.read.parquet(hours)
+    return kept.groupBy("hour").agg(
+        F.sum("events").alias("events"),
+        F.sum("failures").alias("failures"),
+        F.sum("n").alias("n"),
+        F.kll_merge_agg_double("sketch", F.lit(GROUP_SKETCH)).alias("sketch"),
+    )
+
+
+def exact_p95(state: DataFrame, events: DataFrame) -> DataFrame:
+    """(hour, events, failures, p95): counts and bracket from the kept states, the exact value from
+    the one pass over the events that counts what lies inside the bracket."""
+    timed = events.select(F.date_trunc("hour", "event_ts").alias("hour"), "duration_ms")
+    sketches = state.filter("n > 0").select("hour", "n", "sketch")
+    p95 = grouped_quantile(timed, ["hour"], "duration_ms", Fraction(95, 100), "p95", sketches)
+    return state.select("hour", "events", "failures").join(p95, "hour", "left")
+
+
 def await_all(queries: list[StreamingQuery]) -> None:
     for q in queries:
         q.awaitTermination()
