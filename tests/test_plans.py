@@ -36,17 +36,22 @@ def test_filters_and_pruning_reach_the_scan(spark, tmp_path):
     assert "ReadSchema: struct<" in scan
 
 
-def test_hot_guest_key_is_split_out_of_the_customer_join(spark):
-    fact = spark.createDataFrame([("UNKNOWN", i) for i in range(900)] + [("7", 2)], "customer_key string, v int")
-    dim = spark.createDataFrame([("UNKNOWN", "Unattributed"), ("7", "Loyal")], "customer_key string, seg string")
-    out = M.join_hot_key(fact, dim.hint("merge"), "customer_key", "UNKNOWN", ["v"])
-    assert out.columns == ["customer_key", "v", "seg"]
-    counted = dict(out.groupBy("seg").count().collect())
-    assert counted == {"Loyal": 1, "Unattributed": 900}
+def test_hot_keys_are_found_and_split_in_both_joins(spark):
+    # a planted product and the guest bucket; both are hot, nothing names them
+    rows = [("UNKNOWN" if i % 4 == 0 else f"c{i % 97}", "hot" if i % 3 == 0 else f"p{i % 61}", i) for i in range(6000)]
+    fact = spark.createDataFrame(rows, "customer_key string, product_key string, v int").repartition(4)
+    hot = M.hot_keys(fact, ["customer_key", "product_key"], parts=32)
+    found = {k: {r["hot_key"]: r["salts"] for r in df.collect()} for k, df in hot.items()}
+    assert found["customer_key"] == {"UNKNOWN": 8} and found["product_key"] == {"hot": 11}
+    dim = spark.createDataFrame([(k, k.upper()) for k in {r[1] for r in rows}], "product_key string, name string")
+    out = M.join_hot_keys(fact, dim.hint("merge"), "product_key", hot["product_key"], ["v"])
+    assert out.columns == ["product_key", "customer_key", "v", "name"]
+    assert sorted((r["v"], r["product_key"], r["name"]) for r in out.collect()) == sorted((v, p, p.upper()) for _, p, v in rows)
     plan = _plan(out)
-    assert plan.count("Scan ExistingRDD") == 2 and "Union" not in plan  # one scan of the fact
-    spread = out.filter("seg = 'Unattributed'").withColumn("p", F.spark_partition_id()).select("p").distinct().count()
-    assert "_salt" in plan and spread >= 1
+    assert "SortMergeJoin [product_key" in plan and "_salt" in plan and "Union" not in plan
+    spread = fact.join(hot["product_key"], F.col("product_key") == F.col("hot_key")).select(F.pmod(F.xxhash64("v"), F.lit(11)).alias("s"))
+    assert spread.groupBy("s").count().agg(F.max("count")).first()[0] < 2 * 2000 / 11
+    assert M.hot_keys(fact.limit(0), ["product_key"])["product_key"].count() == 0
 
 
 def test_dedupe_is_an_aggregate_not_a_window(spark, batch):

@@ -20,13 +20,15 @@ from tillroll.operators.layers import (
     score_rfm,
 )
 from tillroll.schema import PRICE_TYPE, REVENUE_TYPE
+from tillroll.session import store
 from tillroll.sources.tables import write_table
 
 # --- fixed values: dimension fallbacks and the volatility rule ------------------------------
 UNKNOWN_PRODUCT = "UNKNOWN PRODUCT"
 VOLATILE_PRICE_FACTOR = 3
-#: Tasks that the rows of the known hot customer are spread over.
-HOT_SALTS = 64
+#: A key is hot if it has more than one in so many rows, and items that the search for them tracks.
+HOT_PARTS = 128
+TRACKED_ITEMS = 16_384
 SALES_KEY_COLUMNS = ["invoice_no", "product_key", "invoiced_at", "unit_price", "quantity"]
 
 
@@ -115,17 +117,35 @@ def dim_date(stg: DataFrame) -> DataFrame:
     return spine.select(*calendar_columns("date_key"))
 
 
-def join_hot_key(fact: DataFrame, dim: DataFrame, key: str, hot: str, spread: list[str], salts: int = HOT_SALTS) -> DataFrame:
-    """Equi-join ``fact`` to ``dim`` on ``key`` in one scan, with one known hot key salted.
-
-    The hot key's fact rows (e.g. the ``UNKNOWN`` guest bucket: about a quarter of all sales) get
-    a salt from the columns ``spread``, and that key's one dimension row is repeated for every
-    salt; all other rows have salt 0. So the hot rows spread over ``salts`` tasks."""
-    is_hot = F.col(key) == hot
-    salted = fact.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(0).cast("int"))
-    repeated = dim.withColumn(
-        "_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
-    )
+def hot_keys(fact: DataFrame, keys: list[str], parts: int = HOT_PARTS) -> dict[str, DataFrame]:
+    """For each key column the values that more than one in ``parts`` rows has: (hot_key, salts), with
+    as many salts as the value has parts of the rows.
+
+    One pass with a mergeable sketch of frequent items finds them; a value over that share can't be
+    missed, as the sketch tracks many times more items. There are fewer than ``parts`` of them
+    whatever the data, so they may be broadcast."""
+    tops = [F.expr(f"approx_top_k(`{key}`, {parts}, {TRACKED_ITEMS})").alias(f"top{i}") for i, key in enumerate(keys)]
+    seen = store(fact.agg(F.count(F.lit(1)).alias("n"), *tops), "hot-keys")
+    out = {}
+    for i, key in enumerate(keys):
+        found = seen.select("n", F.inline(f"top{i}")).filter(F.col("item").isNotNull())
+        salts = F.ceil(F.col("count") * parts / F.col("n")).cast("int")
+        out[key] = found.select(F.col("item").alias("hot_key"), salts.alias("salts")).filter("salts > 1")
+    return out
+
+
+def join_hot_keys(fact: DataFrame, dim: DataFrame, key: str, hot: DataFrame, spread: list[str]) -> DataFrame:
+    """Equi-join ``fact`` to ``dim`` on ``key`` in one scan, with the keys in ``hot`` salted.
+
+    A hot key's fact rows get a salt from the columns ``spread``, and its dimension row is repeated
+    for each of its salts; all other rows have salt 0. So no task holds much more than one part of
+    the fact, whichever keys are hot."""
+    few = F.broadcast(hot)  # bounded by the parts, not by the data
+    with_salts = fact.join(few, F.col(key) == F.col("hot_key"), "left")
+    salt = F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64(*spread), F.col("salts").cast("long"))).otherwise(0)
+    salted = with_salts.withColumn("_salt", salt.cast("int")).drop("hot_key", "salts")
+    repeated = dim.join(few, F.col(key) == F.col("hot_key"), "left")
+    repeated = repeated.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("hot_key", "salts")
     return salted.join(repeated, [key, "_salt"]).drop("_salt")
 
 
@@ -133,14 +153,16 @@ def star_join_revenue(fct: DataFrame, d_date: DataFrame, d_customer: DataFrame,
     """Revenue by month, RFM segment and pricing volatility from the fact joined to the
     three dimensions.
 
-    ``dim_date`` is bounded by the calendar span, so it is broadcast explicitly; the guest
-    bucket is salted in the customer join (a known hot key); product joins are left to
-    AQE (runtime broadcast below the threshold, skew splitting above).
+    ``dim_date`` is bounded by the calendar span, so it is broadcast explicitly; customers and
+    products grow with the data, and the keys that many rows share (the guest bucket, a
+    best-selling product) are found in the fact and salted in both joins.
     """
+    hot = hot_keys(fct, ["customer_key", "product_key"])
     with_date = fct.join(F.broadcast(d_date.select("date_key", "year_month")), "date_key")
     customers = d_customer.select("customer_key", "rfm_segment")
-    with_customer = join_hot_key(with_date, customers, "customer_key", UNKNOWN_CUSTOMER, ["invoice_no", "product_key"])
-    joined = with_customer.join(d_product.select("product_key", "has_volatile_pricing"), "product_key")
+    with_customer = join_hot_keys(with_date, customers, "customer_key", hot["customer_key"], ["invoice_no", "product_key"])
+    products = d_product.select("product_key", "has_volatile_pricing")
+    joined = join_hot_keys(with_customer, products, "product_key", hot["product_key"], ["invoice_no"])
     return joined.groupBy("year_month", "rfm_segment", "has_volatile_pricing").agg(
         F.count(F.lit(1)).alias("sales_lines"),
         F.countDistinct("invoice_no").alias("invoice_count"),
