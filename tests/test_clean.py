@@ -160,3 +160,25 @@ def test_text_dates_and_quantities(spark):
     bad = spark.createDataFrame([("1", "A", "x", "1", "soon", "1", None, "UK")], ", ".join(f"{n} string" for n in names))
     with pytest.raises(Exception, match="unreadable invoice date: soon"):
         C.standardize_columns(bad).collect()
+
+
+def test_every_file_of_a_folder_is_checked(spark, tmp_path):
+    from tillroll.sources.raw import DeclaredSchemaError, declared_read, file_columns
+    from tillroll.sources.retail import retail_raw
+
+    path = str(tmp_path / "raw")
+    batch = retail_raw(spark, "/root/testdata/sf0.001")
+    batch.coalesce(2).write.parquet(path)
+    n = declared_read(spark, path).count()
+    assert n == batch.count()
+    # one more file, without a column: which footer Spark would take is left to chance
+    batch.limit(10).drop("Country").coalesce(1).write.mode("append").parquet(path)
+    with pytest.raises(DeclaredSchemaError, match=r"part-\S+ lacks Country$"):
+        declared_read(spark, path)
+    assert declared_read(spark, path, check_files=False).count() == n + 10
+    told = file_columns(spark, path)
+    assert told.filter("column = 'Country'").count() == told.filter("column = 'Quantity' AND type = 'int'").count() - 1
+    # columns that folders name are there
+    by = str(tmp_path / "by")
+    batch.write.partitionBy("Country").parquet(by)
+    assert declared_read(spark, by).select("Country").distinct().count() == 25

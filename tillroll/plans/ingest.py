@@ -15,8 +15,16 @@ from tillroll.operators import star as S
 from tillroll.plans import oracle as O
 from tillroll.plans.catalog import LOADED_AT, materialize, query, raw, sql_ts, ts_lit
 from tillroll.session import BRONZE, scratch_path
-from tillroll.sources.raw import align_raw_types, declared_read, read_layer, read_layer_between, read_star_tables
-from tillroll.schema import RAW_COLUMNS
+from tillroll.sources.raw import (
+    align_raw_types,
+    declared_read,
+    file_columns,
+    lacking_columns,
+    read_layer,
+    read_layer_between,
+    read_star_tables,
+)
+from tillroll.schema import RAW_COLUMNS, RAW_SCHEMA
 from pyspark.sql import types as T
 
 RAW_SELECT = "SELECT InvoiceNo, StockCode, Description, Quantity, InvoiceDate, UnitPrice, CustomerID, Country"
@@ -108,6 +116,32 @@ def bronze_date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.to_date("InvoiceDate").alias("day")).agg(F.count(F.lit(1)).alias("rows"), F.sum("Quantity").alias("units"))
 
 
+@query(
+    "raw_file_faults",
+    O.with_ctes()
+    + """SELECT 'Country' AS "column", 'lacking' AS fault, count(*) AS rows FROM retail_raw WHERE InvoiceNo LIKE 'C%'
+UNION ALL SELECT 'Quantity', 'bigint', count(*) FROM retail_raw WHERE InvoiceNo LIKE 'C%'""",
+    "S1,C2",
+)
+def raw_file_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder in which the cancellations' files lack a column and have another type for one: each
+    fault by column, with the rows of the files that show it."""
+    path = scratch_path(spark, "mixed-files")
+    batch = raw(spark, sf_dir)
+    cancelled = F.col("InvoiceNo").startswith("C")
+    batch.filter(~cancelled).write.parquet(path)
+    batch.filter(cancelled).withColumn("Quantity", F.col("Quantity").cast("bigint")).drop("Country").write.mode("append").parquet(path)
+    declared = {f.name: f.dataType.simpleString() for f in RAW_SCHEMA}
+    told = file_columns(spark, path)
+    lacking = lacking_columns(spark, path, list(declared)).select("file", F.explode("lacking").alias("column"), F.lit("lacking").alias("fault"))
+    kind = F.create_map(*[F.lit(x) for item in declared.items() for x in item])[F.col("column")]
+    retyped = told.filter(F.col("type") != kind).select("file", "column", F.col("type").alias("fault"))
+    rows = spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    faults = lacking.unionByName(retyped).withColumn("name", F.element_at(F.split("file", "/"), -1))
+    held = rows.select(F.element_at(F.split("at", "/"), -1).alias("name"), "n")
+    return faults.join(held, "name").groupBy("column", "fault").agg(F.sum("n").alias("rows"))
+
+
 @query("raw_csv_read", O.with_ctes() + RAW_SELECT + " FROM retail_raw", "S1")
 def raw_csv_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Land the batch as CSV and read it back under the declared schema, header checked."""

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from tillroll.schema import PRICE_TYPE, RAW_SCHEMA
 from tillroll.sources.tables import newest
+from tillroll.streaming.tail import ship, storage
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
@@ -22,24 +23,73 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
     return df.select(*columns) if columns else df
 
 
+#: Files that a refusal names.
+NAMED_FILES = 5
+
+
 class DeclaredSchemaError(ValueError):
     """A file does not have the columns that were declared for it."""
 
 
-def declared_read(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType = RAW_SCHEMA) -> DataFrame:
+def file_columns(spark: SparkSession, path: str) -> DataFrame:
+    """(file, column, type): what every Parquet file of a folder says of itself in its footer.
+
+    Spark takes one file's footer for all of a folder. Here tasks read each one's (footers only, no
+    data); folders named ``column=value`` count as columns of the files in them, of type
+    ``folder``. Types are Spark's names."""
+    ship()
+
+    def footers(batches):
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+        from pyspark.sql.pandas.types import from_arrow_type
+
+        def named(kind) -> str:
+            try:
+                return from_arrow_type(kind).simpleString()
+            except Exception:  # noqa: BLE001 - a type Spark has no name for
+                return str(kind)
+
+        for batch in batches:
+            rows = []
+            for file in batch.column(0).to_pylist():
+                system, at = storage(file)
+                for f in pq.read_schema(at, filesystem=system):
+                    rows.append((file, f.name, named(f.type)))
+                rows += [(file, part.split("=", 1)[0], "folder") for part in at.split("/")[:-1] if "=" in part]
+            columns = list(zip(*rows)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["file", "column", "type"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    return files.mapInArrow(footers, "file string, column string, type string")
+
+
+def lacking_columns(spark: SparkSession, path: str, declared: list[str]) -> DataFrame:
+    """(file, lacking): the Parquet files of a folder that lack declared columns, and which."""
+    found = file_columns(spark, path).groupBy("file").agg(F.collect_set("column").alias("columns"))
+    lacking = F.array_except(F.array(*map(F.lit, declared)), "columns")
+    return found.select("file", lacking.alias("lacking")).filter(F.size("lacking") > 0)
+
+
+def declared_read(
+    spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType = RAW_SCHEMA, *, check_files: bool = True
+) -> DataFrame:
     """Read raw invoice lines under the declared schema (never inferred).
 
     A batch of another shape fails visibly: a CSV header must have the declared names in their
-    order, and a malformed CSV record aborts the read; a Parquet file that lacks declared columns
-    is refused by their names (its own schema is in its footer, so that costs no scan).
+    order, and a malformed CSV record aborts the read; a folder with Parquet files that lack
+    declared columns is refused, naming files and columns (a read would give nulls for them).
+    ``check_files=False`` is for files that the caller has checked or written itself.
     """
     reader = spark.read.schema(schema)
     if fmt == "csv":
         reader = reader.options(header=True, mode="FAILFAST", enforceSchema=False)
-    elif fmt == "parquet":
-        lacking = [n for n in schema.fieldNames() if n not in spark.read.parquet(path).columns]
-        if lacking:
-            raise DeclaredSchemaError(f"{path} lacks the declared columns {', '.join(lacking)}")
+    elif fmt == "parquet" and check_files:
+        faults = lacking_columns(spark, path, schema.fieldNames()).orderBy("file").limit(NAMED_FILES + 1).collect()
+        if faults:
+            told = [f"{f['file'].rsplit('/', 1)[1]} lacks {', '.join(f['lacking'])}" for f in faults[:NAMED_FILES]]
+            more = " and others" if len(faults) > NAMED_FILES else ""
+            raise DeclaredSchemaError(f"{path} lacks declared columns: {'; '.join(told)}{more}")
     return reader.format(fmt).load(path)
 
 

@@ -215,7 +215,8 @@ def finding_facts(stage: str, findings: DataFrame, outcomes: DataFrame) -> DataF
 
 def screen(context: dict[str, Any]) -> dict[str, Any]:
     """G1: contract and expectations, both always judged and logged; drift is raised first."""
-    batch = declared_read(context["raw"].sparkSession, context["extract"]["path"]) if "extract" in context else context["raw"]
+    spark, landed = context["raw"].sparkSession, context.get("extract")
+    batch = declared_read(spark, landed["path"], check_files=False) if landed else context["raw"]
     findings, outcomes = screening(batch, context.get("contract"))
     context["log"].add(finding_facts("screen", findings, outcomes))
     found = findings.orderBy("place", "kind").collect()  # a few rows per column
@@ -253,7 +254,7 @@ def clean_into(raw: DataFrame, path: str) -> dict[str, Any]:
 
 def transform(context: dict[str, Any]) -> dict[str, Any]:
     spark = context["raw"].sparkSession
-    return clean_into(declared_read(spark, context["extract"]["path"]), f"{context['work']}/interim")
+    return clean_into(declared_read(spark, context["extract"]["path"], check_files=False), f"{context['work']}/interim")
 
 
 def load(context: dict[str, Any]) -> dict[str, Any]:
