@@ -7,6 +7,7 @@ import json
 from datetime import datetime
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tillroll.streaming import ingest as I
@@ -181,3 +182,34 @@ def test_event_records_from_events_table(spark):
 def test_shipping_lag(spark):
     df = spark.createDataFrame([(datetime(2024, 1, 1, 10, 0, 0), datetime(2024, 1, 1, 10, 0, 2, 500000))], "event_ts timestamp, ingested_at timestamp")
     assert df.select(I.shipping_lag_seconds(df).alias("lag")).first()["lag"] == 2.5
+
+
+def test_batches_leave_run_events(spark, tmp_path):
+    from tillroll.streaming.batches import BatchLog
+    from tillroll.streaming.events import RunLog
+
+    inbox, sink, dead, ck = (str(tmp_path / p) for p in ("inbox", "sink", "dead", "ck"))
+    log = RunLog(spark, str(tmp_path / "log"))
+    for number, lines in enumerate(([line(1), line(2), "{broken"], [line(3)])):
+        _write_lines(spark, inbox, lines)
+        batches = BatchLog(log, f"ingest-{number}")
+        batches.follow(spark, lambda: I.start_event_ingest(spark, inbox, sink, dead, ck, log=batches))  # noqa: B023
+    done = sorted((r["metrics"]["rows"], r["metrics"]["rows_written"], r["metrics"]["rows_dropped"]) for r in log.read().collect())
+    assert done == [(1, 1, 0), (3, 2, 1)]
+    assert {(r["stage"], r["outcome"], r["run"]["id"]) for r in log.read().collect()} == {("ingest", "success", log.run_id)}
+    assert all(r["duration_ms"] > 0 for r in log.read().collect())
+
+
+def test_a_failed_batch_leaves_a_failure(spark, tmp_path):
+    from tillroll.streaming.batches import BatchLog
+    from tillroll.streaming.events import RunLog
+
+    inbox, dead, ck = (str(tmp_path / p) for p in ("inbox", "dead", "ck"))
+    (tmp_path / "sink").write_text("a file where the folder should be")
+    _write_lines(spark, inbox, [line(1)])
+    log = RunLog(spark, str(tmp_path / "log"))
+    batches = BatchLog(log, "ingest-failing")
+    with pytest.raises(StreamingQueryException):
+        batches.follow(spark, lambda: I.start_event_ingest(spark, inbox, str(tmp_path / "sink"), dead, ck, log=batches))
+    (row,) = log.read().collect()
+    assert (row["stage"], row["outcome"]) == ("ingest", "failure") and row["error"]["message"]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import json
+import uuid
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,7 @@ from tillroll.schema import EVENT_SCHEMA
 from tillroll.session import ensure_session_defaults, scratch_path
 from tillroll.sources.raw import read_table
 from tillroll.streaming import ingest as I
+from tillroll.streaming.batches import BatchLog
 from tillroll.streaming.events import PIPELINE, RunLog, finding_facts, run_pipeline, screening, to_json_lines
 from tillroll.streaming.tail import ship, storage
 
@@ -229,10 +232,12 @@ SELECT TIMESTAMP '2024-01-01 00:00:00' AS event_ts, '{FULL_EVENT["stage"]}' AS s
 INGEST_SQL = _ingest_sql()
 
 
-def _ingested(spark: SparkSession, sf_dir: str, *, twice: bool = False, hours: bool = False) -> str:
+def _ingested(
+    spark: SparkSession, sf_dir: str, *, twice: bool = False, hours: bool = False, log: RunLog | None = None
+) -> str:
     """Stream the event records (as JSON Lines, with one full record and the bad lines) into sink
     and dead letters under the returned folder; ``twice``: one part, then the rest after a restart;
-    ``hours``: the hourly states as well."""
+    ``hours``: the hourly states as well; ``log``: run events of the batches."""
     base = scratch_path(spark, "event-ingest")
     records = I.event_records(_events(spark, sf_dir))
     late = F.pmod(F.xxhash64("run.id", "@timestamp"), F.lit(2)) == 1
@@ -240,17 +245,22 @@ def _ingested(spark: SparkSession, sf_dir: str, *, twice: bool = False, hours: b
     spark.createDataFrame([(x,) for x in extra], "value string").coalesce(1).write.mode("append").text(f"{base}/inbox")
     for part in (records.filter(~late), records.filter(late)) if twice else (records,):
         I.append_json_lines(part, f"{base}/inbox")
-        I.await_all(
-            I.start_event_ingest(
-                spark,
-                f"{base}/inbox",
-                f"{base}/sink",
-                f"{base}/rejects",
-                f"{base}/_checkpoint",
-                max_files=50,
-                hours=f"{base}/hours" if hours else None,
-            )
+        batches = BatchLog(log, f"ingest-{uuid.uuid4().hex[:8]}") if log else None
+        start = functools.partial(
+            I.start_event_ingest,
+            spark,
+            f"{base}/inbox",
+            f"{base}/sink",
+            f"{base}/rejects",
+            f"{base}/_checkpoint",
+            max_files=50,
+            hours=f"{base}/hours" if hours else None,
+            log=batches,
         )
+        if batches:
+            batches.follow(spark, start)
+        else:
+            I.await_all(start())
     return base
 
 
@@ -313,6 +323,22 @@ def log_append_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored_events(spark, base)
 
 
+INGEST_BATCHES_SQL = """SELECT 'ingest' AS stage, 'success' AS outcome, count(*) + 7 AS rows, count(*) + 1 AS rows_written,
+       6 AS rows_dropped, true AS timed FROM events"""
+
+
+@query("ingest_batches", INGEST_BATCHES_SQL, "V3,V10,K10")
+def ingest_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run events that an ingest's batches leave, read back from the run's log and summed."""
+    log = RunLog(spark, scratch_path(spark, "batch-events"))
+    _ingested(spark, sf_dir, twice=True, log=log)
+    done = log.read().filter(F.col("run.id") == log.run_id)
+    return done.groupBy("stage", "outcome").agg(
+        *[F.sum(f"metrics.{m}").alias(m) for m in ("rows", "rows_written", "rows_dropped")],
+        (F.min("duration_ms") > 0).alias("timed"),
+    )
+
+
 REJECTS_SQL = "\nUNION ALL ".join(
     f"SELECT '{line}' AS raw_line, '{reason}' AS reject_reason" for line, reason in zip(BAD_EVENT_LINES, REJECT_REASONS)
 )

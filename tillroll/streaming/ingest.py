@@ -26,14 +26,15 @@ from concurrent.futures import ThreadPoolExecutor
 from fractions import Fraction
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tillroll.operators.rank import GROUP_SKETCH, grouped_quantile
 from tillroll.schema import EVENT_SCHEMA, allowed_keys
-from tillroll.sources.tables import folders, numbered, remove
+from tillroll.sources.tables import folders, numbered, remove, write_table
+from tillroll.streaming.batches import BatchLog
 from tillroll.streaming.events import as_events, to_json_lines
 from tillroll.streaming.tail import growing_lines
 
@@ -203,14 +204,16 @@ def rejected_lines(classified: DataFrame) -> DataFrame:
     )
 
 
-def _store(rows: DataFrame, path: str, batch: int, by: str | None = None) -> None:
+def _store(rows: DataFrame, path: str, batch: int, by: str | None = None) -> int:
     """The rows of one micro-batch, replacing whatever an earlier run of that batch stored; ``by``
-    names the day, whose folder holds a folder per batch."""
+    names the day, whose folder holds a folder per batch. Returns how many."""
     if by is None:
-        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
-        return
+        return write_table(rows, f"{path}/batch={batch}", count=True)
+    seen = Observation("rows stored")
+    rows = rows.observe(seen, F.count(F.lit(1)).alias("rows"))
     rows = rows.hint("rebalance", by).withColumn("batch", F.lit(batch).cast("long"))
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by, "batch").parquet(path)
+    return int(seen.get["rows"])
 
 
 def _day_folders(spark: SparkSession, sink: str, day: str) -> tuple[int, list[str]]:
@@ -286,12 +289,14 @@ def _start(
     write: Callable[[DataFrame, int], None],
     available_now: bool,
     max_files: int | None,
+    name: str | None = None,
 ) -> StreamingQuery:
     if max_files is None:
         lines = growing_lines(spark, inbox, checkpoint)
     else:
         lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(inbox)
     writer = lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = writer.queryName(name) if name else writer
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")).start()
 
 
@@ -305,21 +310,24 @@ def start_event_ingest(
     available_now: bool = True,
     max_files: int | None = None,
     hours: str | None = None,
+    log: BatchLog | None = None,
 ) -> list[StreamingQuery]:
     """S9 + V4: tail the JSON-Lines inbox into the daily-partitioned sink (K9) and the dead-letter
     set (K10): one stream, one parse of every line. ``max_files``: the inbox holds complete files,
     and a batch takes so many of them at most. ``hours``: where each batch's ``hour_state`` is kept
-    (A22)."""
+    (A22). ``log``: what follows the batches as run events, by its name."""
 
     def write(lines: DataFrame, batch: int) -> None:
         classified = classify_event_lines(lines).persist()
-        _store(enrich_events(classified), sink, batch, by="event_date")
+        accepted = _store(enrich_events(classified), sink, batch, by="event_date")
         if hours:
             _store(hour_state(enrich_events(classified)), hours, batch)
-        _store(rejected_lines(classified), dead_letter, batch)
+        rejected = _store(rejected_lines(classified), dead_letter, batch)
         classified.unpersist()
+        if log:
+            log.stored(batch, accepted, rejected)
 
-    return [_start(spark, inbox, checkpoint, write, available_now, max_files)]
+    return [_start(spark, inbox, checkpoint, write, available_now, max_files, log.name if log else None)]
 
 
 def hour_state(events: DataFrame) -> DataFrame:
