@@ -9,7 +9,8 @@ against the links: who links to a blocked host is distrusted. A host is blocked
 reaches ``threshold`` of what has arrived there; a host that nothing reached is allowed.
 
 Links are summed to weighted host pairs before any iteration, so iterations see hosts, never
-pages. Each iteration is written to the shared folder, which cuts lineage. Trust and distrust only
+pages. Each iteration is written to the shared folder, which cuts lineage; only the last one is
+kept. Trust and distrust only
 grow from step to step; the iterations end when neither has grown at any host by more than
 ``tolerance`` of what that host has of it. A host reached for the first time has grown by all it
 has, so they go on while anything is still on its way, however small it is beside the whole
@@ -28,7 +29,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import ascii_lower, stash, table
+from tillroll.llm.common import ascii_lower, drop_stash, stash, table
 
 # The rules of the query.
 RULES = (
@@ -130,6 +131,7 @@ def propagate(
     )
     if edges.isEmpty():
         return rank
+    last = None
     grown = lambda now, then: F.when(now > 0, (now - then) / now).otherwise(F.lit(0.0))
     for _ in count() if most_steps is None else range(most_steps):
         forth = edges.join(rank, F.col("src") == F.col("host")).select(
@@ -151,7 +153,9 @@ def propagate(
             ),
             "host-rank",
         )
-        rank = step.drop("change")
+        if last is not None:
+            drop_stash(last)
+        last, rank = step, step.drop("change")
         if (step.agg(F.max("change")).first()[0] or 0.0) <= tolerance:
             break
     return rank
@@ -193,5 +197,32 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+# rules and seeds as SQL: no given page links to another host, so a host's score is its own pages'
+_RULE_ROWS = ", ".join(f"('{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{v}')" for r, v in RULES)
+ORACLE = rf"""
+WITH p AS (
+  SELECT page_id,
+         translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages),
+places AS (SELECT DISTINCT host, path FROM p),
+rules(rule, rule_host, rule_path, rule_verdict) AS (VALUES {_RULE_ROWS}),
+ruled AS (
+  SELECT host, path, rule, rule_verdict
+  FROM places JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  QUALIFY row_number() OVER (PARTITION BY host, path ORDER BY length(rule) DESC, rule DESC) = 1),
+judged AS (SELECT p.*, rule, rule_verdict FROM p LEFT JOIN ruled USING (host, path)),
+scores AS (
+  SELECT host, count(*) FILTER (rule_verdict = 'allow') * (1 - {DAMPING}::DOUBLE) AS trust,
+         count(*) FILTER (rule_verdict = 'block') * (1 - {DAMPING}::DOUBLE) AS distrust
+  FROM judged WHERE host <> '' GROUP BY host)
+SELECT page_id, host, path, rule,
+       coalesce(rule_verdict, CASE WHEN trust + distrust > 0 AND distrust >= (trust + distrust) * {THRESHOLD}::DOUBLE
+                                   THEN 'block' ELSE 'allow' END) AS verdict,
+       coalesce(trust, 0.0)::DOUBLE AS trust, coalesce(distrust, 0.0)::DOUBLE AS distrust
+FROM judged LEFT JOIN scores USING (host)
+"""
+
 QUERIES = {"op2_url_filter": op2_url_filter}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op2_url_filter": ORACLE}
