@@ -143,3 +143,21 @@ def test_wide_and_null_ids(make_docs):
     assert set(brute([(0, chain[0]), (1, chain[2])])) and brute([(0, chain[0]), (1, chain[2])])[1][1] == 1
     through = make_docs([(1, chain[0]), (None, chain[1]), (2, chain[2])])
     assert {r.doc_id: r.component_id for r in nj.join_documents(through).collect()} == {1: 1, None: 1, 2: 1}
+
+
+def test_packing_visits_only_ranges_that_occur():
+    rng = np.random.default_rng(1)
+    for n, ranges in ((0, 5), (1, 1), (1, 1_000_000), (300, 7), (300, 10_000_000), (3000, 40)):
+        h = np.sort(rng.integers(0, nj.SCAN_BELOW, n, dtype=np.uint64))
+        found = list(nj.in_ranges(h, ranges, nj.SCAN_BELOW))
+        assert len(found) <= min(n, ranges)  # steps follow the entries, not the ranges
+        width = nj.SCAN_BELOW // ranges
+        assert [i for i, a, b in found for _ in range(a, b)] == [min(int(x) // width, ranges - 1) for x in h.tolist()]
+        assert [x for _, a, b in found for x in range(a, b)] == list(range(n))
+    assert [i for i, _, _ in nj.in_ranges(np.array([0, 1 << 63, (1 << 64) - 1], dtype=np.uint64), 2, 1 << 64)] == [0, 1]
+
+
+def test_long_chains_settle(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    assert {r.component for r in connected_components(edges).collect()} == {0}
+    assert connected_components(edges.limit(0)).count() == 0

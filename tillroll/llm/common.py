@@ -75,7 +75,14 @@ def stash(df: DataFrame, name: str) -> DataFrame:
         atexit.register(_remove, spark, run)
     path = f"{run}/{name}-{uuid.uuid4().hex[:8]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._stash_path = path
+    return stored
+
+
+def drop_stash(stored: DataFrame) -> None:
+    """Remove the files of a stash that nothing will read any more, as those of a past iteration."""
+    _remove(stored.sparkSession, stored._stash_path)
 
 
 def texts_of(batch) -> Iterator[str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import stash
+from tillroll.llm.common import drop_stash, stash
 
 
 def _neighbours(edges: DataFrame) -> DataFrame:
@@ -21,15 +21,16 @@ def _star(pairs: DataFrame, keep) -> DataFrame:
     return pairs.join(least, F.col("u") == F.col("center")).select(*keep).filter("a <> b").distinct()
 
 
-def connected_components(edges: DataFrame, most_steps: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); the component is its smallest node.
 
     Each round hangs every node's larger neighbours, then its smaller ones and itself, on the
-    smallest neighbour. Rounds are written to the shared folder and end when none changes an
-    edge, after about log(nodes) of them. A round keeps at most two rows per edge."""
+    smallest neighbour. Rounds are written to the shared folder, only the last one kept, and end
+    when none changes an edge, after about log(nodes) of them. A round keeps at most two rows per
+    edge."""
     edges = stash(edges.filter("a <> b").distinct(), "cc-edges")
     before = None
-    for _ in range(most_steps):
+    while True:
         pairs = _neighbours(edges)
         large = _star(
             pairs, (F.when(F.col("v") > F.col("u"), F.col("v")).otherwise(F.col("u")).alias("a"), F.col("least").alias("b"))
@@ -42,13 +43,12 @@ def connected_components(edges: DataFrame, most_steps: int = 60) -> DataFrame:
             .filter("a <> b")
             .distinct()
         )
-        edges = stash(small, "cc-edges")
+        last, edges = edges, stash(small, "cc-edges")
+        drop_stash(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if before is not None and tuple(now) == before:
             break
         before = tuple(now)
-    else:
-        raise RuntimeError(f"components did not settle in {most_steps} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )

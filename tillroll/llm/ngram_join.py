@@ -30,6 +30,8 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -118,11 +120,17 @@ def unpack(parts, kind) -> np.ndarray:
     return np.frombuffer(b"".join(parts), dtype=kind) if parts else np.zeros(0, dtype=kind)
 
 
-def ranges_of(sorted_hashes: np.ndarray, ranges: int, below: int) -> np.ndarray:
-    """Where each of ``ranges`` equal hash ranges under ``below`` begins; one more for the end."""
-    width = below // ranges
-    edges = np.array([i * width for i in range(ranges)], dtype=np.uint64)
-    return np.append(np.searchsorted(sorted_hashes, edges), len(sorted_hashes))
+def in_ranges(sorted_hashes: np.ndarray, ranges: int, below: int) -> Iterator[tuple[int, int, int]]:
+    """(range, start, stop) of the equal hash ranges under ``below`` that occur: as many steps as
+    that, however many ranges there are."""
+    if ranges == 1:
+        number = np.zeros(len(sorted_hashes), dtype=np.int64)
+    else:
+        number = np.minimum(sorted_hashes // np.uint64(below // ranges), np.uint64(ranges - 1)).astype(np.int64)
+    starts = np.flatnonzero(changes(number)).tolist()
+    for a, b in zip(starts, [*starts[1:], len(number)]):
+        if a < b:
+            yield int(number[a]), a, b
 
 
 def group_sums(first: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -168,11 +176,8 @@ def scan_batches(ranges: int):
             rows = [(int(classes[0]) % ranges, 1, b"", pack(classes), pack(credit.astype(np.int64)))]
             send = first | ~shared
             h, c, shared = h[send], c[send], shared[send]
-            cuts = ranges_of(h, ranges, SCAN_BELOW)
-            for i in range(ranges):
-                part = slice(cuts[i], cuts[i + 1])
-                if cuts[i] < cuts[i + 1]:
-                    rows.append((i, 0, pack(h[part]), pack(c[part]), pack(shared[part])))
+            for i, a, b in in_ranges(h, ranges, SCAN_BELOW):
+                rows.append((i, 0, pack(h[a:b]), pack(c[a:b]), pack(shared[a:b])))
             return pd.DataFrame(rows, columns=["range", "kind", "hashes", "classes", "known"])
 
         for batch in batches:
@@ -268,13 +273,8 @@ def send_lengths(ranges: int):
         first = np.flatnonzero(changes(h))
         counts = np.diff(np.append(first, len(h))).astype(np.int64)
         h, c = h[first], c[first]
-        cuts = ranges_of(h, ranges, 1 << 64)
         number = int(block["block"].iloc[0])
-        rows = [
-            (i, number, pack(h[a:b]), pack(counts[a:b]), pack(c[a:b]))
-            for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))
-            if a < b
-        ]
+        rows = [(i, number, pack(h[a:b]), pack(counts[a:b]), pack(c[a:b])) for i, a, b in in_ranges(h, ranges, 1 << 64)]
         return pd.DataFrame(rows, columns=["range", "block", "hashes", "counts", "least"])
 
     return sent
