@@ -161,3 +161,35 @@ def test_star_tables_with_text_dates_keep_unparseable_rows(spark, tmp_path):
     assert t.count() == 3 and t.filter("invoice_date IS NULL").count() == 1
     a = report(t, c, p)["invoice_date_within_expected_window"]
     assert not a["passed"] and a["actual"].endswith("without date: 1")
+
+
+def test_bitmaps_and_keys_find_the_same_orphans(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(Q, "MANY_KEYS", 1000)
+    rng = random.Random(2)
+    known = [k for k in range(-50_000, 150_000, 7) if rng.random() < 0.9]
+    facts = [rng.choice(known) for _ in range(3000)] + [None] * 50
+    for extra in ([], [3, 3, 4, 99_999], [10**17, 10**17, -(10**17), 160_000, 5, 6]):
+        f = spark.createDataFrame([(k,) for k in facts + extra], "k bigint").filter("k is not null").repartition(4)
+        d = spark.createDataFrame([(k,) for k in known + known[:9]], "k bigint")
+        bounds = Q._dense_bounds(d)
+        assert bounds == (min(known), max(known))
+        plain, by_key = Q._orphans_by_key(f, d)
+        counts, by_bitmap = Q._orphans_by_bitmap(f, d, *bounds)
+        assert counts.first().asDict() == plain.first().asDict()
+        assert sorted(map(tuple, by_bitmap.collect())) == sorted(map(tuple, by_key.select("k", "rows").collect()))
+        assert counts.first()["orphans"] == len(set(extra) - set(known))
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "bitmap_construct_agg" in plan
+
+
+def test_few_sparse_empty_and_text_keys_go_by_key(spark, monkeypatch):
+    few = spark.range(1000).selectExpr("id AS k")
+    assert Q._dense_bounds(few) is None
+    monkeypatch.setattr(Q, "MANY_KEYS", 1)
+    assert Q._dense_bounds(few) == (0, 999)
+    frame = lambda ks, kind: spark.createDataFrame([(k,) for k in ks], f"k {kind}")
+    assert Q._dense_bounds(frame([1, 10**12], "bigint")) is None
+    assert Q._dense_bounds(frame([], "bigint")) is None and Q._dense_bounds(frame(["1"], "string")) is None
+    assert Q._dense_bounds(frame([5], "int")) == (5, 5)

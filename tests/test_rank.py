@@ -71,6 +71,7 @@ def test_result_stays_distributed(spark):
 @pytest.mark.parametrize("n,k", [(1, 5), (4, 5), (7, 4), (60, 5), (3000, 5)])
 def test_multi_ntile_matches_builtin(spark, monkeypatch, n, k, whole):
     monkeypatch.setattr(rank, "WHOLE_GROUP", whole)
+    monkeypatch.setattr(rank, "DIRECT", whole if whole < 10 else rank.DIRECT)
     rows = [(f"c{i * 37 % n:05d}", 1 if i % 3 == 0 else i % 50, (i * 7919) % 1013, i / 7) for i in range(n)]
     df = spark.createDataFrame(rows, "key string, hot int, spread long, x double")
     for metrics in ([("a", F.col("hot"), True), ("b", F.col("spread"), False)], [("c", F.col("x"), True), ("d", F.col("hot"), False)]):
@@ -83,6 +84,7 @@ def test_multi_ntile_matches_builtin(spark, monkeypatch, n, k, whole):
 
 def test_brackets_hold_the_exact_positions(spark, monkeypatch):
     monkeypatch.setattr(rank, "WHOLE_GROUP", 10)
+    monkeypatch.setattr(rank, "DIRECT", 10)
     rng = np.random.default_rng(3)
     values = np.concatenate([rng.normal(size=30_000), np.zeros(15_000), rng.integers(0, 5, 15_000)])
     df = spark.createDataFrame(pd.DataFrame({"x": values})).repartition(7)
@@ -94,6 +96,7 @@ def test_brackets_hold_the_exact_positions(spark, monkeypatch):
 def test_a_bracket_that_misses_is_found_out(spark, monkeypatch):
     # brackets of no width around a wrong place: every position is missed, and found by widening
     monkeypatch.setattr(rank, "WHOLE_GROUP", 10)
+    monkeypatch.setattr(rank, "DIRECT", 10)
     rng = np.random.default_rng(5)
     pdf = pd.DataFrame({"g": rng.integers(0, 3, 6_000), "v": rng.normal(size=6_000)})
     df = spark.createDataFrame(pdf).repartition(5)
@@ -109,6 +112,7 @@ def test_a_bracket_that_misses_is_found_out(spark, monkeypatch):
 
 def test_wide_brackets_are_narrowed_by_histograms(spark, monkeypatch):
     monkeypatch.setattr(rank, "INSIDE", 40)
+    monkeypatch.setattr(rank, "DIRECT", 10)
     monkeypatch.setattr(rank, "BINS", 16)
     rng = np.random.default_rng(6)
     values = np.concatenate([rng.lognormal(0, 4, 4_000), np.full(2_000, 7.0), [1e-300, 1e300]])
@@ -121,7 +125,8 @@ def test_wide_brackets_are_narrowed_by_histograms(spark, monkeypatch):
     assert got == pytest.approx({g: np.quantile(values[g::2], 0.75) for g in (0, 1)}, rel=1e-12)
 
 
-def test_sketches_of_batches_answer_together(spark):
+def test_sketches_of_batches_answer_together(spark, monkeypatch):
+    monkeypatch.setattr(rank, "DIRECT", 10)
     rng = np.random.default_rng(8)
     pdf = pd.DataFrame({"g": rng.integers(0, 4, 50_000), "v": rng.normal(size=50_000)})
     df = spark.createDataFrame(pdf)

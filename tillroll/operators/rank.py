@@ -135,7 +135,9 @@ def distributed_ntile(
 #: rank error of a sketch of size 1 (it falls with about the 0.9th power of the size).
 SKETCH, GROUP_SKETCH = 4096, 1024
 SKETCH_ERROR = 2.3
-#: Groups of at most so many rows are bracketed whole.
+#: Where no group has more rows than DIRECT, values are counted and summed up without brackets;
+#: beside larger groups, those of at most WHOLE_GROUP rows are bracketed whole.
+DIRECT = 200_000
 WHOLE_GROUP = 10_000
 #: Group sizes and brackets of so many groups are broadcast; beyond it rows meet them by shuffle,
 #: those of one group spread over SALTS tasks.
@@ -267,6 +269,19 @@ def _narrowed(live: DataFrame, by: list[str], count: int) -> DataFrame:
     return store(kept.drop("before").withColumnRenamed("upto", "before").select(*live.columns), "rank-live")
 
 
+def _direct(rows: DataFrame, groups: list[str], wanted: list[Wanted]) -> DataFrame:
+    """Order statistics of groups that a task can hold: one sort of each group's distinct values."""
+    counted = rows.groupBy(*groups, "v").agg(F.count("*").alias("c"))
+    whole = Window.partitionBy(*groups)
+    upto = whole.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = counted.withColumn("n", F.sum("c").over(whole)).withColumn("upto", F.sum("c").over(upto))
+    wants = F.array(*[F.struct(F.lit(w.name).alias("w"), F.expr(w.position).cast("long").alias("p")) for w in wanted])
+    here = F.filter(wants, lambda w: (w["p"] <= F.col("upto")) & (w["p"] > F.col("upto") - F.col("c")))
+    return summed.select(*groups, "v", "n", "upto", "c", F.inline(here)).select(
+        *groups, "w", "v", "p", (F.col("upto") - F.col("c")).alias("before"), "n"
+    )
+
+
 def order_statistics(
     rows: DataFrame, groups: list[str], wanted: list[Wanted], sketches: DataFrame | None = None, margin: float | None = None
 ) -> DataFrame:
@@ -283,8 +298,12 @@ def order_statistics(
        a running sum over the rest finds the one that covers the position.
 
     Nothing is sorted, shuffled or stored but the insides of the brackets, some thousandths of the
-    rows. ``rows`` is read twice: pass a stored table or a cheap projection."""
+    rows. Groups that a task can hold (DIRECT) need no brackets. ``rows`` is read three times, with
+    given sketches once: pass a stored table or a cheap projection."""
     rows = rows.filter("v is not null")
+    sizes = rows.groupBy(*groups).agg(F.count("v").alias("n")) if sketches is None else sketches
+    if margin is None and (sizes.agg(F.max("n")).first()[0] or 0) <= DIRECT:
+        return _direct(rows, groups, wanted)
     if sketches is None:
         sketches = value_sketches(rows, groups)
     size = GROUP_SKETCH if groups else SKETCH
