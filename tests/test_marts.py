@@ -99,6 +99,16 @@ def test_dim_customer(stg):
     )
 
 
+def test_star_join_of_large_dimensions_is_the_same(stg, monkeypatch):
+    tables = M.fct_sales(stg), M.dim_date(stg), M.dim_customer(stg), M.dim_product(stg)
+    small = sorted(map(str, M.star_join_revenue(*tables).collect()))
+    monkeypatch.setattr(M, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(M, "HOT_PARTS", 2)
+    large = M.star_join_revenue(*tables)
+    assert "_salt" in large._jdf.queryExecution().analyzed().toString()
+    assert sorted(map(str, large.collect())) == small
+
+
 def test_star_join_totals_reconcile(stg):
     star = M.star_join_revenue(M.fct_sales(stg), M.dim_date(stg), M.dim_customer(stg), M.dim_product(stg))
     assert star.agg(F.sum("revenue")).first()[0] == stg.agg(F.sum("line_revenue")).first()[0]

@@ -29,6 +29,8 @@ VOLATILE_PRICE_FACTOR = 3
 #: A key is hot if it has more than one in so many rows, and items that the search for them tracks.
 HOT_PARTS = 128
 TRACKED_ITEMS = 16_384
+#: Rows of two narrow columns up to which a dimension is broadcast.
+BROADCAST_ROWS = 200_000
 SALES_KEY_COLUMNS = ["invoice_no", "product_key", "invoiced_at", "unit_price", "quantity"]
 
 
@@ -153,16 +155,22 @@ def star_join_revenue(fct: DataFrame, d_date: DataFrame, d_customer: DataFrame,
     """Revenue by month, RFM segment and pricing volatility from the fact joined to the
     three dimensions.
 
-    ``dim_date`` is bounded by the calendar span, so it is broadcast explicitly; customers and
-    products grow with the data, and the keys that many rows share (the guest bucket, a
-    best-selling product) are found in the fact and salted in both joins.
+    ``dim_date`` is bounded by the calendar span, so it is broadcast explicitly. Customers and
+    products grow with the data: they are counted, and broadcast up to BROADCAST_ROWS; a larger
+    one is joined by shuffle, and the keys that many rows share (the guest bucket, a best-selling
+    product) are found in the fact and salted. The dimensions should be stored tables.
     """
-    hot = hot_keys(fct, ["customer_key", "product_key"])
+    large = [k for k, dim in (("customer_key", d_customer), ("product_key", d_product)) if dim.count() > BROADCAST_ROWS]
+    hot = hot_keys(fct, large) if large else {}
+
+    def joined_to(rows: DataFrame, dim: DataFrame, key: str, spread: list[str]) -> DataFrame:
+        return join_hot_keys(rows, dim, key, hot[key], spread) if key in hot else rows.join(F.broadcast(dim), key)
+
     with_date = fct.join(F.broadcast(d_date.select("date_key", "year_month")), "date_key")
     customers = d_customer.select("customer_key", "rfm_segment")
-    with_customer = join_hot_keys(with_date, customers, "customer_key", hot["customer_key"], ["invoice_no", "product_key"])
+    with_customer = joined_to(with_date, customers, "customer_key", ["invoice_no", "product_key"])
     products = d_product.select("product_key", "has_volatile_pricing")
-    joined = join_hot_keys(with_customer, products, "product_key", hot["product_key"], ["invoice_no"])
+    joined = joined_to(with_customer, products, "product_key", ["invoice_no"])
     return joined.groupBy("year_month", "rfm_segment", "has_volatile_pricing").agg(
         F.count(F.lit(1)).alias("sales_lines"),
         F.countDistinct("invoice_no").alias("invoice_count"),
