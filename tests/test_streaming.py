@@ -213,3 +213,38 @@ def test_a_failed_batch_leaves_a_failure(spark, tmp_path):
         batches.follow(spark, lambda: I.start_event_ingest(spark, inbox, str(tmp_path / "sink"), dead, ck, log=batches))
     (row,) = log.read().collect()
     assert (row["stage"], row["outcome"]) == ("ingest", "failure") and row["error"]["message"]
+
+
+def test_lines_that_fit_are_told_by_one_parse_and_as_the_checks_by_key_do(spark):
+    whole = json.dumps({"@timestamp": "2024-02-01T10:00:00+00:00", **{f.name: None for f in I.EVENT_SCHEMA[1:]}})
+    fitting = [
+        line(1),
+        line(2, **{"@version": "1"}, tags=["a", None], duration_ms=3),
+        line(1, event={"kind": "k", "original": "x"}, log={"level": "l", "file": {"path": "p"}}),
+        line(1, duration_ms=1e300, metrics={"rows": 2**63 - 1, "pct_dropped": 7}),
+        whole,
+        "{}",
+    ]
+    unsure = [
+        "{not json",
+        "",
+        "[]",
+        line(1, shipper="x"),
+        line(1, **{"stage: STRING, x": "y"}),
+        line(1, event={"dataset": "d", "extra": 1}),
+        line(1, duration_ms="abc"),
+        line(1, metrics={"rows": 1.5}),
+        line(1, metrics={"rows": 2**63}),
+        line(1, metrics=[1]),
+        line(1, stage={"a": 1}),
+        line(1, stage=' {"a": 1}'),
+        line(1, stage=5),
+        line(1).replace("{", '{"run": 1, ', 1),
+    ]
+    lines = spark.createDataFrame([(x,) for x in fitting + unsure], "value string")
+    assert [r["value"] for r in lines.filter(I.fits_schema(F.col("value"))).collect()] == fitting
+    parsed = lines.withColumn("e", F.from_json("value", I.EVENT_SCHEMA)).filter(I.fits_schema(F.col("value")))
+    assert parsed.filter((F.size(I.undeclared_keys(F.col("value"))) > 0) | (F.size(I.wrong_types(F.col("value"))) > 0)).count() == 0
+    reasons = {r["value"]: r["reject_reason"] for r in I.classify_event_lines(lines).collect()}
+    assert {reasons[x] for x in fitting} == {None, "bad_timestamp"} and reasons["{}"] == "bad_timestamp"
+    assert reasons[line(1, stage=5)] is None and reasons[line(1, metrics={"rows": 2**63})] == "wrong_type: metrics.rows"
