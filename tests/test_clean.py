@@ -182,3 +182,21 @@ def test_every_file_of_a_folder_is_checked(spark, tmp_path):
     by = str(tmp_path / "by")
     batch.write.partitionBy("Country").parquet(by)
     assert declared_read(spark, by).select("Country").distinct().count() == 25
+
+
+def test_a_time_format_is_tried_only_where_it_can_fit(spark):
+    from tillroll.sources.raw import MIXED_TIMESTAMP_FORMATS, parse_mixed_timestamp
+
+    texts = [
+        "2012-03-05 09:15:00.123456", "2012-03-05 09:15:00.5", "2012-03-05 09:15:00", "2012-03-05T09:15:00", "2012-03-05t09:15:00",
+        "2012-03-05 09:15", "2012-03-05", "3/5/2012 9:15:01", "3/5/2012 9:15", "3/5/2012", "25/12/2012 9:15", "+12012-03-05", "3/5/+12012",
+        "-2012-03-05", "3/5/-2012 9:15", "2012-13-05", "3/5/2012 9:15:61", "5.3.2012", "2012-03-05  09:15", "x", "", None,
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    ladder = F.coalesce(*[F.try_to_timestamp("t", F.lit(fmt)) for fmt in MIXED_TIMESTAMP_FORMATS])
+    both = df.select("t", ladder.cast("string").alias("all"), parse_mixed_timestamp(F.col("t")).cast("string").alias("some"))
+    rows = both.collect()
+    assert [r["some"] for r in rows] == [r["all"] for r in rows] and sum(r["some"] is not None for r in rows) >= 13
+    # a text that no format's marks fit is not handed to any
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("CASE WHEN translate(") == len(MIXED_TIMESTAMP_FORMATS)
