@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.operators.layers import SILVER_KEY, dated, deduplicated_sales, gold_daily_sales, to_bronze, to_silver
+from tillroll.operators.layers import SILVER_KEY, conformed_sales, dated, deduplicated_sales, gold_daily_sales, to_bronze
 from tillroll.session import store
 from tillroll.sources.tables import folders
 
@@ -33,33 +33,36 @@ def read_periods(spark: SparkSession, table: str, periods: list[str]) -> DataFra
     return spark.read.parquet(*[f"{table}/period={p}" for p in periods])
 
 
-def _replace(rows: DataFrame, table: str, length: str) -> None:
-    named = rows.withColumn("period", F.date_format("date_key", PERIODS[length]))
-    writer = named.hint("rebalance", "period").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+def _replace(rows: DataFrame, table: str) -> None:
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("period").parquet(table)
 
 
 def apply_batch(raw: DataFrame, root: str, *, length: str = "day") -> list[str]:
     """Merge a raw batch into the silver and gold tables under ``root``; returns the periods rewritten.
 
-    The periods of a batch are bounded by the calendar. Silver is written before gold: a run that
-    dies between them is made good by applying the batch again. All batches of a lake have one
-    ``length``."""
+    The batch's sales are stored once; one shuffle gathers them and the sales of their periods by
+    period, merges them and leaves them as silver's new folders, from which gold follows. Folders
+    are replaced when the whole write has ended, so it may read what it replaces. The periods of a
+    batch are bounded by the calendar. Silver is written before gold: a run that dies between them
+    is made good by applying the batch again. All batches of a lake have one ``length``."""
     spark = raw.sparkSession
     silver, gold = f"{root}/{SILVER}", f"{root}/{GOLD}"
-    fresh = store(to_silver(to_bronze(raw)), "batch-silver")
-    periods = sorted(r[0] for r in fresh.select(F.date_format("date_key", PERIODS[length])).distinct().collect())
+    fresh = store(conformed_sales(to_bronze(raw)), "batch-silver")
+    period = F.date_format(F.to_date("invoiced_at"), PERIODS[length])
+    found = fresh.groupBy(period.alias("period")).agg(F.count(F.lit(1)).alias("rows")).collect()
+    periods = sorted(r["period"] for r in found)
     if not periods:
         return []
     known = set(stored_periods(spark, silver))
     before = [p for p in periods if p in known]
-    sales = fresh.select(*_SALE)
+    sales, rows = fresh.select(*_SALE), sum(r["rows"] for r in found)
     if before:
-        sales = sales.unionByName(read_periods(spark, silver, before).select(*_SALE))
-    # stored before its folders are replaced, as it reads some of them
-    merged = store(dated(deduplicated_sales(sales)), "merged-sales")
-    _replace(merged, silver, length)
-    _replace(gold_daily_sales(merged), gold, length)
+        there = read_periods(spark, silver, before).select(*_SALE)
+        sales, rows = sales.unionByName(there), rows + there.count()
+    _replace(dated(deduplicated_sales(sales, {"period": period}, rows)), silver)
+    days = gold_daily_sales(read_periods(spark, silver, periods))
+    _replace(days.withColumn("period", F.date_format("date_key", PERIODS[length])).hint("rebalance", "period"), gold)
     return periods
 
 
