@@ -29,9 +29,12 @@ logger = logging.getLogger("tillroll.jobs")
 LAYER_PARTITIONS = ["invoice_year", "invoice_month"]
 
 
-def _write_counted(df: DataFrame, layer: str, table: str, root: str, partition_by: list[str] | None = None) -> tuple[str, int]:
+def _write_counted(
+    df: DataFrame, layer: str, table: str, root: str, partition_by: list[str] | None = None, gathered: bool = False
+) -> tuple[str, int]:
     obs = Observation(f"{layer}_{table}")
-    path = L.write_layer(df.observe(obs, F.count(F.lit(1)).alias("rows")), layer, table, partition_by=partition_by, root=root)
+    seen = df.observe(obs, F.count(F.lit(1)).alias("rows"))
+    path = L.write_layer(seen, layer, table, partition_by=partition_by, root=root, gathered=gathered)
     return path, int(obs.get["rows"])
 
 
@@ -42,8 +45,9 @@ def build_lakehouse(raw_df: DataFrame, root: str, num_partitions: int | None = N
     summary: dict = {"root": root}
 
     bronze_path, summary["bronze_rows"] = _write_counted(L.to_bronze(raw_df), BRONZE, "transactions", root, LAYER_PARTITIONS)
+    folders = {"invoice_year": F.year("invoiced_at"), "invoice_month": F.month("invoiced_at")}
     silver_path, summary["silver_rows"] = _write_counted(
-        L.to_silver(spark.read.parquet(bronze_path)), SILVER, "sales", root, LAYER_PARTITIONS
+        L.to_silver(spark.read.parquet(bronze_path), folders, summary["bronze_rows"]), SILVER, "sales", root, LAYER_PARTITIONS, True
     )
     silver = spark.read.parquet(silver_path)
     for name, frame, parts in (
