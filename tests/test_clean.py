@@ -200,3 +200,18 @@ def test_a_time_format_is_tried_only_where_it_can_fit(spark):
     # a text that no format's marks fit is not handed to any
     plan = both._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("CASE WHEN translate(") == len(MIXED_TIMESTAMP_FORMATS)
+
+
+def test_lines_of_an_invoice_are_deduplicated_side_by_side(spark):
+    rows = [(str(i // 4) if i % 9 else None, f"p{i % 7}", f"d{i % 2}", 1, "3/5/2012 9:15", "1.0", "5", "X") for i in range(600)]
+    names = "InvoiceNo string, StockCode string, Description string, Quantity int, InvoiceDate string, UnitPrice string, CustomerID string, Country string"
+    lines = C.standardize_columns(spark.createDataFrame(rows, names))
+    out = C.deduplicate_rows(lines)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(_at" in plan
+    keys = {r[:2] for r in rows}
+    assert out.columns == lines.columns and out.count() == len(keys)
+    # an invoice lies in one task, lines without one are spread
+    placed = out.withColumn("task", F.spark_partition_id()).groupBy("InvoiceNo").agg(F.countDistinct("task").alias("n"))
+    assert placed.filter("InvoiceNo is not null").agg(F.max("n")).first()[0] == 1
+

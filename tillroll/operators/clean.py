@@ -101,14 +101,18 @@ def deduplicate_rows(df: DataFrame, subset: list[str] | None = None) -> DataFram
     """One row per key (only key columns present are used).
 
     The survivor is the first row in the order of the remaining columns, so the result is the
-    same on every run. Implemented as an aggregate (combined map-side) rather than a window,
-    so a hot key never has to be sorted whole by one task. Null keys group together.
+    same on every run. Implemented as an aggregate rather than a window. Rows meet by the key's
+    first column, the invoice (by the whole key where that is null), so an invoice's lines stay
+    side by side: shuffles compress them well, one sort serves the aggregate, and later sums per
+    order find them together. Null keys group together.
     """
     key = [c for c in (subset or DEDUPE_KEY) if c in df.columns]
     rest = [c for c in df.columns if c not in key]
     if not rest:
         return df.dropDuplicates(key)
-    picked = df.groupBy(*key).agg(min_by_order(*[(c, F.col(c)) for c in rest]).alias("_keep"))
+    at = F.when(F.col(key[0]).isNotNull(), F.xxhash64(key[0])).otherwise(F.xxhash64(*key))
+    gathered = df.withColumn("_at", at).repartition("_at")
+    picked = gathered.groupBy("_at", *key).agg(min_by_order(*[(c, F.col(c)) for c in rest]).alias("_keep"))
     return picked.select(*[F.col(c) if c in key else F.col(f"_keep.{c}").alias(c) for c in df.columns])
 
 
