@@ -5,11 +5,14 @@ from __future__ import annotations
 
 import json
 from datetime import datetime
+from pathlib import Path
 
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+import __spark_entry__ as E
 from tillroll.streaming import ingest as I
 
 
@@ -248,3 +251,27 @@ def test_lines_that_fit_are_told_by_one_parse_and_as_the_checks_by_key_do(spark)
     reasons = {r["value"]: r["reject_reason"] for r in I.classify_event_lines(lines).collect()}
     assert {reasons[x] for x in fitting} == {None, "bad_timestamp"} and reasons["{}"] == "bad_timestamp"
     assert reasons[line(1, stage=5)] is None and reasons[line(1, metrics={"rows": 2**63})] == "wrong_type: metrics.rows"
+
+
+@pytest.fixture
+def cut_off_events(tmp_path):
+    """A folder of test tables whose events can't be read whole: the second of two files is cut off."""
+    events = tmp_path / "tables" / "events.parquet"
+    events.mkdir(parents=True)
+    whole = Path("/root/testdata/sf0.001/events.parquet").read_bytes()
+    (events / "part-0.parquet").write_bytes(whole)
+    (events / "part-1.parquet").write_bytes(whole[: len(whole) // 2])
+    return str(tmp_path / "tables")
+
+
+@pytest.mark.parametrize("name", ["event_rejects"])
+def test_events_that_cannot_be_read_whole_are_no_result(spark, cut_off_events, name):
+    with pytest.raises(Py4JJavaError):
+        E.queries()[name](spark, cut_off_events).collect()
+
+
+def test_lines_that_cannot_be_appended_are_told(spark, tmp_path):
+    (tmp_path / "blocker").write_text("a file where the folder should be")
+    records = I.event_records(spark.read.parquet("/root/testdata/sf0.001/events.parquet"))
+    with pytest.raises(Py4JJavaError):
+        I.append_json_lines(records, str(tmp_path / "blocker" / "inbox"))
