@@ -264,7 +264,7 @@ def cut_off_events(tmp_path):
     return str(tmp_path / "tables")
 
 
-@pytest.mark.parametrize("name", ["event_rejects"])
+@pytest.mark.parametrize("name", ["event_rejects", "event_stream_ingest"])
 def test_events_that_cannot_be_read_whole_are_no_result(spark, cut_off_events, name):
     with pytest.raises(Py4JJavaError):
         E.queries()[name](spark, cut_off_events).collect()
