@@ -9,11 +9,12 @@ from pathlib import Path
 
 import pytest
 from py4j.protocol import Py4JJavaError
-from pyspark.errors import StreamingQueryException
+from pyspark.errors import PySparkException, StreamingQueryException
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from tillroll.streaming import ingest as I
+from tillroll.streaming.events import to_json_lines
 
 
 def _write_lines(spark, path, lines):
@@ -264,7 +265,7 @@ def cut_off_events(tmp_path):
     return str(tmp_path / "tables")
 
 
-@pytest.mark.parametrize("name", ["event_rejects", "event_stream_ingest"])
+@pytest.mark.parametrize("name", ["event_rejects", "event_stream_ingest", "event_stream_resume"])
 def test_events_that_cannot_be_read_whole_are_no_result(spark, cut_off_events, name):
     with pytest.raises(Py4JJavaError):
         E.queries()[name](spark, cut_off_events).collect()
@@ -275,3 +276,18 @@ def test_lines_that_cannot_be_appended_are_told(spark, tmp_path):
     records = I.event_records(spark.read.parquet("/root/testdata/sf0.001/events.parquet"))
     with pytest.raises(Py4JJavaError):
         I.append_json_lines(records, str(tmp_path / "blocker" / "inbox"))
+
+
+@pytest.mark.parametrize("name", ["event_stream_resume"])
+def test_a_second_part_that_cannot_be_appended_is_told(spark, monkeypatch, name):
+    parts = []
+
+    def failing(records):
+        parts.append(to_json_lines(records))
+        broken = F.raise_error(F.lit("second part")).cast("string").alias("value")
+        return parts[-1] if len(parts) == 1 else parts[-1].select(broken)
+
+    monkeypatch.setattr(I, "to_json_lines", failing)
+    with pytest.raises(PySparkException, match="second part"):
+        E.queries()[name](spark, "/root/testdata/sf0.001").collect()
+    assert len(parts) == 2
