@@ -265,7 +265,7 @@ def cut_off_events(tmp_path):
     return str(tmp_path / "tables")
 
 
-@pytest.mark.parametrize("name", ["event_rejects", "event_stream_ingest", "event_stream_resume"])
+@pytest.mark.parametrize("name", ["event_rejects", "event_stream_ingest", "event_stream_resume", "events_by_hour_kept"])
 def test_events_that_cannot_be_read_whole_are_no_result(spark, cut_off_events, name):
     with pytest.raises(Py4JJavaError):
         E.queries()[name](spark, cut_off_events).collect()
@@ -278,7 +278,7 @@ def test_lines_that_cannot_be_appended_are_told(spark, tmp_path):
         I.append_json_lines(records, str(tmp_path / "blocker" / "inbox"))
 
 
-@pytest.mark.parametrize("name", ["event_stream_resume"])
+@pytest.mark.parametrize("name", ["event_stream_resume", "events_by_hour_kept"])
 def test_a_second_part_that_cannot_be_appended_is_told(spark, monkeypatch, name):
     parts = []
 
